@@ -17,6 +17,11 @@ NUMERIC_TYPES = (
 NESTED_TYPES = (T.ArrayType, T.MapType, T.StructType)
 
 
+def quoted(name: str) -> str:
+    """Column name for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def is_numeric(data_type: T.DataType) -> bool:
     """Booleans count as categorical."""
     return isinstance(data_type, NUMERIC_TYPES)
@@ -78,20 +83,12 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], name: str = "__s") -> DataFrame:
-    """Add the fitted values of `stats` as one struct column.
+    """Join the fitted values of `stats` (one row per group) as one struct column.
 
-    Without keys `stats` has one row and enters as a scalar subquery. With keys it has one row per
-    group and is joined; Spark broadcasts it only when its size allows.
+    The join is null-safe; Spark broadcasts `stats` only when its size allows.
     """
     values = [c for c in stats.columns if c not in keys]
-    packed = stats.select(*keys, F.struct(*values).alias(name))
-    if not keys:
-        return df.withColumn(name, packed.scalar())
-    return same_keys(df, packed, keys, "left")
-
-
-def per_group(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(*aggs)
+    return same_keys(df, stats.select(*keys, F.struct(*values).alias(name)), keys, "left")
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:

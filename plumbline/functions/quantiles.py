@@ -8,14 +8,13 @@ order statistics do not change, but only few distinct values are left to count a
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import as_double, attach, same_keys
+from ..core import attach, quoted, same_keys
 
 SMALL_GROUP = 200_000     # below this many values the whole range is the interval
 PARTIALS = 512            # partial sketches per group, merged in a second step
@@ -28,181 +27,184 @@ def rank_error(k: int) -> float:
 
 
 def _sketched(df: DataFrame, columns: Sequence[str], keys: Sequence[str], k: int) -> DataFrame:
-    """One row per group: count, min, max and sketch of every column."""
-    salted = df.select(
-        *keys, (F.spark_partition_id() % PARTIALS).alias("__salt"),
-        *[as_double(c).alias(f"v{i}") for i, c in enumerate(columns)],
-    )
-    parts, merged = [], []
-    for i in range(len(columns)):
-        v = f"v{i}"
-        parts += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                  F.kll_sketch_agg_double(v, F.lit(k)).alias(f"k{i}")]
-        merged += [F.sum(f"n{i}").alias(f"n{i}"), F.min(f"lo{i}").alias(f"lo{i}"),
-                   F.max(f"hi{i}").alias(f"hi{i}"), F.kll_merge_agg_double(f"k{i}").alias(f"k{i}")]
-    return salted.groupBy(*keys, "__salt").agg(*parts).groupBy(*keys).agg(*merged)
-
-
-def _edge(i: int, p: float) -> Column:
-    """Edge of an interval at normalized rank p, or the end of the range."""
-    if p <= 0:
-        return F.col(f"lo{i}")
-    if p >= 1:
-        return F.col(f"hi{i}")
-    sketch = F.when(F.col(f"n{i}") > SMALL_GROUP, F.col(f"k{i}"))
-    whole = F.col(f"lo{i}") if p < 0.5 else F.col(f"hi{i}")
-    return F.coalesce(F.kll_sketch_get_quantile_double(sketch, F.lit(float(p))), whole)
-
-
-def _intervals(i: int, probs: Sequence[float], delta: float) -> Column:
-    """[lo, hi] per wanted quantile; the whole range in a small group."""
-    small = F.col(f"n{i}") <= SMALL_GROUP
-    out = []
-    for p in probs:
-        out.append(F.when(small, F.col(f"lo{i}")).otherwise(_edge(i, p - delta)))
-        out.append(F.when(small, F.col(f"hi{i}")).otherwise(_edge(i, p + delta)))
-    return F.array(*out)
-
-
-def _snap(v: Column, edges: Column, n: int) -> tuple[Column, Column]:
-    """Order-preserving snap of v to the intervals, and the slice it falls into."""
-    value, part = edges[2 * n - 1], F.lit(2 * n * SLICES)
-    for j in reversed(range(n)):
-        lo, hi = edges[2 * j], edges[2 * j + 1]
-        inner = F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * (SLICES - 1)).cast("int")
-        value = F.when(v <= lo, lo).when(v <= hi, v).otherwise(value)
-        part = (F.when(v <= lo, F.lit(2 * j * SLICES))
-                .when(v <= hi, (2 * j + 1) * SLICES + F.coalesce(inner, F.lit(0)))
-                .otherwise(part))
-    return value, part
+    """One row per group: count, min, max and sketch of every column, merged in two steps."""
+    by = ", ".join(map(quoted, keys))
+    comma = f"{by}, " if by else ""
+    n = range(len(columns))
+    values = ", ".join(f"CAST({quoted(c)} AS DOUBLE) AS v{i}" for i, c in enumerate(columns))
+    first = ", ".join(f"count(v{i}) AS n{i}, min(v{i}) AS lo{i}, max(v{i}) AS hi{i}, "
+                      f"kll_sketch_agg_double(v{i}, {k}) AS k{i}" for i in n)
+    second = ", ".join(f"sum(n{i}) AS n{i}, min(lo{i}) AS lo{i}, max(hi{i}) AS hi{i}, "
+                       f"kll_merge_agg_double(k{i}) AS k{i}" for i in n)
+    return df.sparkSession.sql(f"""
+        SELECT {comma}{second} FROM (
+          SELECT {comma}__salt, {first}
+          FROM (SELECT {comma}spark_partition_id() % {PARTIALS} AS __salt, {values} FROM {{rows}})
+          GROUP BY {comma}__salt)
+        {f'GROUP BY {by}' if by else ''}""", rows=df)
 
 
-def _ranked(counts: DataFrame, group: Sequence[str], wanted: Sequence[float]) -> DataFrame:
-    """Rows (group, v, n, below, size) of the slices that hold a wanted quantile.
+def _intervals(i: int, probs: Sequence[float], delta: float) -> str:
+    """SQL array [lo, hi, lo, hi, ..] with one interval per quantile; the whole range in a small group."""
+    def edge(p: float) -> str:
+        if p <= 0:
+            return f"lo{i}"
+        if p >= 1:
+            return f"hi{i}"
+        sketch = f"IF(n{i} > {SMALL_GROUP}, k{i}, NULL)"
+        return f"coalesce(kll_sketch_get_quantile_double({sketch}, {p:.17g}D), lo{i})"
+    cells = ", ".join(f"{edge(p - delta)}, {edge(p + delta)}" for p in probs)
+    whole = ", ".join(f"lo{i}, hi{i}" for _ in probs)
+    return f"IF(n{i} > {SMALL_GROUP}, array({cells}), array({whole}))"
 
-    `below` is the number of values smaller than v in its group, `size` the size of the group.
-    """
-    totals = counts.groupBy(*group, "part").agg(F.sum("n").alias("__t"))
-    in_group = W.partitionBy(*group)
-    totals = totals.select(
-        *group, "part", F.col("__t"), F.sum("__t").over(in_group).alias("size"),
-        F.coalesce(F.sum("__t").over(in_group.orderBy("part").rowsBetween(W.unboundedPreceding, -1)),
-                   F.lit(0)).alias("__before"),
-    )
-    hit = F.lit(False)
-    for p in wanted:
-        k = F.floor((F.col("size") - 1) * F.lit(float(p)))
-        hit = hit | ((F.col("__before") <= k + 1) & (k < F.col("__before") + F.col("__t")))
-    picked = same_keys(counts, totals.filter(hit).drop("__t"), [*group, "part"])
-    running = W.partitionBy(*group, "part").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return picked.select(*group, "v", "n", "size",
-                         (F.col("__before") + F.sum("n").over(running) - F.col("n")).alias("below"))
-
-
-def _pick(position: Column, cond: Column) -> Column:
-    here = cond & (F.col("below") <= position) & (position < F.col("below") + F.col("n"))
-    return F.max(F.when(here, F.col("v")))
-
-
-def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-              keys: Sequence[str] = (), k: int = 2000) -> DataFrame:
+
+def _snap(v: str, edges: str, n: int) -> tuple[str, str]:
+    """SQL of the order-preserving snap of v to the intervals, and of the slice v falls into."""
+    value, part = [], []
+    for j in range(n):
+        lo, hi = f"{edges}[{2 * j}]", f"{edges}[{2 * j + 1}]"
+        inner = f"coalesce(CAST(floor(({v} - {lo}) / nullif({hi} - {lo}, 0D) * {SLICES - 1}) AS INT), 0)"
+        value.append(f"WHEN {v} <= {lo} THEN {lo} WHEN {v} <= {hi} THEN {v}")
+        part.append(f"WHEN {v} <= {lo} THEN {2 * j * SLICES} WHEN {v} <= {hi} THEN {(2 * j + 1) * SLICES} + {inner}")
+    return (f"CASE {' '.join(value)} ELSE {edges}[{2 * n - 1}] END",
+            f"CASE {' '.join(part)} ELSE {2 * n * SLICES} END")
+
+
+def grouped_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                      keys: Sequence[str], k: int = 1000) -> DataFrame:
     """Exact linear-interpolated quantiles: keys + one ARRAY<DOUBLE> per column (NULLs ignored).
 
-    Lazy. Two scans; between them only sketches and snapped counts are shuffled. One row per group
-    (one row without keys); a column without values gives NULL entries.
+    Lazy. Two scans; between them only sketches and snapped counts are shuffled, so a group of any
+    size is never held by one task. A group without any value in `columns` has no row.
     """
-    keys, probs = list(keys), sorted(probs)
+    keys, probs, spark = list(keys), sorted(probs), df.sparkSession
+    by = ", ".join(map(quoted, keys))
+    n = range(len(columns))
     delta = rank_error(k)
-    fitted = _sketched(df, columns, keys, k).select(
-        *keys, *[_intervals(i, probs, delta).alias(f"e{i}") for i in range(len(columns))])
-    rows = attach(df.select(*keys, *[as_double(c).alias(f"v{i}") for i, c in enumerate(columns)]),
+    fitted = spark.sql(
+        f"SELECT {by}, " + ", ".join(f"{_intervals(i, probs, delta)} AS e{i}" for i in n) + " FROM {s}",
+        s=_sketched(df, columns, keys, k))
+    rows = attach(df.selectExpr(*map(quoted, keys), *[f"CAST({quoted(c)} AS DOUBLE) AS v{i}" for i, c in enumerate(columns)]),
                   fitted, keys, "__e")
-    cells = []
-    for i in range(len(columns)):
-        value, part = _snap(F.col(f"v{i}"), F.col("__e")[f"e{i}"], len(probs))
-        cells.append(F.struct(F.lit(i).alias("attr"),
-                              F.when(F.col(f"v{i}").isNotNull(), value).alias("v"), part.alias("part")))
-    counts = (rows.select(*keys, F.inline(F.array(*cells))).filter(F.col("v").isNotNull())
-              .groupBy(*keys, "attr", "part", "v").agg(F.count(F.lit(1)).alias("n")))
+    cells = ", ".join(f"struct({i} AS attr, v{i} AS v, __e.e{i} AS e)" for i in n)
+    value, part = _snap("v", "e", len(probs))
+    counts = spark.sql(f"""
+        SELECT {by}, attr, part, v, count(*) AS n FROM (
+          SELECT {by}, attr, {value} AS v, {part} AS part
+          FROM (SELECT {by}, inline(array({cells})) FROM {{rows}}) WHERE v IS NOT NULL)
+        GROUP BY {by}, attr, part, v""", rows=rows)
     ranked = _ranked(counts, [*keys, "attr"], probs)
-    aggs = []
+    outs = []
     for i, c in enumerate(columns):
-        out = []
+        parts = []
         for p in probs:
-            h = (F.col("size") - 1) * F.lit(float(p))
-            low, high = F.floor(h), F.least(F.floor(h) + 1, F.col("size") - 1)
-            mine = F.col("attr") == i
-            a, b = _pick(low, mine), _pick(high, mine)
-            weight = F.max(F.when(mine, h - low))
-            out.append(a + weight * (b - a))
-        aggs.append(F.array(*out).alias(c))
-    return ranked.groupBy(*keys).agg(*aggs)
-
-
-def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, Sequence[float]] | Sequence[float],
-                  k: int = 16000) -> dict[str, list[float]]:
-    """Exact quantiles as plain numbers, for fitting: any number of quantiles per column.
-
-    The driver receives only interval edges, slice totals and the answers: a few numbers per
-    wanted quantile. `probs` may be a function of the column's value count.
+            h, low = f"((size - 1) * {p:.17g}D)", f"floor((size - 1) * {p:.17g}D)"
+            high = f"least({low} + 1, size - 1)"
+            a, b = (f"max(v) FILTER (WHERE attr = {i} AND below <= {x} AND {x} < below + n)" for x in (low, high))
+            parts.append(f"{a} + (max({h} - {low}) FILTER (WHERE attr = {i})) * ({b} - {a})")
+        outs.append(f"array({', '.join(parts)}) AS {quoted(c)}")
+    return spark.sql(f"SELECT {by}, {', '.join(outs)} FROM {{ranked}} GROUP BY {by}", ranked=ranked)
+
+
+def _ranked(counts: DataFrame, group: Sequence[str], wanted: Sequence[float]) -> DataFrame:
+    """Rows (group, v, n, below, size) of the slices that hold a wanted quantile.
+
+    `below` is the number of values smaller than v in its group, `size` the size of the group.
     """
-    columns = list(columns)
-    head = _sketched(df, columns, [], k)
+    by = ", ".join(map(quoted, group))
+    totals = counts.sparkSession.sql(f"""
+        SELECT {by}, part, t, sum(t) OVER (PARTITION BY {by}) AS size,
+          coalesce(sum(t) OVER (PARTITION BY {by} ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM (SELECT {by}, part, sum(n) AS t FROM {{counts}} GROUP BY {by}, part)""", counts=counts)
+    hit = " OR ".join(f"(before <= floor((size - 1) * {p:.17g}D) + 1 AND floor((size - 1) * {p:.17g}D) < before + t)"
+                      for p in wanted)
+    picked = same_keys(counts, totals.filter(hit).drop("t"), [*group, "part"])
+    return picked.selectExpr(
+        *map(quoted, group), "v", "n", "size",
+        f"before + sum(n) OVER (PARTITION BY {by}, part ORDER BY v ROWS UNBOUNDED PRECEDING) - n AS below")
+
+
+def fit_quantiles(df: DataFrame, columns: Sequence[str],
+                  probs: Sequence[float] | Callable[[int], Sequence[float]],
+                  k: int | None = None) -> dict[str, list[float]]:
+    """Exact quantiles of whole columns as plain numbers; columns without values are left out.
+
+    Any number of quantiles per column; `probs` may depend on the column's value count. The driver
+    receives interval edges and answers only: a few numbers per wanted quantile.
+    """
+    columns, spark = list(columns), df.sparkSession
+    if not columns:
+        return {}
+    k = k or (16000 if callable(probs) or len(probs) > 4 else 2000)
     delta = rank_error(k)
-    sizes = head.select(*[F.col(f"n{i}") for i in range(len(columns))])
     wanted_of = probs if callable(probs) else (lambda n: list(probs))
-    head = head.persist()
+    grid = [] if callable(probs) else sorted(probs)
+    head = _sketched(df, columns, [], k)
+    if callable(probs):
+        head = head.persist()
     try:
-        ns = sizes.first()
-        wanted = {c: sorted(wanted_of(ns[i] or 0)) for i, c in enumerate(columns) if ns[i]}
-        live = [(i, c) for i, c in enumerate(columns) if c in wanted]
-        if not live:
-            return {}
-        edge_row = head.select(*[_intervals(i, wanted[c], delta).alias(f"e{i}") for i, c in live]).first()
+        edge_cols = lambda cols, want: [f"{_intervals(i, want[c], delta)} AS e{i}" for i, c in cols]
+        both = [(i, c) for i, c in enumerate(columns)]
+        sizes = [f"n{i}" for i, _ in both]
+        if callable(probs):
+            ns = head.selectExpr(*sizes).first()
+            wanted = {c: sorted(wanted_of(int(ns[i]))) for i, c in both if ns[i]}
+            live = [(i, c) for i, c in both if c in wanted]
+            if not live:
+                return {}
+            edge_row = head.selectExpr(*edge_cols(live, wanted)).first()
+        else:
+            ns = edge_row = head.selectExpr(*sizes, *edge_cols(both, {c: grid for c in columns})).first()
+            wanted = {c: grid for i, c in both if ns[f"n{i}"]}
+            live = [(i, c) for i, c in both if c in wanted]
     finally:
         head.unpersist()
-    size = {c: int(ns[i]) for i, c in live}
-    # Disjoint cells: odd cells are kept value by value, even cells collapse to their left edge.
-    splits, edges = {}, {}
-    for i, c in live:
-        merged: list[list[float]] = []
-        flat = edge_row[f"e{i}"]
-        if size[c] <= SMALL_GROUP:
-            merged = [[flat[0], flat[-1]]]
-        else:
-            for lo, hi in sorted(zip(flat[::2], flat[1::2])):
-                if merged and lo <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], hi)
-                else:
-                    merged.append([lo, hi])
-        pts = []
-        for lo, hi in merged:
-            pts += [lo, math.nextafter(hi, math.inf)]
-        edges[c] = pts
-        splits[c] = [-math.inf, *pts, math.inf]
+    if not live:
+        return {}
     names = [c for _, c in live]
-    cell = Bucketizer(splitsArray=[splits[c] for c in names], inputCols=[f"v{j}" for j in range(len(names))],
-                      outputCols=[f"b{j}" for j in range(len(names))], handleInvalid="keep")
-    rows = cell.transform(df.select(*[as_double(c).alias(f"v{j}") for j, c in enumerate(names)]))
-    structs = []
-    for j, c in enumerate(names):
-        v, b = F.col(f"v{j}"), F.col(f"b{j}").cast("int")
-        left = F.element_at(F.array(*[F.lit(x) for x in edges[c]]), F.greatest(b, F.lit(1)))
-        structs.append(F.struct(F.lit(j).alias("attr"), b.alias("part"),
-                                F.when(b % 2 == 1, v).when(b.isNotNull(), left).alias("v")))
-    counts = (rows.select(F.inline(F.array(*structs))).filter(F.col("v").isNotNull())
-              .groupBy("attr", "part", "v").agg(F.count(F.lit(1)).alias("n")))
-    ranked = running_counts(counts, ["attr"], "v", "n", part="part")
+    size = {c: int(ns[f"n{i}"]) for i, c in live}
+    if max(size.values()) <= SMALL_GROUP:
+        # Few values in all: the built-in aggregate holds them easily.
+        grids = {c: "array(" + ", ".join(f"{p!r}D" for p in wanted[c]) + ")" for c in names}
+        row = df.selectExpr(*[f"percentile(CAST({quoted(c)} AS DOUBLE), {grids[c]}) AS q{j}" for j, c in enumerate(names)]).first()
+        return {c: list(row[j]) for j, c in enumerate(names)}
+    # Odd cells are kept value by value, even cells collapse to their left edge.
+    edges = {c: _cells(edge_row[f"e{i}"], size[c] <= SMALL_GROUP) for i, c in live}
+    cut = Bucketizer(splitsArray=[[-math.inf, *edges[c], math.inf] for c in names],
+                     inputCols=[f"v{j}" for j in range(len(names))],
+                     outputCols=[f"b{j}" for j in range(len(names))], handleInvalid="keep")
+    rows = cut.transform(df.selectExpr(*[f"CAST({quoted(c)} AS DOUBLE) AS v{j}" for j, c in enumerate(names)]))
+    rows = rows.selectExpr(*[f"v{j}" for j in range(len(names))], *[f"CAST(b{j} AS INT) AS b{j}" for j in range(len(names))])
+    # Expressions over all columns at once would outgrow the compiled code, so rows are first turned
+    # into (attr, value) and the edges looked up by attr.
+    grid_sql = "array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in edges[c]) + ")" for c in names) + ")"
+    melted = rows.selectExpr("inline(array(" + ", ".join(f"struct({j} AS attr, v{j} AS v, b{j} AS b)" for j in range(len(names))) + "))")
+    lo, hi = f"{grid_sql}[attr][b - 1]", f"{grid_sql}[attr][b]"
+    slice_sql = f"coalesce(CAST(floor((v - {lo}) / nullif({hi} - {lo}, 0D) * {SLICES - 1}) AS INT), 0)"
+    counts = spark.sql(f"""
+        SELECT attr, part, v, count(*) AS n FROM (
+          SELECT attr, b * {SLICES} + IF(b % 2 = 1, {slice_sql}, 0) AS part,
+            IF(b % 2 = 1, v, {grid_sql}[attr][greatest(b - 1, 0)]) AS v
+          FROM {{rows}} WHERE v IS NOT NULL)
+        GROUP BY attr, part, v""", rows=melted)
     targets = []
     for j, c in enumerate(names):
         for q, p in enumerate(wanted[c]):
             low = math.floor((size[c] - 1) * p)
             targets += [(j, q, 0, low), (j, q, 1, min(low + 1, size[c] - 1))]
-    spark = df.sparkSession
     places = spark.createDataFrame(targets, "attr int, q int, side int, pos bigint")
-    found = ranked.join(F.broadcast(places), ["attr"]).filter(
-        (F.col("before") <= F.col("pos")) & (F.col("pos") < F.col("before") + F.col("n")))
-    got = {(r["attr"], r["q"], r["side"]): r["v"] for r in found.select("attr", "q", "side", "v").collect()}
+    totals = spark.sql("""
+        SELECT attr, part, t, coalesce(sum(t) OVER (PARTITION BY attr ORDER BY part
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM (SELECT attr, part, sum(n) AS t FROM {c} GROUP BY attr, part)""", c=counts)
+    # Only the slices that hold a wanted position are ranked; there are at most as many as positions.
+    asked = (totals.join(F.broadcast(places), ["attr"]).filter("before <= pos AND pos < before + t")
+             .groupBy("attr", "part", "before").agg(F.collect_list(F.struct("q", "side", "pos")).alias("asked")))
+    ranked = counts.join(asked, ["attr", "part"]).selectExpr(
+        "attr", "v", "n", "asked",
+        "before + sum(n) OVER (PARTITION BY attr, part ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto")
+    found = ranked.selectExpr("attr", "v", "inline(filter(asked, a -> a.pos < upto AND a.pos >= upto - n))")
+    got = {(r["attr"], r["q"], r["side"]): r["v"] for r in found.collect()}
     out = {}
     for j, c in enumerate(names):
         vals = []
@@ -214,6 +216,18 @@ def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, Sequen
     return out
 
 
+def _cells(flat: Sequence[float], small: bool) -> list[float]:
+    """Merge overlapping intervals; returns lo, just-above-hi, lo, just-above-hi, .."""
+    pairs = [[flat[0], flat[-1]]] if small else sorted([list(x) for x in zip(flat[::2], flat[1::2])])
+    merged: list[list[float]] = []
+    for lo, hi in pairs:
+        if merged and lo <= math.nextafter(merged[-1][1], math.inf):
+            merged[-1][1] = max(merged[-1][1], hi)
+        else:
+            merged.append([lo, hi])
+    return [x for lo, hi in merged for x in (lo, math.nextafter(hi, math.inf))]
+
+
 def running_counts(counts: DataFrame, group: Sequence[str], value: str, n: str,
                    part: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """Add `before` (sum of n over smaller values of the group) and `size` to a table of counts.
@@ -222,25 +236,27 @@ def running_counts(counts: DataFrame, group: Sequence[str], value: str, n: str,
     way into before_<name> and size_<name>. Values are cut into ranges, ranked range by range, and
     shifted by the totals of the ranges before.
     """
-    group = list(group)
+    group, spark = list(group), counts.sparkSession
+    by = ", ".join(map(quoted, group))
     if part is None:
         part = "__part"
-        fr = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-        cuts = counts.groupBy(*group).agg(F.percentile_approx(value, fr, F.lit(1000)).alias("__cuts"))
-        counts = same_keys(counts, cuts, group).withColumn(
-            part, F.size(F.filter("__cuts", lambda x: x < F.col(value)))).drop("__cuts")
+        fr = ", ".join(f"{i / SLICES:.6f}D" for i in range(1, SLICES))
+        cuts = spark.sql(f"SELECT {by}, percentile_approx({value}, array({fr}), 1000) AS __cuts FROM {{c}} GROUP BY {by}",
+                         c=counts)
+        counts = same_keys(counts, cuts, group).selectExpr(
+            *map(quoted, counts.columns), f"size(filter(__cuts, x -> x < {value})) AS {part}")
     sums = [n, *extra]
-    totals = counts.groupBy(*group, part).agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
-    all_parts = W.partitionBy(*group)
-    earlier = all_parts.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    shift = totals.select(
-        *group, part,
-        *[F.sum(f"__t_{c}").over(all_parts).alias("size" if c == n else f"size_{c}") for c in sums],
-        *[F.coalesce(F.sum(f"__t_{c}").over(earlier), F.lit(0)).alias(f"__o_{c}") for c in sums],
-    )
-    within = W.partitionBy(*group, part).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    alias = {c: "" if c == n else f"_{c}" for c in sums}
+    totals = ", ".join(f"sum({c}) AS t_{c}" for c in sums)
+    shifts = ", ".join(
+        f"sum(t_{c}) OVER (PARTITION BY {by}) AS size{alias[c]}, coalesce(sum(t_{c}) OVER (PARTITION BY {by} ORDER BY {part} "
+        f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o_{c}" for c in sums)
+    shift = spark.sql(f"SELECT {by}, {part}, {shifts} FROM (SELECT {by}, {part}, {totals} FROM {{c}} GROUP BY {by}, {part})",
+                      c=counts)
     joined = same_keys(counts, shift, [*group, part])
-    for c in sums:
-        joined = joined.withColumn("before" if c == n else f"before_{c}",
-                                   F.col(f"__o_{c}") + F.sum(c).over(within) - F.col(c))
-    return joined.drop(*[f"__o_{c}" for c in sums], part)
+    keep = [c for c in counts.columns if c != part]
+    return joined.selectExpr(
+        *map(quoted, keep), *[f"size{alias[c]}" for c in sums],
+        *[f"o_{c} + sum({c}) OVER (PARTITION BY {by}, {part} ORDER BY {value} ROWS UNBOUNDED PRECEDING) - {c} AS before{alias[c]}"
+          for c in sums])
+

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import Catalog, MetricSpec
-from ..core import (as_double, attach, clean, constant, count_if, is_numeric, numeric_columns, ratio,
+from ..core import (as_double, attach, clean, constant, count_if, is_numeric, numeric_columns, quoted, ratio,
                     same_keys, total)
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import fit_quantiles, grouped_quantiles
 
 # Text that counts as a number.
 NUMBER_TEXT = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
@@ -134,51 +135,79 @@ def freshness(df: DataFrame, timestamp_column: str, current_time: str | None = N
 
 # -- more than one pass ------------------------------------------------------------------------
 
-def outlier_stats(df: DataFrame, keys: Sequence[str], cols: Sequence[str], method: str) -> DataFrame:
-    """keys + per column a struct of what the method's rule needs."""
+def outlier_limits(df: DataFrame, columns: Sequence[str], method: str = "iqr", threshold: float = 1.5
+                   ) -> dict[str, tuple[float, float]]:
+    """Fit the bounds outside which a value is an outlier; columns without values are left out.
+
+    A column without spread has no outliers under the z-scores.
+    """
+    out: dict[str, tuple[float, float]] = {}
     if method == "iqr":
-        q = quantiles(df, cols, (0.25, 0.75), keys)
-        return q.select(*keys, *[F.struct(F.col(c)[0].alias("q1"), F.col(c)[1].alias("q3")).alias(c) for c in cols])
+        for c, (q1, q3) in fit_quantiles(df, columns, (0.25, 0.75)).items():
+            out[c] = (q1 - threshold * (q3 - q1), q3 + threshold * (q3 - q1))
+        return out
     if method == "zscore":
-        return df.groupBy(*keys).agg(*[
-            F.struct(F.avg(as_double(c)).alias("mean"), F.stddev_pop(as_double(c)).alias("sd")).alias(c)
-            for c in cols])
-    if method == "modified_zscore":
-        med = quantiles(df, cols, (0.5,), keys)
-        away = attach(df.select(*keys, *cols), med, keys)
-        away = away.select(*keys, *[F.abs(as_double(c) - F.col("__s")[c][0]).alias(c) for c in cols])
-        mad = quantiles(away, cols, (0.5,), keys)
-        both = attach(med, mad, keys, "__mad")
-        return both.select(*keys, *[
-            F.struct(F.col(c)[0].alias("median"), F.col("__mad")[c][0].alias("mad")).alias(c) for c in cols])
-    raise ValueError(f"unknown outlier method {method!r}")
-
-
-def outlier_rule(c: Column, s: Column, method: str, threshold: float) -> Column:
-    """True for an outlier, given the fitted struct; NULL or false otherwise."""
+        row = df.agg(*[f(as_double(c)).alias(f"{n}{i}") for i, c in enumerate(columns)
+                       for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        centre = {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns) if row[f"m{i}"] is not None}
+        scale = threshold
+    elif method == "modified_zscore":
+        med = {c: q[0] for c, q in fit_quantiles(df, columns, (0.5,)).items()}
+        away = df.select(*[F.abs(as_double(c) - m).alias(c) for c, m in med.items()])
+        centre = {c: (med[c], q[0]) for c, q in fit_quantiles(away, list(med), (0.5,)).items()}
+        scale = threshold / MAD_SCALE
+    else:
+        raise ValueError(f"unknown outlier method {method!r}")
+    for c, (mid, spread) in centre.items():
+        out[c] = (mid - scale * spread, mid + scale * spread) if spread else (-math.inf, math.inf)
+    return out
+
+
+def outside(c: Column, limits: tuple[float, float]) -> Column:
+    return (c < limits[0]) | (c > limits[1])
+
+
+def _group_limits(df: DataFrame, keys: Sequence[str], cols: Sequence[str], method: str, threshold: float) -> DataFrame:
+    """keys + per column a struct (lo, hi); one row per group."""
+    t, names = float(threshold), [quoted(c) for c in cols]
+    by = [quoted(k) for k in keys]
     if method == "iqr":
-        width = threshold * (s["q3"] - s["q1"])
-        return (c < s["q1"] - width) | (c > s["q3"] + width)
+        q = grouped_quantiles(df, cols, (0.25, 0.75), keys)
+        return q.selectExpr(*by, *[f"struct({c}[0] - {t}D * ({c}[1] - {c}[0]) AS lo, {c}[1] + {t}D * ({c}[1] - {c}[0]) AS hi) AS {c}"
+                                   for c in names])
     if method == "zscore":
-        return F.abs(F.try_divide(c - s["mean"], s["sd"])) > threshold
-    return F.abs(F.try_divide(MAD_SCALE * (c - s["median"]), s["mad"])) > threshold
+        mid = df.groupBy(*keys).agg(*[F.expr(f"struct(avg({c}) AS m, stddev_pop({c}) AS s)").alias(raw)
+                                      for c, raw in zip(names, cols)])
+    else:
+        med = grouped_quantiles(df, cols, (0.5,), keys)
+        away = attach(df.select(*keys, *cols), med, keys).selectExpr(*by, *[f"abs({c} - __s.{c}[0]) AS {c}" for c in names])
+        mid = attach(med, grouped_quantiles(away, cols, (0.5,), keys), keys).selectExpr(
+            *by, *[f"struct({c}[0] AS m, __s.{c}[0] AS s) AS {c}" for c in names])
+        t = t / MAD_SCALE
+    return mid.selectExpr(*by, *[f"IF({c}.s > 0, struct({c}.m - {t}D * {c}.s AS lo, {c}.m + {t}D * {c}.s AS hi), NULL) AS {c}"
+                                 for c in names])
 
 
 def outlier_rate(df: DataFrame, keys: Sequence[str] = (), method: str = "iqr", threshold: float = 1.5,
                  columns: Sequence[str] | None = None) -> DataFrame:
-    """Outlying cells / numeric cells, NULL cells included in the latter."""
+    """Outlying cells / numeric cells, NULL cells included in the latter.
+
+    Bounds are fitted first (quartiles, moments or median deviations), then one pass counts.
+    """
     keys = list(keys)
     cols = [c for c in numeric_columns(df, columns) if c not in keys]
     if method not in ("iqr", "zscore", "modified_zscore"):
         raise ValueError(f"unknown outlier method {method!r}")
     if not cols:
         return df.groupBy(*keys).agg(constant(0.0).alias("value"))
-    narrow = df.select(*keys, *cols)
-    rows = attach(narrow, outlier_stats(narrow, keys, cols, method), keys)
-    bad = total(
-        F.when(F.count(c) >= MIN_FOR_OUTLIERS,
-               count_if(outlier_rule(as_double(c), F.col("__s")[c], method, threshold))).otherwise(0)
-        for c in cols)
+    rows = df.select(*keys, *cols)
+    if keys:
+        rows = attach(rows, _group_limits(rows, keys, cols, method, threshold), keys)
+        limits = {c: (F.col("__s")[c]["lo"], F.col("__s")[c]["hi"]) for c in cols}
+    else:
+        limits = outlier_limits(rows, cols, method, threshold)
+    bad = total(F.when(F.count(c) >= MIN_FOR_OUTLIERS, count_if(outside(as_double(c), b))).otherwise(0)
+                for c, b in limits.items())
     return rows.groupBy(*keys).agg(ratio(bad, F.count(F.lit(1)) * len(cols), 0.0).alias("value"))
 
 
