@@ -1,4 +1,4 @@
-from . import metric_queries  # noqa: F401
+from . import metric_queries, profile_queries  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -27,3 +28,21 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 def keep_known(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only the columns an index knows, in its order; the scan reads no others."""
     return df.select([c for c in columns if c in df.columns])
+
+
+def drop_null_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows without any missing value (NaN included)."""
+    return df.na.drop(subset=columns)
+
+
+def first_rows(df: DataFrame, key: list[str], n: int) -> DataFrame:
+    """The n rows with the smallest keys."""
+    return df.orderBy(*key).limit(n)
+
+
+def sample_rows(df: DataFrame, key: list[str], n: int | None = None, fraction: float | None = None,
+                seed: int = 42) -> DataFrame:
+    """Exactly n rows in the order of a seeded hash of the key, or about a fraction of all rows."""
+    if n is None:
+        return df.sample(fraction=fraction, seed=seed)
+    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
