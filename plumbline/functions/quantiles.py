@@ -26,7 +26,7 @@ def rank_error(k: int) -> float:
     return 4 * 2.446 / k ** 0.9433
 
 
-def _sketched(df: DataFrame, columns: Sequence[str], keys: Sequence[str], k: int) -> DataFrame:
+def sketched(df: DataFrame, columns: Sequence[str], keys: Sequence[str], k: int) -> DataFrame:
     """One row per group: count, min, max and sketch of every column, merged in two steps."""
     by = ", ".join(map(quoted, keys))
     comma = f"{by}, " if by else ""
@@ -83,45 +83,45 @@ def grouped_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
     delta = rank_error(k)
     fitted = spark.sql(
         f"SELECT {by}, " + ", ".join(f"{_intervals(i, probs, delta)} AS e{i}" for i in n) + " FROM {s}",
-        s=_sketched(df, columns, keys, k))
+        s=sketched(df, columns, keys, k))
     rows = attach(df.selectExpr(*map(quoted, keys), *[f"CAST({quoted(c)} AS DOUBLE) AS v{i}" for i, c in enumerate(columns)]),
                   fitted, keys, "__e")
-    cells = ", ".join(f"struct({i} AS attr, v{i} AS v, __e.e{i} AS e)" for i in n)
-    value, part = _snap("v", "e", len(probs))
+    cells = ", ".join(f"struct({i} AS __c, v{i} AS __v, __e.e{i} AS e)" for i in n)
+    value, part = _snap("__v", "e", len(probs))
     counts = spark.sql(f"""
-        SELECT {by}, attr, part, v, count(*) AS n FROM (
-          SELECT {by}, attr, {value} AS v, {part} AS part
-          FROM (SELECT {by}, inline(array({cells})) FROM {{rows}}) WHERE v IS NOT NULL)
-        GROUP BY {by}, attr, part, v""", rows=rows)
-    ranked = _ranked(counts, [*keys, "attr"], probs)
+        SELECT {by}, __c, __part, __v, count(*) AS __n FROM (
+          SELECT {by}, __c, {value} AS __v, {part} AS __part
+          FROM (SELECT {by}, inline(array({cells})) FROM {{rows}}) WHERE __v IS NOT NULL)
+        GROUP BY {by}, __c, __part, __v""", rows=rows)
+    ranked = _ranked(counts, [*keys, "__c"], probs)
     outs = []
     for i, c in enumerate(columns):
         parts = []
         for p in probs:
-            h, low = f"((size - 1) * {p:.17g}D)", f"floor((size - 1) * {p:.17g}D)"
-            high = f"least({low} + 1, size - 1)"
-            a, b = (f"max(v) FILTER (WHERE attr = {i} AND below <= {x} AND {x} < below + n)" for x in (low, high))
-            parts.append(f"{a} + (max({h} - {low}) FILTER (WHERE attr = {i})) * ({b} - {a})")
+            h, low = f"((__size - 1) * {p:.17g}D)", f"floor((__size - 1) * {p:.17g}D)"
+            high = f"least({low} + 1, __size - 1)"
+            a, b = (f"max(__v) FILTER (WHERE __c = {i} AND __below <= {x} AND {x} < __below + __n)" for x in (low, high))
+            parts.append(f"{a} + (max({h} - {low}) FILTER (WHERE __c = {i})) * ({b} - {a})")
         outs.append(f"array({', '.join(parts)}) AS {quoted(c)}")
     return spark.sql(f"SELECT {by}, {', '.join(outs)} FROM {{ranked}} GROUP BY {by}", ranked=ranked)
 
 
 def _ranked(counts: DataFrame, group: Sequence[str], wanted: Sequence[float]) -> DataFrame:
-    """Rows (group, v, n, below, size) of the slices that hold a wanted quantile.
+    """Rows (group, __v, __n, __below, __size) of the slices that hold a wanted quantile.
 
-    `below` is the number of values smaller than v in its group, `size` the size of the group.
+    `__below` is the number of values smaller than __v in its group, `__size` the size of the group.
     """
     by = ", ".join(map(quoted, group))
     totals = counts.sparkSession.sql(f"""
-        SELECT {by}, part, t, sum(t) OVER (PARTITION BY {by}) AS size,
-          coalesce(sum(t) OVER (PARTITION BY {by} ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-        FROM (SELECT {by}, part, sum(n) AS t FROM {{counts}} GROUP BY {by}, part)""", counts=counts)
-    hit = " OR ".join(f"(before <= floor((size - 1) * {p:.17g}D) + 1 AND floor((size - 1) * {p:.17g}D) < before + t)"
+        SELECT {by}, __part, t, sum(t) OVER (PARTITION BY {by}) AS __size,
+          coalesce(sum(t) OVER (PARTITION BY {by} ORDER BY __part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __before
+        FROM (SELECT {by}, __part, sum(__n) AS t FROM {{counts}} GROUP BY {by}, __part)""", counts=counts)
+    hit = " OR ".join(f"(__before <= floor((__size - 1) * {p:.17g}D) + 1 AND floor((__size - 1) * {p:.17g}D) < __before + t)"
                       for p in wanted)
-    picked = same_keys(counts, totals.filter(hit).drop("t"), [*group, "part"])
+    picked = same_keys(counts, totals.filter(hit).drop("t"), [*group, "__part"])
     return picked.selectExpr(
-        *map(quoted, group), "v", "n", "size",
-        f"before + sum(n) OVER (PARTITION BY {by}, part ORDER BY v ROWS UNBOUNDED PRECEDING) - n AS below")
+        *map(quoted, group), "__v", "__n", "__size",
+        f"__before + sum(__n) OVER (PARTITION BY {by}, __part ORDER BY __v ROWS UNBOUNDED PRECEDING) - __n AS __below")
 
 
 def fit_quantiles(df: DataFrame, columns: Sequence[str],
@@ -139,7 +139,7 @@ def fit_quantiles(df: DataFrame, columns: Sequence[str],
     delta = rank_error(k)
     wanted_of = probs if callable(probs) else (lambda n: list(probs))
     grid = [] if callable(probs) else sorted(probs)
-    head = _sketched(df, columns, [], k)
+    head = sketched(df, columns, [], k)
     if callable(probs):
         head = head.persist()
     try:
