@@ -118,8 +118,9 @@ def settings(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give row-heavy work all cores when the input has fewer partitions than that.
 
-    A table read from many files is returned unchanged.
+    A table read from many files is returned unchanged. Rows are placed by hash, so a repeated
+    task gets the same rows.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     files = len(df.inputFiles())
-    return df.repartition(cores) if 0 < files < cores else df
+    return df.repartition(cores, *df.columns) if 0 < files < cores else df

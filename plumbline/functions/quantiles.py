@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..core import attach, quoted, same_keys
 
-SMALL_GROUP = 200_000     # below this many values the whole range is the interval
+SMALL_GROUP = 100_000     # up to this many values a group is no burden for one task
 PARTIALS = 512            # partial sketches per group, merged in a second step
 SLICES = 64               # ranking tasks per interval
 
@@ -74,12 +74,17 @@ def grouped_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
                       keys: Sequence[str], k: int = 1000) -> DataFrame:
     """Exact linear-interpolated quantiles: keys + one ARRAY<DOUBLE> per column (NULLs ignored).
 
-    Lazy. Two scans; between them only sketches and snapped counts are shuffled, so a group of any
-    size is never held by one task. A group without any value in `columns` has no row.
+    Group sizes are looked at first. If all groups are small the built-in aggregate does it.
+    Otherwise two scans; between them only sketches and snapped counts are shuffled, so a group of
+    any size is never held by one task.
     """
     keys, probs, spark = list(keys), sorted(probs), df.sparkSession
     by = ", ".join(map(quoted, keys))
     n = range(len(columns))
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= SMALL_GROUP:
+        grid = "array(" + ", ".join(f"{p!r}D" for p in probs) + ")"
+        return df.groupBy(*keys).agg(*[F.expr(f"percentile(CAST({quoted(c)} AS DOUBLE), {grid})").alias(c) for c in columns])
     delta = rank_error(k)
     fitted = spark.sql(
         f"SELECT {by}, " + ", ".join(f"{_intervals(i, probs, delta)} AS e{i}" for i in n) + " FROM {s}",

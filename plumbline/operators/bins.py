@@ -9,7 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import attach, clean, numeric_columns, quoted, same_keys
+from ..core import attach, clean, numeric_columns, quoted, same_keys, spread
 from ..functions.quantiles import fit_quantiles, grouped_quantiles
 from .metrics import MIN_FOR_KURTOSIS, MIN_FOR_OUTLIERS, MIN_FOR_SKEW
 
@@ -129,6 +129,17 @@ def with_bounds(scored: DataFrame, boundaries: dict[str, Sequence[float]], metri
                              "n", f"{packed} AS quality")
 
 
+def fit_bins(df: DataFrame, columns: Sequence[str] | None = None, n_bins: int = 20,
+             metric_columns: Sequence[str] | None = None) -> DataFrame:
+    """Boundaries and exact bin quality in one go, kept as a small local table.
+
+    It has at most n_bins rows per attribute, so later steps read it instead of measuring again.
+    """
+    data = spread(clean(df.select(*dict.fromkeys([*(metric_columns or df.columns), *(columns or [])]))))
+    bins = bin_quality(data, fit_boundaries(data, columns, n_bins), metric_columns)
+    return df.sparkSession.createDataFrame(bins.collect(), bins.schema)
+
+
 def bin_summary(bins: DataFrame) -> DataFrame:
     return bins.groupBy("attr").agg(F.count(F.lit(1)).alias("n_bins"), F.min("n").alias("min_size"),
                                     F.max("n").alias("max_size"), F.avg("n").alias("avg_size"))

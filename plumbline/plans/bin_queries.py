@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..core import clean
+from ..core import clean, spread
 from ..operators import bins as B
 from ..operators import discretize as Z
 from ..operators import rows as R
@@ -26,7 +26,7 @@ def lines(spark, sf):
 
 
 def measures(spark, sf):
-    return clean(lines(spark, sf).select(*FEATURES))
+    return spread(clean(lines(spark, sf).select(*FEATURES)))
 
 
 # -- row metrics ---------------------------------------------------------------------------------
@@ -106,8 +106,7 @@ def flat(bins):
 
 
 def all_bins(spark, sf, attrs=FEATURES):
-    df = measures(spark, sf)
-    return B.bin_quality(df, B.fit_boundaries(df, attrs, N_BINS), FEATURES)
+    return B.fit_bins(measures(spark, sf), attrs, N_BINS, FEATURES)
 
 
 @query("quantile_boundaries", f"{LI}, {grid_sql(FEATURES, 100)} SELECT attr, CAST(unnest(range(len(bs))) AS BIGINT) AS position, round(unnest(bs), 6) AS boundary FROM g")
