@@ -99,7 +99,7 @@ def bin_quality(df: DataFrame, boundaries: dict[str, Sequence[float]], columns:
     for i, c in enumerate(map(quoted, numeric)):
         x = f"CAST({c} AS DOUBLE)"
         aggs += [f"count({x}) AS n{i}", f"count_if({x} < __s.{c}.lo OR {x} > __s.{c}.hi) AS o{i}",
-                 f"abs(skewness({x})) AS s{i}", f"abs(kurtosis({x})) AS k{i}"]
+                 f"IF(min({x}) < max({x}), abs(skewness({x})), NULL) AS s{i}", f"IF(min({x}) < max({x}), abs(kurtosis({x})), NULL) AS k{i}"]
     cells = attach(rows, fences, keys).groupBy(*keys).agg(*map(F.expr, aggs))
     both = same_keys(row_groups(binned, attrs, cols), cells, keys)
     m = range(len(numeric))

@@ -31,8 +31,9 @@ def _pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for a, b in combinations(cols, 2):
         x, y = f"CAST({quoted(a)} AS DOUBLE)", f"CAST({quoted(b)} AS DOUBLE)"
         both = f"FILTER (WHERE {quoted(a)} IS NOT NULL AND {quoted(b)} IS NOT NULL)"
-        cells.append(f"struct('{a}' AS column_a, '{b}' AS column_b, try_divide(covar_pop({x}, {y}), "
-                     f"(stddev_pop({x}) {both}) * (stddev_pop({y}) {both})) AS correlation)")
+        varied = " AND ".join(f"(min({v}) {both}) < (max({v}) {both})" for v in (x, y))
+        cells.append(f"struct('{a}' AS column_a, '{b}' AS column_b, IF({varied}, covar_pop({x}, {y}) / "
+                     f"((stddev_pop({x}) {both}) * (stddev_pop({y}) {both})), NULL) AS correlation)")
     return df.selectExpr(f"array({', '.join(cells)}) AS a").selectExpr("inline(a)")
 
 

@@ -23,6 +23,9 @@ from .scoring import ALPHA, BETA, DEFAULT_THRESHOLDS, DEFAULT_WEIGHTS, feature_s
 from .selection import Selection, select_features
 
 
+COPIES = 16
+
+
 @dataclass(frozen=True)
 class IndexParams:
     budget: int = 100
@@ -182,6 +185,10 @@ def compress(training: DataFrame, bins: Sequence[str], metrics: Sequence[str]) -
 
 def train_forests(vectors: DataFrame, bins: Sequence[str], metrics: Sequence[str], params: IndexParams, most_bins: int) -> PipelineModel:
     """One forest per metric, fitted side by side."""
+    # The bootstrap draws rows, whatever their weight: a heavy vector enters as several equal parts.
+    parts = F.expr(f"CAST(least(__w, {COPIES}) AS INT)")
+    vectors = vectors.withColumn("__k", parts).withColumn("__i", F.expr("explode(sequence(1, __k))")).withColumn(
+        "__w", F.col("__w") / F.col("__k"))
     assembler = VectorAssembler(inputCols=list(bins), outputCol="__features")
     data = assembler.transform(vectors).select("__features", "__w", *metrics).persist()
 

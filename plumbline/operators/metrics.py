@@ -20,6 +20,8 @@ NUMBER_TEXT = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][n
 MAD_SCALE = 0.6745
 MIN_FOR_OUTLIERS, MIN_FOR_SKEW, MIN_FOR_KURTOSIS = 4, 3, 4
 DAY_MICROS, DECAY_DAYS = 86_400_000_000.0, 30.0
+# Population deviation; exactly 0 for a constant column.
+SPREAD = "IF(min({c}) = max({c}), 0D, stddev_pop(CAST({c} AS DOUBLE)))"
 COMPOSITE_WEIGHTS = {"completeness": 0.5, "outlier_rate": 0.5}
 
 
@@ -104,8 +106,9 @@ def type_validity(df: DataFrame, expected_types: dict[str, str], strict: bool =
 
 
 def _mean_shape(df: DataFrame, columns, fn, least: int) -> Column:
+    # A constant column has no shape; merged partial moments may leave a rounding rest, so test for it.
     cols = numeric_columns(df, columns)
-    vals = [F.when(F.count(c) >= least, F.abs(fn(as_double(c)))) for c in cols]
+    vals = [F.when((F.count(c) >= least) & (F.min(c) < F.max(c)), F.abs(fn(as_double(c)))) for c in cols]
     return ratio(total(F.coalesce(v, F.lit(0.0)) for v in vals),
                  total(F.when(v.isNotNull(), 1).otherwise(0) for v in vals), 0.0)
 
@@ -147,8 +150,8 @@ def outlier_limits(df: DataFrame, columns: Sequence[str], method: str = "iqr", t
             out[c] = (q1 - threshold * (q3 - q1), q3 + threshold * (q3 - q1))
         return out
     if method == "zscore":
-        row = df.agg(*[f(as_double(c)).alias(f"{n}{i}") for i, c in enumerate(columns)
-                       for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        row = df.agg(*[F.expr(e.format(c=quoted(c))).alias(f"{n}{i}") for i, c in enumerate(columns)
+                       for n, e in (("m", "avg({c})"), ("s", SPREAD))]).first()
         centre = {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns) if row[f"m{i}"] is not None}
         scale = threshold
     elif method == "modified_zscore":
@@ -176,7 +179,7 @@ def _group_limits(df: DataFrame, keys: Sequence[str], cols: Sequence[str], metho
         return q.selectExpr(*by, *[f"struct({c}[0] - {t}D * ({c}[1] - {c}[0]) AS lo, {c}[1] + {t}D * ({c}[1] - {c}[0]) AS hi) AS {c}"
                                    for c in names])
     if method == "zscore":
-        mid = df.groupBy(*keys).agg(*[F.expr(f"struct(avg({c}) AS m, stddev_pop({c}) AS s)").alias(raw)
+        mid = df.groupBy(*keys).agg(*[F.expr(f"struct(avg({c}) AS m, {SPREAD.format(c=c)} AS s)").alias(raw)
                                       for c, raw in zip(names, cols)])
     else:
         med = grouped_quantiles(df, cols, (0.5,), keys)

@@ -50,8 +50,8 @@ def normalize(df: DataFrame, column: str, method: str = "minmax", name: str = "n
         q = fit_quantiles(df, [column], (0.25, 0.5, 0.75)).get(column)
         centre, spread, flat = (q[1], q[2] - q[0], 0.0) if q else (None, None, 0.0)
     elif method == "zscore":
-        centre, spread = df.agg(F.avg(c), F.stddev_samp(c)).first()
-        flat = 0.0
+        centre, spread, low, high = df.agg(F.avg(c), F.stddev_samp(c), F.min(c), F.max(c)).first()
+        spread, flat = (None if low == high else spread), 0.0
     elif method == "minmax":
         low, high = df.agg(F.min(c), F.max(c)).first()
         centre, spread, flat = low, None if low is None else high - low, 0.5
@@ -100,16 +100,16 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     for i, c in enumerate(cols):
         x = f"CAST({quoted(c)} AS DOUBLE)"
         aggs.append(f"struct('{c}' AS column, min({x}) AS min, max({x}) AS max, avg({x}) AS mean, stddev_samp({x}) AS std, "
-                    f"CAST(count({x}) AS DOUBLE) AS n, coalesce(skewness({x}), 0D) AS g1, coalesce(kurtosis({x}), 0D) AS g2, "
+                    f"CAST(count({x}) AS DOUBLE) AS n, IF(min({x}) < max({x}), skewness({x}), 0D) AS g1, IF(min({x}) < max({x}), kurtosis({x}), NULL) AS g2, "
                     f"CAST({medians[c]!r} AS DOUBLE) AS median) AS s{i}" if c in medians else
                     f"struct('{c}' AS column, min({x}) AS min, max({x}) AS max, avg({x}) AS mean, stddev_samp({x}) AS std, "
-                    f"CAST(count({x}) AS DOUBLE) AS n, 0D AS g1, 0D AS g2, CAST(NULL AS DOUBLE) AS median) AS s{i}")
+                    f"CAST(count({x}) AS DOUBLE) AS n, 0D AS g1, CAST(NULL AS DOUBLE) AS g2, CAST(NULL AS DOUBLE) AS median) AS s{i}")
     one = df.selectExpr(*aggs)
     long = one.selectExpr(f"inline(array({', '.join(f's{i}' for i in range(len(cols)))}))")
     return long.selectExpr(
         "column", "min", "max", "mean", "median", "std",
         "IF(n >= 3, g1 * sqrt(n * (n - 1)) / nullif(n - 2, 0), NULL) AS skewness",
-        "IF(n >= 4, (n - 1) / nullif((n - 2) * (n - 3), 0) * ((n + 1) * g2 + 6 * IF(g2 = 0 AND std = 0, 0, 1)), NULL) AS kurtosis")
+        "IF(n >= 4, coalesce((n - 1) / nullif((n - 2) * (n - 3), 0) * ((n + 1) * g2 + 6), 0D), NULL) AS kurtosis")
 
 
 def constant_columns(df: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -15,14 +15,11 @@ from .metrics import default_catalog
 BLOCK = 10_000
 
 
-def _window_outliers(c: str) -> str:
-    """Outliers among the (at most window-size) values collected in array c, by quartiles."""
-    def q(p):
-        h = f"(size({c}) - 1) * {p}D"
-        return (f"({c}[CAST(floor({h}) AS INT)] + ({h} - floor({h})) * ({c}[CAST(least(floor({h}) + 1, size({c}) - 1) AS INT)] "
-                f"- {c}[CAST(floor({h}) AS INT)]))")
-    q1, q3 = q(0.25), q(0.75)
-    return (f"IF(size({c}) >= 4, size(filter({c}, x -> x < {q1} - 1.5D * ({q3} - {q1}) OR x > {q3} + 1.5D * ({q3} - {q1}))), 0)")
+def _quartile(c: str, p: float) -> str:
+    """Interpolated quantile of a sorted array of at most window-size values."""
+    h = f"(size({c}) - 1) * {p}D"
+    low, high = f"{c}[CAST(floor({h}) AS INT)]", f"{c}[CAST(least(floor({h}) + 1, size({c}) - 1) AS INT)]"
+    return f"IF(size({c}) < 4, NULL, {low} + ({h} - floor({h})) * ({high} - {low}))"
 
 
 def window_quality(df: DataFrame, key: str, columns: Sequence[str], size: int = 100) -> DataFrame:
@@ -40,8 +37,12 @@ def window_quality(df: DataFrame, key: str, columns: Sequence[str], size: int =
     exprs += [F.count(c).over(frame).alias(f"__n{i}") for i, c in enumerate(cols)]
     exprs += [F.sort_array(F.collect_list(F.col(c).cast("double")).over(frame)).alias(f"__a{i}") for i, c in enumerate(numeric)]
     rows = placed.select(key, "__own", *exprs).filter("__own")
+    m = range(len(numeric))
+    rows = rows.selectExpr("*", *[f"{_quartile(f'__a{i}', p)} AS __{n}{i}" for i in m for n, p in (("q", 0.25), ("r", 0.75))])
+    rows = rows.selectExpr("*", *[f"__q{i} - 1.5D * (__r{i} - __q{i}) AS __lo{i}" for i in m],
+                           *[f"__r{i} + 1.5D * (__r{i} - __q{i}) AS __hi{i}" for i in m])
     filled = " + ".join(f"__n{i}" for i in range(len(cols)))
-    bad = " + ".join(_window_outliers(f"__a{i}") for i in range(len(numeric))) or "0"
+    bad = " + ".join(f"size(filter(__a{i}, x -> x < __lo{i} OR x > __hi{i}))" for i in m) or "0"
     return rows.selectExpr(quoted(key), f"CAST({filled} AS DOUBLE) / (__rows * {len(cols)}) AS completeness",
                            f"coalesce(try_divide(CAST({bad} AS DOUBLE), __rows * {len(numeric)}), 0D) AS outlier_rate")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from .views import FEATURES, VIEWS, load
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
 SETTINGS = I.IndexParams(budget=50, n_bins=20, trees=20, depth=10, weights=BIN_WEIGHTS, thresholds=LIMITS, size_weight="share")
-ROW_SETTINGS = replace(SETTINGS, target="row")
+ROW_SETTINGS = replace(SETTINGS, target="row", size_weight="rows", homogeneity="bin")
 ROW_ALERTS = {"row_completeness": {"warning": 0.9, "critical": 0.7}, "row_range_conformance": {"warning": 0.95, "critical": 0.8},
               "row_consistency": {"warning": 0.8, "critical": 0.5}}
 BIN_ALERTS = {"completeness": {"warning": 0.965, "critical": 0.955}, "outlier_rate": {"warning": 0.002, "critical": 0.004},
@@ -232,7 +233,6 @@ def _(spark, sf):
 @query("alerts_custom_thresholds")
 def _(spark, sf):
     path = shared_dir(spark, "thresholds")
-    import json
     spark.createDataFrame([(json.dumps(ROW_ALERTS),)], "value string").coalesce(1).write.text(path)
     return rounded(A.alerts(row_scores(spark, sf), "l_orderkey", T.load_thresholds(spark, path)).drop("ts"))
 
