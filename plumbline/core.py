@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
@@ -91,6 +91,12 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], name: str = "__
     return same_keys(df, stats.select(*keys, F.struct(*values).alias(name)), keys, "left")
 
 
+@functools.cache
+def _local_dir() -> str:
+    """One folder per process, for local sessions without a checkpoint folder."""
+    return tempfile.mkdtemp(prefix="plumbline-")
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """New folder below the cluster's shared checkpoint folder (a temporary one where none is set)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -98,7 +104,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         master = spark.conf.get("spark.master", "local")
         if not master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = os.environ.setdefault("PLUMBLINE_LOCAL_DIR", tempfile.mkdtemp(prefix="plumbline-"))
+        base = _local_dir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

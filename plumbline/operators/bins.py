@@ -39,12 +39,12 @@ def boundaries_frame(spark, boundaries: dict[str, list[float]]) -> DataFrame:
     return spark.createDataFrame(rows, "attr string, position int, boundary double")
 
 
-def assign_bins(df: DataFrame, boundaries: dict[str, Sequence[float]], null_bin: int | None = 0,
+def assign_bins(df: DataFrame, boundaries: dict[str, Sequence[float]], null_bin: int | str | None = 0,
                 prefix: str = "bin_") -> DataFrame:
     """Add one INT column per attribute: the number of inner boundaries <= value.
 
     Values below or above all boundaries fall into the first or last bin, NULL into `null_bin`
-    (None keeps it NULL). An attribute the table lacks gets bin 0.
+    (None keeps it NULL, 'own' adds a bin after the last one). An attribute the table lacks gets bin 0.
     """
     have = {a: bs for a, bs in boundaries.items() if a in df.columns}
     names = list(have)
@@ -63,7 +63,7 @@ def assign_bins(df: DataFrame, boundaries: dict[str, Sequence[float]], null_bin:
         else:
             value = f"CAST(__b{x[a]} AS INT)" if a in cut else f"IF({x[a]} IS NULL, NULL, 0)"
             if null_bin is not None:
-                value = f"coalesce({value}, {null_bin})"
+                value = f"coalesce({value}, {len(have[a]) - 1 if null_bin == 'own' else null_bin})"
         outs.append(f"{value} AS {quoted(prefix + a)}")
     return rows.selectExpr(*kept, *outs)
 

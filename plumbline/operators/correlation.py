@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 
-from ..core import numeric_columns, quoted, same_keys
+from ..core import numeric_columns, quoted, same_keys, spread
 from ..functions.quantiles import running_counts
 
 X_PARTS = 64
@@ -16,8 +16,9 @@ X_PARTS = 64
 def correlation(df: DataFrame, method: str = "pearson", columns: Sequence[str] | None = None) -> DataFrame:
     """(column_a, column_b, correlation) for every pair; NULL where a column is constant."""
     cols = numeric_columns(df, columns)
+    df = spread(df.select(*cols))
     if method == "pearson":
-        return _pearson(df, cols)
+        return _named(_pearson(_pairs(df, cols)), cols)
     if method == "spearman":
         return _named(_spearman(_pair_counts(df, cols)), cols)
     if method == "kendall":
@@ -25,25 +26,23 @@ def correlation(df: DataFrame, method: str = "pearson", columns: Sequence[str] |
     raise ValueError(f"unknown correlation {method!r}")
 
 
-def _pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    # corr() fails on a constant column, so it is put together from its parts.
-    cells = []
-    for a, b in combinations(cols, 2):
-        x, y = f"CAST({quoted(a)} AS DOUBLE)", f"CAST({quoted(b)} AS DOUBLE)"
-        both = f"FILTER (WHERE {quoted(a)} IS NOT NULL AND {quoted(b)} IS NOT NULL)"
-        varied = " AND ".join(f"(min({v}) {both}) < (max({v}) {both})" for v in (x, y))
-        cells.append(f"struct('{a}' AS column_a, '{b}' AS column_b, IF({varied}, covar_pop({x}, {y}) / "
-                     f"((stddev_pop({x}) {both}) * (stddev_pop({y}) {both})), NULL) AS correlation)")
-    return df.selectExpr(f"array({', '.join(cells)}) AS a").selectExpr("inline(a)")
+def _pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(pair, x, y) of the rows where both values are present."""
+    cells = ", ".join(f"struct({p} AS pair, CAST({quoted(a)} AS DOUBLE) AS x, CAST({quoted(b)} AS DOUBLE) AS y)"
+                      for p, (a, b) in enumerate(combinations(cols, 2)))
+    return df.selectExpr(f"inline(array({cells}))").filter("x IS NOT NULL AND y IS NOT NULL")
+
+
+def _pearson(pairs: DataFrame) -> DataFrame:
+    # corr() fails on a constant column, and a rounding rest may hide that a column is constant.
+    return pairs.sparkSession.sql(
+        "SELECT pair, IF(min(x) < max(x) AND min(y) < max(y), try_divide(covar_pop(x, y), stddev_pop(x) * stddev_pop(y)), NULL) "
+        "AS correlation FROM {p} GROUP BY pair", p=pairs)
 
 
 def _pair_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(pair, x, y, n): equal value pairs are combined before the shuffle."""
-    cells = ", ".join(f"struct({p} AS pair, CAST({quoted(a)} AS DOUBLE) AS x, CAST({quoted(b)} AS DOUBLE) AS y)"
-                      for p, (a, b) in enumerate(combinations(cols, 2)))
-    return df.sparkSession.sql(
-        f"SELECT pair, x, y, count(*) AS n FROM (SELECT inline(array({cells})) FROM {{t}}) "
-        "WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY pair, x, y", t=df)
+    return df.sparkSession.sql("SELECT pair, x, y, count(*) AS n FROM {p} GROUP BY pair, x, y", p=_pairs(df, cols))
 
 
 def _named(result: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -46,6 +46,11 @@ class IndexParams:
     merge_threshold: float = 0.01
     rounds: int = 5
     adjust: bool = True
+    null_bin: str = "first"          # 'own': rows without a value get a bin of their own
+
+    @property
+    def null_at(self) -> int | str:
+        return "own" if self.null_bin == "own" else 0
 
 
 @dataclass
@@ -121,7 +126,7 @@ class QualityIndex:
     info: dict = field(default_factory=dict)
 
     def bin_vectors(self, df: DataFrame) -> DataFrame:
-        return assign_bins(df, {a: self.boundaries[a] for a in self.features})
+        return assign_bins(df, {a: self.boundaries[a] for a in self.features}, self.params.null_at)
 
     def transform(self, df: DataFrame, with_bins: bool = False, distinct: bool = False) -> DataFrame:
         """Add pred_<metric> columns. Works on streams, without any shuffle.
@@ -159,14 +164,18 @@ class QualityIndex:
 
 
 def training_data(df: DataFrame, boundaries: dict[str, list[float]], quality: dict[str, list[dict[str, float]]],
-                  row_model: RowMetricsModel, target: str = "table", keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+                  row_model: RowMetricsModel, target: str = "table", keep: Sequence[str] = (),
+                  null_bin: int | str = 0) -> tuple[DataFrame, list[str]]:
     """Bin columns and targets of every row: the bins' mean quality, or the row's own metrics."""
     data = clean(df)
     if target == "row":
         scored = row_model.transform(data)
-        return assign_bins(scored, boundaries).select(*keep, *[f"bin_{a}" for a in boundaries], *ROW_METRICS), list(ROW_METRICS)
+        return assign_bins(scored, boundaries, null_bin).select(*keep, *[f"bin_{a}" for a in boundaries], *ROW_METRICS), list(ROW_METRICS)
     metrics = list(next(iter(quality.values()))[0])
-    rows = lookup_quality(assign_bins(data, boundaries), quality, metrics)
+    if null_bin == "own":
+        # A bin without quality of its own counts as the attribute's mean.
+        quality = {a: [*qs, {m: sum(q[m] for q in qs) / len(qs) for m in metrics}] for a, qs in quality.items()}
+    rows = lookup_quality(assign_bins(data, boundaries, null_bin), quality, metrics)
     return rows.select(*keep, *[f"bin_{a}" for a in boundaries], *metrics), metrics
 
 
@@ -272,7 +281,7 @@ def fit_index(df: DataFrame, features: Sequence[str] | None = None, params: Inde
     quality = quality_of(exact)
     quality = {a: quality[a] for a in names}
     rows, metrics = training_data(data.withColumn("__split", F.expr(_hash_split(list(key) or prep.columns, params.test_size, params.seed))),
-                                  boundaries, quality, prep.row_model, params.target, keep=["__split"])
+                                  boundaries, quality, prep.row_model, params.target, keep=["__split"], null_bin=params.null_at)
     bins = [f"bin_{a}" for a in names]
     if params.target == "table":
         # Targets follow from the bin vector, so both splits shrink to weighted vectors.
@@ -282,7 +291,7 @@ def fit_index(df: DataFrame, features: Sequence[str] | None = None, params: Inde
     else:
         table, weight = rows, None
         vectors = materialize(compress(rows.filter("__split = 'train'"), bins, metrics))
-    most = max(len(b) for b in boundaries.values())
+    most = max(len(b) for b in boundaries.values()) + 1
     model = train_forests(vectors, bins, metrics, params, most)
     index = QualityIndex(names, boundaries, quality, metrics, model, prep.row_model, params)
     index.fit_metrics = error_rows(model.transform(table), metrics, "__split", weight)
@@ -295,7 +304,8 @@ def evaluate(index: QualityIndex, df: DataFrame) -> DataFrame:
     """(metric, mse, r2, mae, n_samples) of the predictions against the targets of all rows of a table."""
     data = clean(df)
     n = data.count()
-    rows, metrics = training_data(data, index.boundaries, index.quality, index.row_model, index.params.target)
+    rows, metrics = training_data(data, index.boundaries, index.quality, index.row_model, index.params.target,
+                                  null_bin=index.params.null_at)
     scored = index.model.transform(rows).withColumn("split", F.lit("all"))
     out = [(m, mse, r2, mae, n) for _, m, mse, r2, mae in error_rows(scored, metrics)]
     return df.sparkSession.createDataFrame(out, "metric string, mse double, r2 double, mae double, n_samples bigint")

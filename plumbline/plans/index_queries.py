@@ -23,7 +23,7 @@ from .views import FEATURES, VIEWS, load
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
 SETTINGS = I.IndexParams(budget=50, n_bins=20, trees=20, depth=10, weights=BIN_WEIGHTS, thresholds=LIMITS, size_weight="share")
-ROW_SETTINGS = replace(SETTINGS, target="row", size_weight="rows", homogeneity="bin")
+ROW_SETTINGS = replace(SETTINGS, target="row", size_weight="rows", homogeneity="bin", null_bin="own")
 ROW_ALERTS = {"row_completeness": {"warning": 0.9, "critical": 0.7}, "row_range_conformance": {"warning": 0.95, "critical": 0.8},
               "row_consistency": {"warning": 0.8, "critical": 0.5}}
 BIN_ALERTS = {"completeness": {"warning": 0.965, "critical": 0.955}, "outlier_rate": {"warning": 0.002, "critical": 0.004},
@@ -266,7 +266,8 @@ def _select_list(view):
 @query("stream_alerts")
 def _(spark, sf):
     log, mark = shared_dir(spark, "stream-alerts"), shared_dir(spark, "stream-mark")
-    found = O.score_stream(line_stream(spark, sf), fitted(spark, sf, ROW_SETTINGS), "l_orderkey", ROW_ALERTS)
+    found = O.score_stream(line_stream(spark, sf), fitted(spark, sf, ROW_SETTINGS), "l_orderkey", ROW_ALERTS,
+                           partitions=spark.sparkContext.defaultParallelism)
     O.start_alert_log(found, log, mark).awaitTermination()
     return rounded(spark.read.schema(found.schema).parquet(log).drop("ts"))
 

@@ -25,9 +25,15 @@ def table_stream(spark: SparkSession, path: str, schema: T.StructType, files: st
     return reader.parquet(path)
 
 
-def score_stream(stream: DataFrame, index: QualityIndex, key: str, thresholds: dict | None = None) -> DataFrame:
-    """Alerts of a stream: row by row, without state."""
+def score_stream(stream: DataFrame, index: QualityIndex, key: str, thresholds: dict | None = None,
+                 partitions: int | None = None) -> DataFrame:
+    """Alerts of a stream: row by row, without state.
+
+    `partitions` spreads the rows of a source that hands out few large files.
+    """
     needed = [c for c in stream.columns if c in index.features or c == key]
+    if partitions:
+        stream = stream.select(*needed).repartition(partitions)
     return alerts(index.transform(stream.select(*needed)), key, thresholds)
 
 
