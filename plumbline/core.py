@@ -121,12 +121,15 @@ def settings(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give row-heavy work all cores when the input has fewer partitions than that.
+    """Give row-heavy work all cores when the input is too small to fill them with file splits.
 
-    A table read from many files is returned unchanged. Rows are placed by hash, so a repeated
-    task gets the same rows.
+    Larger tables are returned unchanged. Rows are placed by hash, so a repeated task gets the
+    same rows.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(cores, *df.columns) if 0 < files < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *df.columns) if 0 < size < cores * SPLIT_BYTES else df

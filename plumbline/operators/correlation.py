@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 
-from ..core import numeric_columns, quoted, same_keys, spread
+from ..core import materialize, numeric_columns, quoted, same_keys, spread
 from ..functions.quantiles import running_counts
 
 X_PARTS = 64
@@ -41,8 +41,11 @@ def _pearson(pairs: DataFrame) -> DataFrame:
 
 
 def _pair_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(pair, x, y, n): equal value pairs are combined before the shuffle."""
-    return df.sparkSession.sql("SELECT pair, x, y, count(*) AS n FROM {p} GROUP BY pair, x, y", p=_pairs(df, cols))
+    """(pair, x, y, n): equal value pairs are combined before the shuffle.
+
+    Ranks need the counts several times, so they are written once.
+    """
+    return materialize(df.sparkSession.sql("SELECT pair, x, y, count(*) AS n FROM {p} GROUP BY pair, x, y", p=_pairs(df, cols)))
 
 
 def _named(result: DataFrame, cols: Sequence[str]) -> DataFrame:
