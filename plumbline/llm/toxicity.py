@@ -28,6 +28,9 @@ from .common import held_out, sample_of, texts
 
 POSITIVES, UNLABELLED, BAGS, KEPT = 3_000, 9_000, 3, 4096
 BUCKET_BITS = 20
+REPEATS = 3            # times that a feature of one text counts at most
+START = 0.2           # part of the lift that a weight starts from
+MIN_LIFT, MIN_EVIDENCE = 5, 12      # what a feature must show to be used
 BEGINNINGS = (4, 5, 6)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PIECE = 1 << 20
@@ -54,7 +57,8 @@ def _letters() -> np.ndarray:
 
 
 def buckets(text: str) -> np.ndarray:
-    """Distinct hashed features of a text: its words, and the first bytes of longer words."""
+    """Sorted hashed features of a text, each as often as it occurs up to REPEATS: its words, and the first bytes of
+    longer words."""
     raw = text.lower().encode("utf-8", "surrogatepass")
     found = []
     for i in range(0, len(raw), _PIECE):
@@ -70,7 +74,30 @@ def buckets(text: str) -> np.ndarray:
             h = (total[e] - total[s]) * inverse[s]
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
             found.append((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+    if not found:
+        return np.zeros(0, np.int32)
+    out = np.sort(np.concatenate(found))
+    return out[np.concatenate([np.ones(min(len(out), REPEATS), bool), out[REPEATS:] != out[:-REPEATS]])]
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def without_copies(rows: list[np.ndarray], likeness: float = 0.6, draws: int = 64) -> list[np.ndarray]:
+    """Feature sets without those that mostly repeat an earlier one (by min-hashes), so that copies do not vote."""
+    rows = [x for x in rows if len(x)]
+    if not rows:
+        return rows
+    draw = np.random.default_rng(7).integers(1, 1 << 63, draws, dtype=np.uint64) | np.uint64(1)
+    at = np.concatenate([[0], np.cumsum([len(x) for x in rows])[:-1]])
+    all_ = np.concatenate(rows).astype(np.uint64) + np.uint64(1)
+    least = np.stack([np.minimum.reduceat((all_ * a) >> np.uint64(32), at) for a in draw], axis=1)
+    kept: list[int] = []
+    for i in range(len(rows)):
+        if not kept or (least[kept] == least[i]).mean(axis=1).max() < likeness:
+            kept.append(i)
+    return [rows[i] for i in kept]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -80,13 +107,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05,
         decay: float = 1e-4, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray, float]:
     """Features, their weights and the bias of one classifier trained on the non-negative risk (sigmoid loss)."""
+    positive, unlabelled = without_copies(positive), without_copies(unlabelled)
     size, n_p, n_u = 1 << BUCKET_BITS, max(1, len(positive)), max(1, len(unlabelled))
-    count = lambda rows: np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=size)
+    count = lambda rows: np.bincount(np.concatenate([*map(_distinct, rows), np.zeros(0, np.int32)]), minlength=size)
     in_p, in_u = count(positive), count(unlabelled)
     lift = np.log((in_p + 0.5) / (n_p + 1)) - np.log((in_u + 0.5) / (n_u + 1))
-    ok = np.flatnonzero((in_p >= max(3, 0.003 * n_p)) & (lift > np.log(3)))
-    # Evidence that a feature marks the positives: its lift, weighted by how many of them have it.
-    chosen = np.sort(ok[np.argsort(-lift[ok] * in_p[ok], kind="stable")[:kept]])
+    share, both = n_p / (n_p + n_u), np.maximum(in_p + in_u, 1)
+    # Likelihood-ratio statistic of a feature's split between the two sets.
+    evidence = 2 * (in_p * np.log(np.maximum(in_p, 1e-9) / (both * share)) + in_u * np.log(np.maximum(in_u, 1e-9) / (both * (1 - share))))
+    ok = np.flatnonzero((in_p >= 3) & (lift > np.log(MIN_LIFT)) & (evidence > MIN_EVIDENCE))
+    chosen = np.sort(ok[np.argsort(-evidence[ok], kind="stable")[:kept]])
     place = np.full(size, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
 
@@ -96,7 +126,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return r[c >= 0], c[c >= 0], len(rows)
 
     (pr, pc, pn), (ur, uc, un) = sparse(positive), sparse(unlabelled)
-    w, bias = lift[chosen].copy(), -3.0
+    w, bias = START * lift[chosen], -3.0
     state = [np.zeros(len(w) + 1), np.zeros(len(w) + 1)]
     for t in range(1, steps + 1):
         sp = _sigmoid(np.bincount(pr, w[pc], pn) + bias)
