@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, packing, quality_gam, quality_rules, simhash, toxicity
+from . import chat, licenses, packing, quality_gam, quality_rules, simhash, spotsigs, toxicity, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+
+
+@_query
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(read(spark, sf_dir, "pages")))
+
+
+@_query
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(read(spark, sf_dir, "documents"))
