@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, packing, quality_gam, quality_rules, simhash, spotsigs, toxicity, warc
+from . import chat, licenses, packing, quality_gam, quality_rules, simhash, spotsigs, toxicity, unigram, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_edited(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
