@@ -99,7 +99,10 @@ def keep(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = _with_score(base_counts(rows), ratios)
-    return rows.filter(~base_failed() & (F.col("score") >= threshold)).select("row.*")
+    # floor(rand()) is 0, but a filter is not pushed below a column like it; there it would split the text anew for
+    # every word.
+    judged = rows.select("row", (~base_failed() & (F.col("score") >= threshold)).alias("passed"), F.floor(F.rand(0)).alias("none"))
+    return judged.filter("passed and none = 0").select("row.*")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
