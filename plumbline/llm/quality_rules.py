@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import WORD, texts
 
 BUCKETS = 1 << 14
-THRESHOLD = -0.05
-SMOOTHING = 1.0
+THRESHOLD = -0.04
+PRIOR = 1000.0          # n-grams, spread like the corpus, that every bucket counts besides its own
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -56,10 +56,11 @@ def _grams(buckets: int) -> str:
             f"transform(sequence(0, size(ws) - 2), i -> cast(pmod(xxhash64(ws[i], ws[i + 1]), {buckets}) as int))))")
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
     """log p(trusted)/p(corpus) per bucket. `trusted` holds the doc_id of the trusted documents.
 
-    All documents are counted, partial sums per task before the shuffle.
+    All documents are counted, partial sums per task before the shuffle. The prior draws the ratio of a bucket with few
+    n-grams towards that of the whole corpus, so that a small corpus rejects only what it has much evidence against.
     """
     ids = trusted.select(F.col("doc_id").alias("t_id")).dropDuplicates()
     rows = texts(docs).join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("t_id"), "left")
@@ -72,8 +73,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
         n[r["b"]], g[r["b"]] = r["n"], r["g"]
     if not sum(g):
         return [0.0] * buckets
-    n_all, g_all = sum(n) + smoothing * buckets, sum(g) + smoothing * buckets
-    return [math.log((b + smoothing) / g_all) - math.log((a + smoothing) / n_all) for a, b in zip(n, g)]
+    share = sum(g) / sum(n)
+    return [math.log((b + prior * share) / (a + prior)) - math.log(share) for a, b in zip(n, g)]
 
 
 def _with_score(rows: DataFrame, ratios: list[float]) -> DataFrame:
