@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, written
 
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
@@ -87,6 +87,7 @@ def places(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, coverag
     hits = grams.join(F.broadcast(template_grams(spark, templates)), "h")
     votes = hits.groupBy("doc_id", "text_key", "tpl", "n_grams", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
         F.bit_or(F.expr("shiftleft(1L, t_pos)")).alias("mask"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    votes = written(votes, "votes")    # read twice below; few rows, as most k-grams hit nothing
     exact = [i for i, t in enumerate(templates) if t.phrase]
     phrase = votes.filter(F.col("tpl").isin(exact) & (F.bit_count("mask") == F.col("n_grams"))).select(
         "doc_id", "text_key", "tpl", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n_grams") + K - 1).alias("end"),
