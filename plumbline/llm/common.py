@@ -20,6 +20,12 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def words_of(pattern: str, text: str = "text") -> Column:
+    """Array of the matches of a pattern. The condition always holds; having it keeps the array a column of its own, as
+    the optimizer would else copy the expression into every filter and every lambda above, and split again per word."""
+    return F.expr(f"regexp_extract_all(if(spark_partition_id() >= 0, {text}, null), r'{pattern}', 0)")
+
+
 def crc_of_id(doc_id: Column | str) -> Column:
     """crc32 of the id written as text."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id)

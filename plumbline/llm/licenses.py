@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import texts, words_of, written
 
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
@@ -60,10 +60,6 @@ TEMPLATES = (
 )
 
 
-def _words(text: str) -> str:
-    return f"regexp_extract_all(lower({text}), r'{LICENSE_WORD}', 0)"
-
-
 def template_grams(spark: SparkSession, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """tpl, t_pos, h, n_grams: one row per k-gram of a template (at most 64 each, so votes fit into one long)."""
     rows = []
@@ -80,7 +76,7 @@ def places(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, coverag
            drift: int = DRIFT) -> DataFrame:
     """doc_id, text_key, tpl, start, end, coverage: the verified spans, in words from 0 (end is exclusive)."""
     spark = docs.sparkSession
-    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.expr(_words("text")).alias("ws"))
+    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), words_of(LICENSE_WORD, "lower(text)").alias("ws"))
     grams = rows.filter(f"size(ws) >= {K}").select("doc_id", "text_key", F.posexplode(F.expr(
         f"transform(sequence(0, size(ws) - {K}), i -> xxhash64(ws[i], ws[i + 1], ws[i + 2]))")).alias("pos", "h"))
     # The templates are constants of this module, so the broadcast side has a fixed size.
@@ -113,7 +109,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
         F.collect_set(F.when(F.col("base"), F.col("label"))).alias("b"), F.collect_set("label").alias("l"),
         F.max("coverage").alias("score"))
     per_doc = per_doc.select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"), "n_base", "first_word", "last_word", "b", "l", "score")
-    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.expr(f"size({_words('text')})").cast("long").alias("n_words"))
+    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words_of(LICENSE_WORD, "lower(text)")).cast("long").alias("n_words"))
     rows = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key")), "left")
     listed = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     return rows.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, texts
+from .common import WORD, texts, words_of
 
 BUCKETS = 1 << 14
 THRESHOLD = -0.04
@@ -26,14 +26,15 @@ SYMBOLS = "[#*$%&|<>]"
 
 def base_counts(rows: DataFrame) -> DataFrame:
     """doc_id, text, ws (words) and the five counts of every text."""
-    rows = rows.withColumn("ws", F.expr(f"regexp_extract_all(text, r'{WORD}', 0)"))
+    rows = rows.withColumn("ws", words_of(WORD))
     rows = rows.withColumn("n_words", F.size("ws").cast("long"))
     rows = rows.withColumn("w3", F.expr(
         "if(n_words < 3, cast(array() as array<bigint>), "
         "transform(sequence(0, cast(n_words as int) - 3), i -> xxhash64(ws[i], ws[i + 1], ws[i + 2])))"))
-    # Sorted (hash, place) pairs: a window is a repeat if a neighbour has the same hash.
+    # Sorted (hash, place) pairs: a window is a repeat if a neighbour has the same hash. The second condition never
+    # holds; it keeps the pairs a column of their own (see common.words_of).
     rows = rows.withColumn("pairs", F.expr(
-        "if(size(array_distinct(w3)) = size(w3), null, array_sort(transform(w3, (h, i) -> struct(h, i))))"))
+        "if(size(array_distinct(w3)) = size(w3) or spark_partition_id() < 0, null, array_sort(transform(w3, (h, i) -> struct(h, i))))"))
     covered = ("size(array_distinct(flatten(transform(filter(pairs, (p, k) -> p.h = get(pairs, k - 1).h or "
                "p.h = get(pairs, k + 1).h), p -> array(p.i, p.i + 1, p.i + 2)))))")
     lines = f"filter(split(text, '\\n'), l -> l rlike r'{WORD}')"
@@ -65,7 +66,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prio
     ids = trusted.select(F.col("doc_id").alias("t_id")).dropDuplicates()
     rows = texts(docs).join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("t_id"), "left")
     counts = (rows.select(F.col("t_id").isNotNull().cast("long").alias("good"),
-                          F.expr(f"regexp_extract_all(text, r'{WORD}', 0)").alias("ws"))
+                          words_of(WORD).alias("ws"))
               .select("good", F.explode(F.expr(_grams(buckets))).alias("b"))
               .groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("g")).collect())
     n, g = [0] * buckets, [0] * buckets
@@ -100,10 +101,7 @@ def keep(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = _with_score(base_counts(rows), ratios)
-    # floor(rand()) is 0, but a filter is not pushed below a column like it; there it would split the text anew for
-    # every word.
-    judged = rows.select("row", (~base_failed() & (F.col("score") >= threshold)).alias("passed"), F.floor(F.rand(0)).alias("none"))
-    return judged.filter("passed and none = 0").select("row.*")
+    return rows.filter(~base_failed() & (F.col("score") >= threshold)).select("row.*")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -34,7 +34,9 @@ LIKE = 0.8
 def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the sorted distinct 32-bit hashes of the anchored chains of a text column."""
     anchors = "|".join(dict.fromkeys(ANCHORS))
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    # The condition always holds; it keeps the words a column of their own (see common.words_of).
+    kept = F.when(F.spark_partition_id() >= 0, F.lower(text))
+    plain = F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " "))
     # Every anchor is glued to the word after it, so what is left between spaces are content words with their anchors.
     rows = rows.withColumn("_ws", F.split(F.regexp_replace(plain, rf"(?<![^ ])({anchors}) ", "$1_"), " "))
     tail = "".join(f", substring_index(_ws[i + {k}], '_', -1)" for k in range(1, CHAIN))
