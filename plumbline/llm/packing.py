@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from tokenizers import Tokenizer
 from .common import texts, written
 
 CAPACITY, END = 1024, 2
-CACHED = 400_000        # words whose ids a task remembers
+CACHED = 150_000        # words whose ids a task remembers
 SLICE = 200_000         # pieces of one length that one ranking group holds on average
 
 
@@ -58,9 +59,14 @@ class Encoder:
         byte, special = _byte_of(), {t["content"] for t in spec["added_tokens"]}
         ranks = {bytes(byte[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.full, self.special, self.words = Tokenizer.from_file(path), sorted(special), {}
+        self.path, self.special, self.words = path, sorted(special), {}
         self.line = self.fast.encode_ordinary("\n")[0]
 
+    @functools.cached_property
+    def full(self) -> Tokenizer:
+        """Made only where a text holds a special token; it takes far more memory than the rest."""
+        return Tokenizer.from_file(self.path)
+
     def _learn(self, new: set[str]) -> bool:
         """Remember words; False if one of them is not set between single spaces."""
         if any(not w or w[0].isspace() or w[-1].isspace() for w in new):
@@ -96,19 +102,22 @@ def _encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit): the token pieces of every document."""
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "piece", "start", "length", "ids"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, mark = _encoder(path), np.array([end], dtype="<u4").tobytes()
         for p in parts:
-            for at in range(0, len(p), 512):
-                rows = []
-                for i, text in zip(p["doc_id"].iloc[at:at + 512], p["text"].iloc[at:at + 512]):
+            for at in range(0, len(p), 256):      # few texts at a time are turned into Python strings
+                some, rows = p.slice(at, 256), []
+                for i, text in zip(some["doc_id"].to_pylist(), some["text"].to_pylist()):
                     ids = encoder.ids(text or "") + mark
                     n = len(ids) // 4
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                     rows += [(i, k, a, b - a, ids[4 * a:4 * b]) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInPandas(
+    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(
         cut, "doc_id bigint, piece int, start bigint, length bigint, ids binary")
 
 
