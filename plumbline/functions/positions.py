@@ -19,14 +19,14 @@ def with_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
 
 
 def in_blocks(df: DataFrame, position: str, block: int, halo: int) -> DataFrame:
-    """Cut rows into blocks by position; rows near an edge are also copied into the neighbour block.
+    """Cut rows into blocks by position; rows near an edge are also copied into every block
+    that `halo` reaches.
 
     Adds __block and __own (false for a copy), so that a window of `halo` rows to either side can be
     computed block by block.
     """
     p = quoted(position)
-    blocks = (f"array_distinct(array(CAST(floor(({p} - {halo}) / {block}) AS BIGINT), CAST(floor({p} / {block}) AS BIGINT), "
-              f"CAST(floor(({p} + {halo}) / {block}) AS BIGINT)))")
+    blocks = f"sequence(CAST(floor(({p} - {halo}) / {block}) AS BIGINT), CAST(floor(({p} + {halo}) / {block}) AS BIGINT))"
     out = df.selectExpr("*", f"explode({blocks}) AS __block").filter("__block >= 0")
     return out.withColumn("__own", F.expr(f"__block = floor({p} / {block})"))
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..core import attach, quoted, same_keys
 
-SMALL_GROUP = 100_000     # up to this many values a group is no burden for one task
 PARTIALS = 512            # partial sketches per group, merged in a second step
 SLICES = 64               # ranking tasks per interval
 
@@ -44,28 +43,30 @@ def sketched(df: DataFrame, columns: Sequence[str], keys: Sequence[str], k: int)
         {f'GROUP BY {by}' if by else ''}""", rows=df)
 
 
-def _intervals(i: int, probs: Sequence[float], delta: float) -> str:
-    """SQL array [lo, hi, lo, hi, ..] with one interval per quantile; the whole range in a small group."""
-    def edge(p: float) -> str:
-        if p <= 0:
-            return f"lo{i}"
-        if p >= 1:
-            return f"hi{i}"
-        sketch = f"IF(n{i} > {SMALL_GROUP}, k{i}, NULL)"
-        return f"coalesce(kll_sketch_get_quantile_double({sketch}, {p:.17g}D), lo{i})"
-    cells = ", ".join(f"{edge(p - delta)}, {edge(p + delta)}" for p in probs)
-    whole = ", ".join(f"lo{i}, hi{i}" for _ in probs)
-    return f"IF(n{i} > {SMALL_GROUP}, array({cells}), array({whole}))"
+def _intervals(i: int, probs: Sequence[float], delta: float, whole: bool = False) -> str:
+    """SQL array [lo, hi, lo, hi, ..] with one interval per quantile: twice the sketch's error to either side.
+
+    That covers two ranks more than the error where n * delta > 2; of fewer values the whole range is the interval.
+    """
+    def edge(p: float, sign: int) -> str:
+        end, rank = f"lo{i}" if sign < 0 else f"hi{i}", p + sign * 2 * delta
+        if whole or not 0 < rank < 1:
+            return end
+        return f"IF(n{i} * {delta!r}D > 2, coalesce(kll_sketch_get_quantile_double(k{i}, {rank:.17g}D), {end}), {end})"
+    return "array(" + ", ".join(f"{edge(p, -1)}, {edge(p, 1)}" for p in probs) + ")"
 
 
 def _snap(v: str, edges: str, n: int) -> tuple[str, str]:
-    """SQL of the order-preserving snap of v to the intervals, and of the slice v falls into."""
+    """SQL of the order-preserving snap of v to the intervals, and of the slice v falls into.
+
+    Slices (part div SLICES) are odd inside an interval and even outside, where values collapse.
+    """
     value, part = [], []
     for j in range(n):
         lo, hi = f"{edges}[{2 * j}]", f"{edges}[{2 * j + 1}]"
         inner = f"coalesce(CAST(floor(({v} - {lo}) / nullif({hi} - {lo}, 0D) * {SLICES - 1}) AS INT), 0)"
-        value.append(f"WHEN {v} <= {lo} THEN {lo} WHEN {v} <= {hi} THEN {v}")
-        part.append(f"WHEN {v} <= {lo} THEN {2 * j * SLICES} WHEN {v} <= {hi} THEN {(2 * j + 1) * SLICES} + {inner}")
+        value.append(f"WHEN {v} < {lo} THEN {lo} WHEN {v} <= {hi} THEN {v}")
+        part.append(f"WHEN {v} < {lo} THEN {2 * j * SLICES} WHEN {v} <= {hi} THEN {(2 * j + 1) * SLICES} + {inner}")
     return (f"CASE {' '.join(value)} ELSE {edges}[{2 * n - 1}] END",
             f"CASE {' '.join(part)} ELSE {2 * n * SLICES} END")
 
@@ -74,31 +75,31 @@ def grouped_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
                       keys: Sequence[str], k: int = 1000) -> DataFrame:
     """Exact linear-interpolated quantiles: keys + one ARRAY<DOUBLE> per column (NULLs ignored).
 
-    Group sizes are looked at first. If all groups are small the built-in aggregate does it.
-    Otherwise two scans; between them only sketches and snapped counts are shuffled, so a group of
-    any size is never held by one task.
+    Two scans; between them only sketches and snapped counts are shuffled, so a group of any size is never held by one
+    task. Every wanted position is looked up: should one lie outside its interval, the intervals become whole ranges.
     """
     keys, probs, spark = list(keys), sorted(probs), df.sparkSession
     by = ", ".join(map(quoted, keys))
     n = range(len(columns))
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= SMALL_GROUP:
-        grid = "array(" + ", ".join(f"{p!r}D" for p in probs) + ")"
-        return df.groupBy(*keys).agg(*[F.expr(f"percentile(CAST({quoted(c)} AS DOUBLE), {grid})").alias(c) for c in columns])
     delta = rank_error(k)
-    fitted = spark.sql(
-        f"SELECT {by}, " + ", ".join(f"{_intervals(i, probs, delta)} AS e{i}" for i in n) + " FROM {s}",
-        s=sketched(df, columns, keys, k))
-    rows = attach(df.selectExpr(*map(quoted, keys), *[f"CAST({quoted(c)} AS DOUBLE) AS v{i}" for i, c in enumerate(columns)]),
-                  fitted, keys, "__e")
+    head = sketched(df, columns, keys, k)
     cells = ", ".join(f"struct({i} AS __c, v{i} AS __v, __e.e{i} AS e)" for i in n)
     value, part = _snap("__v", "e", len(probs))
-    counts = spark.sql(f"""
-        SELECT {by}, __c, __part, __v, count(*) AS __n FROM (
-          SELECT {by}, __c, {value} AS __v, {part} AS __part
-          FROM (SELECT {by}, inline(array({cells})) FROM {{rows}}) WHERE __v IS NOT NULL)
-        GROUP BY {by}, __c, __part, __v""", rows=rows)
-    ranked = _ranked(counts, [*keys, "__c"], probs)
+    for whole in (False, True):
+        fitted = spark.sql(f"SELECT {by}, " + ", ".join(f"{_intervals(i, probs, delta, whole)} AS e{i}" for i in n) + " FROM {s}", s=head)
+        rows = attach(df.selectExpr(*map(quoted, keys), *[f"CAST({quoted(c)} AS DOUBLE) AS v{i}" for i, c in enumerate(columns)]),
+                      fitted, keys, "__e")
+        counts = spark.sql(f"""
+            SELECT {by}, __c, __part, __v, count(*) AS __n FROM (
+              SELECT {by}, __c, {value} AS __v, {part} AS __part
+              FROM (SELECT {by}, inline(array({cells})) FROM {{rows}}) WHERE __v IS NOT NULL)
+            GROUP BY {by}, __c, __part, __v""", rows=rows)
+        ranked = _ranked(counts, [*keys, "__c"], probs).persist()
+        places = " OR ".join(f"(__below <= {x} AND {x} < __below + __n)" for p in probs
+                             for x in (f"floor((__size - 1) * {p:.17g}D)", f"least(floor((__size - 1) * {p:.17g}D) + 1, __size - 1)"))
+        if whole or ranked.filter(f"(__part div {SLICES}) % 2 = 0 AND ({places})").isEmpty():
+            break
+        ranked.unpersist()
     outs = []
     for i, c in enumerate(columns):
         parts = []
@@ -125,7 +126,7 @@ def _ranked(counts: DataFrame, group: Sequence[str], wanted: Sequence[float]) ->
                       for p in wanted)
     picked = same_keys(counts, totals.filter(hit).drop("t"), [*group, "__part"])
     return picked.selectExpr(
-        *map(quoted, group), "__v", "__n", "__size",
+        *map(quoted, group), "__part", "__v", "__n", "__size",
         f"__before + sum(__n) OVER (PARTITION BY {by}, __part ORDER BY __v ROWS UNBOUNDED PRECEDING) - __n AS __below")
 
 
@@ -137,7 +138,7 @@ def fit_quantiles(df: DataFrame, columns: Sequence[str],
     Any number of quantiles per column; `probs` may depend on the column's value count. The driver
     receives interval edges and answers only: a few numbers per wanted quantile.
     """
-    columns, spark = list(columns), df.sparkSession
+    columns = list(columns)
     if not columns:
         return {}
     k = k or (16000 if callable(probs) or len(probs) > 4 else 2000)
@@ -150,10 +151,10 @@ def fit_quantiles(df: DataFrame, columns: Sequence[str],
     try:
         edge_cols = lambda cols, want: [f"{_intervals(i, want[c], delta)} AS e{i}" for i, c in cols]
         both = [(i, c) for i, c in enumerate(columns)]
-        sizes = [f"n{i}" for i, _ in both]
+        sizes = [x for i, _ in both for x in (f"n{i}", f"lo{i}", f"hi{i}")]
         if callable(probs):
             ns = head.selectExpr(*sizes).first()
-            wanted = {c: sorted(wanted_of(int(ns[i]))) for i, c in both if ns[i]}
+            wanted = {c: sorted(wanted_of(int(ns[f"n{i}"]))) for i, c in both if ns[f"n{i}"]}
             live = [(i, c) for i, c in both if c in wanted]
             if not live:
                 return {}
@@ -168,13 +169,33 @@ def fit_quantiles(df: DataFrame, columns: Sequence[str],
         return {}
     names = [c for _, c in live]
     size = {c: int(ns[f"n{i}"]) for i, c in live}
-    if max(size.values()) <= SMALL_GROUP:
-        # Few values in all: the built-in aggregate holds them easily.
-        grids = {c: "array(" + ", ".join(f"{p!r}D" for p in wanted[c]) + ")" for c in names}
-        row = df.selectExpr(*[f"percentile(CAST({quoted(c)} AS DOUBLE), {grids[c]}) AS q{j}" for j, c in enumerate(names)]).first()
-        return {c: list(row[j]) for j, c in enumerate(names)}
-    # Odd cells are kept value by value, even cells collapse to their left edge.
-    edges = {c: _cells(edge_row[f"e{i}"], size[c] <= SMALL_GROUP) for i, c in live}
+    # Odd cells are kept value by value, even cells collapse to their left edge. A wanted position that turns up in an
+    # even cell was missed by its interval: that cell is kept too, and the values are counted again.
+    kept = {c: [list(x) for x in zip(edge_row[f"e{i}"][::2], edge_row[f"e{i}"][1::2])] for i, c in live}
+    ends = {c: (ns[f"lo{i}"], ns[f"hi{i}"]) for i, c in live}
+    while True:
+        edges = {c: _cells(kept[c]) for c in names}
+        got, missed = _look_up(df, names, edges, wanted, size)
+        if not missed:
+            break
+        for c, cell in missed:
+            around = [ends[c][0], *edges[c], ends[c][1]]
+            kept[c].append([around[cell], around[cell + 1]])
+    out = {}
+    for j, c in enumerate(names):
+        vals = []
+        for q, p in enumerate(wanted[c]):
+            h = (size[c] - 1) * p
+            a, b = got[(j, q, 0)], got[(j, q, 1)]
+            vals.append(a + (h - math.floor(h)) * (b - a))
+        out[c] = vals
+    return out
+
+
+def _look_up(df: DataFrame, names: Sequence[str], edges: dict[str, list[float]], wanted: dict[str, list[float]],
+             size: dict[str, int]) -> tuple[dict[tuple[int, int, int], float], set[tuple[str, int]]]:
+    """Values at the wanted positions, (column, quantile, lower or upper) -> value; and the collapsed cells some fell into."""
+    spark = df.sparkSession
     cut = Bucketizer(splitsArray=[[-math.inf, *edges[c], math.inf] for c in names],
                      inputCols=[f"v{j}" for j in range(len(names))],
                      outputCols=[f"b{j}" for j in range(len(names))], handleInvalid="keep")
@@ -206,24 +227,16 @@ def fit_quantiles(df: DataFrame, columns: Sequence[str],
     asked = (totals.join(F.broadcast(places), ["attr"]).filter("before <= pos AND pos < before + t")
              .groupBy("attr", "part", "before").agg(F.collect_list(F.struct("q", "side", "pos")).alias("asked")))
     ranked = counts.join(asked, ["attr", "part"]).selectExpr(
-        "attr", "v", "n", "asked",
+        "attr", "part", "v", "n", "asked",
         "before + sum(n) OVER (PARTITION BY attr, part ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto")
-    found = ranked.selectExpr("attr", "v", "inline(filter(asked, a -> a.pos < upto AND a.pos >= upto - n))")
-    got = {(r["attr"], r["q"], r["side"]): r["v"] for r in found.collect()}
-    out = {}
-    for j, c in enumerate(names):
-        vals = []
-        for q, p in enumerate(wanted[c]):
-            h = (size[c] - 1) * p
-            a, b = got[(j, q, 0)], got[(j, q, 1)]
-            vals.append(a + (h - math.floor(h)) * (b - a))
-        out[c] = vals
-    return out
+    found = ranked.selectExpr("attr", "part", "v", "inline(filter(asked, a -> a.pos < upto AND a.pos >= upto - n))").collect()
+    got = {(r["attr"], r["q"], r["side"]): r["v"] for r in found}
+    return got, {(names[r["attr"]], r["part"] // SLICES) for r in found if r["part"] // SLICES % 2 == 0}
 
 
-def _cells(flat: Sequence[float], small: bool) -> list[float]:
+def _cells(pairs: Sequence[Sequence[float]]) -> list[float]:
     """Merge overlapping intervals; returns lo, just-above-hi, lo, just-above-hi, .."""
-    pairs = [[flat[0], flat[-1]]] if small else sorted([list(x) for x in zip(flat[::2], flat[1::2])])
+    pairs = sorted(list(x) for x in pairs)
     merged: list[list[float]] = []
     for lo, hi in pairs:
         if merged and lo <= math.nextafter(merged[-1][1], math.inf):

@@ -71,11 +71,11 @@ def _with_spread(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     return first.selectExpr("*", f"{squares} AS __ss")
 
 
-def fit_row_metrics(df: DataFrame, columns: Sequence[str] | None = None, first_rows: int | None = 1000,
+def fit_row_metrics(df: DataFrame, columns: Sequence[str] | None = None, first_rows: int | None = None,
                     key: Sequence[str] = ()) -> RowMetricsModel:
     """Learn quartile ranges and the median of sd/|mean| per row.
 
-    The latter uses the `first_rows` rows in key order; all rows without a key or with None.
+    The latter uses all rows; with a key and `first_rows`, only so many rows in key order.
     """
     cols = list(columns or df.columns)
     numeric = numeric_columns(df, cols)

@@ -35,14 +35,14 @@ _indexes: dict = {}
 
 def prepared(spark, sf, params=SETTINGS):
     """Fits are shared by the queries of a session."""
-    at = (spark.sparkContext.applicationId, sf, params.target)
+    at = (spark.sparkContext.applicationId, sf, repr(params))
     if at not in _prepared:
         _prepared[at] = I.prepare(lines(spark, sf), FEATURES, params)
     return _prepared[at]
 
 
 def fitted(spark, sf, params=SETTINGS):
-    at = (spark.sparkContext.applicationId, sf, params.target)
+    at = (spark.sparkContext.applicationId, sf, repr(params))
     if at not in _indexes:
         _indexes[at] = I.fit_index(lines(spark, sf), FEATURES, params, KEY, prepared(spark, sf, params))
     return _indexes[at]
@@ -109,7 +109,7 @@ def _(spark, sf):
     return rounded(I.bin_occupancy(B.assign_bins(lines(spark, sf), bs), FEATURES))
 
 
-@query("training_roundtrip")
+@query("training_roundtrip", f"{LI}, {QUALITY}, {LOOKUP} SELECT l_orderkey, l_linenumber, l_partkey, {_bins_out}, {_metrics_out} FROM lk")
 def _(spark, sf):
     bs, quality = dictionary(spark, sf)
     path = shared_dir(spark, "training")
@@ -220,6 +220,15 @@ def _(spark, sf):
     return stats.select(F.explode("alerts_by_metric").alias("metric", "n"))
 
 
+@query("alert_log_given_scores", f"{LI}, {QUALITY}, {ALERTS} SELECT * FROM al")
+def _(spark, sf):
+    """Alerts on given scores, written as CSV with thresholds read from a file, and read back."""
+    limits, log = shared_dir(spark, "thresholds"), shared_dir(spark, "alerts")
+    spark.createDataFrame([(json.dumps(BIN_ALERTS),)], "value string").coalesce(1).write.text(limits)
+    T.write_alert_log(A.alerts(given_scores(spark, sf), "l_orderkey", T.load_thresholds(spark, limits)), log)
+    return rounded(T.read_alert_log(spark, log).drop("ts"))
+
+
 def row_scores(spark, sf):
     index = fitted(spark, sf, ROW_SETTINGS)
     return index.transform(spread(lines(spark, sf).select(*dict.fromkeys(["l_orderkey", *index.features]))))
@@ -337,7 +346,7 @@ def _(spark, sf):
 
 @query("eval_budget")
 def _(spark, sf):
-    return rounded(E.budget_sweep(lines(spark, sf), (10, 25, 50), ROW_SETTINGS, FEATURES, KEY, prepared(spark, sf, ROW_SETTINGS)))
+    return rounded(E.budget_sweep(lines(spark, sf), (10, 25, 50, 100, 200), ROW_SETTINGS, FEATURES, KEY, prepared(spark, sf, ROW_SETTINGS)))
 
 
 @query("eval_ablation")

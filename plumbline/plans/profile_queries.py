@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..core import shared_dir
 from ..operators import correlation as C
 from ..operators import drift as D
 from ..operators import profile as P
+from ..sources import storage as T
 from ..sources import tables as S
 from .metric_queries import CU, EV, LI, LI_COLS, OR
 from .registry import query, rounded
@@ -194,3 +196,20 @@ def _(spark, sf):
 @query("sample_rows")
 def _(spark, sf):
     return rounded(S.sample_rows(load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"], 2000, seed=42))
+
+
+@query("csv_scan", "SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS o_totalprice, o_orderpriority FROM orders")
+def _(spark, sf):
+    """The orders written as CSV and read back with a declared schema."""
+    df, path = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"), shared_dir(spark, "csv")
+    df.write.option("header", True).csv(path)
+    return rounded(S.read_csv(spark, path, df.schema))
+
+
+@query("result_sink", "SELECT o_orderpriority, count(*) AS n, round(max(o_totalprice), 6) AS largest FROM orders GROUP BY o_orderpriority")
+def _(spark, sf):
+    """A result written as JSON lines and read back."""
+    found = load(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("largest"))
+    path = shared_dir(spark, "results")
+    T.save_results(found, path)
+    return rounded(T.load_results(spark, path, found.schema))

@@ -63,6 +63,10 @@ def save_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
 
 
+def load_results(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def load_thresholds(spark: SparkSession, path: str) -> dict[str, dict[str, float]]:
     """JSON object metric -> {warning, critical}; a handful of settings."""
     row = spark.read.option("multiLine", True).json(path).first()
@@ -75,9 +79,10 @@ def write_alert_log(found: DataFrame, path: str, form: str = "csv") -> None:
     (writer.option("header", True).csv(path) if form == "csv" else writer.format(form).save(path))
 
 
-ALERT_SCHEMA = "ts timestamp, tuple_id bigint, metric string, predicted_value double, threshold double, severity string"
+ALERT_SCHEMA = "ts timestamp, tuple_id {key_type}, metric string, predicted_value double, threshold double, severity string"
 
 
-def read_alert_log(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:
-    reader = spark.read.schema(ALERT_SCHEMA)
+def read_alert_log(spark: SparkSession, path: str, form: str = "csv", key_type: str = "bigint") -> DataFrame:
+    """`key_type` is the SQL type of the key that the alerts were written with."""
+    reader = spark.read.schema(ALERT_SCHEMA.format(key_type=key_type))
     return reader.option("header", True).csv(path) if form == "csv" else reader.format(form).load(path)

@@ -19,9 +19,12 @@ def numbers(spark):
     return pdf, df
 
 
-@pytest.mark.parametrize("small", [100, 100_000])
-def test_fit_quantiles_exact_on_both_paths(numbers, monkeypatch, small):
-    monkeypatch.setattr(Q, "SMALL_GROUP", small)
+@pytest.mark.parametrize("error", [None, 0.0026])
+def test_fit_quantiles_exact_whatever_the_intervals(numbers, monkeypatch, error):
+    if error:
+        # Intervals that are mostly wrong: a sketch of few entries, with the allowance of a large one.
+        monkeypatch.setattr(Q, "rank_error", lambda k: error)
+        monkeypatch.setattr(Q, "sketched", lambda df, columns, keys, k, f=Q.sketched: f(df, columns, keys, 8))
     pdf, df = numbers
     got = Q.fit_quantiles(df, ["u", "t", "s"], PROBS)
     for c in ("u", "t", "s"):
@@ -31,9 +34,11 @@ def test_fit_quantiles_exact_on_both_paths(numbers, monkeypatch, small):
         assert many[c] == pytest.approx(list(pdf[c].quantile([i / 20 for i in range(21)])), rel=1e-12, abs=1e-12)
 
 
-@pytest.mark.parametrize("small", [100, 100_000])
-def test_grouped_quantiles_exact_on_both_paths(numbers, monkeypatch, small):
-    monkeypatch.setattr(Q, "SMALL_GROUP", small)
+@pytest.mark.parametrize("error", [None, 0.0026])
+def test_grouped_quantiles_exact_whatever_the_intervals(numbers, monkeypatch, error):
+    if error:
+        monkeypatch.setattr(Q, "rank_error", lambda k: error)
+        monkeypatch.setattr(Q, "sketched", lambda df, columns, keys, k, f=Q.sketched: f(df, columns, keys, 8))
     pdf, df = numbers
     got = {r["g"]: r for r in Q.grouped_quantiles(df, ["u", "t", "s"], (0.25, 0.5, 0.75), ["g"]).collect()}
     for g, part in pdf.groupby("g"):
@@ -61,3 +66,13 @@ def test_positions(spark):
     df = spark.range(1000, 3000, 2).repartition(4)
     rows = with_position(df, "id").collect()
     assert all(r["position"] == (r["id"] - 1000) // 2 for r in rows)
+
+
+def test_blocks_reach_as_far_as_the_halo(spark):
+    from plumbline.functions.positions import in_blocks
+    rows = in_blocks(spark.range(100).withColumnRenamed("id", "position"), "position", 10, 25).collect()
+    at = {}
+    for r in rows:
+        at.setdefault(r["__block"], set()).add(r["position"])
+    for b in range(10):
+        assert at[b] >= {p for p in range(100) if 10 * b - 25 <= p <= 10 * b + 9 + 25}
