@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..core import clean, numeric_columns, quoted
+from ..core import clean, materialize, numeric_columns, quoted, same_keys
 from ..functions.quantiles import sketched
 from .bins import (BIN_METRICS, assign_bins, bin_quality, by_bin, fit_boundaries, row_groups,
                    unpivot_quality)
@@ -134,8 +134,8 @@ def merge_history(df: DataFrame, boundaries: dict[str, list[float]], columns: Se
     """The whole merge history of every attribute as rows; step 0 holds the initial bins.
 
     `target='table'` measures a bin with the configuration-free metrics, `'row'` with the means of
-    the row metrics. Quartiles of merged bins come from at most 512 cells per column: exact where a
-    column has no more distinct values than that, interpolated within a cell otherwise.
+    the row metrics. Every quartile is exact: columns with few values are counted value by value, for
+    the others `range_outliers` looks up all unions of neighbouring bins beforehand.
     """
     df = clean(df)
     cols = list(columns or df.columns)
@@ -154,7 +154,7 @@ def merge_history(df: DataFrame, boundaries: dict[str, list[float]], columns: Se
     parts = [head]
     names = list(BIN_METRICS) if target == "table" else list(ROW_METRICS)
     if target == "table":
-        cells = cell_edges(df, numeric)
+        cells, wide = cell_edges(df, numeric)
         moments = df.agg(*[f(F.col(c).cast("double")).alias(f"{p}{i}") for i, c in enumerate(numeric)
                            for p, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         scale = {c: (moments[f"m{i}"] or 0.0, moments[f"s{i}"] or 1.0) for i, c in enumerate(numeric)}
@@ -162,22 +162,34 @@ def merge_history(df: DataFrame, boundaries: dict[str, list[float]], columns: Se
         parts.append(groups.select("attr", "bin_id", F.lit(-2).alias("col"), F.lit(-2).alias("cell"), F.col("distinct_rows").alias("n"),
                                    F.col("filled").cast("double").alias("low"), *[none.cast("double").alias(c) for c in ("high", "z1", "z2", "z3", "z4")],
                                    none.cast("array<double>").alias("rowq")))
-        parts.append(_sketch_frame(df, boundaries, numeric, cells, scale).withColumn("rowq", none.cast("array<double>")))
+        # Moments need no cells, so a wide column has a single one here.
+        flat = {c: [0.0, 0.0] if c in wide else cells[c] for c in cells}
+        parts.append(_sketch_frame(df, boundaries, numeric, flat, scale).withColumn("rowq", none.cast("array<double>")))
+        if wide:
+            found = range_outliers(df, boundaries, {c: cells[c] for c in wide})
+            at = {c: i for i, c in enumerate(numeric)}
+            places = "map(" + ", ".join(f"'{c}', {at[c]}D" for c in wide) + ")[col]"
+            parts.append(found.select("attr", F.col("first").alias("bin_id"), F.lit(-3).alias("col"), F.col("last").alias("cell"), F.col("outliers").alias("n"),
+                                      F.expr(places).alias("low"), *[none.cast("double").alias(c) for c in ("high", "z1", "z2", "z3", "z4")],
+                                      none.cast("array<double>").alias("rowq")))
     table = parts[0]
     for p in parts[1:]:
         table = table.unionByName(p)
     w = weights or {m: 1.0 / len(names) for m in names}
     n_cols, n_num = len(cols), len(numeric)
+    looked_up = {numeric.index(c) for c in wide} if target == "table" else set()
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _solve(pdf, names, w, size_weight, n_cols, n_num)
+        return _solve(pdf, names, w, size_weight, n_cols, n_num, looked_up)
 
     # One group per attribute; its rows are sums per (bin, column, cell), never table rows.
     return table.groupBy("attr").applyInPandas(solve, HISTORY_SCHEMA)
 
 
-def cell_edges(df: DataFrame, numeric: Sequence[str], cells: int = CELLS) -> dict[str, list[float]]:
-    """Cell boundaries per column: one cell per value if there are few values, else equal-frequency cells."""
+def cell_edges(df: DataFrame, numeric: Sequence[str], cells: int = CELLS) -> tuple[dict[str, list[float]], list[str]]:
+    """Cell boundaries per column, and the wide columns: one cell per value if there are few values, else
+    equal-frequency cells.
+    """
     probs = [i / cells for i in range(cells + 1)]
     counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in numeric]).first() if numeric else {}
     few = [c for c in numeric if counts[c] <= 0.9 * cells]
@@ -197,7 +209,98 @@ def cell_edges(df: DataFrame, numeric: Sequence[str], cells: int = CELLS) -> dic
         for i, c in enumerate(many):
             if row[i]:
                 out[c] = sorted(set(row[i]))
-    return out
+    return out, [c for c in many if c in out]
+
+
+RANGE_KEYS = ["a", "col", "first", "last"]
+
+
+def range_outliers(df: DataFrame, boundaries: dict[str, list[float]], cells: dict[str, list[float]]) -> DataFrame:
+    """(attr, col, first, last, outliers): exact outliers of each column in every union of neighbouring bins.
+
+    The values of (bin, column) are counted once and written. Counts per cell tell in which cell every
+    wanted order statistic and every fence lies; only the values of these cells are then read. With few
+    values in a union there are no outliers and no row.
+    """
+    attrs, cols = list(boundaries), list(cells)
+    binned = assign_bins(df.select(*dict.fromkeys([*cols, *[a for a in attrs if a in df.columns]])), boundaries, null_bin=None)
+    celled = assign_bins(binned, cells, null_bin=None, prefix="__cell_")
+    bins = ", ".join(f"struct({i} AS a, {quoted('bin_' + a)} AS bin_id)" for i, a in enumerate(attrs))
+    values = ", ".join(f"struct({i} AS col, {quoted('__cell_' + c)} AS cell, CAST({quoted(c)} AS DOUBLE) AS v)" for i, c in enumerate(cols))
+    flat = celled.selectExpr(f"inline(array({values}))", f"array({bins}) AS __bins").filter("cell IS NOT NULL")
+    flat = flat.selectExpr("col", "cell", "v", "inline(__bins)").filter("bin_id IS NOT NULL")
+    counts = materialize(flat.groupBy("a", "bin_id", "col", "cell", "v").agg(F.count(F.lit(1)).alias("n")))
+    hist = materialize(counts.groupBy("a", "bin_id", "col", "cell").agg(F.sum("n").alias("n")))
+    edges = [cells[c] for c in cols]
+
+    wanted = materialize(hist.groupBy("a", "col").applyInPandas(
+        _wanted, "a int, col int, first int, last int, p double, cell int, k1 bigint, k2 bigint"))
+    rows = _in_cells(counts, wanted)
+    order = W.partitionBy(*RANGE_KEYS, "p", "cell").orderBy("v")     # one cell of one union; equal values are peers
+    ranked = rows.withColumn("upto", F.sum("n").over(order))
+    quarts = ranked.groupBy(*RANGE_KEYS, "p").agg(F.expr("min(IF(k1 >= 0 AND upto > k1, v, NULL)) AS v1"),
+                                                   F.expr("min(IF(k2 >= 0 AND upto > k2, v, NULL)) AS v2"))
+
+    def fences(h: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        return _fences(h, q, edges)
+
+    limits = materialize(hist.groupBy("a", "col").cogroup(quarts.groupBy("a", "col")).applyInPandas(
+        fences, "a int, col int, first int, last int, whole bigint, lo double, hi double, cells array<int>"))
+    parts = _in_cells(counts, limits.withColumn("cell", F.explode("cells"))).filter("v < lo OR v > hi")
+    found = limits.select(*RANGE_KEYS, F.col("whole").alias("n")).unionByName(parts.select(*RANGE_KEYS, "n"))
+    names = lambda xs, i: "array(" + ", ".join(f"'{x}'" for x in xs) + f")[{i}]"
+    return found.groupBy(*RANGE_KEYS).agg(F.sum("n").alias("outliers")).selectExpr(
+        f"{names(attrs, 'a')} AS attr", f"{names(cols, 'col')} AS col", "first", "last", "outliers")
+
+
+def _in_cells(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The counted values in the wanted cell of every union of bins."""
+    return same_keys(counts, wanted, ["a", "col", "cell"]).filter("bin_id BETWEEN first AND last")
+
+
+def _per_bin(hist: pd.DataFrame) -> np.ndarray:
+    """Rows per cell (columns) in the bins before bin i (rows)."""
+    per = np.zeros((hist["bin_id"].max() + 2, hist["cell"].max() + 1), dtype=np.int64)
+    np.add.at(per, (hist["bin_id"].to_numpy() + 1, hist["cell"].to_numpy()), hist["n"].to_numpy())
+    return np.cumsum(per, axis=0)
+
+
+def _wanted(hist: pd.DataFrame) -> pd.DataFrame:
+    """Cell and place within it of both neighbours of each quartile; -1: not in this cell."""
+    before, out = _per_bin(hist), []
+    for first in range(len(before) - 1):
+        for last in range(first, len(before) - 1):
+            upto = np.cumsum(before[last + 1] - before[first])
+            n = int(upto[-1])
+            if n < MIN_FOR_OUTLIERS:
+                continue
+            for p in (0.25, 0.75):
+                k = int(np.floor((n - 1) * p))
+                c1, c2 = (int(np.searchsorted(upto, x, side="right")) for x in (k, k + 1))
+                k1, k2 = (x - (int(upto[c - 1]) if c else 0) for x, c in ((k, c1), (k + 1, c2)))
+                out += [(first, last, p, c1, k1, k2)] if c1 == c2 else [(first, last, p, c1, k1, -1), (first, last, p, c2, -1, k2)]
+    found = pd.DataFrame(out, columns=["first", "last", "p", "cell", "k1", "k2"])
+    return found.assign(a=hist["a"].iloc[0], col=hist["col"].iloc[0])[["a", "col", *found.columns]]
+
+
+def _fences(hist: pd.DataFrame, quarts: pd.DataFrame, edges: Sequence[Sequence[float]]) -> pd.DataFrame:
+    """Fences of every union, the rows in cells wholly outside, and the cells the fences cut."""
+    before, out, near = _per_bin(hist), [], {}
+    a, col = int(hist["a"].iloc[0]), int(hist["col"].iloc[0])
+    inner = np.asarray(edges[col][1:-1], float)
+    for r in quarts.itertuples():
+        near[r.first, r.last, r.p] = (r.v1, r.v2)
+    for first, last in dict.fromkeys((f, l) for f, l, _ in near):
+        per = before[last + 1] - before[first]
+        n, q = int(per.sum()), []
+        for p in (0.25, 0.75):
+            v1, v2 = near[first, last, p]
+            h = (n - 1) * p
+            q.append(v1 + (h - np.floor(h)) * (v2 - v1))
+        lo, hi = q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])
+        low, high = (int(np.searchsorted(inner, x, side="right")) for x in (lo, hi))
+        out.append((a, col, first, last, int(per[:low].sum() + per[high + 1:].sum()), lo, hi, sorted({low, high})))
+    return pd.DataFrame(out, columns=["a", "col", "first", "last", "whole", "lo", "hi", "cells"])
 
 
 class _Sums:
@@ -228,11 +331,8 @@ def _add_cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _order_stat(m: np.ndarray, k: int) -> float:
-    """k-th smallest value (from 0), spread evenly between a cell's lowest and highest value."""
-    upto = np.cumsum(m[:, 1])
-    i = int(np.searchsorted(upto, k, side="right"))
-    n, low, high = m[i, 1], m[i, 2], m[i, 3]
-    return low if n <= 1 or low == high else low + (high - low) * (k - (upto[i] - n)) / (n - 1)
+    """k-th smallest value (from 0); every cell holds one value."""
+    return m[int(np.searchsorted(np.cumsum(m[:, 1]), k, side="right")), 2]
 
 
 def _quartile(m: np.ndarray, p: float) -> float:
@@ -243,15 +343,11 @@ def _quartile(m: np.ndarray, p: float) -> float:
 
 
 def _outliers(m: np.ndarray) -> float:
-    n = m[:, 1].sum()
-    if n < MIN_FOR_OUTLIERS:
+    if m[:, 1].sum() < MIN_FOR_OUTLIERS:
         return 0.0
     q1, q3 = _quartile(m, 0.25), _quartile(m, 0.75)
     lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-    width = np.where(m[:, 3] > m[:, 2], m[:, 3] - m[:, 2], 1.0)
-    below = np.where(m[:, 3] < lo, 1.0, np.where(m[:, 2] >= lo, 0.0, (lo - m[:, 2]) / width))
-    above = np.where(m[:, 2] > hi, 1.0, np.where(m[:, 3] <= hi, 0.0, (m[:, 3] - hi) / width))
-    return float(np.round(m[:, 1] * (below + above)).sum())
+    return float(m[(m[:, 2] < lo) | (m[:, 2] > hi), 1].sum())
 
 
 def _shapes(m: np.ndarray) -> tuple[float | None, float | None]:
@@ -265,22 +361,25 @@ def _shapes(m: np.ndarray) -> tuple[float | None, float | None]:
     return (abs(m3 / m2 ** 1.5) if n >= MIN_FOR_SKEW else None, abs(m4 / m2 ** 2 - 3) if n >= MIN_FOR_KURTOSIS else None)
 
 
-def _measure(s: _Sums, names: Sequence[str], n_cols: int, n_num: int) -> dict[str, float]:
+def _measure(s: _Sums, names: Sequence[str], n_cols: int, n_num: int, looked_up: dict[int, float]) -> dict[str, float]:
     if names[0] in ROW_METRICS:
         return {m: s.row_sums[2 * i] / s.rows for i, m in enumerate(ROW_METRICS)}
     shapes = [_shapes(m) for m in s.cell.values()]
     mean = lambda i: float(np.mean([x[i] for x in shapes if x[i] is not None] or [0.0]))
     completeness = s.filled / (s.rows * n_cols)
-    outliers = sum(_outliers(m) for m in s.cell.values()) / (s.rows * n_num) if n_num else 0.0
+    outliers = sum(looked_up[c] if c in looked_up else _outliers(m) for c, m in s.cell.items()) / (s.rows * n_num) if n_num else 0.0
     return {"completeness": completeness, "outlier_rate": outliers, "duplicate_rate": (s.rows - s.distinct) / s.rows,
             "distribution_skewness": mean(0), "distribution_kurtosis": mean(1),
             "overall_quality": 0.5 * completeness + 0.5 * (1 - outliers)}
 
 
-def _solve(pdf: pd.DataFrame, names, weights, size_weight, n_cols, n_num) -> pd.DataFrame:
+def _solve(pdf: pd.DataFrame, names, weights, size_weight, n_cols, n_num, looked_up=frozenset()) -> pd.DataFrame:
     """Merge history of one attribute from its sums per bin."""
     attr, sums = pdf["attr"].iloc[0], {}
-    for b, g in pdf.groupby("bin_id", sort=True):
+    ranges = pdf[pdf["col"] == -3]
+    outside = {(int(r.low), r.bin_id, r.cell): float(r.n) for r in ranges.itertuples()}
+    measured = lambda first, last, s: _measure(s, names, n_cols, n_num, {c: outside.get((c, first, last), 0.0) for c in looked_up})
+    for b, g in pdf[pdf["col"] > -3].groupby("bin_id", sort=True):
         head, dist, cells = g[g["col"] == -1].iloc[0], g[g["col"] == -2], g[g["col"] >= 0]
         per = {int(c): x.sort_values("cell")[["cell", "n", "low", "high", "z1", "z2", "z3", "z4"]].to_numpy(float)
                for c, x in cells.groupby("col")}
@@ -288,7 +387,7 @@ def _solve(pdf: pd.DataFrame, names, weights, size_weight, n_cols, n_num) -> pd.
         sums[int(b)] = _Sums(rows, int(dist["n"].iloc[0]) if len(dist) else rows, float(dist["low"].iloc[0]) if len(dist) else 0.0,
                              per, np.asarray(head["rowq"], float))
     total = sum(s.rows for s in sums.values())
-    live = [(b, b, s, _measure(s, names, n_cols, n_num)) for b, s in sorted(sums.items())]
+    live = [(b, b, s, measured(b, b, s)) for b, s in sorted(sums.items())]
     out = []
 
     def record(step, cost, item):
@@ -311,7 +410,7 @@ def _solve(pdf: pd.DataFrame, names, weights, size_weight, n_cols, n_num) -> pd.
         i = int(np.argmin(costs))           # the leftmost of equal costs
         step += 1
         s = live[i][2] + live[i + 1][2]
-        new = (live[i][0], live[i + 1][1], s, _measure(s, names, n_cols, n_num))
+        new = (live[i][0], live[i + 1][1], s, measured(live[i][0], live[i + 1][1], s))
         record(step, costs[i], new)
         live[i:i + 2] = [new]
         costs[i:i + 1] = []

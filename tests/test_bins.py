@@ -119,6 +119,28 @@ def test_cells_stay_close_on_many_values(spark):
             assert b.quality["distribution_kurtosis"] == pytest.approx(q["distribution_kurtosis"], rel=1e-6)
 
 
+def test_merged_bins_are_exact_on_many_values(spark):
+    """Every bin of the history, initial or merged, against its rows; one column has a hot value and nulls."""
+    rng = np.random.default_rng(11)
+    n = 5000
+    a, hot = rng.normal(0, 1, n), np.exp(rng.normal(0, 2, n)).round(3)
+    hot[::3], hot[1::50] = 2.5, np.nan
+    pdf = pd.DataFrame({"a": a, "b": a * 3 + np.exp(rng.normal(0, 2, n)), "c": hot})
+    df = spark.createDataFrame(pdf).selectExpr("a", "b", "nanvl(c, NULL) AS c").repartition(4)
+    bs = B.fit_boundaries(df, n_bins=6)
+    histories = Z.collect_history(Z.merge_history(df, bs), bs)
+    for x in "abc":
+        part = pdf[pdf[x].notna()]
+        at = place(part[x], bs[x])
+        for m in [*histories[x].initial, *[m for _, m in histories[x].merges]]:
+            rows, out = part[(at >= m.first) & (at <= m.last)], 0
+            for c in "abc":
+                v = rows[c].dropna()
+                q1, q3 = v.quantile(0.25), v.quantile(0.75)
+                out += int(((v < q1 - 1.5 * (q3 - q1)) | (v > q3 + 1.5 * (q3 - q1))).sum())
+            assert m.n == len(rows) and m.quality["outlier_rate"] == pytest.approx(out / rows.size, abs=1e-12), (x, m.first, m.last)
+
+
 def test_merge_cost_and_assessment(spark):
     rows = [("a", 0, 0.0, 1.0, 3, {"completeness": 0.9, "outlier_rate": 0.1}), ("a", 1, 1.0, 2.0, 3, {"completeness": 0.92, "outlier_rate": 0.08})]
     bins = spark.createDataFrame(rows, "attr string, bin_id int, lower double, upper double, n bigint, quality map<string,double>")
