@@ -98,12 +98,24 @@ def bin_occupancy(binned: DataFrame, features: Sequence[str], prefix: str = "bin
     return binned.selectExpr(f"inline(array({cells}))").groupBy("attr", "bin_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def category_bins(df: DataFrame, column: str, k: int = 100) -> DataFrame:
-    """(value, bin_id): the k most common values numbered from 1; all other values share bin 0."""
+def category_bins(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
+    """(value, bin_id): every value numbered from 1, the most common first, equal counts by value.
+
+    With `k` only the k most common get a bin; all other values share bin 0.
+    """
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "value").limit(k)
-    # The window sees the k rows just taken.
-    return top.select("value", F.row_number().over(W.orderBy(F.desc("n"), "value")).alias("bin_id"))
+    if k is not None:
+        top = counts.orderBy(F.desc("n"), "value").limit(k)
+        # The window sees the k rows just taken.
+        return top.select("value", F.row_number().over(W.orderBy(F.desc("n"), "value")).alias("bin_id"))
+    # Ranges of the order are numbered one by one and shifted by the sizes of the ranges before; written once, as
+    # both need the same ranges.
+    ranges = materialize(counts.repartitionByRange(F.desc("n"), F.asc("value")).withColumn("__part", F.spark_partition_id()))
+    sizes = ranges.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    # The window sees one row per range.
+    shift = sizes.select("__part", (F.sum("__size").over(W.orderBy("__part")) - F.col("__size")).alias("__shift"))
+    at = F.row_number().over(W.partitionBy("__part").orderBy(F.desc("n"), "value"))
+    return same_keys(ranges.withColumn("__at", at), shift, ["__part"]).select("value", (F.col("__shift") + F.col("__at")).alias("bin_id"))
 
 
 def assign_categories(df: DataFrame, column: str, mapping: DataFrame, name: str) -> DataFrame:

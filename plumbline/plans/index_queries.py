@@ -89,6 +89,13 @@ def _(spark, sf):
     return rounded(I.assign_categories(df, "o_orderpriority", I.category_bins(df, "o_orderpriority", 3), "bin_id"))
 
 
+@query("bin_vectors_categorical_all", f"{OR}, t AS (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS b FROM orders_q WHERE o_orderpriority IS NOT NULL GROUP BY 1) "
+       "SELECT o_orderkey, o_orderpriority, coalesce(b, 0) AS bin_id FROM orders_q LEFT JOIN t ON o_orderpriority = v")
+def _(spark, sf):
+    df = load(spark, sf, "orders_q").select("o_orderkey", "o_orderpriority")
+    return rounded(I.assign_categories(df, "o_orderpriority", I.category_bins(df, "o_orderpriority"), "bin_id"))
+
+
 @query("bin_quality_lookup", f"{LI}, {QUALITY}, {LOOKUP} SELECT l_orderkey, l_linenumber, l_partkey, {_metrics_out} FROM lk")
 def _(spark, sf):
     bs, quality = dictionary(spark, sf)

@@ -185,6 +185,17 @@ def test_categories(spark):
     assert sorted((r["v"] or "", r["bin"]) for r in rows) == [("", 0)] + [("a", 1)] * 3 + [("b", 2)] * 2 + [("c", 0)]
 
 
+def test_every_category_has_a_bin(spark):
+    values = [None] * 5 + [f"v{i:03}" for i in range(300) for _ in range(1 + i % 4)]
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(3)
+    order = sorted({v for v in values if v}, key=lambda v: (-values.count(v), v))
+    bins = I.category_bins(df, "v")
+    assert {r["value"]: r["bin_id"] for r in bins.collect()} == {v: i + 1 for i, v in enumerate(order)}
+    unseen = df.limit(0).union(spark.createDataFrame([("v000",), ("new",), (None,)], "v string"))
+    got = {r["v"]: r["bin"] for r in I.assign_categories(unseen, "v", bins, "bin").collect()}
+    assert got == {"v000": order.index("v000") + 1, "new": 0, None: 0}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b\n1,x\n,y\n3,\n")
     df = S.read_table(spark, str(tmp_path / "t.csv"), "a int, b string")
