@@ -10,7 +10,7 @@ from ..operators import drift as D
 from ..operators import profile as P
 from ..sources import storage as T
 from ..sources import tables as S
-from .metric_queries import CU, EV, LI, LI_COLS, OR
+from .metric_queries import CU, EV, LI, LI_COLS, LI_NUM, OR
 from .registry import query, rounded
 from .views import DRIFT_FROM, FEATURES, load
 
@@ -77,6 +77,17 @@ query("corr_kendall", f"{LI} " + " UNION ALL ".join(f"SELECT * FROM {_tau.format
     lambda spark, sf: rounded(C.correlation(load(spark, sf, "lineitem_q"), "kendall", RANK_COLS)))
 
 
+# The same over every numeric column. Kendall has no SQL: it would be quadratic in the distinct values.
+_pearson_all = " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS correlation FROM lineitem_q" for a, b in pairs(LI_NUM))
+query("corr_pearson_all", f"{LI} {_pearson_all}")(
+    lambda spark, sf: rounded(C.correlation(load(spark, sf, "lineitem_q"), "pearson")))
+_spearman_all = " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr(x, y), 6) AS correlation FROM {_ranks.format(a=a, b=b)}" for a, b in pairs(LI_NUM))
+query("corr_spearman_all", f"{LI} {_spearman_all}")(
+    lambda spark, sf: rounded(C.correlation(load(spark, sf, "lineitem_q"), "spearman")))
+query("corr_kendall_all")(
+    lambda spark, sf: rounded(C.correlation(load(spark, sf, "lineitem_q"), "kendall")))
+
+
 def _top_share(c):
     return f"SELECT '{c}' AS column, max(n) / sum(n) AS top_share FROM (SELECT {c}, CAST(count(*) AS DOUBLE) AS n FROM lineitem_q WHERE {c} IS NOT NULL GROUP BY 1)"
 
@@ -117,6 +128,12 @@ _pnum = " UNION ALL ".join(
     for c in FEATURES)
 query("profile_numeric", f"{LI} {_pnum}")(
     lambda spark, sf: rounded(P.profile_numeric(load(spark, sf, "lineitem_q"), FEATURES)))
+_pnum_all = " UNION ALL ".join(
+    f"SELECT '{c}' AS column, round(CAST(min({c}) AS DOUBLE), 6) AS min, round(CAST(max({c}) AS DOUBLE), 6) AS max, round(avg({c}), 6) AS mean, "
+    f"round(median({c}), 6) AS median, round(stddev_samp({c}), 6) AS std, round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis FROM lineitem_q"
+    for c in LI_NUM)
+query("profile_numeric_all", f"{LI} {_pnum_all}")(
+    lambda spark, sf: rounded(P.profile_numeric(load(spark, sf, "lineitem_q"))))
 _pcat = " UNION ALL ".join(
     f"SELECT * FROM (SELECT '{c}' AS column, {c} AS most_common, count(*) AS most_common_count, "
     f"round(100.0 * count(*) / (SELECT count(*) FROM lineitem_q), 6) AS most_common_percentage FROM lineitem_q WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY 3 DESC, 2 LIMIT 1)"
@@ -156,6 +173,19 @@ def _(spark, sf):
     return rounded(D.drift_chi2(ref, cur, columns=["event_type"]).select("column", "statistic", "dof"))
 
 
+def _chi2(c):
+    return (f"SELECT '{c}' AS \"column\", round(sum(power(c - r * sc / sr, 2) / (r * sc / sr)), 6) AS statistic, count(*) - 1 AS dof FROM "
+            f"(SELECT {c}, CAST(count(*) FILTER (WHERE ts < TIMESTAMP '{DRIFT_FROM}') AS DOUBLE) AS r, CAST(count(*) FILTER (WHERE ts >= TIMESTAMP '{DRIFT_FROM}') AS DOUBLE) AS c "
+            f"FROM events_q WHERE {c} IS NOT NULL GROUP BY 1), (SELECT CAST(count({c}) FILTER (WHERE ts < TIMESTAMP '{DRIFT_FROM}') AS DOUBLE) AS sr, "
+            f"CAST(count({c}) FILTER (WHERE ts >= TIMESTAMP '{DRIFT_FROM}') AS DOUBLE) AS sc FROM events_q)")
+
+
+@query("drift_chi2_all", f"{EV} {_chi2('event_type')} UNION ALL {_chi2('props')}")
+def _(spark, sf):
+    ref, cur = split_events(spark, sf)
+    return rounded(D.drift_chi2(ref, cur, columns=["event_type", "props"]).select("column", "statistic", "dof"))
+
+
 @query("drift_chi2_test")
 def _(spark, sf):
     ref, cur = split_events(spark, sf)

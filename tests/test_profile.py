@@ -2,12 +2,14 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import correlation as C
 from plumbline.operators import drift as D
 from plumbline.operators import profile as P
+from plumbline.plans.views import load
 
 
 def col(spark, values, kind="double"):
@@ -88,6 +90,23 @@ def test_correlations_against_brute_force(spark, mixed):
             assert value == pytest.approx(want, abs=1e-9), (method, a, b)
 
 
+def test_registered_kendall_on_every_numeric_column(spark, tmp_path):
+    from plumbline.plans import QUERIES
+    rng = np.random.default_rng(4)
+    n = 250
+    pdf = pd.DataFrame({c: rng.integers(1, 10 ** 6, n) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")}
+                       | {c: rng.normal(100, 30, n) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")})
+    pdf["l_extendedprice"] += pdf["l_quantity"]
+    base = spark.createDataFrame(pdf).selectExpr("*", "'A' AS l_returnflag", "'O' AS l_linestatus", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS l_shipdate")
+    base.repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    view = load(spark, str(tmp_path), "lineitem_q").toPandas()
+    got = {(r["column_a"], r["column_b"]): r["correlation"] for r in QUERIES["corr_kendall_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == 28 and any("l_extendedprice" in k for k in got)
+    for (a, b), value in got.items():
+        both = view[[a, b]].dropna()
+        assert value == pytest.approx(brute_tau(both[a].to_numpy(), both[b].to_numpy()), abs=1e-6), (a, b)
+
+
 def test_constant_column_has_no_correlation(spark):
     df = spark.range(100).select(F.lit(0.3).alias("a"), F.col("id").alias("b")).repartition(5)
     for method in ("pearson", "spearman", "kendall"):
