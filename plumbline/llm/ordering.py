@@ -1,0 +1,31 @@
+"""Row numbers in a sorted order, without sorting any group in one task."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..core import same_keys
+from .common import written
+
+_IN_PARTITION = (1 << 33) - 1     # monotonically_increasing_id keeps the place in the partition in its low 33 bits
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Adds the place (from 0) of every row among the rows of its group, in the given order; a null group is a group.
+
+    Rows are dealt by ranges of (group, order) and sorted inside them; the ranges, one row each per group, are summed up.
+    Rows equal in group and order are dealt to one task, so the order should tell rows apart. `df` is read twice, once for
+    the range cuts; write it before where it is expensive.
+    """
+    keys = [*[F.col(c).asc_nulls_first() for c in group], *order]
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns(
+        {"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION))})
+    dealt = written(dealt, "sorted")
+    ranges = dealt.groupBy("_range", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    over = f"(partition by {', '.join(f'`{c}`' for c in group) or 'true'} order by _range)"
+    ranges = ranges.withColumn("_start", F.expr(f"sum(_n) over {over} - _n - _first")).drop("_n", "_first")
+    placed = same_keys(dealt, ranges, ["_range", *group])
+    return placed.withColumn(name, F.col("_start") + F.col("_at")).drop("_range", "_at", "_start")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, packing, quality_gam, quality_rules, simhash, spotsigs, toxicity, unigram, warc
+from . import (chat, licenses, merkle, packing, quality_gam, quality_rules, resampling, setsketch, simhash, spotsigs, toxicity,
+               unigram, warc)
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +91,18 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@_query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.components(read(spark, sf_dir, "documents"))
