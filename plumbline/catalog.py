@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,40 @@ CATEGORIES = ("completeness", "outliers", "duplicates", "consistency", "constrai
               "distribution", "timeliness", "accuracy", "composite", "custom")
 
 
+@dataclass(frozen=True)
+class State:
+    """A metric as numbers of which those of a union follow from those of its parts.
+
+    `update` holds aggregates over rows, `merge` says how two of them combine where that is not their sum ('min',
+    'max'), and `finish` makes the metric of them, given a function from name to Column.
+    """
+
+    update: dict[str, Column]
+    finish: Callable[[Callable[[str], Column]], Column]
+    merge: dict[str, str] = field(default_factory=dict)
+
+    def direct(self) -> Column:
+        """The metric over the rows at hand, as one aggregate."""
+        return self.finish(self.update.__getitem__)
+
+
+@dataclass(frozen=True)
+class Distinct:
+    """A metric of the number of rows and of distinct values of some columns (NULLs are equal)."""
+
+    columns: Sequence[str]
+    finish: Callable[[Column, Column], Column]      # rows, distinct
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """A metric that compares values with another table: equal values are counted first (`__n`) and looked up once."""
+
+    columns: Sequence[str]
+    join: Callable[[DataFrame], DataFrame]
+    state: State
+
+
 @dataclass(frozen=True)
 class MetricSpec:
     """A metric is either one aggregate expression or a plan of its own.
@@ -21,6 +55,7 @@ class MetricSpec:
     `aggregate(df, **cfg)` gives an aggregate Column; such metrics share one pass over the table.
     `frame(df, keys, **cfg)` gives keys + `value`, for metrics that need more than one pass.
     A grouped-aggregate pandas UDF is an aggregate with `python=True` (it cannot share a pass).
+    `state(df, **cfg)` gives a State, Distinct or Lookup, with which the metric can be merged over bins.
     """
 
     name: str
@@ -33,6 +68,7 @@ class MetricSpec:
     python: bool = False
     derived: Callable[..., Column] | None = None   # from other metrics' columns of the same report
     needs: tuple[str, ...] = ()
+    state: Callable[..., State | Distinct | Lookup] | None = None
 
     @property
     def worst(self) -> float:
@@ -64,6 +100,12 @@ class Catalog:
         return self.register(MetricSpec(name, category, higher_is_better, description, requires_config,
                                         aggregate=aggregate, python=python))
 
+    def register_state(self, name: str, state: Callable[..., State], *, description: str = "", category: str = "custom",
+                       higher_is_better: bool = True, requires_config: bool = False) -> MetricSpec:
+        """Register a user's metric given as a function (df, **cfg) -> State; it can also be measured over merged bins."""
+        return self.register(MetricSpec(name, category, higher_is_better, description, requires_config,
+                                        aggregate=lambda df, **cfg: state(df, **cfg).direct(), state=state))
+
     def __getitem__(self, name: str) -> MetricSpec:
         try:
             return self._metrics[name]

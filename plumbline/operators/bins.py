@@ -9,6 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..catalog import Catalog
 from ..core import attach, clean, numeric_columns, quoted, same_keys, spread
 from ..functions.quantiles import fit_quantiles, grouped_quantiles
 from .metrics import MIN_FOR_KURTOSIS, MIN_FOR_OUTLIERS, MIN_FOR_SKEW
@@ -84,8 +85,12 @@ def row_groups(binned: DataFrame, attributes: Sequence[str], columns: Sequence[s
         F.sum("__n").alias("n"), F.count(F.lit(1)).alias("distinct_rows"), F.sum("__filled").alias("filled"))
 
 
-def bin_quality(df: DataFrame, boundaries: dict[str, Sequence[float]], columns: Sequence[str] | None = None) -> DataFrame:
-    """bins(attr, bin_id, lower, upper, n, quality MAP): exact metrics of every non-empty bin."""
+def bin_quality(df: DataFrame, boundaries: dict[str, Sequence[float]], columns: Sequence[str] | None = None,
+                configs: dict[str, dict] | None = None, catalog: Catalog | None = None) -> DataFrame:
+    """bins(attr, bin_id, lower, upper, n, quality MAP): exact metrics of every non-empty bin.
+
+    `configs` adds metrics of the catalog by name, with their configuration, over all columns of `df`.
+    """
     cols = list(columns or df.columns)
     numeric = numeric_columns(df, cols)
     attrs = list(boundaries)
@@ -111,7 +116,10 @@ def bin_quality(df: DataFrame, boundaries: dict[str, Sequence[float]], columns:
         "CAST(n - distinct_rows AS DOUBLE) / n AS duplicate_rate",
         f"{mean('s', MIN_FOR_SKEW)} AS distribution_skewness", f"{mean('k', MIN_FOR_KURTOSIS)} AS distribution_kurtosis")
     scored = scored.selectExpr("*", "0.5D * completeness + 0.5D * (1 - outlier_rate) AS overall_quality")
-    return with_bounds(scored, boundaries, BIN_METRICS)
+    if configs:
+        from .binned import bin_metrics
+        scored = scored.join(bin_metrics(clean(df), boundaries, configs, catalog), keys, "left")
+    return with_bounds(scored, boundaries, [*BIN_METRICS, *(configs or {})])
 
 
 def bin_means(df: DataFrame, boundaries: dict[str, Sequence[float]], metrics: Sequence[str]) -> DataFrame:
@@ -124,19 +132,21 @@ def bin_means(df: DataFrame, boundaries: dict[str, Sequence[float]], metrics: Se
 def with_bounds(scored: DataFrame, boundaries: dict[str, Sequence[float]], metrics: Sequence[str]) -> DataFrame:
     """Add lower and upper from the boundaries and pack the metric columns into a map."""
     grids = "map(" + ", ".join(f"'{a}', array({', '.join(f'{float(b)!r}D' for b in bs)})" for a, bs in boundaries.items()) + ")"
-    packed = "map(" + ", ".join(f"'{m}', CAST({m} AS DOUBLE)" for m in metrics) + ")"
+    packed = "map(" + ", ".join(f"'{m}', CAST({quoted(m)} AS DOUBLE)" for m in metrics) + ")"
     return scored.selectExpr("attr", "bin_id", f"{grids}[attr][bin_id] AS lower", f"{grids}[attr][bin_id + 1] AS upper",
                              "n", f"{packed} AS quality")
 
 
 def fit_bins(df: DataFrame, columns: Sequence[str] | None = None, n_bins: int = 20,
-             metric_columns: Sequence[str] | None = None) -> DataFrame:
+             metric_columns: Sequence[str] | None = None, configs: dict[str, dict] | None = None,
+             catalog: Catalog | None = None) -> DataFrame:
     """Boundaries and exact bin quality in one go, kept as a small local table.
 
     It has at most n_bins rows per attribute, so later steps read it instead of measuring again.
     """
-    data = spread(clean(df.select(*dict.fromkeys([*(metric_columns or df.columns), *(columns or [])]))))
-    bins = bin_quality(data, fit_boundaries(data, columns, n_bins), metric_columns)
+    wanted = df.columns if configs else dict.fromkeys([*(metric_columns or df.columns), *(columns or [])])
+    data = spread(clean(df.select(*wanted)))
+    bins = bin_quality(data, fit_boundaries(data, columns, n_bins), metric_columns, configs, catalog)
     return df.sparkSession.createDataFrame(bins.collect(), bins.schema)
 
 

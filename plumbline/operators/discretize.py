@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..catalog import Catalog
 from ..core import clean, materialize, numeric_columns, quoted, same_keys
 from ..functions.quantiles import sketched
+from .binned import union_metrics
 from .bins import (BIN_METRICS, assign_bins, bin_quality, by_bin, fit_boundaries, row_groups,
                    unpivot_quality)
 from .metrics import MIN_FOR_KURTOSIS, MIN_FOR_OUTLIERS, MIN_FOR_SKEW
@@ -130,9 +132,12 @@ HISTORY_SCHEMA = ("attr string, step int, first_bin int, last_bin int, cost doub
 
 def merge_history(df: DataFrame, boundaries: dict[str, list[float]], columns: Sequence[str] | None = None,
                   weights: dict[str, float] | None = None, size_weight: str = "rows",
-                  row_model: RowMetricsModel | None = None, target: str = "table") -> DataFrame:
+                  row_model: RowMetricsModel | None = None, target: str = "table", configs: dict[str, dict] | None = None,
+                  catalog: Catalog | None = None) -> DataFrame:
     """The whole merge history of every attribute as rows; step 0 holds the initial bins.
 
+    `configs` adds metrics of the catalog (those with a State), over all columns of `df`, to the quality of the bins.
+
     `target='table'` measures a bin with the configuration-free metrics, `'row'` with the means of
     the row metrics. Every quartile is exact: columns with few values are counted value by value, for
     the others `range_outliers` looks up all unions of neighbouring bins beforehand.
@@ -172,6 +177,14 @@ def merge_history(df: DataFrame, boundaries: dict[str, list[float]], columns: Se
             parts.append(found.select("attr", F.col("first").alias("bin_id"), F.lit(-3).alias("col"), F.col("last").alias("cell"), F.col("outliers").alias("n"),
                                       F.expr(places).alias("low"), *[none.cast("double").alias(c) for c in ("high", "z1", "z2", "z3", "z4")],
                                       none.cast("array<double>").alias("rowq")))
+    extra = list(configs or {})
+    if extra:
+        found = union_metrics(df, boundaries, configs, catalog)
+        places = "map(" + ", ".join(f"'{m}', {i}L" for i, m in enumerate(extra)) + ")[metric]"
+        parts.append(found.select("attr", F.col("first").alias("bin_id"), F.lit(-4).alias("col"), F.col("last").alias("cell"), F.expr(places).alias("n"),
+                                  F.col("value").alias("low"), *[none.cast("double").alias(c) for c in ("high", "z1", "z2", "z3", "z4")],
+                                  none.cast("array<double>").alias("rowq")))
+        names += extra
     table = parts[0]
     for p in parts[1:]:
         table = table.unionByName(p)
@@ -180,7 +193,7 @@ def merge_history(df: DataFrame, boundaries: dict[str, list[float]], columns: Se
     looked_up = {numeric.index(c) for c in wide} if target == "table" else set()
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _solve(pdf, names, w, size_weight, n_cols, n_num, looked_up)
+        return _solve(pdf, names, w, size_weight, n_cols, n_num, looked_up, extra)
 
     # One group per attribute; its rows are sums per (bin, column, cell), never table rows.
     return table.groupBy("attr").applyInPandas(solve, HISTORY_SCHEMA)
@@ -373,12 +386,19 @@ def _measure(s: _Sums, names: Sequence[str], n_cols: int, n_num: int, looked_up:
             "overall_quality": 0.5 * completeness + 0.5 * (1 - outliers)}
 
 
-def _solve(pdf: pd.DataFrame, names, weights, size_weight, n_cols, n_num, looked_up=frozenset()) -> pd.DataFrame:
+def _solve(pdf: pd.DataFrame, names, weights, size_weight, n_cols, n_num, looked_up=frozenset(), extra=()) -> pd.DataFrame:
     """Merge history of one attribute from its sums per bin."""
     attr, sums = pdf["attr"].iloc[0], {}
     ranges = pdf[pdf["col"] == -3]
     outside = {(int(r.low), r.bin_id, r.cell): float(r.n) for r in ranges.itertuples()}
-    measured = lambda first, last, s: _measure(s, names, n_cols, n_num, {c: outside.get((c, first, last), 0.0) for c in looked_up})
+    unions: dict[tuple[int, int], dict[str, float]] = {}
+    for r in pdf[pdf["col"] == -4].itertuples():
+        unions.setdefault((r.bin_id, r.cell), {})[extra[int(r.n)]] = float(r.low)
+
+    def measured(first, last, s):
+        own = _measure(s, names, n_cols, n_num, {c: outside.get((c, first, last), 0.0) for c in looked_up})
+        return own | unions.get((first, last), {})
+
     for b, g in pdf[pdf["col"] > -3].groupby("bin_id", sort=True):
         head, dist, cells = g[g["col"] == -1].iloc[0], g[g["col"] == -2], g[g["col"] >= 0]
         per = {int(c): x.sort_values("cell")[["cell", "n", "low", "high", "z1", "z2", "z3", "z4"]].to_numpy(float)
@@ -509,9 +529,10 @@ def edges_of(d: Discretization) -> list[float]:
     return [*[b.lower for b in d.bins], d.bins[-1].upper]
 
 
-def merged_bin_quality(df: DataFrame, found: Sequence[Discretization], columns: Sequence[str] | None = None) -> DataFrame:
+def merged_bin_quality(df: DataFrame, found: Sequence[Discretization], columns: Sequence[str] | None = None,
+                       configs: dict[str, dict] | None = None, catalog: Catalog | None = None) -> DataFrame:
     """Exact metrics of the merged bins, measured again on their rows."""
-    return bin_quality(df, {d.attr: edges_of(d) for d in found}, columns)
+    return bin_quality(df, {d.attr: edges_of(d) for d in found}, columns, configs, catalog)
 
 
 def threshold_sweep(spark, histories: Sequence[MergeHistory], thresholds: Sequence[float], homogeneity: str = "rows") -> DataFrame:

@@ -47,6 +47,7 @@ class IndexParams:
     rounds: int = 5
     adjust: bool = True
     null_bin: str = "first"          # 'own': rows without a value get a bin of their own
+    configs: dict[str, dict] = field(default_factory=dict)   # further catalog metrics of the bins, with their configuration
 
     @property
     def null_at(self) -> int | str:
@@ -65,10 +66,10 @@ class Prepared:
 
 def prepare(df: DataFrame, features: Sequence[str] | None = None, params: IndexParams = IndexParams()) -> Prepared:
     cols = list(features or numeric_columns(df))
-    data = spread(clean(df.select(*cols)))
+    data = spread(clean(df if params.configs else df.select(*cols)))
     model = fit_row_metrics(data, cols, first_rows=None)
     bs = fit_boundaries(data, cols, params.n_bins)
-    hist = merge_history(data, bs, cols, size_weight=params.size_weight, row_model=model, target=params.target)
+    hist = merge_history(data, bs, cols, size_weight=params.size_weight, row_model=model, target=params.target, configs=params.configs)
     return Prepared(cols, model, bs, collect_history(hist, bs))
 
 
@@ -287,9 +288,9 @@ def fit_index(df: DataFrame, features: Sequence[str] | None = None, params: Inde
         raise ValueError("no column fits the budget")
     names = [p.attr for p in picked]
     boundaries = {p.attr: edges_of(p.result) for p in picked}
-    data = spread(clean(df.select(*dict.fromkeys([*key, *prep.columns]))))
+    data = spread(clean(df if params.configs else df.select(*dict.fromkeys([*key, *prep.columns]))))
     exact = (bin_means(prep.row_model.transform(data), boundaries, ROW_METRICS) if params.target == "row"
-             else bin_quality(data.select(*prep.columns), boundaries, prep.columns))
+             else bin_quality(data, boundaries, prep.columns, params.configs))
     quality = quality_of(exact)
     quality = {a: quality[a] for a in names}
     rows, metrics = training_data(data.withColumn("__split", F.expr(_hash_split(list(key) or prep.columns, params.test_size, params.seed))),

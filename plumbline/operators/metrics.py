@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..catalog import Catalog, MetricSpec
+from ..catalog import Catalog, Distinct, Lookup, MetricSpec, State
 from ..core import (as_double, attach, clean, constant, count_if, is_numeric, numeric_columns, quoted, ratio,
                     same_keys, total)
 from ..functions.quantiles import fit_quantiles, grouped_quantiles
@@ -25,30 +25,58 @@ SPREAD = "IF(min({c}) = max({c}), 0D, stddev_pop(CAST({c} AS DOUBLE)))"
 COMPOSITE_WEIGHTS = {"completeness": 0.5, "outlier_rate": 0.5}
 
 
-# -- one aggregate expression each -------------------------------------------------------------
+# -- one aggregate expression each, as numbers that add up -------------------------------------
 
-def completeness(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+def _fixed(value: float) -> State:
+    return State({"value": constant(value)}, lambda s: s("value"), {"value": "max"})
+
+
+def _share(good: Column, seen: Column, default: float) -> State:
+    return State({"good": good, "seen": seen}, lambda s: ratio(s("good"), s("seen"), default))
+
+
+def completeness_state(df: DataFrame, columns: Sequence[str] | None = None) -> State:
     cols = list(columns or df.columns)
-    return ratio(total(F.count(c) for c in cols), F.count(F.lit(1)) * len(cols), 1.0)
+    return _share(total(F.count(c) for c in cols), F.count(F.lit(1)) * len(cols), 1.0)
+
+
+def completeness(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    return completeness_state(df, columns).direct()
+
+
+def column_completeness_state(df: DataFrame, column: str) -> State:
+    return _share(F.count(column), F.count(F.lit(1)), 1.0) if column in df.columns else _fixed(1.0)
 
 
 def column_completeness(df: DataFrame, column: str) -> Column:
-    if column not in df.columns:
-        return constant(1.0)
-    return ratio(F.count(column), F.count(F.lit(1)), 1.0)
+    return column_completeness_state(df, column).direct()
 
 
-def format_consistency(df: DataFrame, column: str, pattern: str | None = None) -> Column:
-    """Share of values starting with the pattern; without one, evenness of text lengths."""
+def format_state(df: DataFrame, column: str, pattern: str | None = None) -> State:
+    """Lengths of texts are whole numbers, so their sums give the exact variance."""
     if column not in df.columns:
-        return constant(1.0)
+        return _fixed(1.0)
     if pattern is not None:
         text = F.col(column).cast("string")
-        return ratio(count_if(text.rlike(f"^(?:{pattern})")), F.count(text), 1.0)
+        return _share(count_if(text.rlike(f"^(?:{pattern})")), F.count(text), 1.0)
     if not isinstance(df.schema[column].dataType, T.StringType):
-        return constant(1.0)
-    n = F.length(column)
-    return F.coalesce(1 / (1 + F.try_divide(F.stddev_samp(n), F.avg(n))), F.lit(1.0))
+        return _fixed(1.0)
+    n = F.length(column).cast("decimal(38,0)")
+
+    def finish(s):
+        count, mean = s("n").cast("double"), F.try_divide(s("sum").cast("double"), s("n").cast("double"))
+        off = F.greatest((s("n") * s("squares") - s("sum") * s("sum")).cast("double"), F.lit(0.0))
+        spread = F.sqrt(F.try_divide(off, F.when(count > 1, count * (count - 1))))
+        return F.coalesce(1 / (1 + F.try_divide(spread, mean)), F.lit(1.0))
+    return State({"n": F.count(column).cast("decimal(18,0)"), "sum": F.sum(n).cast("decimal(18,0)"), "squares": F.sum(n * n).cast("decimal(20,0)")}, finish)
+
+
+def format_consistency(df: DataFrame, column: str, pattern: str | None = None) -> Column:
+    """Share of values starting with the pattern; without one, evenness of text lengths."""
+    if column in df.columns and pattern is None and isinstance(df.schema[column].dataType, T.StringType):
+        n = F.length(column)
+        return F.coalesce(1 / (1 + F.try_divide(F.stddev_samp(n), F.avg(n))), F.lit(1.0))
+    return format_state(df, column, pattern).direct()
 
 
 def _check(df: DataFrame, constraint: dict) -> tuple[Column, Column] | None:
@@ -73,10 +101,14 @@ def _check(df: DataFrame, constraint: dict) -> tuple[Column, Column] | None:
     return count_if(c.isNotNull() & bad), F.count(c)
 
 
+def constraint_state(df: DataFrame, constraints: Sequence[dict]) -> State:
+    parts = [p for p in (_check(df, c) for c in constraints) if p is not None]
+    return _share(total(p[0] for p in parts), total(p[1] for p in parts), 0.0) if parts else _fixed(0.0)
+
+
 def constraint_violation(df: DataFrame, constraints: Sequence[dict]) -> Column:
     """Violations per check over the non-null values. A custom check is SQL text or Column -> Column."""
-    parts = [p for p in (_check(df, c) for c in constraints) if p is not None]
-    return ratio(total(p[0] for p in parts), total(p[1] for p in parts), 0.0)
+    return constraint_state(df, constraints).direct()
 
 
 def _valid(df: DataFrame, name: str, kind: str, strict: bool) -> Column:
@@ -98,11 +130,15 @@ def _valid(df: DataFrame, name: str, kind: str, strict: bool) -> Column:
     return c.try_cast(kind).isNotNull()
 
 
-def type_validity(df: DataFrame, expected_types: dict[str, str], strict: bool = False) -> Column:
-    """Types: int, float, str, bool, or any Spark type name (value must cast to it)."""
+def type_state(df: DataFrame, expected_types: dict[str, str], strict: bool = False) -> State:
     known = {c: t for c, t in expected_types.items() if c in df.columns}
     good = total(count_if(F.col(c).isNotNull() & _valid(df, c, t, strict)) for c, t in known.items())
-    return ratio(good, total(F.count(c) for c in known), 1.0)
+    return _share(good, total(F.count(c) for c in known), 1.0) if known else _fixed(1.0)
+
+
+def type_validity(df: DataFrame, expected_types: dict[str, str], strict: bool = False) -> Column:
+    """Types: int, float, str, bool, or any Spark type name (value must cast to it)."""
+    return type_state(df, expected_types, strict).direct()
 
 
 def _mean_shape(df: DataFrame, columns, fn, least: int) -> Column:
@@ -129,11 +165,16 @@ def _age_days(df: DataFrame, column: str, now: str | None) -> Column:
     return F.timestamp_diff("MICROSECOND", c.cast("timestamp"), at) / DAY_MICROS
 
 
+def freshness_state(df: DataFrame, timestamp_column: str, current_time: str | None = None) -> State:
+    if timestamp_column not in df.columns:
+        return _fixed(0.0)
+    age = _age_days(df, timestamp_column, current_time)
+    return State({"age": F.sum(age), "n": F.count(age)}, lambda s: F.coalesce(F.exp(-F.try_divide(s("age"), s("n")) / DECAY_DAYS), F.lit(0.0)))
+
+
 def freshness(df: DataFrame, timestamp_column: str, current_time: str | None = None) -> Column:
     """exp(-mean age in days / 30)."""
-    if timestamp_column not in df.columns:
-        return constant(0.0)
-    return F.coalesce(F.exp(-F.avg(_age_days(df, timestamp_column, current_time)) / DECAY_DAYS), F.lit(0.0))
+    return freshness_state(df, timestamp_column, current_time).direct()
 
 
 # -- more than one pass ------------------------------------------------------------------------
@@ -226,6 +267,16 @@ def duplicate_rate(df: DataFrame, keys: Sequence[str] = (), subset: Sequence[str
     return d.select(*keys, ratio(F.col("rows") - F.col("distinct"), F.col("rows"), 0.0).alias("value"))
 
 
+def duplicate_state(df: DataFrame, subset: Sequence[str] | None = None) -> Distinct:
+    return Distinct(list(subset or df.columns), lambda rows, distinct: ratio(rows - distinct, rows, 0.0))
+
+
+def key_state(df: DataFrame, key_columns: Sequence[str] = ()) -> Distinct | State:
+    if not key_columns or not set(key_columns) <= set(df.columns):
+        return _fixed(0.0 if key_columns else 1.0)
+    return Distinct(list(key_columns), lambda rows, distinct: ratio(distinct, rows, 1.0))
+
+
 def key_uniqueness(df: DataFrame, keys: Sequence[str] = (), key_columns: Sequence[str] = ()) -> DataFrame:
     if not key_columns or not set(key_columns) <= set(df.columns):
         fixed = 0.0 if key_columns else 1.0
@@ -251,6 +302,31 @@ def referential_integrity(df: DataFrame, keys: Sequence[str] = (), foreign_key:
     return hit.groupBy(*keys).agg(ratio(found, F.sum("__n"), 1.0).alias("value"))
 
 
+def reference_state(df: DataFrame, foreign_key: str = "", reference: DataFrame | None = None,
+                    reference_column: str | None = None) -> Lookup | State:
+    if foreign_key not in df.columns:
+        return _fixed(1.0)
+    ref = reference.select(F.col(reference_column or reference.columns[0]).alias("__ref")).distinct()
+    found = F.sum(F.when(F.col("__ref").isNotNull(), F.col("__n")).otherwise(0))
+    used = F.sum(F.when(F.col(foreign_key).isNotNull(), F.col("__n")).otherwise(0))
+    return Lookup([foreign_key], lambda counts: counts.join(ref, F.col(foreign_key) == F.col("__ref"), "left"), _share(found, used, 1.0))
+
+
+def accuracy_state(df: DataFrame, column: str = "", ground_truth: DataFrame | None = None, on: Sequence[str] = (),
+                   truth_column: str | None = None) -> Lookup | State:
+    if column not in df.columns:
+        return _fixed(0.0)
+    truth = ground_truth.select(*on, F.col(truth_column or column).alias("__true"))
+    c, t, n = F.col(column), F.col("__true"), F.col("__n")
+    if is_numeric(df.schema[column].dataType):
+        off = F.abs(F.try_divide(c.cast("double") - t.cast("double"), t.cast("double")))
+        state = State({"off": F.sum(off * n), "n": F.sum(F.when(off.isNotNull(), n).otherwise(0)), "rows": F.sum(n)}, lambda s: F.when(
+            s("rows") > 0, F.coalesce(F.greatest(F.lit(0.0), 1 - F.try_divide(s("off"), s("n").cast("double"))), F.lit(1.0))).otherwise(0.0))
+    else:
+        state = _share(F.sum(F.when(c == t, n).otherwise(0)), F.sum(n), 0.0)
+    return Lookup(list(dict.fromkeys([*on, column])), lambda counts: same_keys(counts, truth, list(on)), state)
+
+
 def value_accuracy(df: DataFrame, keys: Sequence[str] = (), column: str = "", ground_truth: DataFrame | None = None,
                    on: Sequence[str] = (), truth_column: str | None = None) -> DataFrame:
     """Closeness of a column to the true values of the rows with the same key."""
@@ -327,26 +403,26 @@ def default_catalog() -> Catalog:
     """A new catalog with the built-in metrics."""
     cat = Catalog()
     for m in (
-        MetricSpec("completeness", "completeness", True, "non-null cells / cells", aggregate=completeness),
+        MetricSpec("completeness", "completeness", True, "non-null cells / cells", aggregate=completeness, state=completeness_state),
         MetricSpec("column_completeness", "completeness", True, "non-null share of a column", True,
-                   aggregate=column_completeness),
+                   aggregate=column_completeness, state=column_completeness_state),
         MetricSpec("outlier_rate", "outliers", False, "outlying share of the numeric cells", frame=outlier_rate),
-        MetricSpec("duplicate_rate", "duplicates", False, "share of repeated rows", frame=duplicate_rate),
-        MetricSpec("key_uniqueness", "duplicates", True, "distinct keys / rows", True, frame=key_uniqueness),
+        MetricSpec("duplicate_rate", "duplicates", False, "share of repeated rows", frame=duplicate_rate, state=duplicate_state),
+        MetricSpec("key_uniqueness", "duplicates", True, "distinct keys / rows", True, frame=key_uniqueness, state=key_state),
         MetricSpec("format_consistency", "consistency", True, "values that fit a pattern", True,
-                   aggregate=format_consistency),
+                   aggregate=format_consistency, state=format_state),
         MetricSpec("referential_integrity", "consistency", True, "values found in a reference", True,
-                   frame=referential_integrity),
+                   frame=referential_integrity, state=reference_state),
         MetricSpec("constraint_violation", "constraints", False, "violations / checks", True,
-                   aggregate=constraint_violation),
+                   aggregate=constraint_violation, state=constraint_state),
         MetricSpec("type_validity", "constraints", True, "values of the expected type", True,
-                   aggregate=type_validity),
+                   aggregate=type_validity, state=type_state),
         MetricSpec("distribution_skewness", "distribution", False, "mean absolute skewness",
                    aggregate=distribution_skewness),
         MetricSpec("distribution_kurtosis", "distribution", False, "mean absolute excess kurtosis",
                    aggregate=distribution_kurtosis),
-        MetricSpec("freshness", "timeliness", True, "exponential decay of the mean age", True, aggregate=freshness),
-        MetricSpec("value_accuracy", "accuracy", True, "closeness to true values", True, frame=value_accuracy),
+        MetricSpec("freshness", "timeliness", True, "exponential decay of the mean age", True, aggregate=freshness, state=freshness_state),
+        MetricSpec("value_accuracy", "accuracy", True, "closeness to true values", True, frame=value_accuracy, state=accuracy_state),
         MetricSpec("overall_quality", "composite", True, "weighted mean of three metrics",
                    frame=overall_quality, derived=composite,
                    needs=("completeness", "outlier_rate", "duplicate_rate")),

@@ -10,6 +10,7 @@ from ..operators import discretize as Z
 from ..operators import rows as R
 from ..operators import scoring as S
 from ..operators import selection as L
+from ..operators.binned import union_metrics
 from .metric_queries import LI
 from .registry import query, rounded
 from .views import FEATURES, load
@@ -168,6 +169,40 @@ def _(spark, sf):
     return rounded(Z.homogeneity(model.transform(df), B.fit_boundaries(df, FEATURES, N_BINS)))
 
 
+# -- configured metrics per bin and per union of bins -------------------------------------------------
+
+CONFIGS = {"format_consistency": {"column": "l_returnflag", "pattern": "[AN]"},
+           "constraint_violation": {"constraints": [{"column": "l_discount", "type": "range", "min": 0.02, "max": 0.08}]},
+           "key_uniqueness": {"key_columns": ["l_orderkey"]}}
+_configured = ("round(CAST(count(CASE WHEN regexp_matches(l_returnflag, '^(?:[AN])') THEN 1 END) AS DOUBLE) / count(l_returnflag), 6) AS format_consistency, "
+               "round(coalesce(CAST(count(CASE WHEN l_discount < 0.02 OR l_discount > 0.08 THEN 1 END) AS DOUBLE) / nullif(count(l_discount), 0), 0), 6) AS constraint_violation, "
+               "round(CAST(count(DISTINCT l_orderkey) AS DOUBLE) / count(*), 6) AS key_uniqueness")
+
+
+def configured_rows(spark, sf):
+    df = clean(lines(spark, sf).select(*FEATURES, "l_orderkey", "l_returnflag"))
+    return df, B.fit_boundaries(df, FEATURES, N_BINS)
+
+
+@query("bin_quality_configured", f"{LI}, {QUALITY}, y AS (SELECT attr, bin_id, {_configured} FROM (SELECT attr, bin_id, l_discount, l_returnflag, l_orderkey FROM "
+       "(" + " UNION ALL ".join(f"SELECT attr, {place(a)} AS bin_id, l_discount, l_returnflag, l_orderkey FROM lineitem_q, g WHERE attr = '{a}' AND {a} IS NOT NULL" for a in FEATURES)
+       + f")) GROUP BY ALL) SELECT attr, CAST(bin_id AS BIGINT) AS bin_id, round(lower, 6) AS lower, round(upper, 6) AS upper, n, {METRIC_LIST}, {', '.join(CONFIGS)} FROM q JOIN y USING (attr, bin_id)")
+def _(spark, sf):
+    df, bs = configured_rows(spark, sf)
+    bins = B.bin_quality(df, bs, FEATURES, CONFIGS)
+    return rounded(bins.select("attr", "bin_id", "lower", "upper", "n", *[F.col("quality")[m].alias(m) for m in (*B.BIN_METRICS, *CONFIGS)]))
+
+
+@query("union_quality_configured", f"{LI}, {grid_sql(FEATURES)}, e AS ("
+       + " UNION ALL ".join(f"SELECT attr, {place(a)} AS bin_id, len(bs) AS k, l_discount, l_returnflag, l_orderkey FROM lineitem_q, g WHERE attr = '{a}' AND {a} IS NOT NULL" for a in FEATURES)
+       + "), u AS (SELECT attr, f.i AS first_bin, l.i AS last_bin FROM g, range(100) AS f(i), range(100) AS l(i) WHERE f.i <= l.i AND l.i < len(bs) - 1) "
+       f"SELECT attr, first_bin, last_bin, {_configured} FROM e JOIN u USING (attr) WHERE bin_id BETWEEN first_bin AND last_bin GROUP BY attr, first_bin, last_bin")
+def _(spark, sf):
+    df, bs = configured_rows(spark, sf)
+    values = union_metrics(spread(df), bs, CONFIGS)
+    return rounded(values.groupBy("attr", F.col("first").alias("first_bin"), F.col("last").alias("last_bin")).pivot("metric", list(CONFIGS)).agg(F.first("value")))
+
+
 # -- merging (no SQL: greedy and iterative) ----------------------------------------------------------
 
 def histories(spark, sf, attrs=FEATURES, **options):
