@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import clean, constant, same_keys
+from .core import clean, materialize, same_keys
 
 CATEGORIES = ("completeness", "outliers", "duplicates", "consistency", "constraints",
               "distribution", "timeliness", "accuracy", "composite", "custom")
@@ -133,25 +133,42 @@ class Catalog:
 
     def compute_wide(self, df: DataFrame, names: Sequence[str], configs: dict[str, dict] | None = None,
                      keys: Sequence[str] = (), on_error: str = "raise") -> DataFrame:
-        """keys + one column per metric. Single-expression metrics are fused into one pass."""
+        """keys + one column per metric. Single-expression metrics are fused into one pass.
+
+        With `on_error='worst'` a metric that fails, while planning or while running, gets its worst value. This runs the
+        report: metrics are measured together, and halved where that fails, until the failing ones are alone.
+        """
         configs, keys, df = configs or {}, list(keys), clean(df)
+        if on_error != "worst":
+            return self._wide(df, list(names), configs, keys)
+        # Groups and their sizes first: if not even these can be read, no metric is to blame.
+        wide = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")))
+        for some, table in self._guarded(df, list(names), configs, keys):
+            wide = same_keys(wide, table, keys, "left") if keys else wide.withColumns({n: table.select(n).scalar() for n in some})
+        return wide.select(*keys, *[F.col(n) if n in wide.columns else F.lit(self[n].worst).alias(n) for n in names])
+
+    def _guarded(self, df: DataFrame, names: list[str], configs: dict[str, dict], keys: list[str]) -> list[tuple[list[str], DataFrame]]:
+        """Tables of the metrics that could be measured."""
+        if not names:
+            return []
+        try:
+            return [(names, materialize(self._wide(df, names, configs, keys)))]
+        except Exception:
+            half = len(names) // 2
+            return self._guarded(df, names[:half], configs, keys) + self._guarded(df, names[half:], configs, keys) if half else []
+
+    def _wide(self, df: DataFrame, names: list[str], configs: dict[str, dict], keys: list[str]) -> DataFrame:
         values = df.drop(*keys)
         fused, frames, derived = [F.count(F.lit(1)).alias("__rows")], [], []
         wanted = list(names)
         for name in names:
             m, cfg = self[name], configs.get(name, {})
-            try:
-                if m.derived is not None and set(m.needs) <= set(wanted) and not any(
-                        configs.get(d) for d in m.needs):
-                    derived.append((name, m.derived(**cfg)))
-                elif m.aggregate is not None and not m.python:
-                    fused.append(m.aggregate(values, **cfg).alias(name))
-                else:
-                    frames.append((name, m.build(df, keys, **cfg)))
-            except Exception:
-                if on_error != "worst":
-                    raise
-                fused.append(constant(m.worst).alias(name))
+            if m.derived is not None and set(m.needs) <= set(wanted) and not any(configs.get(d) for d in m.needs):
+                derived.append((name, m.derived(**cfg)))
+            elif m.aggregate is not None and not m.python:
+                fused.append(m.aggregate(values, **cfg).alias(name))
+            else:
+                frames.append((name, m.build(df, keys, **cfg)))
         wide = df.groupBy(*keys).agg(*fused).drop("__rows")
         for name, frame in frames:
             frame = frame.withColumnRenamed("value", name)

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from .discretize import assess, discretize, discretize_adaptive, discretization_frame
 from .index import IndexParams, Prepared, fit_index, prepare
 
+# The seven settings that are compared, as changes to one baseline.
+BASELINE = {"budget": 50, "n_bins": 100, "trees": 50, "depth": 15, "merging": "adaptive", "merge_threshold": 0.01}
+GRID = {"baseline": {}, "more_trees": {"trees": 100}, "deeper_trees": {"depth": 25}, "more_bins": {"budget": 100, "n_bins": 150},
+        "finer_initial": {"n_bins": 200}, "stricter_merging": {"merge_threshold": 0.005},
+        "combined": {"budget": 100, "n_bins": 150, "trees": 100, "depth": 20, "merge_threshold": 0.005}}
+
 RUN_SCHEMA = "run string, n_features int, n_bins int, utilization double, test_r2 double, test_mse double, test_mae double"
 
 
@@ -28,7 +34,8 @@ def run_settings(df: DataFrame, runs: dict[str, IndexParams], features: Sequence
     for name, params in runs.items():
         at = (params.n_bins, params.target, params.size_weight)
         if at not in shared:
-            shared[at] = prepared or prepare(df, features, params)
+            # What was prepared before belongs to the first setting's initial bins.
+            shared[at] = prepared if prepared and not shared else prepare(df, features, params)
         rows.append(_row(name, fit_index(df, features, params, key, shared[at])))
     return df.sparkSession.createDataFrame(rows, RUN_SCHEMA)
 
@@ -45,6 +52,12 @@ def ablation(df: DataFrame, params: IndexParams, features=None, key=(), prepared
         "gain_only": replace(params, alpha=1.0, beta=0.0)}, features, key, prepared)
 
 
+def settings_grid(df: DataFrame, params: IndexParams, features=None, key=()) -> DataFrame:
+    """The seven settings; those with as many initial bins share one merge history."""
+    base = replace(params, **BASELINE)
+    return run_settings(df, {name: replace(base, **change) for name, change in GRID.items()}, features, key)
+
+
 def discretization_variants(spark, prepared: Prepared, aggressive: float = 0.1) -> DataFrame:
     """Equal-frequency, adaptive and aggressive bins of every column: bins, homogeneity, separation."""
     found = {"equal_frequency": [assess(a, h.initial, 0.0) for a, h in prepared.histories.items()],

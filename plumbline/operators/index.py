@@ -1,30 +1,26 @@
-"""The index: bins of a few chosen columns, and forests that predict a row's quality from them."""
+"""The index: bins of a few chosen columns, and a forest that predicts a row's quality from them."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..core import clean, materialize, numeric_columns, quoted, same_keys, spread
 from .bins import assign_bins, bin_means, bin_quality, fit_boundaries
+from .categories import SUFFIX, encode, fit_categories, text_columns
 from .discretize import (Discretization, MergeHistory, assess, bins_frame, collect_history, discretize,
                          discretize_adaptive, edges_of, merge_history)
+from .forest import Forest, fit_forest
 from .rows import ROW_METRICS, RowMetricsModel, fit_row_metrics
 from .scoring import ALPHA, BETA, DEFAULT_THRESHOLDS, DEFAULT_WEIGHTS, feature_scores
 from .selection import Selection, select_features
 
 
-COPIES = 16
-
 
 @dataclass(frozen=True)
 class IndexParams:
@@ -43,10 +39,11 @@ class IndexParams:
     size_weight: str = "rows"        # 'share' makes merge thresholds independent of the table's size
     homogeneity: str = "rows"
     merging: str = "adaptive"        # 'fixed' (merge_threshold) or 'none'
-    merge_threshold: float = 0.01
+    merge_threshold: float = 0.01    # the adaptive search begins with it
     rounds: int = 5
     adjust: bool = True
     null_bin: str = "first"          # 'own': rows without a value get a bin of their own
+    category_weights: dict[str, float] | None = None         # bin metrics by whose weighted sum text values are ordered
     configs: dict[str, dict] = field(default_factory=dict)   # further catalog metrics of the bins, with their configuration
 
     @property
@@ -62,15 +59,19 @@ class Prepared:
     row_model: RowMetricsModel
     boundaries: dict[str, list[float]]
     histories: dict[str, MergeHistory]
+    categories: dict[str, DataFrame] = field(default_factory=dict)      # text column -> value, code
 
 
 def prepare(df: DataFrame, features: Sequence[str] | None = None, params: IndexParams = IndexParams()) -> Prepared:
+    """Text columns among the features take part with their values numbered by quality."""
     cols = list(features or numeric_columns(df))
     data = spread(clean(df if params.configs else df.select(*cols)))
     model = fit_row_metrics(data, cols, first_rows=None)
-    bs = fit_boundaries(data, cols, params.n_bins)
+    coded = {c: fit_categories(data, c, cols, params.category_weights) for c in text_columns(df, cols)}
+    data = encode(data, coded)
+    bs = fit_boundaries(data, [c + SUFFIX if c in coded else c for c in cols], params.n_bins)
     hist = merge_history(data, bs, cols, size_weight=params.size_weight, row_model=model, target=params.target, configs=params.configs)
-    return Prepared(cols, model, bs, collect_history(hist, bs))
+    return Prepared(cols, model, bs, collect_history(hist, bs), coded)
 
 
 # -- lookup ----------------------------------------------------------------------------------------
@@ -132,14 +133,24 @@ class QualityIndex:
     boundaries: dict[str, list[float]]
     quality: dict[str, list[dict[str, float]]]
     metrics: list[str]
-    model: PipelineModel
+    model: Forest
     row_model: RowMetricsModel
     params: IndexParams
     fit_metrics: list[tuple] = field(default_factory=list)     # split, metric, mse, r2, mae
     info: dict = field(default_factory=dict)
+    categories: dict[str, DataFrame] = field(default_factory=dict)
+
+    @property
+    def inputs(self) -> list[str]:
+        """The columns of a table that predictions need."""
+        codes = {c + SUFFIX: c for c in self.categories}
+        return [codes.get(a, a) for a in self.features]
+
+    def encode(self, df: DataFrame) -> DataFrame:
+        return encode(df, {c: m for c, m in self.categories.items() if c + SUFFIX in self.features})
 
     def bin_vectors(self, df: DataFrame) -> DataFrame:
-        return assign_bins(df, {a: self.boundaries[a] for a in self.features}, self.params.null_at)
+        return assign_bins(self.encode(df), {a: self.boundaries[a] for a in self.features}, self.params.null_at)
 
     def transform(self, df: DataFrame, with_bins: bool = False, distinct: bool = False) -> DataFrame:
         """Add pred_<metric> columns. Works on streams, without any shuffle.
@@ -158,11 +169,8 @@ class QualityIndex:
         return out.select(*df.columns, *(bins if with_bins else []), *preds)
 
     def importance(self, spark: SparkSession) -> DataFrame:
-        """(attr, importance): mean over the forests, scaled to sum 1."""
-        forests = [s for s in self.model.stages if hasattr(s, "featureImportances")]
-        sums = [sum(float(f.featureImportances[i]) for f in forests) for i in range(len(self.features))]
-        whole = sum(sums) or 1.0
-        return spark.createDataFrame([(a, s / whole) for a, s in zip(self.features, sums)], "attr string, importance double")
+        """(attr, importance), scaled to sum 1."""
+        return spark.createDataFrame(list(zip(self.features, self.model.importances())), "attr string, importance double")
 
     def metrics_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.fit_metrics, "split string, metric string, mse double, r2 double, mae double")
@@ -205,28 +213,6 @@ def compress(training: DataFrame, bins: Sequence[str], metrics: Sequence[str]) -
     return training.groupBy(*bins).agg(F.count(F.lit(1)).cast("double").alias("__w"), *[F.avg(m).alias(m) for m in metrics])
 
 
-def train_forests(vectors: DataFrame, bins: Sequence[str], metrics: Sequence[str], params: IndexParams, most_bins: int) -> PipelineModel:
-    """One forest per metric, fitted side by side."""
-    # The bootstrap draws rows, whatever their weight: a heavy vector enters as several equal parts.
-    parts = F.expr(f"CAST(least(__w, {COPIES}) AS INT)")
-    vectors = vectors.withColumn("__k", parts).withColumn("__i", F.expr("explode(sequence(1, __k))")).withColumn(
-        "__w", F.col("__w") / F.col("__k"))
-    assembler = VectorAssembler(inputCols=list(bins), outputCol="__features")
-    data = assembler.transform(vectors).select("__features", "__w", *metrics).persist()
-
-    def fit(metric: str):
-        return RandomForestRegressor(
-            featuresCol="__features", labelCol=metric, predictionCol=f"pred_{metric}", weightCol="__w",
-            numTrees=params.trees, maxDepth=min(params.depth, 30), maxBins=max(2, most_bins),
-            featureSubsetStrategy="all", seed=params.seed).fit(data)
-    try:
-        with ThreadPoolExecutor(min(4, len(metrics))) as pool:
-            forests = list(pool.map(fit, metrics))
-    finally:
-        data.unpersist()
-    return PipelineModel([assembler, *forests])
-
-
 def error_rows(scored: DataFrame, metrics: Sequence[str], split: str = "split", weight: str | None = None) -> list[tuple]:
     """(split, metric, mse, r2, mae) per metric and 'overall' (plain mean over metrics).
 
@@ -264,7 +250,7 @@ def choose(df: DataFrame, prep: Prepared, params: IndexParams) -> tuple[dict[str
         elif params.merging == "fixed":
             found[a] = discretize(h, params.merge_threshold, params.homogeneity)
         else:
-            found[a] = discretize_adaptive(h, params.rounds, homogeneity=params.homogeneity)
+            found[a] = discretize_adaptive(h, params.rounds, params.merge_threshold, homogeneity=params.homogeneity)
     weights, limits = params.weights, params.thresholds
     if params.target == "row" and not set(weights) & set(ROW_METRICS):
         weights = {m: 1.0 / len(ROW_METRICS) for m in ROW_METRICS}
@@ -289,6 +275,7 @@ def fit_index(df: DataFrame, features: Sequence[str] | None = None, params: Inde
     names = [p.attr for p in picked]
     boundaries = {p.attr: edges_of(p.result) for p in picked}
     data = spread(clean(df if params.configs else df.select(*dict.fromkeys([*key, *prep.columns]))))
+    data = encode(data, {c: m for c, m in prep.categories.items() if c + SUFFIX in names})
     exact = (bin_means(prep.row_model.transform(data), boundaries, ROW_METRICS) if params.target == "row"
              else bin_quality(data, boundaries, prep.columns, params.configs))
     quality = quality_of(exact)
@@ -304,10 +291,13 @@ def fit_index(df: DataFrame, features: Sequence[str] | None = None, params: Inde
     else:
         table, weight = rows, None
         vectors = materialize(compress(rows.filter("__split = 'train'"), bins, metrics))
-    most = max(len(b) for b in boundaries.values()) + 1
-    model = train_forests(vectors, bins, metrics, params, most)
-    index = QualityIndex(names, boundaries, quality, metrics, model, prep.row_model, params)
-    index.fit_metrics = error_rows(model.transform(table), metrics, "__split", weight)
+    most = max(len(b) for b in boundaries.values())
+    model = fit_forest(vectors, bins, metrics, params.trees, params.depth, most, params.seed)
+    index = QualityIndex(names, boundaries, quality, metrics, model, prep.row_model, params,
+                         categories={c: m for c, m in prep.categories.items() if c + SUFFIX in names})
+    # Scored once; the errors take two passes.
+    scored = materialize(model.transform(table).select("__split", *metrics, *[f"pred_{m}" for m in metrics], *([weight] if weight else [])))
+    index.fit_metrics = error_rows(scored, metrics, "__split", weight)
     index.info = {"n_features_total": len(prep.columns), "budget_utilization": selection.utilization,
                   "model_type": "RandomForest", "build_time": time.time() - start}
     return index
@@ -315,11 +305,12 @@ def fit_index(df: DataFrame, features: Sequence[str] | None = None, params: Inde
 
 def evaluate(index: QualityIndex, df: DataFrame) -> DataFrame:
     """(metric, mse, r2, mae, n_samples) of the predictions against the targets of all rows of a table."""
-    data = clean(df)
-    n = data.count()
+    data = index.encode(clean(df))
     rows, metrics = training_data(data, index.boundaries, index.quality, index.row_model, index.params.target,
                                   null_bin=index.params.null_at)
-    scored = index.model.transform(rows).withColumn("split", F.lit("all"))
+    # Scored once: the errors take two passes, and the number of rows comes with them.
+    scored = materialize(index.model.transform(rows).select(*metrics, *[f"pred_{m}" for m in metrics], F.lit("all").alias("split")))
+    n = scored.count()
     out = [(m, mse, r2, mae, n) for _, m, mse, r2, mae in error_rows(scored, metrics)]
     return df.sparkSession.createDataFrame(out, "metric string, mse double, r2 double, mae double, n_samples bigint")
 

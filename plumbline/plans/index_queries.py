@@ -22,8 +22,9 @@ from .registry import query, rounded
 from .views import FEATURES, VIEWS, load
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
-SETTINGS = I.IndexParams(budget=50, n_bins=20, trees=20, depth=10, weights=BIN_WEIGHTS, thresholds=LIMITS, size_weight="share")
-ROW_SETTINGS = replace(SETTINGS, target="row", size_weight="rows", homogeneity="bin", null_bin="own")
+# Budget, bins, trees and depth are the defaults of the entry: 100, 30, 100, 20.
+SETTINGS = I.IndexParams(weights=BIN_WEIGHTS, thresholds=LIMITS, size_weight="share")
+ROW_SETTINGS = replace(SETTINGS, target="row", size_weight="rows", null_bin="own")
 ROW_ALERTS = {"row_completeness": {"warning": 0.9, "critical": 0.7}, "row_range_conformance": {"warning": 0.95, "critical": 0.8},
               "row_consistency": {"warning": 0.8, "critical": 0.5}}
 BIN_ALERTS = {"completeness": {"warning": 0.965, "critical": 0.955}, "outlier_rate": {"warning": 0.002, "critical": 0.004},
@@ -192,10 +193,18 @@ def _(spark, sf):
 
 # -- alerts ----------------------------------------------------------------------------------------------
 
+TUPLE_SQL = "l_orderkey || '-' || l_linenumber || '-' || l_partkey"
+
+
+def tuple_id():
+    """The whole key: lines of one order share its number."""
+    return F.concat_ws("-", *KEY)
+
+
 def _alert_sql(m, limits):
     op = "<" if A.higher_is_better(m) else ">"
     c, w = limits["critical"], limits["warning"]
-    return (f"SELECT l_orderkey AS tuple_id, '{m}' AS metric, round({m}, 6) AS predicted_value, CASE WHEN {m} {op} {c} THEN CAST({c} AS DOUBLE) ELSE CAST({w} AS DOUBLE) END AS threshold, "
+    return (f"SELECT {TUPLE_SQL} AS tuple_id, '{m}' AS metric, round({m}, 6) AS predicted_value, CASE WHEN {m} {op} {c} THEN CAST({c} AS DOUBLE) ELSE CAST({w} AS DOUBLE) END AS threshold, "
             f"CASE WHEN {m} {op} {c} THEN 'critical' ELSE 'warning' END AS severity FROM lk WHERE {m} {op} {c} OR {m} {op} {w}")
 
 
@@ -205,25 +214,25 @@ ALERTS = f"{LOOKUP}, al AS (" + " UNION ALL ".join(_alert_sql(m, x) for m, x in
 def given_scores(spark, sf):
     bs, quality = dictionary(spark, sf)
     rows = I.lookup_quality(B.assign_bins(clean(lines(spark, sf)), bs), quality, B.BIN_METRICS)
-    return rows.select("l_orderkey", *[F.col(m).alias(f"pred_{m}") for m in B.BIN_METRICS])
+    return rows.select(*KEY, *[F.col(m).alias(f"pred_{m}") for m in B.BIN_METRICS])
 
 
 @query("alerts_from_scores", f"{LI}, {QUALITY}, {ALERTS} SELECT * FROM al")
 def _(spark, sf):
-    return rounded(A.alerts(given_scores(spark, sf), "l_orderkey", BIN_ALERTS).drop("ts"))
+    return rounded(A.alerts(given_scores(spark, sf), tuple_id(), BIN_ALERTS).drop("ts"))
 
 
 @query("alert_statistics", f"{LI}, {QUALITY}, {ALERTS}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lk) SELECT CAST(n AS BIGINT) AS n_processed, count(*) AS n_alerts, round(count(*) / n, 6) AS alert_rate, "
        "count(CASE WHEN severity = 'critical' THEN 1 END) AS n_critical, count(CASE WHEN severity = 'warning' THEN 1 END) AS n_warning FROM al, n GROUP BY n")
 def _(spark, sf):
     scores = given_scores(spark, sf)
-    return rounded(A.alert_statistics(A.alerts(scores, "l_orderkey", BIN_ALERTS), scores).drop("alerts_by_metric"))
+    return rounded(A.alert_statistics(A.alerts(scores, tuple_id(), BIN_ALERTS), scores).drop("alerts_by_metric"))
 
 
 @query("alerts_by_metric", f"{LI}, {QUALITY}, {ALERTS} SELECT metric, count(*) AS n FROM al GROUP BY metric")
 def _(spark, sf):
     scores = given_scores(spark, sf)
-    stats = A.alert_statistics(A.alerts(scores, "l_orderkey", BIN_ALERTS), scores)
+    stats = A.alert_statistics(A.alerts(scores, tuple_id(), BIN_ALERTS), scores)
     return stats.select(F.explode("alerts_by_metric").alias("metric", "n"))
 
 
@@ -232,38 +241,45 @@ def _(spark, sf):
     """Alerts on given scores, written as CSV with thresholds read from a file, and read back."""
     limits, log = shared_dir(spark, "thresholds"), shared_dir(spark, "alerts")
     spark.createDataFrame([(json.dumps(BIN_ALERTS),)], "value string").coalesce(1).write.text(limits)
-    T.write_alert_log(A.alerts(given_scores(spark, sf), "l_orderkey", T.load_thresholds(spark, limits)), log)
-    return rounded(T.read_alert_log(spark, log).drop("ts"))
+    T.write_alert_log(A.alerts(given_scores(spark, sf), tuple_id(), T.load_thresholds(spark, limits)), log)
+    return rounded(T.read_alert_log(spark, log, key_type="string").drop("ts"))
 
 
 def row_scores(spark, sf):
     index = fitted(spark, sf, ROW_SETTINGS)
-    return index.transform(spread(lines(spark, sf).select(*dict.fromkeys(["l_orderkey", *index.features]))))
+    return index.transform(spread(lines(spark, sf).select(*dict.fromkeys([*KEY, *index.features]))))
 
 
 @query("alerts_batch")
 def _(spark, sf):
-    return rounded(A.alerts(row_scores(spark, sf), "l_orderkey", ROW_ALERTS).drop("ts"))
+    return rounded(A.alerts(row_scores(spark, sf), tuple_id(), ROW_ALERTS).drop("ts"))
+
+
+@query("alerts_default_thresholds", f"{LI}, {QUALITY}, {LOOKUP}, al AS ("
+       + " UNION ALL ".join(_alert_sql(m, x) for m, x in A.ALERT_THRESHOLDS.items() if m in B.BIN_METRICS) + ") SELECT * FROM al")
+def _(spark, sf):
+    """Given scores against the default limits."""
+    return rounded(A.alerts(given_scores(spark, sf), tuple_id()).drop("ts"))
 
 
 @query("alerts_custom_thresholds")
 def _(spark, sf):
     path = shared_dir(spark, "thresholds")
     spark.createDataFrame([(json.dumps(ROW_ALERTS),)], "value string").coalesce(1).write.text(path)
-    return rounded(A.alerts(row_scores(spark, sf), "l_orderkey", T.load_thresholds(spark, path)).drop("ts"))
+    return rounded(A.alerts(row_scores(spark, sf), tuple_id(), T.load_thresholds(spark, path)).drop("ts"))
 
 
 @query("alert_log")
 def _(spark, sf):
     path = shared_dir(spark, "alerts")
-    T.write_alert_log(A.alerts(row_scores(spark, sf), "l_orderkey", ROW_ALERTS), path)
-    return rounded(T.read_alert_log(spark, path).drop("ts"))
+    T.write_alert_log(A.alerts(row_scores(spark, sf), tuple_id(), ROW_ALERTS), path)
+    return rounded(T.read_alert_log(spark, path, key_type="string").drop("ts"))
 
 
 def line_stream(spark, sf):
     base = load(spark, sf, "lineitem")
     raw = O.table_stream(spark, sf, base.schema, files="lineitem.parquet")
-    return raw.selectExpr(*_select_list("lineitem_q"))
+    return raw.selectExpr(*_select_list("lineitem_q")).withColumn("tuple", tuple_id())
 
 
 def _select_list(view):
@@ -282,7 +298,7 @@ def _select_list(view):
 @query("stream_alerts")
 def _(spark, sf):
     log, mark = shared_dir(spark, "stream-alerts"), shared_dir(spark, "stream-mark")
-    found = O.score_stream(line_stream(spark, sf), fitted(spark, sf, ROW_SETTINGS), "l_orderkey", ROW_ALERTS,
+    found = O.score_stream(line_stream(spark, sf), fitted(spark, sf, ROW_SETTINGS), "tuple", ROW_ALERTS,
                            partitions=spark.sparkContext.defaultParallelism)
     O.start_alert_log(found, log, mark).awaitTermination()
     return rounded(spark.read.schema(found.schema).parquet(log).drop("ts"))
@@ -291,7 +307,7 @@ def _(spark, sf):
 @query("alert_batch_summary")
 def _(spark, sf):
     log, sums, mark = (shared_dir(spark, x) for x in ("monitor-alerts", "monitor-summaries", "monitor-mark"))
-    O.start_monitor(line_stream(spark, sf), fitted(spark, sf, ROW_SETTINGS), "l_orderkey", log, sums, mark, ROW_ALERTS).awaitTermination()
+    O.start_monitor(line_stream(spark, sf), fitted(spark, sf, ROW_SETTINGS), "tuple", log, sums, mark, ROW_ALERTS).awaitTermination()
     return rounded(spark.read.parquet(sums).drop("id"))
 
 
@@ -306,7 +322,7 @@ def _(spark, sf):
     raw = O.table_stream(spark, sf, load(spark, sf, "events").schema, files="events.parquet")
     stream = raw.selectExpr(*_select_list("events_q"))
     result = O.window_metrics(stream, "ts", ["user_id", "value"], limits, keys=["event_type"])
-    table = O.run_to_table(result, shared_dir(spark, "windows"), shared_dir(spark, "windows-mark"))
+    table = O.run_to_table(result, shared_dir(spark, "windows"), shared_dir(spark, "windows-mark"), ["event_type"])
     return rounded(table.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
 
 
@@ -332,9 +348,10 @@ def _window_sql(cols):
 
 
 query("window_quality", f"{OR}, w AS (SELECT o_orderkey, count(*) OVER f AS n, count(o_custkey) OVER f + count(o_totalprice) OVER f + count(o_orderpriority) OVER f AS filled, "
-      "list(CAST(o_custkey AS DOUBLE)) FILTER (WHERE o_custkey IS NOT NULL) OVER f AS l_o_custkey, list(o_totalprice) FILTER (WHERE o_totalprice IS NOT NULL) OVER f AS l_o_totalprice "
+      "count(DISTINCT (o_custkey, o_totalprice, o_orderpriority)) OVER f AS different, list(CAST(o_custkey AS DOUBLE)) FILTER (WHERE o_custkey IS NOT NULL) OVER f AS l_o_custkey, list(o_totalprice) FILTER (WHERE o_totalprice IS NOT NULL) OVER f AS l_o_totalprice "
       "FROM orders_q WINDOW f AS (ORDER BY o_orderkey ROWS BETWEEN 50 PRECEDING AND 49 FOLLOWING)) "
-      f"SELECT o_orderkey, round(CAST(filled AS DOUBLE) / (n * 3), 6) AS completeness, round(CAST({_window_sql(['o_custkey', 'o_totalprice'])} AS DOUBLE) / (n * 2), 6) AS outlier_rate FROM w")(
+      f"SELECT o_orderkey, round(CAST(filled AS DOUBLE) / (n * 3), 6) AS completeness, round(CAST({_window_sql(['o_custkey', 'o_totalprice'])} AS DOUBLE) / (n * 2), 6) AS outlier_rate, "
+      "round(1 - CAST(different AS DOUBLE) / n, 6) AS duplicate_rate FROM w")(
     lambda spark, sf: rounded(N.window_quality(load(spark, sf, "orders_q"), "o_orderkey", WINDOW_COLS, 100)))
 query("chunk_quality", f"{OR}, k AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 100) AS BIGINT) AS chunk FROM orders_q), "
       "s AS (SELECT chunk AS sc, quantile_cont(CAST(o_custkey AS DOUBLE), .25) AS a1, quantile_cont(CAST(o_custkey AS DOUBLE), .75) AS b1, quantile_cont(o_totalprice, .25) AS a2, quantile_cont(o_totalprice, .75) AS b2 FROM k GROUP BY chunk) "
@@ -344,6 +361,18 @@ query("chunk_quality", f"{OR}, k AS (SELECT *, CAST(floor((row_number() OVER (OR
     lambda spark, sf: rounded(N.chunk_quality(load(spark, sf, "orders_q"), "o_orderkey", WINDOW_COLS, 100)))
 
 
+@query("chunk_predictions", f"{LI}, {QUALITY}, {LOOKUP}, tr AS (SELECT l_orderkey, l_linenumber, l_partkey, ({' + '.join(f'CAST({c} IS NOT NULL AS INT)' for c in FEATURES)}) / CAST({len(FEATURES)} AS DOUBLE) AS truth FROM lineitem_q), "
+       "k AS (SELECT lk.completeness AS pred, truth, CAST(floor((row_number() OVER (ORDER BY l_orderkey, lk.l_linenumber, l_partkey) - 1) / 1000) AS BIGINT) AS chunk FROM lk JOIN tr USING (l_orderkey, l_linenumber, l_partkey)) "
+       "SELECT chunk, count(*) AS n, round(avg(pred), 6) AS predicted_completeness, round(avg(truth), 6) AS true_completeness FROM k GROUP BY chunk")
+def _(spark, sf):
+    """Predicted (bins' mean quality) against true completeness of rows, per 1,000 rows."""
+    bs, quality = dictionary(spark, sf)
+    rows = I.lookup_quality(B.assign_bins(clean(lines(spark, sf)), bs), quality, ["completeness"])
+    truth = sum((F.col(c).isNotNull().cast("int") for c in FEATURES), F.lit(0)) / F.lit(float(len(FEATURES)))
+    scored = rows.select(*KEY, F.col("completeness").alias("pred_completeness"), truth.alias("completeness"))
+    return rounded(N.chunk_means(scored, KEY, ["completeness"], 1000))
+
+
 # -- evaluation --------------------------------------------------------------------------------------------
 
 @query("eval_discretization")
@@ -359,3 +388,26 @@ def _(spark, sf):
 @query("eval_ablation")
 def _(spark, sf):
     return rounded(E.ablation(lines(spark, sf), ROW_SETTINGS, FEATURES, KEY, prepared(spark, sf, ROW_SETTINGS)))
+
+
+@query("eval_settings")
+def _(spark, sf):
+    """The seven settings of the accuracy study."""
+    return rounded(E.settings_grid(spread(lines(spark, sf)), ROW_SETTINGS, FEATURES, KEY))
+
+
+@query("index_evaluate_against")
+def _(spark, sf):
+    """Predictions against a table of true row metrics, matched by key."""
+    index = fitted(spark, sf, ROW_SETTINGS)
+    truth = index.row_model.transform(lines(spark, sf)).select(*KEY, *index.metrics)
+    return rounded(I.evaluate_against(index, lines(spark, sf), truth, KEY))
+
+
+@query("errors_of_given_scores", f"{LI}, {QUALITY}, {LOOKUP}, tr AS (SELECT l_orderkey, l_linenumber, l_partkey, completeness AS truth FROM lk) "
+       "SELECT 'completeness' AS metric, round(avg(power(lk.completeness - truth * 1.01, 2)), 6) AS mse, round(avg(abs(lk.completeness - truth * 1.01)), 6) AS mae FROM lk JOIN tr USING (l_orderkey, l_linenumber, l_partkey)")
+def _(spark, sf):
+    """Errors of given predictions (bins' mean quality) against given true values."""
+    scored = given_scores(spark, sf).withColumn("completeness", F.col("pred_completeness") * 1.01).withColumn("split", F.lit("all"))
+    rows = [(m, mse, mae) for _, m, mse, _, mae in I.error_rows(scored, ["completeness"]) if m != "overall"]
+    return rounded(spark.createDataFrame(rows, "metric string, mse double, mae double"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.forest import Forest
 from ..operators.index import IndexParams, QualityIndex, params_dict
 from ..operators.rows import RowMetricsModel
 
@@ -14,12 +14,14 @@ BINS_SCHEMA = "attr string, bin_id int, lower double, upper double, quality map<
 
 
 def save_index(index: QualityIndex, spark: SparkSession, path: str) -> None:
-    """The forests as an MLlib model, the bins as parquet, everything else as one JSON row."""
-    index.model.write().overwrite().save(f"{path}/model")
+    """The forest's nodes, the bins and the codes of text values as parquet, everything else as one JSON row."""
+    index.model.save(spark, f"{path}/model")
     rows = [(a, i, float(index.boundaries[a][i]), float(index.boundaries[a][i + 1]), q)
             for a, qs in index.quality.items() for i, q in enumerate(qs)]
     spark.createDataFrame(rows, BINS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/bins")
-    head = {"features": index.features, "metrics": index.metrics, "params": params_dict(index.params),
+    for i, mapping in enumerate(index.categories.values()):
+        mapping.write.mode("overwrite").parquet(f"{path}/categories/{i}")
+    head = {"features": index.features, "categories": list(index.categories), "metrics": index.metrics, "params": params_dict(index.params),
             "row_model": index.row_model.to_json(), "fit_metrics": index.fit_metrics, "info": index.info}
     spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
 
@@ -36,8 +38,9 @@ def load_index(spark: SparkSession, path: str) -> QualityIndex:
     head["params"]["thresholds"] = {m: tuple(v) for m, v in head["params"]["thresholds"].items()}
     order = head["features"]
     return QualityIndex(order, {a: boundaries[a] for a in order}, {a: quality[a] for a in order}, head["metrics"],
-                        PipelineModel.load(f"{path}/model"), RowMetricsModel.from_json(head["row_model"]),
-                        IndexParams(**head["params"]), [tuple(r) for r in head["fit_metrics"]], head["info"])
+                        Forest.load(spark, f"{path}/model"), RowMetricsModel.from_json(head["row_model"]),
+                        IndexParams(**head["params"]), [tuple(r) for r in head["fit_metrics"]], head["info"],
+                        {c: spark.read.parquet(f"{path}/categories/{i}") for i, c in enumerate(head["categories"])})
 
 
 def save_training_data(training: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ def score_stream(stream: DataFrame, index: QualityIndex, key: str, thresholds: d
 
     `partitions` spreads the rows of a source that hands out few large files.
     """
-    needed = [c for c in stream.columns if c in index.features or c == key]
+    needed = [c for c in stream.columns if c in index.inputs or c == key]
     if partitions:
         stream = stream.select(*needed).repartition(partitions)
     return alerts(index.transform(stream.select(*needed)), key, thresholds)
@@ -53,17 +54,19 @@ def start_monitor(stream: DataFrame, index: QualityIndex, key: str, log: str, su
     A batch writes to a folder of its own and replaces it when run again, so a retried batch leaves
     no second copy.
     """
-    needed = [c for c in stream.columns if c in index.features or c == key]
+    needed = [c for c in stream.columns if c in index.inputs or c == key]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        start = time.perf_counter()
         scored = index.transform(batch).persist()
         try:
             found = alerts(scored, key, thresholds)
             found.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
             n = scored.count()
+            seconds = time.perf_counter() - start
             written = batch.sparkSession.read.schema(found.schema).parquet(f"{log}/batch={batch_id}")
-            batch_summary(written, n).withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode(
-                "overwrite").parquet(f"{summaries}/id={batch_id}")
+            summary = batch_summary(written, n, seconds).withColumn("batch", F.lit(batch_id).cast("bigint"))
+            summary.write.mode("overwrite").parquet(f"{summaries}/id={batch_id}")
             if on_batch is not None:
                 on_batch(written, batch_id)
         finally:
@@ -73,10 +76,22 @@ def start_monitor(stream: DataFrame, index: QualityIndex, key: str, log: str, su
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def batch_summary(found: DataFrame, n: int) -> DataFrame:
-    """n_tuples, n_alerts and alerts per tuple."""
-    return found.agg(F.lit(n).cast("bigint").alias("n_tuples"), F.count(F.lit(1)).alias("n_alerts")).withColumn(
+def batch_summary(found: DataFrame, n: int, seconds: float | None = None) -> DataFrame:
+    """n_tuples, n_alerts, alerts per tuple, and with the time a batch took also its seconds and rows_per_second."""
+    out = found.agg(F.lit(n).cast("bigint").alias("n_tuples"), F.count(F.lit(1)).alias("n_alerts")).withColumn(
         "alert_rate", F.col("n_alerts") / F.lit(float(max(n, 1))))
+    if seconds is None:
+        return out
+    return out.withColumns({"seconds": F.lit(float(seconds)), "rows_per_second": F.lit(n / seconds if seconds > 0 else 0.0)})
+
+
+def throughput(query: StreamingQuery) -> DataFrame:
+    """batch, n_tuples, seconds, rows_per_second of the batches whose progress a query still reports (Spark keeps the last 100)."""
+    rows = []
+    for p in query.recentProgress:
+        took = p["durationMs"].get("triggerExecution", 0) / 1000
+        rows.append((int(p["batchId"]), int(p["numInputRows"]), took, p["numInputRows"] / took if took else 0.0))
+    return SparkSession.active().createDataFrame(rows, "batch bigint, n_tuples bigint, seconds double, rows_per_second double")
 
 
 def window_metrics(stream: DataFrame, ts: str, columns: Sequence[str], limits: dict[str, tuple[float, float]],
@@ -97,11 +112,29 @@ def window_metrics(stream: DataFrame, ts: str, columns: Sequence[str], limits: d
     return out.select(F.col("window.start").alias("window_start"), *keys, "n", "completeness", "outlier_rate")
 
 
-def run_to_table(result: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run an aggregating stream over all available input; the last result lands in a table."""
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-    q = (result.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return result.sparkSession.read.schema(result.schema).parquet(path)
+def start_window_log(result: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Write each batch's changed windows to a folder of its own, by day of the window.
+
+    The query runs in update mode: a window whose end the watermark has passed leaves the state for good, and rows that
+    come later than the watermark allows are dropped, so the state holds only windows that can still change.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        dated = batch.withColumn("window_day", F.to_date("window_start"))
+        dated.write.mode("overwrite").partitionBy("window_day").parquet(f"{path}/batch={batch_id}")
+
+    writer = result.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_window_log(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str] = ()) -> DataFrame:
+    """The last state of every window in a window log."""
+    found = spark.read.option("basePath", path).option("recursiveFileLookup", "false").schema(
+        T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("window_day", T.DateType())])).parquet(f"{path}/batch=*")
+    last = found.groupBy("window_start", *keys).agg(F.max_by(F.struct(*[f.name for f in schema.fields]), "batch").alias("row"))
+    return last.select("row.*")
+
+
+def run_to_table(result: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Run a stream of window metrics over all available input and read its windows."""
+    start_window_log(result, path, checkpoint).awaitTermination()
+    return read_window_log(result.sparkSession, path, result.schema, keys)

@@ -136,6 +136,7 @@ def test_stream_equals_batch(spark, table, index, tmp_path):
     O.start_monitor(O.table_stream(spark, src, table.schema, files_per_batch=1), index, "id", str(tmp_path / "log2"),
                     str(tmp_path / "sum"), str(tmp_path / "cp2"), LIMITS).awaitTermination()
     sums = spark.read.parquet(str(tmp_path / "sum")).collect()
+    assert all(r["seconds"] > 0 and r["rows_per_second"] == pytest.approx(r["n_tuples"] / r["seconds"]) for r in sums)
     assert len(sums) == 3 and sum(r["n_tuples"] for r in sums) == 1500 and sum(r["n_alerts"] for r in sums) == batch.count()
 
 
@@ -146,11 +147,33 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     df.repartition(4).write.parquet(src)
     limits = M.outlier_limits(df, ["v"])
     stream = O.table_stream(spark, src, df.schema, files_per_batch=1)
-    got = O.run_to_table(O.window_metrics(stream, "ts", ["v"], limits), str(tmp_path / "w"), str(tmp_path / "cp"))
+    got = O.run_to_table(O.window_metrics(stream, "ts", ["v"], limits, late="40 days"), str(tmp_path / "w"), str(tmp_path / "cp"))
     want = O.window_metrics(df, "ts", ["v"], limits)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 25
 
 
+def test_late_rows_are_dropped_and_state_ends(spark, tmp_path):
+    """Ten files of one day each; the last one also holds a row of the first day, which is over by then."""
+    src = str(tmp_path / "in")
+    schema = "ts timestamp, v double"
+    for day in range(10):
+        rows = spark.range(20).selectExpr(f"TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, {day}, CAST(id AS INT)) AS ts", "CAST(id AS DOUBLE) AS v")
+        if day == 9:
+            rows = rows.unionByName(spark.sql("SELECT TIMESTAMP '2024-01-01 05:00:00' AS ts, 1e9 AS v"))
+        rows.coalesce(1).write.mode("append").parquet(src)
+    stream = O.table_stream(spark, src, spark.createDataFrame([], schema).schema, files_per_batch=1)
+    result = O.window_metrics(stream, "ts", ["v"], {"v": (0.0, 100.0)}, late="1 hour")
+    q = O.start_window_log(result, str(tmp_path / "w"), str(tmp_path / "cp"))
+    q.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    dropped = sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in q.recentProgress if p["stateOperators"])
+    assert max(states) <= 3 and dropped == 1
+    got = O.read_window_log(spark, str(tmp_path / "w"), result.schema).collect()
+    assert len(got) == 10 and all(r["n"] == 20 and r["outlier_rate"] == 0 for r in got)
+    speeds = O.throughput(q).filter("n_tuples > 0").collect()
+    assert len(speeds) == 10 and sum(r["n_tuples"] for r in speeds) == 201 and all(r["rows_per_second"] > 0 for r in speeds)
+
+
 # -- windows, chunks, sources --------------------------------------------------------------------------
 
 def test_window_quality(spark, mixed, monkeypatch):
@@ -167,6 +190,39 @@ def test_window_quality(spark, mixed, monkeypatch):
             bad += int(((v < q1 - 1.5 * (q3 - q1)) | (v > q3 + 1.5 * (q3 - q1))).sum())
         assert got[i]["completeness"] == pytest.approx(w.notna().to_numpy().mean())
         assert got[i]["outlier_rate"] == pytest.approx(bad / w.size)
+        assert got[i]["duplicate_rate"] == pytest.approx(w.duplicated().mean())
+
+
+def test_windows_larger_than_a_block(mixed, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 100)
+    pdf = mixed.select("id", "key", "z").toPandas().sort_values("id").reset_index(drop=True)
+    got = {r["id"]: r for r in N.window_quality(mixed, "id", ["key", "z"], 500).collect()}
+    for i in (0, 99, 100, 333, 899):
+        w = pdf.iloc[max(0, i - 250):i + 250][["key", "z"]]
+        bad = 0
+        for c in ("key", "z"):
+            q1, q3 = w[c].quantile(0.25), w[c].quantile(0.75)
+            bad += int(((w[c] < q1 - 1.5 * (q3 - q1)) | (w[c] > q3 + 1.5 * (q3 - q1))).sum())
+        assert got[i]["outlier_rate"] == pytest.approx(bad / w.size) and got[i]["duplicate_rate"] == pytest.approx(w.duplicated().mean())
+
+
+def test_a_window_of_ten_thousand_rows_slides_once():
+    rng = np.random.default_rng(0)
+    v = np.where(rng.random(25_000) < 0.1, np.nan, np.exp(rng.normal(0, 1, 25_000)))
+    codes = rng.integers(0, 9_000, 25_000)
+    out, distinct = N.sliding_outliers(v, 5_000), N.sliding_distinct(codes, 5_000)
+    for i in (0, 4_999, 12_345, 24_999):
+        w = v[max(0, i - 5_000):i + 5_000]
+        w = w[~np.isnan(w)]
+        q1, q3 = np.quantile(w, [0.25, 0.75])
+        assert out[i] == ((w < q1 - 1.5 * (q3 - q1)) | (w > q3 + 1.5 * (q3 - q1))).sum()
+        assert distinct[i] == len(set(codes[max(0, i - 5_000):i + 5_000]))
+
+
+def test_chunk_means(spark):
+    df = spark.range(250).selectExpr("id DIV 10 AS a", "id % 10 AS b", "CAST(id AS DOUBLE) AS q", "CAST(2 * id AS DOUBLE) AS pred_q", "'x' AS chunk").repartition(4)
+    got = sorted(map(tuple, N.chunk_means(df, ["a", "b"], ["q"], 100).collect()))
+    assert got == [(0, 100, 99.0, 49.5), (1, 100, 299.0, 149.5), (2, 50, 449.0, 224.5)]
 
 
 def test_chunks(mixed):

@@ -163,3 +163,22 @@ def test_example_metrics(spark):
     assert df.agg(M.multi_column_consistency(df, [rule])).first()[0] == 0.8
     people = frame(spark, "age int, status string", (20, "active"), (16, "active"), (None, "active"), (9, "inactive"))
     assert people.agg(M.rule_share(people, "age >= 18", "status = 'active'")).first()[0] == pytest.approx(1 / 3)
+
+
+def test_a_metric_that_fails_at_run_time_gets_its_worst_value(spark):
+    """One failing cast among ten metrics: nine right values, one worst, with and without groups."""
+    df = spark.range(60).selectExpr("id", "IF(id % 7 = 0, NULL, CAST(id % 10 AS DOUBLE)) AS x", "IF(id = 33, 'bad', CAST(id AS STRING)) AS n", "CAST(id % 3 AS INT) AS g")
+    cat = M.default_catalog()
+    cat.register_aggregate("mean_of_text", lambda d: F.avg(F.col("n").cast("int")), higher_is_better=False)
+    names = ["completeness", "outlier_rate", "mean_of_text", "duplicate_rate", "distribution_skewness", "distribution_kurtosis", "overall_quality",
+             "column_completeness", "type_validity", "key_uniqueness"]
+    cfg = {"column_completeness": {"column": "x"}, "type_validity": {"expected_types": {"n": "int"}}, "key_uniqueness": {"key_columns": ["id"]}}
+    with pytest.raises(Exception):
+        cat.compute_wide(df, names, cfg).collect()
+    good = [n for n in names if n != "mean_of_text"]
+    for keys in ([], ["g"]):
+        got = {tuple(r[k] for k in keys): r for r in cat.compute_wide(df, names, cfg, keys, on_error="worst").collect()}
+        want = {tuple(r[k] for k in keys): r for r in cat.compute_wide(df, good, cfg, keys).collect()}
+        assert got.keys() == want.keys() and len(got) == (3 if keys else 1)
+        for k, r in got.items():
+            assert r["mean_of_text"] == 1.0 and all(r[n] == pytest.approx(want[k][n]) for n in good)
