@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>"]
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 BLOCK = 64
+PIECES = 8              # deltas a streamed message has at most
 _TAILS = "(?:/?s>|/?INST\\]|</?SYS>>|\\|im_start\\|>|\\|im_end\\|>|\\|endoftext\\|>)"
 ESCAPE = ("([<\\[])(\\\\*)(" + _TAILS + ")", "$1\\\\$2$3")
 UNESCAPE = ("([<\\[])\\\\(\\\\*)(" + _TAILS + ")", "$1$2$3")
@@ -37,8 +38,9 @@ def _role_out(c: Column) -> Column:
 
 
 def _role_in(c: Column) -> Column:
-    c = F.replace(F.replace(unescaped(c), F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n"))
-    return F.replace(c, F.lit("\x00"), F.lit("\\"))
+    # Between pairs of backslashes, which stand for one, only a line end is left to be read.
+    parts = F.split(unescaped(c), r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def messages_as_events(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
@@ -49,6 +51,28 @@ def messages_as_events(messages: DataFrame, conv: str = "conv_id", turn: str = "
                            F.col(role).alias("role"), F.col(text).alias("text"))
 
 
+def as_log(messages: DataFrame, learn: str = "assistant", pieces: int = PIECES) -> DataFrame:
+    """A table of finished messages (conv_id, turn, role, text) as the log of a client that recorded them as they came.
+
+    A message of the `learn` role is begun, half of a first draft is streamed, thrown away by a regeneration, and the text
+    streamed in up to `pieces` deltas; one of another role is written down to its half and then edited to its end.
+    Messages of one turn are logged one after the other, by role and text.
+    """
+    rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
+                           F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("nth", F.expr("row_number() over (partition by conv_id, turn order by role, text)"))
+    rows = rows.withColumn("size", F.greatest(F.ceil(F.length("text") / pieces).cast("int"), F.lit(1)))
+    event = "struct({} as step, '{}' as kind, {} as said)"
+    half = "substring(text, 1, length(text) div 2)"
+    deltas = (f"filter(transform(sequence(0, {pieces - 1}), i -> struct(3 + i as step, 'delta' as kind, substring(text, i * size + 1, size) as said)), "
+              "e -> e.said != '')")
+    streamed = f"concat(array({event.format(0, 'message', repr(''))}, {event.format(1, 'delta', half)}, {event.format(2, 'regenerate', repr(''))}), {deltas})"
+    edited = f"array({event.format(0, 'message', half)}, {event.format(1, 'edit', 'text')})"
+    rows = rows.withColumn("event", F.explode(F.when(F.col("role") == learn, F.expr(streamed)).otherwise(F.expr(edited))))
+    return rows.select("conv_id", "turn", (F.col("nth") * (pieces + 3) + F.col("event.step")).cast("long").alias("seq"), "event.kind",
+                       F.when(F.col("event.kind") == "message", F.col("role")).alias("role"), F.col("event.said").alias("text"))
+
+
 def fold(events: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, block, messages array<struct<turn, role, text>>: the final messages of each block of turns."""
     event = F.struct("turn", "seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

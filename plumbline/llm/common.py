@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import shared_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -20,6 +19,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+_A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def lowered(text: str = "text") -> str:
+    """SQL that lower-cases A to Z and nothing else."""
+    return f"translate({text}, '{_A_TO_Z}', '{_A_TO_Z.lower()}')"
+
+
 def words_of(pattern: str, text: str = "text") -> Column:
     """Array of the matches of a pattern. The condition always holds; having it keeps the array a column of its own, as
     the optimizer would else copy the expression into every filter and every lambda above, and split again per word."""
@@ -40,13 +47,14 @@ def sample_of(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
     return rows.orderBy(F.xxhash64(*keys), *keys).limit(limit)
 
 
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per key, with its least text: repeats of an id go before features are made, and before the shuffle."""
+    return rows.groupBy(*keys).agg(F.min("text").alias("text"))
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new folder in spark.checkpoint.dir; a temporary one is set only where none is (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="plumbline-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder in spark.checkpoint.dir; only a session in one process may leave that unset, as tests do."""
+    return shared_dir(spark, label)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

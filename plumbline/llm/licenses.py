@@ -2,8 +2,9 @@
 
 Every rolling word k-gram of every document is joined to the k-grams of the templates. A hit votes for the diagonal
 (place in the document minus place in the template); votes are merged over neighbouring diagonals, so that a few words
-more or less do not break a match, and a span counts when enough of the template lies in it. A phrase must lie on one
-diagonal as a whole, which is where its words stand consecutively.
+more or less do not break a match, and a span counts when enough of the template lies in it. Islands of neighbouring
+diagonals may be far longer than the template, as after many repeats of its words; every window of the template's length
+in them is verified. A phrase must lie on one diagonal as a whole, which is where its words stand consecutively.
 
 Defined cases: null or empty text has no words, no labels and score 0; rows equal in id and text are matched once and
 returned each; overlapping places all count; an empty table gives an empty result; other columns are ignored. Words are
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts, words_of, written
+from .common import lowered, texts, words_of, written
 
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
@@ -76,7 +77,7 @@ def places(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, coverag
            drift: int = DRIFT) -> DataFrame:
     """doc_id, text_key, tpl, start, end, coverage: the verified spans, in words from 0 (end is exclusive)."""
     spark = docs.sparkSession
-    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), words_of(LICENSE_WORD, "lower(text)").alias("ws"))
+    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), words_of(LICENSE_WORD, lowered()).alias("ws"))
     grams = rows.filter(f"size(ws) >= {K}").select("doc_id", "text_key", F.posexplode(F.expr(
         f"transform(sequence(0, size(ws) - {K}), i -> xxhash64(ws[i], ws[i + 1], ws[i + 2]))")).alias("pos", "h"))
     # The templates are constants of this module, so the broadcast side has a fixed size.
@@ -92,11 +93,21 @@ def places(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, coverag
     loose = votes.filter(~F.col("tpl").isin(exact)).withColumn("fresh", F.expr(
         f"if(diagonal - lag(diagonal) over (partition by {key} order by diagonal) <= {drift}, 0, 1)"))
     loose = loose.withColumn("island", F.expr(f"sum(fresh) over (partition by {key} order by diagonal)"))
-    merged = loose.groupBy("doc_id", "text_key", "tpl", "n_grams", "island").agg(
-        F.bit_or("mask").alias("mask"), F.min("lo").alias("start"), (F.max("hi") + K).alias("end"))
-    merged = merged.withColumn("coverage", F.bit_count("mask") / F.col("n_grams")).filter(
-        (F.col("coverage") >= coverage) & (F.col("end") - F.col("start") <= 2 * (F.col("n_grams") + K)))
-    return phrase.unionByName(merged.select("doc_id", "text_key", "tpl", "start", "end", "coverage"))
+    # A copy of the template spreads over fewer diagonals than it has words, so every place begins a window that wide.
+    reach = max((len(t.words.split()) for t in templates), default=K) - 1
+    loose = loose.withColumn("near", F.expr(
+        f"filter(collect_list(struct(diagonal, mask, lo, hi)) over (partition by {key}, island order by diagonal range between current row "
+        f"and {reach} following), v -> v.diagonal < diagonal + n_grams + {K - 1})"))
+    found = loose.withColumn("coverage", F.expr("bit_count(aggregate(near, 0L, (a, v) -> a | v.mask)) / n_grams")).filter(F.col("coverage") >= coverage)
+    # Of the windows that begin within a template's length of each other, the best one is the place, the first of equals.
+    beside = ("collect_list(struct(diagonal, coverage)) over (partition by doc_id, text_key, tpl, island order by diagonal "
+              f"range between {reach} preceding and {reach} following)")
+    found = found.withColumn("beside", F.expr(
+        f"filter({beside}, v -> abs(v.diagonal - diagonal) < n_grams + {K - 1} and "
+        "(v.coverage > coverage or (v.coverage = coverage and v.diagonal < diagonal)))")).filter("size(beside) = 0")
+    merged = found.select("doc_id", "text_key", "tpl", F.expr("array_min(transform(near, v -> v.lo))").alias("start"),
+                          (F.expr("array_max(transform(near, v -> v.hi))") + K).alias("end"), "coverage")
+    return phrase.unionByName(merged)
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -109,7 +120,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
         F.collect_set(F.when(F.col("base"), F.col("label"))).alias("b"), F.collect_set("label").alias("l"),
         F.max("coverage").alias("score"))
     per_doc = per_doc.select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"), "n_base", "first_word", "last_word", "b", "l", "score")
-    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words_of(LICENSE_WORD, "lower(text)")).cast("long").alias("n_words"))
+    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words_of(LICENSE_WORD, lowered())).cast("long").alias("n_words"))
     rows = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key")), "left")
     listed = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     return rows.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),

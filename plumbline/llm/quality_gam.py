@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, sample_of, texts
+from .common import held_out, one_text, sample_of, texts
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -165,9 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
              .groupBy("doc_id").agg(F.min("quality").alias("y")))
     chosen = sample_of(truth, sample, "doc_id").select(F.col("doc_id").alias("l_id"), "y")
     # At most `sample` pairs of two numbers are broadcast.
-    rows = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "y")
+    rows = one_text(texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")), "doc_id", "y")
     schema = "doc_id bigint, y int, x array<double>"
-    found = rows.mapInPandas(_features_of, schema).toPandas().sort_values(["doc_id"], kind="stable").drop_duplicates("doc_id")
+    found = rows.mapInPandas(_features_of, schema).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(found["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return fit(x, (found["y"].to_numpy() > 0).astype(np.float64))
 

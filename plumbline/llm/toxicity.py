@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, sample_of, texts
+from .common import held_out, one_text, sample_of, texts
 
 POSITIVES, UNLABELLED, BAGS, KEPT = 3_000, 9_000, 3, 4096
 BUCKET_BITS = 20
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     rest = sample_of(rest.join(good.select("doc_id"), "doc_id", "left_anti").distinct(), unlabelled, "doc_id").select("doc_id", F.lit(False).alias("toxic"))
     chosen = good.unionByName(rest).select(F.col("doc_id").alias("c_id"), "toxic")
     # At most positives + unlabelled pairs of an id and a flag are broadcast.
-    rows = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("c_id")).select("doc_id", "text", "toxic")
+    rows = one_text(texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("c_id")), "doc_id", "toxic")
     own = F.pmod(F.xxhash64("doc_id"), F.lit(bags)).cast("int")
     rows = rows.withColumn("bag", F.explode(F.when(F.col("toxic"), F.sequence(F.lit(0), F.lit(bags - 1))).otherwise(F.array(own))))
     found = rows.mapInPandas(_featured, "doc_id bigint, bag int, toxic boolean, x array<int>")

@@ -5,8 +5,9 @@ A response becomes two records that point back to it: `metadata` (title, languag
 expressions, so records are made where their page is read, without a shuffle.
 
 Defined cases: null html or url is empty; an empty page gives both records, the conversion with an empty block; pages
-that are equal in id, url and html are separate records with equal identifiers, since these are made from the content;
-an empty table gives an empty result; other columns are ignored.
+that are equal in id, url and html are separate records with equal identifiers, since these are made from the content (a
+page fetched twice is told apart by its page_id); line ends in a URL, a language or a link are percent-encoded, so that
+none ends its header or field; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +38,17 @@ def digest(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))
 
 
+def one_line(c: Column) -> Column:
+    """Line ends percent-encoded, as a URI has to have them."""
+    return F.replace(F.replace(c, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def responses(pages: DataFrame) -> DataFrame:
     """page_id, record_id, target_uri, date, headers, payload: response records of a table page_id, url, html."""
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     return pages.select(
         "page_id", uuid_of(F.concat_ws("\n", F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), url, html)).alias("record_id"),
-        url.alias("target_uri"), F.lit(DATE).alias("date"),
+        one_line(url).alias("target_uri"), F.lit(DATE).alias("date"),
         F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
                  F.octet_length(html).cast("string"), F.lit("\r\n")).alias("headers"), html.alias("payload"))
 
@@ -66,12 +72,13 @@ def derivatives(source: DataFrame) -> DataFrame:
     src = source.withColumns({
         "source_digest": digest(F.col("payload")),
         "title": F.trim(resolved(F.regexp_replace(F.regexp_extract("payload", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), r"\s+", " "))),
-        "lang": F.regexp_extract("payload", r"(?i)<html\b[^>]*\blang=\"([^\"]*)\"", 1),
+        "target_uri": one_line(F.col("target_uri")), "date": one_line(F.col("date")),
+        "lang": one_line(F.regexp_extract("payload", r"(?i)<html\b[^>]*\blang=\"([^\"]*)\"", 1)),
         "links": F.regexp_extract_all("payload", F.lit(r'(?i)<a\b[^>]*\bhref="([^"]*)"'), 1),
         "body": plain_text(F.col("payload")),
     })
     facts = F.concat(F.lit("title: "), F.col("title"), F.lit("\r\nlanguage: "), F.col("lang"), F.lit("\r\nsource-digest: "), F.col("source_digest"),
-                     F.array_join(F.transform("links", lambda x: F.concat(F.lit("\r\noutlink: "), resolved(x))), ""), F.lit("\r\n"))
+                     F.array_join(F.transform("links", lambda x: F.concat(F.lit("\r\noutlink: "), one_line(resolved(x)))), ""), F.lit("\r\n"))
     made = F.array(F.struct(F.lit("metadata").alias("type"), F.lit("application/warc-fields").alias("content_type"), facts.alias("block")),
                    F.struct(F.lit("conversion").alias("type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("body").alias("block")))
     rows = src.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", "source_digest",

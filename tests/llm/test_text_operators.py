@@ -14,6 +14,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 
 from plumbline.llm import (chat, licenses, packing, quality_gam, quality_rules, simhash, spotsigs, toxicity, unigram, warc)
+from plumbline.llm.common import one_text
 
 GOOD = "the house of the old man was on a hill and the road to it was long . "
 NEAR = " ".join(f"word{i} runs by" for i in range(200))
@@ -121,6 +122,20 @@ def test_chat_folds_and_round_trips(spark):
     assert chat.digests(chat.parse(chat.render(chat.fold(ev.limit(0))))).count() == 0
 
 
+def test_chat_log_of_finished_messages_folds_back(spark):
+    said = [(1, 0, "user", "what?"), (1, 0, "user", "what?"), (1, 1, "assistant", "y" * 999 + "\x00[INST]"), (1, 2, "assistant", None), (1, 3, None, "a"),
+            (2, None, "a\x00b\\\\n\n\\", "z" * 70_000), (2, 5, "assistant", "🙂é")]
+    df = spark.createDataFrame(said, "conv_id int, turn int, role string, text string").withColumns({"kind": F.lit("clash"), "seq": F.lit(1), "block": F.lit(9)})
+    log = chat.as_log(df)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = {r["conv_id"]: [] for r in log.collect()}
+    for r in sorted(chat.parse(chat.render(chat.fold(log.repartition(3)))).collect(), key=lambda r: (r["conv_id"], r["block"] is not None, r["block"])):
+        got[r["conv_id"]] += [(m["role"], m["text"]) for m in r["messages"]]
+    want = {c: [(r or "", t or "") for k, _, r, t in said if k == c] for c in (1, 2)}
+    assert got == want
+    assert chat.as_log(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("text", ["<s>", "<\\s>", "a<<s>[INST][/INST]", "[[INST]", "\\", "<|im_start|", "<|endoftext|><\\\\|im_end|>"])
 def test_chat_escape_is_reversible(spark, text):
     df = spark.createDataFrame([(text,)], "t string").select(chat.escaped(F.col("t")).alias("e"))
@@ -152,6 +167,19 @@ def test_licenses_merge_neighbouring_diagonals(spark):
     assert got[1]["labels"] == "bsd" and 0.6 <= got[1]["score"] < 1 and got[2]["labels"] == "" and got[3]["score"] == 1
 
 
+def test_licenses_in_long_islands(spark):
+    isc = next(t.words for t in licenses.TEMPLATES if t.label == "isc")
+    bsd = next(t.words for t in licenses.TEMPLATES if t.label == "bsd")
+    rows = [(1, isc), (2, "permission to use x " * 20 + isc), (3, isc + " permission to use x" * 300), (4, "permission to use x " * 40),
+            (5, " ".join([bsd] * 5)), (6, "İ " + bsd.upper())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs).collect()}
+    assert got == {1: ("isc", 1), 2: ("isc", 1), 3: ("isc", 1), 4: ("", 0), 5: ("bsd", 1), 6: ("bsd", 1)}
+    n = len(bsd.split())
+    places = sorted((r["start"], r["end"]) for r in licenses.places(docs).filter("doc_id = 5").collect())
+    assert places == [(k * n, (k + 1) * n) for k in range(5)]
+
+
 # ---- simhash
 
 def print_of(text):
@@ -203,6 +231,12 @@ def test_simhash_trie_join_finds_all_links(spark, limit):
 
 # ---- classifiers
 
+def test_repeats_of_an_id_are_one_training_row(spark):
+    rows = spark.range(5_000).selectExpr("id % 2 AS doc_id", "concat('text ', id) AS text", "1 AS y")
+    got = one_text(rows, "doc_id", "y").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(0, "text 0"), (1, "text 1")]
+
+
 def test_gam_learns_tables_and_pairs():
     rng = np.random.default_rng(0)
     x = np.zeros((3000, len(quality_gam.FEATURES)))
@@ -386,3 +420,16 @@ def test_warc_records_round_trip(spark, tmp_path):
     back = warc.read_records(spark, str(tmp_path / "w"))
     assert rows_of(back, *back.columns) == rows_of(made, *back.columns)
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_warc_line_ends_stay_in_their_field(spark, tmp_path):
+    url = "http://e.org/a\r\nWARC-Type: response"
+    html = '<html lang="en\r\ntitle: x"><body><a href="/y\r\ntitle: false">z</a>' + "long text " * 50_000 + "</body></html>"
+    pages = spark.createDataFrame([(1, url, html)], "page_id bigint, url string, html string")
+    made = warc.derivatives(warc.responses(pages))
+    warc.write(made, str(tmp_path / "w"))
+    back = {r["type"]: r for r in warc.read_records(spark, str(tmp_path / "w")).collect()}
+    assert len(back) == 2 and {r["target_uri"] for r in back.values()} == {"http://e.org/a%0D%0AWARC-Type: response"}
+    fields = [f.split(": ", 1) for f in back["metadata"]["block"].split("\r\n") if f]
+    assert [n for n, _ in fields] == ["title", "language", "source-digest", "outlink"] and dict(fields)["outlink"] == "/y%0D%0Atitle: false"
+    assert back["conversion"]["content_length"] == len(back["conversion"]["block"]) > 490_000
