@@ -245,6 +245,19 @@ def _(spark, sf):
     return rounded(Z.threshold_sweep(spark, list(histories(spark, sf).values()), (0.0001, 0.001, 0.01, 0.05, 0.1)))
 
 
+# Below all costs nothing is merged, above all of them one bin is left; both can be measured on the rows.
+@query("discretize_below_costs", f"{LI}, {QUALITY} SELECT attr, CAST(bin_id AS BIGINT) AS bin_id, round(lower, 6) AS lower, round(upper, 6) AS upper, n, {METRIC_LIST} FROM q")
+def _(spark, sf):
+    return flat(Z.bins_frame(spark, [Z.discretize(x, -1.0) for x in histories(spark, sf).values()]))
+
+
+@query("discretize_above_costs", f"{LI}, " + QUALITY.replace(grid_sql(FEATURES), grid_sql(FEATURES).replace("g AS (", "g0 AS (", 1)
+       + ", g AS (SELECT attr, [bs[1], bs[-1]] AS bs FROM g0)", 1)
+       + f" SELECT attr, CAST(bin_id AS BIGINT) AS bin_id, round(lower, 6) AS lower, round(upper, 6) AS upper, n, {METRIC_LIST} FROM q")
+def _(spark, sf):
+    return flat(Z.bins_frame(spark, [Z.discretize(x, 1e18) for x in histories(spark, sf).values()]))
+
+
 # -- scores ------------------------------------------------------------------------------------------
 
 @query("entropy", f"{LI}, p AS (SELECT count(*) / CAST((SELECT count(*) FROM lineitem_q) AS DOUBLE) AS p FROM lineitem_q GROUP BY l_returnflag) SELECT round(-sum(p * log2(p + 1e-10)), 6) AS entropy FROM p")
@@ -312,3 +325,16 @@ def _(spark, sf):
 @query("selection_summary")
 def _(spark, sf):
     return rounded(chosen(spark, sf, 30).summary(spark))
+
+
+@query("select_given_scores", f"{LI.replace('WITH', 'WITH RECURSIVE', 1)}, {grid_sql(FEATURES)}, c AS (SELECT attr, len(bs) - 1 AS n_bins, row_number() OVER (ORDER BY attr) AS rank FROM g), "
+       "w AS (SELECT CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS used, '' AS attr, CAST(0 AS BIGINT) AS n_bins, false AS selected "
+       "UNION ALL SELECT c.rank, used + CASE WHEN c.n_bins <= 30 - used THEN c.n_bins ELSE 0 END, c.attr, c.n_bins, c.n_bins <= 30 - used FROM w JOIN c ON c.rank = w.rank + 1) "
+       "SELECT attr, rank, n_bins, selected FROM w WHERE rank > 0")
+def _(spark, sf):
+    """The walk under a budget on a given ranking, by name, and given bins: those of the boundaries."""
+    bs = B.fit_boundaries(measures(spark, sf), FEATURES, N_BINS)
+    bins = {a: [Z.Bin(i, i, lo, hi, 1, {}) for i, (lo, hi) in enumerate(zip(b, b[1:]))] for a, b in bs.items()}
+    found = {a: Z.assess(a, x, 0.0, "bin") for a, x in bins.items()}
+    picked = L.select_features([(a, 1.0) for a in sorted(bs)], found, {a: Z.MergeHistory(a, x, []) for a, x in bins.items()}, 30, adjust=False)
+    return rounded(picked.frame(spark).drop("importance", "adjusted"))

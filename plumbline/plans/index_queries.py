@@ -86,6 +86,7 @@ def _(spark, sf):
 @query("bin_vectors_categorical", f"{OR}, t AS (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS b FROM orders_q WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY b LIMIT 3) "
        "SELECT o_orderkey, o_orderpriority, coalesce(b, 0) AS bin_id FROM orders_q LEFT JOIN t ON o_orderpriority = v")
 def _(spark, sf):
+    """Shows the three most common values by design; the other values share bin 0. The index uses the whole operator."""
     df = load(spark, sf, "orders_q").select("o_orderkey", "o_orderpriority")
     return rounded(I.assign_categories(df, "o_orderpriority", I.category_bins(df, "o_orderpriority", 3), "bin_id"))
 
@@ -245,6 +246,13 @@ def _(spark, sf):
     return rounded(T.read_alert_log(spark, log, key_type="string").drop("ts"))
 
 
+@query("alert_summary_given_scores", f"{LI}, {QUALITY}, {ALERTS}, n AS (SELECT count(*) AS n FROM lk) SELECT n AS n_tuples, count(*) AS n_alerts, round(CAST(count(*) AS DOUBLE) / n, 6) AS alert_rate FROM al, n GROUP BY n")
+def _(spark, sf):
+    """What the monitor keeps of a batch, for all rows as one batch with given scores."""
+    scores = given_scores(spark, sf)
+    return rounded(O.batch_summary(A.alerts(scores, tuple_id(), BIN_ALERTS), scores.count()))
+
+
 def row_scores(spark, sf):
     index = fitted(spark, sf, ROW_SETTINGS)
     return index.transform(spread(lines(spark, sf).select(*dict.fromkeys([*KEY, *index.features]))))
@@ -361,18 +369,36 @@ query("chunk_quality", f"{OR}, k AS (SELECT *, CAST(floor((row_number() OVER (OR
     lambda spark, sf: rounded(N.chunk_quality(load(spark, sf, "orders_q"), "o_orderkey", WINDOW_COLS, 100)))
 
 
-@query("chunk_predictions", f"{LI}, {QUALITY}, {LOOKUP}, tr AS (SELECT l_orderkey, l_linenumber, l_partkey, ({' + '.join(f'CAST({c} IS NOT NULL AS INT)' for c in FEATURES)}) / CAST({len(FEATURES)} AS DOUBLE) AS truth FROM lineitem_q), "
-       "k AS (SELECT lk.completeness AS pred, truth, CAST(floor((row_number() OVER (ORDER BY l_orderkey, lk.l_linenumber, l_partkey) - 1) / 1000) AS BIGINT) AS chunk FROM lk JOIN tr USING (l_orderkey, l_linenumber, l_partkey)) "
-       "SELECT chunk, count(*) AS n, round(avg(pred), 6) AS predicted_completeness, round(avg(truth), 6) AS true_completeness FROM k GROUP BY chunk")
-def _(spark, sf):
-    """Predicted (bins' mean quality) against true completeness of rows, per 1,000 rows."""
+# The lookup with what a row's own completeness is; the order below tells all rows apart.
+_truth = " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in FEATURES)
+JUDGED = LOOKUP.replace("l_quantity AS qty,", f"l_quantity AS qty, l_suppkey, l_extendedprice, ({_truth}) / CAST({len(FEATURES)} AS DOUBLE) AS truth,").replace(
+    "lk AS (SELECT l_orderkey,", "lk AS (SELECT l_suppkey, l_extendedprice, truth, l_orderkey,")
+ROW_ORDER = [*KEY, "l_suppkey", "l_extendedprice"]
+
+
+def judged_scores(spark, sf):
+    """Rows with their bins' mean completeness as prediction and their own completeness as truth."""
     bs, quality = dictionary(spark, sf)
     rows = I.lookup_quality(B.assign_bins(clean(lines(spark, sf)), bs), quality, ["completeness"])
     truth = sum((F.col(c).isNotNull().cast("int") for c in FEATURES), F.lit(0)) / F.lit(float(len(FEATURES)))
-    scored = rows.select(*KEY, F.col("completeness").alias("pred_completeness"), truth.alias("completeness"))
-    return rounded(N.chunk_means(scored, KEY, ["completeness"], 1000))
+    return rows.select(*ROW_ORDER, F.col("completeness").alias("pred_completeness"), truth.alias("completeness"))
 
 
+@query("chunk_predictions", f"{LI}, {QUALITY}, {JUDGED}, k AS (SELECT completeness AS pred, truth, CAST(floor((row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1) / 1000) AS BIGINT) AS chunk FROM lk) "
+       "SELECT chunk, count(*) AS n, round(avg(pred), 6) AS predicted_completeness, round(avg(truth), 6) AS true_completeness FROM k GROUP BY chunk")
+def _(spark, sf):
+    """Predicted against true completeness per 1,000 rows."""
+    return rounded(N.chunk_means(judged_scores(spark, sf), ROW_ORDER, ["completeness"], 1000))
+
+
+@query("errors_of_given_scores", f"{LI}, {QUALITY}, {JUDGED}, m AS (SELECT avg(truth) AS m FROM lk) SELECT 'completeness' AS metric, round(avg(power(completeness - truth, 2)), 6) AS mse, "
+       "round(1 - avg(power(completeness - truth, 2)) / avg(power(truth - m, 2)), 6) AS r2, round(avg(abs(completeness - truth)), 6) AS mae FROM lk, m")
+def _(spark, sf):
+    """The error metrics of an evaluation, on given predictions."""
+    scored = judged_scores(spark, sf).withColumn("split", F.lit("all"))
+    rows = [r[1:] for r in I.error_rows(scored, ["completeness"]) if r[1] != "overall"]
+    return rounded(spark.createDataFrame(rows, "metric string, mse double, r2 double, mae double"))
+
 # -- evaluation --------------------------------------------------------------------------------------------
 
 @query("eval_discretization")
@@ -402,12 +428,3 @@ def _(spark, sf):
     index = fitted(spark, sf, ROW_SETTINGS)
     truth = index.row_model.transform(lines(spark, sf)).select(*KEY, *index.metrics)
     return rounded(I.evaluate_against(index, lines(spark, sf), truth, KEY))
-
-
-@query("errors_of_given_scores", f"{LI}, {QUALITY}, {LOOKUP}, tr AS (SELECT l_orderkey, l_linenumber, l_partkey, completeness AS truth FROM lk) "
-       "SELECT 'completeness' AS metric, round(avg(power(lk.completeness - truth * 1.01, 2)), 6) AS mse, round(avg(abs(lk.completeness - truth * 1.01)), 6) AS mae FROM lk JOIN tr USING (l_orderkey, l_linenumber, l_partkey)")
-def _(spark, sf):
-    """Errors of given predictions (bins' mean quality) against given true values."""
-    scored = given_scores(spark, sf).withColumn("completeness", F.col("pred_completeness") * 1.01).withColumn("split", F.lit("all"))
-    rows = [(m, mse, mae) for _, m, mse, _, mae in I.error_rows(scored, ["completeness"]) if m != "overall"]
-    return rounded(spark.createDataFrame(rows, "metric string, mse double, mae double"))

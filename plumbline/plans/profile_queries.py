@@ -223,7 +223,7 @@ def _(spark, sf):
     return rounded(S.first_rows(load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"], 1000))
 
 
-@query("sample_rows")
+@query("sample_rows", "SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS o_totalprice FROM orders ORDER BY md5(o_orderkey || '-42'), o_orderkey LIMIT 2000")
 def _(spark, sf):
     return rounded(S.sample_rows(load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"], 2000, seed=42))
 

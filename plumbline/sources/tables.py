@@ -42,7 +42,7 @@ def first_rows(df: DataFrame, key: list[str], n: int) -> DataFrame:
 
 def sample_rows(df: DataFrame, key: list[str], n: int | None = None, fraction: float | None = None,
                 seed: int = 42) -> DataFrame:
-    """Exactly n rows in the order of a seeded hash of the key, or about a fraction of all rows."""
+    """Exactly n rows in the order of the MD5 of key and seed, or about a fraction of all rows."""
     if n is None:
         return df.sample(fraction=fraction, seed=seed)
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("-", *key, F.lit(seed)).cast("binary")), *key).limit(n)
