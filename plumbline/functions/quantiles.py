@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import attach, quoted, same_keys
+from ..core import attach, materialize, quoted, same_keys
 
 PARTIALS = 512            # partial sketches per group, merged in a second step
 SLICES = 64               # ranking tasks per interval
@@ -246,35 +246,26 @@ def _cells(pairs: Sequence[Sequence[float]]) -> list[float]:
     return [x for lo, hi in merged for x in (lo, math.nextafter(hi, math.inf))]
 
 
-def running_counts(counts: DataFrame, group: Sequence[str], value: str, n: str,
-                   part: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
+def running_counts(counts: DataFrame, group: Sequence[str], value: str, n: str, extra: Sequence[str] = ()) -> DataFrame:
     """Add `before` (sum of n over smaller values of the group) and `size` to a table of counts.
 
-    `counts` has one row per (group, value); with `extra`, these columns are summed in the same
-    way into before_<name> and size_<name>. Values are cut into ranges, ranked range by range, and
-    shifted by the totals of the ranges before.
+    `counts` has one row per (group, value); with `extra`, these columns are summed in the same way into before_<name> and
+    size_<name>. Rows are dealt by ranges of (group, value) and written once; sums run inside a range and are shifted by
+    the totals of the group's ranges before. Spark sizes the ranges, so they hold no more rows on more data.
     """
     group, spark = list(group), counts.sparkSession
     by = ", ".join(map(quoted, group))
-    if part is None:
-        part = "__part"
-        fr = ", ".join(f"{i / SLICES:.6f}D" for i in range(1, SLICES))
-        cuts = spark.sql(f"SELECT {by}, percentile_approx({value}, array({fr}), 1000) AS __cuts FROM {{c}} GROUP BY {by}",
-                         c=counts)
-        counts = same_keys(counts, cuts, group).selectExpr(
-            *map(quoted, counts.columns), f"size(filter(__cuts, x -> x < {value})) AS {part}")
+    dealt = materialize(counts.repartitionByRange(*[F.col(c).asc_nulls_first() for c in group], F.col(value).asc_nulls_first())
+                        .withColumn("__part", F.spark_partition_id()))
     sums = [n, *extra]
     alias = {c: "" if c == n else f"_{c}" for c in sums}
     totals = ", ".join(f"sum({c}) AS t_{c}" for c in sums)
     shifts = ", ".join(
-        f"sum(t_{c}) OVER (PARTITION BY {by}) AS size{alias[c]}, coalesce(sum(t_{c}) OVER (PARTITION BY {by} ORDER BY {part} "
+        f"sum(t_{c}) OVER (PARTITION BY {by}) AS size{alias[c]}, coalesce(sum(t_{c}) OVER (PARTITION BY {by} ORDER BY __part "
         f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o_{c}" for c in sums)
-    shift = spark.sql(f"SELECT {by}, {part}, {shifts} FROM (SELECT {by}, {part}, {totals} FROM {{c}} GROUP BY {by}, {part})",
-                      c=counts)
-    joined = same_keys(counts, shift, [*group, part])
-    keep = [c for c in counts.columns if c != part]
+    shift = spark.sql(f"SELECT {by}, __part, {shifts} FROM (SELECT {by}, __part, {totals} FROM {{c}} GROUP BY {by}, __part)", c=dealt)
+    joined = same_keys(dealt, shift, [*group, "__part"])
     return joined.selectExpr(
-        *map(quoted, keep), *[f"size{alias[c]}" for c in sums],
-        *[f"o_{c} + sum({c}) OVER (PARTITION BY {by}, {part} ORDER BY {value} ROWS UNBOUNDED PRECEDING) - {c} AS before{alias[c]}"
+        *map(quoted, counts.columns), *[f"size{alias[c]}" for c in sums],
+        *[f"o_{c} + sum({c}) OVER (PARTITION BY {by}, __part ORDER BY {value} ROWS UNBOUNDED PRECEDING) - {c} AS before{alias[c]}"
           for c in sums])
-

@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame
 from ..core import materialize, numeric_columns, quoted, same_keys, spread
 from ..functions.quantiles import running_counts
 
-X_PARTS = 64
-
 
 def correlation(df: DataFrame, method: str = "pearson", columns: Sequence[str] | None = None) -> DataFrame:
     """(column_a, column_b, correlation) for every pair; NULL where a column is constant."""
@@ -89,11 +87,11 @@ def _kendall(pairs: DataFrame) -> DataFrame:
     ry = ranks.filter("side = 1").selectExpr("pair", "v AS y", "before AS ry", "size AS size_y")
     rows = same_keys(same_keys(pairs, rx, ["pair", "x"]), ry, ["pair", "y"])
     bits = spark.sql(
-        f"SELECT pair, bit, shiftright(ry, bit + 1) AS prefix, rx, CAST(floor(rx * {X_PARTS} / size_x) AS INT) AS part, "
+        f"SELECT pair, bit, shiftright(ry, bit + 1) AS prefix, rx, "
         "sum(IF(shiftright(ry, bit) & 1 = 1, n, 0)) AS ones, sum(IF(shiftright(ry, bit) & 1 = 1, 0, n)) AS zeros "
         "FROM (SELECT *, explode(sequence(0, CAST(ceil(log2(greatest(size_y, 2))) AS INT) - 1)) AS bit FROM {r}) "
-        "GROUP BY pair, bit, prefix, rx, part", r=rows)
-    counted = running_counts(bits, ["pair", "bit", "prefix"], "rx", "ones", part="part")
+        "GROUP BY pair, bit, prefix, rx", r=rows)
+    counted = running_counts(bits, ["pair", "bit", "prefix"], "rx", "ones")
     crossed = spark.sql("SELECT pair, sum(CAST(zeros AS DOUBLE) * before) AS discordant FROM {c} GROUP BY pair", c=counted)
     ties = spark.sql(
         "SELECT pair, sum(IF(side = 0, CAST(n AS DOUBLE) * (n - 1) / 2, 0D)) AS tx, sum(IF(side = 1, CAST(n AS DOUBLE) * (n - 1) / 2, 0D)) AS ty, "

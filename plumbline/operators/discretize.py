@@ -28,7 +28,7 @@ from .rows import ROW_METRICS, RowMetricsModel, fit_row_metrics
 # Search range and limits of the threshold search.
 FIRST_THRESHOLD, LOWEST_THRESHOLD, HIGHEST_THRESHOLD = 0.01, 0.0001, 0.1
 MAX_HOMOGENEITY, MIN_SEPARATION = 0.01, 0.01
-CELLS = 512
+CELLS, PER_CELL = 512, 200_000      # cells of a column of many values: this many, or one per so many rows if that is more
 
 
 # -- on tables of bins ---------------------------------------------------------------------------
@@ -203,8 +203,9 @@ def cell_edges(df: DataFrame, numeric: Sequence[str], cells: int = CELLS) -> tup
     """Cell boundaries per column, and the wide columns: one cell per value if there are few values, else
     equal-frequency cells.
     """
-    probs = [i / cells for i in range(cells + 1)]
-    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in numeric]).first() if numeric else {}
+    counts = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.approx_count_distinct(c).alias(c) for c in numeric]).first()
+    fine = max(cells, -(-counts["__rows"] // PER_CELL))
+    probs = [i / fine for i in range(fine + 1)]
     few = [c for c in numeric if counts[c] <= 0.9 * cells]
     out: dict[str, list[float]] = {}
     if few:
@@ -215,7 +216,8 @@ def cell_edges(df: DataFrame, numeric: Sequence[str], cells: int = CELLS) -> tup
                 out[c] = [*vals, vals[-1]] if len(vals) > 1 else vals * 2
     many = [c for c in numeric if c not in few]
     if many:
-        # Cells only have to be fine, not exact: the sketch's own ranks are good enough.
+        # Cells only have to be fine, not exact: the sketch's own ranks are good enough. More cells on more rows keep the
+        # values that one task ranks in a cell bounded.
         at = "array(" + ", ".join(f"{p:.9f}D" for p in probs) + ")"
         row = sketched(df, many, [], 4000).selectExpr(
             *[f"kll_sketch_get_quantile_double(IF(n{i} > 0, k{i}, NULL), {at}) AS e{i}" for i in range(len(many))]).first()
