@@ -63,8 +63,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prio
     All documents are counted, partial sums per task before the shuffle. The prior draws the ratio of a bucket with few
     n-grams towards that of the whole corpus, so that a small corpus rejects only what it has much evidence against.
     """
-    ids = trusted.select(F.col("doc_id").alias("t_id")).dropDuplicates()
-    rows = texts(docs).join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("t_id"), "left")
+    ids = trusted.filter("doc_id is not null").select(F.col("doc_id").alias("t_id"), F.lit(0).alias("t_part")).dropDuplicates()
+    # Spark sends the ids to the texts while they are few; beyond that, rows without an id are dealt by their text.
+    part = F.when(F.col("doc_id").isNull(), 1 + F.pmod(F.hash("text"), F.lit(1023))).otherwise(0)
+    rows = texts(docs).join(ids, (F.col("doc_id") == F.col("t_id")) & (part == F.col("t_part")), "left")
     counts = (rows.select(F.col("t_id").isNotNull().cast("long").alias("good"),
                           words_of(WORD).alias("ws"))
               .select("good", F.explode(F.expr(_grams(buckets))).alias("b"))
