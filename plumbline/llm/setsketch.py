@@ -8,10 +8,9 @@ keys: a link of similarity 0.8 meets in none of them with a probability of (1 -
 less and equal give the likelihood of every similarity (with the set sizes known); a pair goes if 0.8 is less likely
 than the best estimate by over exp(RATIO / 2), which costs a true link about 3e-10. What is left is intersected.
 
-No bucket lists all its pairs. First each node meets the least node of each of its buckets, most common bucket
-mates first, and what links is one component. Only buckets that still hold several components go on: small ones pair
-across components, large ones are dealt as blocks against blocks, in which a row names its TURN best partners of other
-components; the turns grow until no row has partners left, so nothing is cut.
+No bucket lists all its pairs. First each node meets the hub of each of its buckets, the node that most others meet, and
+what links is one component. Only buckets that still hold several components go on: small ones pair across components,
+large ones are dealt as blocks against blocks, whose tasks compare and intersect by themselves and return links only.
 
 Defined cases: null text, empty text and text without words have an empty set and are linked with nothing; fewer than 4
 words are one shingle; rows with the same id and text are returned each; a component whose ids are all null has component
@@ -31,16 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import texts, written
-from .simhash import connected
+from .simhash import Forest, connected
 
 SHINGLE, PERCENT = 4, 80
 BANDS, WIDTH = 32, 4
 REGISTERS = BANDS * WIDTH
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 RATIO = 40.0           # twice the log likelihood ratio beyond which a pair can't be a link
+FLOOR = REGISTERS // 2 # with fewer equal registers the ratio is always beyond that: no need to work it out
 SMALL = 32             # nodes of a bucket that are paired without blocks
 BLOCK = 1_000          # nodes of a block of a larger bucket
-TURN = 8               # partners a row names in the first turn over the blocks; each turn takes eight times as many
 STEP = 512             # shingles hashed at once
 FACTORS = np.random.default_rng(13).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -99,8 +98,13 @@ def _matrix(regs: pd.Series) -> np.ndarray:
 def _alike(regs_a: pd.Series, regs_b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
     """The estimated similarity; null where the likelihood rules a link out."""
     a, b = _matrix(regs_a), _matrix(regs_b)
-    est, may = estimate((a > b).sum(axis=1), (a < b).sum(axis=1), n_a.to_numpy(float), n_b.to_numpy(float))
-    return pd.Series(est).where(may)
+    out = np.full(len(a), np.nan)
+    some = np.flatnonzero((a == b).sum(axis=1) >= FLOOR)
+    if len(some):
+        a, b = a[some], b[some]
+        est, may = estimate((a > b).sum(axis=1), (a < b).sum(axis=1), n_a.to_numpy(float)[some], n_b.to_numpy(float)[some])
+        out[some] = np.where(may, est, np.nan)
+    return pd.Series([None if x != x else x for x in out.tolist()], dtype=object)
 
 
 @F.pandas_udf(T.LongType())
@@ -144,10 +148,10 @@ def nodes_of(prints: DataFrame) -> DataFrame:
 
 
 def bands(nodes: DataFrame) -> DataFrame:
-    """key, node: one row per band."""
+    """node, band, key: one row per band."""
     bits = 2 * WIDTH
-    return nodes.select("node", F.explode(F.expr(
-        f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {bits} + 1, {bits})))")).alias("key"))
+    return nodes.select("node", F.posexplode(F.expr(
+        f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {bits} + 1, {bits})))")).alias("band", "key"))
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -160,18 +164,15 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 class Links:
-    """Confirmed links, grown by batches of candidate pairs, and the components they make."""
+    """The components that confirmed links make, grown batch by batch."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame):
-        self.docs, self.nodes, self.spark = docs, nodes, docs.sparkSession
-        self.found = self.spark.createDataFrame([], "a bigint, b bigint")
-        self.roots = self.spark.createDataFrame([], "node bigint, root bigint")
-        self.tested = self.found
-
-    def sets_of(self, pairs: DataFrame) -> DataFrame:
-        """node, n, members of the nodes in the pairs, read again from one text each."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes, "node")
-        wanted = wanted.select("node", F.col("like.doc_id").alias("w_id"), F.col("like.k1").alias("w1"), F.col("like.k2").alias("w2"))
+        self.docs, self.nodes = docs, nodes
+        self.roots = docs.sparkSession.createDataFrame([], "node bigint, root bigint")
+
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """node, n, members of some nodes (distinct), read again from one text each."""
+        wanted = wanted.join(self.nodes, "node").select("node", F.col("like.doc_id").alias("w_id"), F.col("like.k1").alias("w1"), F.col("like.k2").alias("w2"))
         rows = texts(self.docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *_text_keys())
         match = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))
         rows = rows.join(wanted, match).select("node", F.col("text").cast("binary").alias("text"))
@@ -191,92 +192,127 @@ class Links:
         return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
 
     def test(self, pairs: DataFrame) -> None:
-        """Confirm candidates (a, b, alike). Each b tries its likeliest partners first; a pair that has become one component
-        meanwhile needs no test."""
-        sets = self.sets_of(pairs)
+        """Confirm candidates (a, b, alike). Each b tries its two likeliest partners first; the others are tested only where
+        that has not made one component of them."""
         place = "row_number() over (partition by b order by alike desc, a)"
         pairs = written(pairs.withColumn("place", F.expr(place)), "candidates")
-        most, done = pairs.agg(F.max("place")).first()[0] or 0, 0
-        while done < most:
-            now = 2 if done == 0 else min(most, 16 * done)
-            some = self.apart(pairs.filter((F.col("place") > done) & (F.col("place") <= now)).select("a", "b"))
-            for side in "ba":
-                some = some.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("members").alias(f"m_{side}")), side)
-            shared = some.select("a", "b", "n_a", "n_b", _common("m_a", "m_b").alias("both"))
-            links = shared.filter(100 * F.col("both") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
-            self.found = written(self.found.unionByName(links), "links")
-            self.roots = connected(self.found)
-            done = now
+        if pairs.isEmpty():
+            return
+        sets = self.sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        self._confirm(pairs.filter("place <= 2").select("a", "b"), sets)
+        rest = written(self.apart(pairs.filter("place > 2").select("a", "b")), "rest")
+        if not rest.isEmpty():
+            self._confirm(rest, sets)
+
+    def _confirm(self, pairs: DataFrame, sets: DataFrame) -> None:
+        for side in "ba":
+            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("members").alias(f"m_{side}")), side)
+        shared = pairs.select("a", "b", "n_a", "n_b", _common("m_a", "m_b").alias("both"))
+        self.add(shared.filter(100 * F.col("both") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
+
+    def add(self, links: DataFrame) -> None:
+        """Links among the components so far; the nodes below them are mapped once more."""
+        links = written(links, "links")
+        if links.isEmpty():
+            return
+        for side in "ab":
+            links = links.join(self.roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+        over = connected(links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+        above = over.select(F.col("node").alias("mid"), F.col("root").alias("top"))
+        moved = self.roots.join(above, F.col("root") == F.col("mid"), "left").select("node", F.coalesce("top", "root").alias("root"))
+        fresh = over.join(self.roots.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti")
+        self.roots = written(moved.unionByName(fresh), "roots")
 
 
 def _open_buckets(rows: DataFrame, links: Links) -> DataFrame:
-    """key, node, root, size: the bucket rows whose buckets hold several components apart from what their least node met."""
+    """key, band, node, root, size: the bucket rows whose buckets hold several components apart from what their hub met."""
     rooted = rows.join(links.roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root"))
+        "key", "band", "node", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
     return rooted.join(several.select("key", "size"), "key")
 
 
-def _block_pairs(opened: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
-    """a, b, alike, more: for each row of a large bucket its `turn` likeliest partners in other components, block against
-    block; `more` says that it has further ones."""
-    blocks = F.ceil(F.col("size") / BLOCK)
-    dealt = opened.filter(F.col("size") > SMALL).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+def _block_links(opened: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: the links across components in large buckets, found block against block; a task returns a spanning forest.
+
+    A pair belongs to the first band that it meets in, so no pair is compared twice. Registers rule out most pairs; the sets
+    of the others are intersected at once, so that pairs which are close but not linked never leave their task.
+    """
+    dealt = opened.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
-    dealt = dealt.join(nodes.select("node", "n", "regs"), "node")
-    floor = REGISTERS // 2      # below this many equal registers, no likelihood allows a link
-
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        left, right = rows[rows["own"] == i], rows[rows["own"] == j]
-        ra, rb = _matrix(left["regs"]), _matrix(right["regs"])
-        na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-        out = []
-        for x in range(len(left)):
-            ok = (left["root"].iat[x] != right["root"].to_numpy()) & (100 * np.minimum(na[x], nb) >= PERCENT * np.maximum(na[x], nb))
-            if i == j:
-                ok[:x + 1] = False
-            y = np.flatnonzero(ok)
-            y = y[(ra[x] == rb[y]).sum(axis=1) >= floor]
+        "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    dealt = dealt.join(nodes.select("node", "n", "regs"), "node").join(sets.select("node", "members"), "node")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j, band = (rows[c].iloc[0] for c in ("i", "j", "band"))
+        rows = rows.sort_values(["own", "node"], kind="stable")
+        regs, n, node = _matrix(rows["regs"]), rows["n"].to_numpy(), rows["node"].to_numpy()
+        _, root = np.unique(rows["root"].to_numpy(), return_inverse=True)
+        right = np.flatnonzero(rows["own"].to_numpy() == j)
+        forest = Forest(int(root.max()) + 1)
+        top = forest.roots()
+        # Shingles as places in the list of those that this task holds more than once.
+        sizes = np.array([len(m) // 8 for m in rows["members"]])
+        everything = np.frombuffer(b"".join(map(bytes, rows["members"])), "<u8")
+        _, place, often = np.unique(everything, return_inverse=True, return_counts=True)
+        starts, seen = np.cumsum(sizes) - sizes, np.zeros(len(often), bool)
+        found = []
+        for x in np.flatnonzero(rows["own"].to_numpy() == i):
+            y = right[right > x] if i == j else right
+            y = y[(top[root[y]] != top[root[x]]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))]
+            same = regs[x] == regs[y]
+            keep = (same.sum(axis=1) >= FLOOR) & (same.reshape(-1, BANDS, WIDTH).all(axis=2).argmax(axis=1) == band)
+            y = y[keep]
             if not len(y):
                 continue
-            est, may = estimate((ra[x] > rb[y]).sum(axis=1), (ra[x] < rb[y]).sum(axis=1), np.full(len(y), float(na[x])), nb[y].astype(float))
-            y, est = y[may], est[may]
-            top = np.argsort(-est, kind="stable")[:turn]
-            out.append(pd.DataFrame({"a": right["node"].to_numpy()[y[top]], "b": left["node"].iat[x], "alike": est[top], "more": len(y) > turn}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "alike": [], "more": []}).astype(
-            {"a": np.int64, "b": np.int64, "alike": float, "more": bool})
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(best, "a bigint, b bigint, alike double, more boolean")
+            _, may = estimate((regs[x] > regs[y]).sum(axis=1), (regs[x] < regs[y]).sum(axis=1), np.full(len(y), float(n[x])), n[y].astype(float))
+            y = y[may]
+            if not len(y):
+                continue
+            own = place[starts[x]:starts[x] + sizes[x]]
+            seen[own] = True
+            at = np.repeat(starts[y], sizes[y]) + np.arange(sizes[y].sum()) - np.repeat(np.cumsum(sizes[y]) - sizes[y], sizes[y])
+            both = np.add.reduceat(seen[place[at]].astype(np.int64), np.cumsum(sizes[y]) - sizes[y])
+            seen[own] = False
+            y = y[100 * both >= PERCENT * (n[x] + n[y] - both)]
+            if len(y):
+                _, first = np.unique(top[root[y]], return_index=True)       # one link to each component
+                found += [(node[k], node[x]) for k in y[first]]
+                forest.union(np.full(len(y), root[x]), root[y])
+                top = forest.roots()
+        return pd.DataFrame(found, columns=["a", "b"]).astype(np.int64)
+
+    # Few bytes that take long: their tasks are not to be put together by size.
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """key, node, hub, size of every bucket with several nodes, its hub apart: the node that meets most others, over all its
+    buckets, as the original of many copies does."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = written(rows.join(sizes, "key"), "shared")
+    met = shared.groupBy("node").agg(F.sum("size").alias("met"))
+    hubs = shared.join(met, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("top"))
+    hubs = hubs.select("key", (-F.col("top.least")).alias("hub"))
+    return written(shared.join(hubs, "key").filter("node != hub"), "stars")
 
 
 def link(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root of all nodes that are linked with another one."""
-    rows = written(bands(nodes), "bands")
-    buckets = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).filter("size > 1"), "buckets")
+    shared = stars(written(bands(nodes), "bands"))
     links = Links(docs, nodes)
-    shared = rows.join(buckets, "key").filter("node != least")
-    links.test(written(_plausible(shared.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), nodes), "stars"))
-    rest = written(shared.filter("size > 2").select("key", "node"), "rest")      # two nodes have met already
-    opened = written(_open_buckets(rest, links), "open")
-    left = opened.filter(F.col("size") <= SMALL).select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = opened.filter(F.col("size") <= SMALL).select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
+    links.test(_plausible(shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes))
+    rest = shared.filter("size > 2").select("key", "band", "node")      # two nodes have met already
+    opened = written(_open_buckets(rest, links), "open").filter(F.col("size") <= SMALL)
+    left = opened.select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
+    right = opened.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
     across = left.join(right, "key").filter("a < b and ra != rb").select("a", "b").distinct()
-    links.test(written(_plausible(across, nodes), "small"))
-    turn = TURN
-    while True:
-        opened = written(_open_buckets(rest, links).filter(F.col("size") > SMALL), "open")
-        if opened.isEmpty():
-            return links.roots
-        named = written(_block_pairs(opened, nodes, turn), "named")
-        fresh = named.select("a", "b", "alike").dropDuplicates(["a", "b"]).join(links.tested, ["a", "b"], "left_anti")
-        fresh = written(fresh, "fresh")
-        links.test(fresh)
-        links.tested = written(links.tested.unionByName(fresh.select("a", "b")), "tested")
-        if named.filter("more").isEmpty():
-            return links.roots
-        turn *= 8
+    links.test(_plausible(across, nodes))
+    opened = written(_open_buckets(rest, links).filter(F.col("size") > SMALL), "open")
+    if not opened.isEmpty():
+        links.add(_block_links(opened, nodes, links.sets_of(opened.select("node").distinct())))
+    return links.roots
 
 
 def components(docs: DataFrame) -> DataFrame:
