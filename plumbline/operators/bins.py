@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
-from ..core import attach, clean, numeric_columns, quoted, same_keys, spread
+from ..core import attach, clean, materialize, numeric_columns, quoted, same_keys, spread
 from ..functions.quantiles import fit_quantiles, grouped_quantiles
 from .metrics import MIN_FOR_KURTOSIS, MIN_FOR_OUTLIERS, MIN_FOR_SKEW
 
@@ -105,7 +105,8 @@ def bin_quality(df: DataFrame, boundaries: dict[str, Sequence[float]], columns:
         x = f"CAST({c} AS DOUBLE)"
         aggs += [f"count({x}) AS n{i}", f"count_if({x} < __s.{c}.lo OR {x} > __s.{c}.hi) AS o{i}",
                  f"IF(min({x}) < max({x}), abs(skewness({x})), NULL) AS s{i}", f"IF(min({x}) < max({x}), abs(kurtosis({x})), NULL) AS k{i}"]
-    cells = attach(rows, fences, keys).groupBy(*keys).agg(*map(F.expr, aggs))
+    # One row per bin, written so that Spark knows its size and sends it to the rows instead of shuffling them.
+    cells = attach(rows, materialize(fences), keys).groupBy(*keys).agg(*map(F.expr, aggs))
     both = same_keys(row_groups(binned, attrs, cols), cells, keys)
     m = range(len(numeric))
     mean = lambda s, least: (f"coalesce(try_divide({' + '.join(f'IF(n{i} >= {least}, coalesce({s}{i}, 0D), 0D)' for i in m)}, "

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import Catalog, Distinct, Lookup, MetricSpec, State
-from ..core import (as_double, attach, clean, constant, count_if, is_numeric, numeric_columns, quoted, ratio,
+from ..core import (as_double, attach, clean, constant, count_if, is_numeric, materialize, numeric_columns, quoted, ratio,
                     same_keys, total)
 from ..functions.quantiles import fit_quantiles, grouped_quantiles
 
@@ -246,7 +246,8 @@ def outlier_rate(df: DataFrame, keys: Sequence[str] = (), method: str = "iqr", t
         return df.groupBy(*keys).agg(constant(0.0).alias("value"))
     rows = df.select(*keys, *cols)
     if keys:
-        rows = attach(rows, _group_limits(rows, keys, cols, method, threshold), keys)
+        # Written first: Spark then knows the size of the limits and sends them to the rows where they are few.
+        rows = attach(rows, materialize(_group_limits(rows, keys, cols, method, threshold)), keys)
         limits = {c: (F.col("__s")[c]["lo"], F.col("__s")[c]["hi"]) for c in cols}
     else:
         limits = outlier_limits(rows, cols, method, threshold)
