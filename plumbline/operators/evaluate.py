@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core import materialize
+from ..sources.tables import first_rows
 from .discretize import assess, discretize, discretize_adaptive, discretization_frame
-from .index import IndexParams, Prepared, fit_index, prepare
+from .index import IndexParams, Prepared, QualityIndex, fit_index, prepare
 
 # The seven settings that are compared, as changes to one baseline.
 BASELINE = {"budget": 50, "n_bins": 100, "trees": 50, "depth": 15, "merging": "adaptive", "merge_threshold": 0.01}
@@ -68,3 +71,27 @@ def discretization_variants(spark, prepared: Prepared, aggressive: float = 0.1)
         part = discretization_frame(spark, ds).withColumn("variant", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def build_times(df: DataFrame, sizes: Sequence[int], params: IndexParams, features: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """(rows, seconds, test_r2): the time to build an index over the first rows of a table in key order, for several numbers of rows."""
+    out = []
+    for n in sizes:
+        part = materialize(first_rows(df.select(*dict.fromkeys([*key, *features])), list(key), n))
+        start = time.perf_counter()
+        index = fit_index(part, features, params, key)
+        out.append((n, time.perf_counter() - start, _row("", index)[4]))
+    return df.sparkSession.createDataFrame(out, "rows bigint, seconds double, test_r2 double")
+
+
+def batch_times(index: QualityIndex, df: DataFrame, sizes: Sequence[int], key: Sequence[str]) -> DataFrame:
+    """(rows, seconds, rows_per_second): the time to score batches of several sizes, each run once before it counts."""
+    out = []
+    for n in sizes:
+        batch = materialize(first_rows(df.select(*dict.fromkeys([*key, *index.inputs])), list(key), n))
+        for _ in range(2):
+            start = time.perf_counter()
+            index.transform(batch).write.format("noop").mode("overwrite").save()
+            took = time.perf_counter() - start
+        out.append((n, took, n / took))
+    return df.sparkSession.createDataFrame(out, "rows bigint, seconds double, rows_per_second double")

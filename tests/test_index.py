@@ -262,3 +262,12 @@ def test_sources(spark, tmp_path):
     assert one == two and len(one) == 50
     assert [r["id"] for r in S.first_rows(big, ["id"], 3).collect()] == [0, 1, 2]
     assert S.keep_known(df, ["b", "zzz"]).columns == ["b"]
+
+
+def test_runs_over_sizes_and_settings(table, index):
+    cols = [c for c in index.inputs]
+    built = E.build_times(table, (200, 400), PARAMS, cols, ["id"]).collect()
+    assert [r["rows"] for r in built] == [200, 400] and all(r["seconds"] > 0 for r in built)
+    scored = E.batch_times(index, table, (1, 50), ["id"]).collect()
+    assert [r["rows"] for r in scored] == [1, 50] and all(r["rows_per_second"] == pytest.approx(r["rows"] / r["seconds"]) for r in scored)
+    assert list(E.GRID) == ["baseline", "more_trees", "deeper_trees", "more_bins", "finer_initial", "stricter_merging", "combined"]
