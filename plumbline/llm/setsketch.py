@@ -166,14 +166,11 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 class Links:
     """The components that confirmed links make, grown batch by batch."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame):
-        self.docs, self.nodes = docs, nodes
+    def __init__(self, docs: DataFrame, nodes: DataFrame, wanted: DataFrame):
+        """`wanted`: the nodes (distinct) that may have links. Their sets are read again, once, from one text each."""
         self.roots = docs.sparkSession.createDataFrame([], "node bigint, root bigint")
-
-    def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """node, n, members of some nodes (distinct), read again from one text each."""
-        wanted = wanted.join(self.nodes, "node").select("node", F.col("like.doc_id").alias("w_id"), F.col("like.k1").alias("w1"), F.col("like.k2").alias("w2"))
-        rows = texts(self.docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *_text_keys())
+        wanted = wanted.join(nodes, "node").select("node", F.col("like.doc_id").alias("w_id"), F.col("like.k1").alias("w1"), F.col("like.k2").alias("w2"))
+        rows = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *_text_keys())
         match = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))
         rows = rows.join(wanted, match).select("node", F.col("text").cast("binary").alias("text"))
 
@@ -183,7 +180,7 @@ class Links:
                 yield pa.RecordBatch.from_arrays([p["node"], pa.array([len(f) for f in found], pa.int64()),
                                                   pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "n", "members"])
 
-        return written(rows.mapInArrow(members, "node bigint, n bigint, members binary").dropDuplicates(["node"]), "sets")
+        self.sets = written(rows.mapInArrow(members, "node bigint, n bigint, members binary").dropDuplicates(["node"]), "sets")
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs in different components."""
@@ -198,15 +195,14 @@ class Links:
         pairs = written(pairs.withColumn("place", F.expr(place)), "candidates")
         if pairs.isEmpty():
             return
-        sets = self.sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-        self._confirm(pairs.filter("place <= 2").select("a", "b"), sets)
+        self._confirm(pairs.filter("place <= 2").select("a", "b"))
         rest = written(self.apart(pairs.filter("place > 2").select("a", "b")), "rest")
         if not rest.isEmpty():
-            self._confirm(rest, sets)
+            self._confirm(rest)
 
-    def _confirm(self, pairs: DataFrame, sets: DataFrame) -> None:
+    def _confirm(self, pairs: DataFrame) -> None:
         for side in "ba":
-            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("members").alias(f"m_{side}")), side)
+            pairs = pairs.join(self.sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("members").alias(f"m_{side}")), side)
         shared = pairs.select("a", "b", "n_a", "n_b", _common("m_a", "m_b").alias("both"))
         self.add(shared.filter(100 * F.col("both") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
 
@@ -301,7 +297,8 @@ def stars(rows: DataFrame) -> DataFrame:
 def link(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root of all nodes that are linked with another one."""
     shared = stars(written(bands(nodes), "bands"))
-    links = Links(docs, nodes)
+    met = shared.select("node").distinct().unionByName(shared.select(F.col("hub").alias("node")).distinct()).distinct()
+    links = Links(docs, nodes, met)
     links.test(_plausible(shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes))
     rest = shared.filter("size > 2").select("key", "band", "node")      # two nodes have met already
     opened = written(_open_buckets(rest, links), "open").filter(F.col("size") <= SMALL)
@@ -311,7 +308,7 @@ def link(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     links.test(_plausible(across, nodes))
     opened = written(_open_buckets(rest, links).filter(F.col("size") > SMALL), "open")
     if not opened.isEmpty():
-        links.add(_block_links(opened, nodes, links.sets_of(opened.select("node").distinct())))
+        links.add(_block_links(opened, nodes, links.sets))
     return links.roots
 
 
