@@ -8,25 +8,33 @@ Trees grow level by level. While a node holds many vectors, one Spark aggregate
 trees by feature and bin, and the best cuts follow from the counts. Nodes of at most `local` vectors are grown to their
 end by one task each, again level by level, on arrays.
 
-A tree has at most twice as many nodes as there are distinct vectors, and the bins bound those; the finished forest is
-held by the driver and broadcast for scoring.
+A tree has at most twice as many nodes as there are distinct vectors, and the bins bound those. Finished subtrees are
+written by the tasks that grow them, into the folder all executors share. Nobody holds a whole forest: scoring reads one
+subtree after the other, for many rows at a time.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pfs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import materialize, quoted
+from ..core import materialize, quoted, shared_dir
 
 LOCAL = 50_000          # vectors of a node that one task grows
-NODES_SCHEMA = "tree int, node int, feature int, cut int, low int, high int, gain double, value array<double>"
+PASS = 1_000_000        # rows that are scored while the trees are read once
+# A subtree below node `top` of the upper part: feature -1 is a leaf, whose `low` is its place in `leaf`; else the children
+# are low and low + 1. `gains` is what its cuts take away, per feature.
+SUBTREES_SCHEMA = "tree int, top int, feature array<int>, cut array<int>, low array<int>, leaf array<double>, gains array<double>"
 
 
 # -- splitting, shared by the aggregated and the local levels ----------------------------------------
@@ -137,7 +145,6 @@ class Forest:
     high: np.ndarray
     gain: np.ndarray
     value: np.ndarray
-    _shared: dict = field(default_factory=dict, repr=False)
 
     def leaves(self, rows: np.ndarray) -> np.ndarray:
         """The leaf (row, tree) of each bin vector."""
@@ -161,17 +168,52 @@ class Forest:
             out[at:at + 2_000] = self.value[self.leaves(distinct[at:at + 2_000])].mean(axis=1)
         return out[place.reshape(-1)]
 
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> StoredForest:
+        return StoredForest.load(spark, path)
+
+
+@dataclass
+class StoredForest:
+    """Trees in a folder that the driver and all executors can read, one folder per tree and one row per subtree.
+
+    The driver holds their upper parts, which end where one task can grow the rest.
+    """
+
+    bins: list[str]
+    targets: list[str]
+    path: str
+    trees: list[int]
+    tops: _Tops
+    gains: list[list[float]]          # per tree, per feature
+
+    def predict(self, rows: np.ndarray) -> np.ndarray:
+        """Mean over the trees, per row and target. Equal rows are looked up once; one subtree is held at a time."""
+        distinct, place = np.unique(np.asarray(rows, np.int32), axis=0, return_inverse=True)
+        out = np.zeros((len(distinct), len(self.targets)))
+        for tree in self.trees:
+            at = self.tops.place(tree, distinct)
+            for top, feature, cut, low, leaf in _subtrees(self.path, tree):
+                here = np.flatnonzero(at == top)
+                if len(here):
+                    out[here] += leaf.reshape(-1, len(self.targets))[_leaf(feature, cut, low, distinct[here])]
+        return (out / max(1, len(self.trees)))[place.reshape(-1)]
+
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds pred_<target> columns, row by row; works on streams."""
-        context = df.sparkSession.sparkContext
-        if context.applicationId not in self._shared:
-            plain = Forest(self.bins, self.targets, self.start, self.feature, self.cut, self.low, self.high, self.gain, self.value)
-            self._shared[context.applicationId] = context.broadcast(plain)
-        shared, names = self._shared[context.applicationId], [f"p{i}" for i in range(len(self.targets))]
+        """Adds pred_<target> columns, without any shuffle; works on streams. Tasks gather rows, so that trees are seldom read."""
+        plain, names = self, [f"p{i}" for i in range(len(self.targets))]
 
         @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
-        def score(*cols: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame(shared.value.predict(np.column_stack([c.to_numpy(np.int64) for c in cols])), columns=names)
+        def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+            held, n = [], 0
+            for cols in parts:
+                held.append(np.column_stack([c.to_numpy(np.int32) for c in cols]))
+                n += len(held[-1])
+                if n >= PASS:
+                    yield pd.DataFrame(plain.predict(np.concatenate(held)), columns=names)
+                    held, n = [], 0
+            if n:
+                yield pd.DataFrame(plain.predict(np.concatenate(held)), columns=names)
 
         rows = df.withColumn("__pred", score(*[F.col(quoted(b)) for b in self.bins]))
         return rows.withColumns({f"pred_{m}": F.col(f"__pred.{n}") for m, n in zip(self.targets, names)}).drop("__pred")
@@ -179,34 +221,43 @@ class Forest:
     def importances(self) -> list[float]:
         """Share of the error that each feature's cuts take away: per tree, then the mean over trees, scaled to sum 1."""
         total = np.zeros(len(self.bins))
-        for a, b in zip(self.start, [*self.start[1:], len(self.feature)]):
-            inner = self.feature[a:b] >= 0
-            own = np.bincount(self.feature[a:b][inner], self.gain[a:b][inner], len(self.bins))
+        for own in map(np.array, self.gains):
             total += own / own.sum() if own.sum() > 0 else 0.0
         return (total / total.sum() if total.sum() > 0 else total).tolist()
 
     def save(self, spark: SparkSession, path: str) -> None:
-        ends = [*self.start[1:], len(self.feature)]
-        tree = np.repeat(np.arange(len(self.start)), np.diff([*self.start, len(self.feature)]))
-        node = np.concatenate([np.arange(b - a) for a, b in zip(self.start, ends)])
-        pdf = pd.DataFrame({"tree": tree, "node": node, "feature": self.feature, "cut": self.cut, "low": self.low, "high": self.high,
-                            "gain": self.gain, "value": self.value.tolist()})
-        spark.createDataFrame(pdf, NODES_SCHEMA).write.mode("overwrite").parquet(f"{path}/nodes")
-        spark.createDataFrame([(self.bins, self.targets)], "bins array<string>, targets array<string>").coalesce(1).write.mode(
-            "overwrite").parquet(f"{path}/columns")
+        spark.read.schema(SUBTREES_SCHEMA).parquet(self.path).write.mode("overwrite").partitionBy("tree").parquet(f"{path}/trees")
+        head = {"bins": self.bins, "targets": self.targets, "trees": self.trees, "gains": self.gains, "upper": self.tops.to_lists()}
+        spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/forest")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Forest:
-        head = spark.read.parquet(f"{path}/columns").first()
-        pdf = spark.read.schema(NODES_SCHEMA).parquet(f"{path}/nodes").toPandas().sort_values(["tree", "node"])
-        return _forest(list(head["bins"]), list(head["targets"]), pdf)
-
-
-def _forest(bins: list[str], targets: list[str], nodes: pd.DataFrame) -> Forest:
-    tree = nodes["tree"].to_numpy()
-    start = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]])) if len(tree) else np.zeros(0, np.int64)
-    ints = {c: nodes[c].to_numpy(np.int64) for c in ("feature", "cut", "low", "high")}
-    return Forest(bins, targets, start, gain=nodes["gain"].to_numpy(float), value=np.array(nodes["value"].tolist(), float).reshape(-1, len(targets)), **ints)
+    def load(spark: SparkSession, path: str) -> StoredForest:
+        """The trees are copied to the shared folder, since tasks can't open every path that Spark can."""
+        head = json.loads(spark.read.text(f"{path}/forest").first()["value"])
+        own = shared_dir(spark, "forest")
+        spark.read.schema(SUBTREES_SCHEMA).parquet(f"{path}/trees").write.partitionBy("tree").parquet(own)
+        return StoredForest(head["bins"], head["targets"], own, head["trees"], _Tops.from_lists(head["upper"]), head["gains"])
+
+
+def _subtrees(path: str, tree: int) -> Iterator[tuple]:
+    """(top, feature, cut, low, leaf) of one stored tree."""
+    files, at = pfs.FileSystem.from_uri(path) if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", path) else (pfs.LocalFileSystem(), path)
+    for f in sorted(files.get_file_info(pfs.FileSelector(f"{at}/tree={tree}")), key=lambda i: i.path):
+        if f.path.endswith(".parquet"):
+            with files.open_input_file(f.path) as source:
+                for b in pq.ParquetFile(source).iter_batches(1, columns=["top", "feature", "cut", "low", "leaf"]):
+                    yield b.column(0)[0].as_py(), *(b.column(i).flatten().to_numpy() for i in range(1, 5))
+
+
+def _leaf(feature: np.ndarray, cut: np.ndarray, low: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The place in the leaves of each bin vector."""
+    at, live = np.zeros(len(rows), np.int32), np.arange(len(rows))
+    while len(live):
+        f = feature[at[live]]
+        live, f = live[f >= 0], f[f >= 0]
+        here = at[live]
+        at[live] = low[here] + (rows[live, f] > cut[here])
+    return low[at]
 
 
 class _Tops:
@@ -222,6 +273,18 @@ class _Tops:
         for k in (0, 1):
             self.depth[tree][child + k] = self.depth[tree][node] + 1
 
+    def to_lists(self) -> list[list[list]]:
+        """Per tree the cuts in the order they were made."""
+        return [[[node, *cut] for node, cut in cuts.items()] for cuts in self.cuts]
+
+    @staticmethod
+    def from_lists(upper: list[list[list]]) -> _Tops:
+        out = _Tops(len(upper))
+        for tree, cuts in enumerate(upper):
+            for node, feature, cut, _, gain in cuts:
+                out.split(tree, node, feature, cut, gain)
+        return out
+
     def place(self, tree: int, rows: np.ndarray) -> np.ndarray:
         """The lowest known node of each row."""
         node = np.zeros(len(rows), np.int64)
@@ -238,9 +301,9 @@ def _arrays(pdf: pd.DataFrame, bins: Sequence[str], targets: Sequence[str]) -> t
 
 
 def fit_forest(vectors: DataFrame, bins: Sequence[str], targets: Sequence[str], trees: int, depth: int, n_bins: int, seed: int = 42,
-               local: int = LOCAL) -> Forest:
+               local: int = LOCAL) -> StoredForest:
     """vectors: distinct bin vectors with __w (their number of rows) and the targets' means."""
-    bins, targets = list(bins), list(targets)
+    bins, targets, spark = list(bins), list(targets), vectors.sparkSession
     data = materialize(with_draws(vectors.select(*bins, "__w", *targets), bins, trees, seed))
     tops, m = _Tops(trees), len(targets)
     # Levels by aggregates, for nodes that no single task should grow.
@@ -256,8 +319,6 @@ def fit_forest(vectors: DataFrame, bins: Sequence[str], targets: Sequence[str],
             break
         sizes = grown
 
-    schema = "tree int, top int, size bigint, feature array<int>, cut array<int>, low array<int>, high array<int>, gain array<double>, value array<double>"
-
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             x, y, drawn = _arrays(p, bins, targets)
@@ -273,17 +334,31 @@ def fit_forest(vectors: DataFrame, bins: Sequence[str], targets: Sequence[str],
         rows = rows.sort_values([f"x{i}" for i in range(len(bins))])     # sums do not depend on the order rows arrive in
         got = grow(rows[[f"x{i}" for i in range(len(bins))]].to_numpy(np.int64), rows["w"].to_numpy(float),
                    rows[[f"y{i}" for i in range(m)]].to_numpy(float), depth - tops.depth[tree][top], n_bins)
-        one = {k: [v.reshape(-1).tolist()] for k, v in got.items()}
-        return pd.DataFrame({"tree": [tree], "top": [top], "size": [len(rows)], **one})
+        inner = got["feature"] >= 0
+        one = {"feature": got["feature"], "cut": got["cut"], "low": np.where(inner, got["low"], np.cumsum(~inner) - 1), "leaf": got["value"][~inner].reshape(-1),
+               "gains": np.bincount(got["feature"][inner], got["gain"][inner], len(bins))}
+        return pd.DataFrame({"tree": [tree], "top": [top], **{k: [v] for k, v in one.items()}})
 
     columns = [*[f"x{i} bigint" for i in range(len(bins))], *[f"y{i} double" for i in range(m)], "tree int", "top int", "w double"]
     dealt = data.mapInPandas(deal, ", ".join(columns))
-    grown = dealt.groupBy("tree", "top").applyInPandas(finish, schema).collect()
-    if not grown:
+    path = shared_dir(spark, "forest")
+    dealt.groupBy("tree", "top").applyInPandas(finish, SUBTREES_SCHEMA).write.partitionBy("tree").parquet(path)
+    stored = spark.read.schema(SUBTREES_SCHEMA).parquet(path)
+    # One row per subtree, a few numbers each.
+    found = stored.select("tree", "top", "gains").orderBy("tree", "top").collect()
+    if not found:
         means = vectors.agg(*[F.expr(f"coalesce(sum(__w * {quoted(t)}) / sum(__w), 0D)").alias(f"y{i}") for i, t in enumerate(targets)]).first()
-        leaf = {"feature": [-1], "cut": [0], "low": [-1], "high": [-1], "gain": [0.0], "value": [float(v) for v in means]}
-        return _joined(bins, targets, tops, {(0, 0): leaf})
-    return _joined(bins, targets, tops, {(r["tree"], r["top"]): r for r in grown})
+        leaf = [(0, 0, [-1], [0], [0], [float(v) for v in means], [0.0] * len(bins))]
+        spark.createDataFrame(leaf, SUBTREES_SCHEMA).write.mode("append").partitionBy("tree").parquet(path)
+        return StoredForest(bins, targets, path, [0], _Tops(trees), [[0.0] * len(bins)])
+    gains: dict[int, np.ndarray] = {}               # a tree that drew no row at all is left out
+    for r in found:
+        own = gains.setdefault(r["tree"], np.zeros(len(bins)))
+        own += r["gains"]
+    for tree, own in gains.items():
+        for f, _, _, g in tops.cuts[tree].values():
+            own[f] += g
+    return StoredForest(bins, targets, path, list(gains), tops, [own.tolist() for own in gains.values()])
 
 
 def _sizes(data: DataFrame, bins: list[str], targets: list[str], tops: _Tops) -> dict[tuple[int, int], tuple[int, bool]]:
@@ -333,30 +408,3 @@ def _level(data: DataFrame, bins: list[str], targets: list[str], tops: _Tops, wi
     sums = sent.groupBy("tree", "node", "f", "b").agg(*[F.sum(n).alias(n) for n in names])
     found = sums.groupBy("tree", "node").applyInPandas(choose, "tree int, node int, feature int, cut int, gain double").filter("feature >= 0")
     return [tuple(r) for r in found.orderBy("tree", "node").collect()]
-
-
-def _joined(bins: list[str], targets: list[str], tops: _Tops, grown: dict) -> Forest:
-    """Upper cuts and grown subtrees as one list of nodes per tree."""
-    parts, m = [], len(targets)
-    for tree in sorted({t for t, _ in grown}):          # a tree that drew no row at all is left out
-        cuts, size = tops.cuts[tree], len(tops.depth[tree])
-        feature, cut, low, high = np.full(size, -1), np.zeros(size, np.int64), np.full(size, -1), np.full(size, -1)
-        gain, value = np.zeros(size), np.zeros((size, m))
-        for node, (f, c, child, g) in cuts.items():
-            feature[node], cut[node], low[node], high[node], gain[node] = f, c, child, child + 1, g
-        pieces, base = [[feature, cut, low, high, gain, value]], size
-        for (t, top), r in sorted(grown.items()):
-            if t != tree:
-                continue
-            # The subtree's root takes the place of its upper node; the others follow, one place earlier each.
-            f, c, lo, hi = (np.array(r[k], np.int64) for k in ("feature", "cut", "low", "high"))
-            lo, hi = (np.where(x >= 0, base + x - 1, -1) for x in (lo, hi))
-            g, v = np.array(r["gain"], float), np.array(r["value"], float).reshape(-1, m)
-            feature[top], cut[top], low[top], high[top], gain[top], value[top] = f[0], c[0], lo[0], hi[0], g[0], v[0]
-            pieces.append([x[1:] for x in (f, c, lo, hi, g, v)])
-            base += len(f) - 1
-        whole = [np.concatenate(x) for x in zip(*pieces)]
-        parts.append(whole)
-    start = np.cumsum([0, *[len(p[0]) for p in parts]])[:-1]
-    f, c, lo, hi, g, v = (np.concatenate(x) for x in zip(*parts))
-    return Forest(bins, targets, start, f, c, lo, hi, g, v)

@@ -1,5 +1,7 @@
 """The forest against trees grown by hand, its bootstrap, and the paths by aggregate and by task."""
 
+import pickle
+
 import numpy as np
 import pytest
 
@@ -107,3 +109,19 @@ def test_edge_cases(spark, tmp_path):
     forest.save(spark, str(tmp_path / "f"))
     again = R.Forest.load(spark, str(tmp_path / "f"))
     assert (again.predict(x) == forest.predict(x)).all() and again.importances() == forest.importances()
+
+
+def test_a_fitted_forest_stays_out_of_the_driver(spark, tmp_path, monkeypatch):
+    """What the driver keeps, and every scoring task is sent, does not grow with the nodes; passes of a few rows score alike."""
+    x, w, y = rows_of()
+    y = y + np.random.default_rng(1).normal(0, 1, y.shape)
+    df = frame(spark, x, w, y)
+    forest = R.fit_forest(df, BINS, TARGETS, 40, 20, 6)
+    nodes = spark.read.parquet(forest.path).selectExpr("sum(size(feature))").first()[0]
+    assert nodes > 3_000 and len(pickle.dumps(forest)) < 10_000
+    want = {tuple(r): tuple(p) for r, p in zip(x, forest.predict(x))}
+    monkeypatch.setattr(R, "PASS", 7)
+    forest.save(spark, str(tmp_path / "f"))
+    for one in (forest, R.Forest.load(spark, str(tmp_path / "f"))):
+        got = {(r["b0"], r["b1"], r["b2"]): (r["pred_u"], r["pred_v"]) for r in one.transform(df).collect()}
+        assert got == want
