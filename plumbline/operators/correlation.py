@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..core import materialize, numeric_columns, quoted, same_keys, spread
 from ..functions.quantiles import running_counts
 
+RANGE = 1_000_000       # value pairs that one task puts in order
+
 
 def correlation(df: DataFrame, method: str = "pearson", columns: Sequence[str] | None = None) -> DataFrame:
     """(column_a, column_b, correlation) for every pair; NULL where a column is constant."""
@@ -73,26 +78,45 @@ def _spearman(pairs: DataFrame) -> DataFrame:
 
 
 def _kendall(pairs: DataFrame) -> DataFrame:
-    """tau-b. Discordant pairs are counted bit by bit of y's rank, never listed.
+    """tau-b. Discordant pairs are counted, never listed: every value pair is dealt twice.
 
-    Two values of y first differ, from the top, in one bit of their ranks. For every bit, rows that
-    agree above it form a group; within it, a row whose bit is 0 is discordant with the rows of
-    smaller x whose bit is 1, and a running sum over x counts those.
+    In the order of (x, y), a discordant pair is one whose y falls. Rows are dealt by ranges of that order and counted inside
+    them; what is left lies in two ranges i < j. Those are dealt by ranges k of (y, i): inside a range they are counted in the
+    order of (i, y), and a pair in two ranges is discordant if i rises and k falls, so the sizes of the cells (i, k) tell the
+    number. A value that many rows share is spread over ranges in both orders.
     """
     spark = pairs.sparkSession
     sides = _sides(pairs)
-    distinct = sides.selectExpr("pair", "side", "v", "n AS weight", "1L AS one")
-    ranks = running_counts(distinct, ["pair", "side"], "v", "one")
-    rx = ranks.filter("side = 0").selectExpr("pair", "v AS x", "before AS rx", "size AS size_x")
-    ry = ranks.filter("side = 1").selectExpr("pair", "v AS y", "before AS ry", "size AS size_y")
-    rows = same_keys(same_keys(pairs, rx, ["pair", "x"]), ry, ["pair", "y"])
-    bits = spark.sql(
-        f"SELECT pair, bit, shiftright(ry, bit + 1) AS prefix, rx, "
-        "sum(IF(shiftright(ry, bit) & 1 = 1, n, 0)) AS ones, sum(IF(shiftright(ry, bit) & 1 = 1, 0, n)) AS zeros "
-        "FROM (SELECT *, explode(sequence(0, CAST(ceil(log2(greatest(size_y, 2))) AS INT) - 1)) AS bit FROM {r}) "
-        "GROUP BY pair, bit, prefix, rx", r=rows)
-    counted = running_counts(bits, ["pair", "bit", "prefix"], "rx", "ones")
-    crossed = spark.sql("SELECT pair, sum(CAST(zeros AS DOUBLE) * before) AS discordant FROM {c} GROUP BY pair", c=counted)
+    ranges = max(spark.sparkContext.defaultParallelism, pairs.count() // RANGE + 1)
+
+    def inside(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole(parts):
+            inner = np.zeros(len(rows), np.int64)
+            for a, b in _runs(rows["pair"].to_numpy()):
+                inner[a] = discordant(rows["y"].to_numpy()[a:b], rows["n"].to_numpy()[a:b])
+            yield rows.assign(inner=inner)
+
+    def across(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole(parts):
+            for a, b in _runs(rows["pair"].to_numpy()):
+                run = rows.iloc[a:b]
+                cells = run.groupby("i", as_index=False)["n"].sum().assign(pair=run["pair"].iloc[0], k=run["k"].iloc[0], inner=0)
+                cells.loc[0, "inner"] = discordant(run["y"].to_numpy(), run["n"].to_numpy())
+                yield cells
+
+    def over(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values(["i", "k"])
+        return pd.DataFrame({"pair": cells["pair"].iloc[:1], "found": [discordant(cells["k"].to_numpy(), cells["n"].to_numpy()) + cells["inner"].sum()]})
+
+    by_x = pairs.repartitionByRange(ranges, "pair", "x", "y").sortWithinPartitions("pair", "x", "y").select(
+        "pair", F.spark_partition_id().alias("i"), "y", "n")
+    by_x = materialize(by_x.mapInPandas(inside, "pair int, i int, y double, n bigint, inner bigint"))
+    by_y = by_x.repartitionByRange(ranges, "pair", "y", "i").sortWithinPartitions("pair", "i", "y").select(
+        "pair", "i", F.spark_partition_id().alias("k"), "y", "n")
+    cells = by_y.mapInPandas(across, "pair int, i int, k int, n bigint, inner bigint")
+    apart = cells.groupBy("pair").applyInPandas(over, "pair int, found bigint")
+    crossed = spark.sql("SELECT pair, CAST(sum(found) AS DOUBLE) AS discordant FROM (SELECT pair, found FROM {a} UNION ALL SELECT pair, inner AS found FROM {b}) "
+                        "GROUP BY pair", a=apart, b=by_x)
     ties = spark.sql(
         "SELECT pair, sum(IF(side = 0, CAST(n AS DOUBLE) * (n - 1) / 2, 0D)) AS tx, sum(IF(side = 1, CAST(n AS DOUBLE) * (n - 1) / 2, 0D)) AS ty, "
         "sum(IF(side = 0, CAST(n AS DOUBLE), 0D)) AS size FROM {s} GROUP BY pair", s=sides)
@@ -101,3 +125,35 @@ def _kendall(pairs: DataFrame) -> DataFrame:
     total = "(size * (size - 1) / 2)"
     return parts.selectExpr(
         "pair", f"try_divide({total} - tx - ty + txy - 2 * discordant, sqrt({total} - tx) * sqrt({total} - ty)) AS correlation")
+
+
+def _whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A partition in one piece; nothing for an empty one."""
+    held = [p for p in parts if len(p)]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last place (exclusive) of every run of equal keys."""
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist())
+
+
+def discordant(values: np.ndarray, n: np.ndarray) -> int:
+    """Sum of n * n over the pairs of rows whose value falls, bit by bit of the value's rank.
+
+    Two ranks first differ, from the top, in one bit. Rows that agree above it form a group, in their old order; in it, a row
+    whose bit is 0 falls behind the rows before it whose bit is 1.
+    """
+    rank = np.unique(values, return_inverse=True)[1].reshape(-1)
+    n, found = np.asarray(n, np.int64), 0
+    for bit in reversed(range(int(rank.max()).bit_length())):
+        group, one = rank >> (bit + 1), (rank >> bit) & 1 == 1
+        ones = np.concatenate([[0], np.cumsum(np.where(one, n, 0))])
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        before = ones[:-1] - np.repeat(ones[first], np.diff([*first, len(group)]))
+        found += int((n * before)[~one].sum())
+        order = np.argsort(rank >> bit, kind="stable")
+        rank, n = rank[order], n[order]
+    return found

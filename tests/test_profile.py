@@ -130,3 +130,19 @@ def test_chi2_tail():
     for x in (0.1, 1.0, 5.0, 40.0):
         assert D._upper_gamma(1.0, x / 2) == pytest.approx(math.exp(-x / 2), rel=1e-5)
         assert D._upper_gamma(0.5, x / 2) == pytest.approx(math.erfc(math.sqrt(x / 2)), rel=1e-3)
+
+
+def test_kendall_over_many_ranges_with_hot_values(spark, monkeypatch):
+    """Ranges of a few rows each; one value fills many ranges, and counts weigh the pairs."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 40, 600).astype(float), rng.integers(0, 9, 600).astype(float)
+    x[:250], y[200:400] = 17.0, 4.0
+    y[rng.random(600) < 0.1] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "z": -x + y})).selectExpr("x", "nanvl(y, NULL) AS y", "nanvl(z, NULL) AS z")
+    monkeypatch.setattr(C, "RANGE", 25)
+    got = {(r["column_a"], r["column_b"]): r["correlation"] for r in C.correlation(df, "kendall").collect()}
+    pdf = df.toPandas()
+    for (a, b), v in got.items():
+        u, w = pdf[[a, b]].dropna().to_numpy().T
+        du, dw = np.sign(u[:, None] - u), np.sign(w[:, None] - w)
+        assert v == pytest.approx((du * dw).sum() / np.sqrt((du ** 2).sum() * (dw ** 2).sum()), abs=1e-12)
