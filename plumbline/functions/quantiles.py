@@ -94,7 +94,8 @@ def grouped_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
               SELECT {by}, __c, {value} AS __v, {part} AS __part
               FROM (SELECT {by}, inline(array({cells})) FROM {{rows}}) WHERE __v IS NOT NULL)
             GROUP BY {by}, __c, __part, __v""", rows=rows)
-        ranked = _ranked(counts, [*keys, "__c"], probs).persist()
+        # Written once: the slices' totals and their values both come from the counts.
+        ranked = _ranked(materialize(counts), [*keys, "__c"], probs).persist()
         places = " OR ".join(f"(__below <= {x} AND {x} < __below + __n)" for p in probs
                              for x in (f"floor((__size - 1) * {p:.17g}D)", f"least(floor((__size - 1) * {p:.17g}D) + 1, __size - 1)"))
         if whole or ranked.filter(f"(__part div {SLICES}) % 2 = 0 AND ({places})").isEmpty():

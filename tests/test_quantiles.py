@@ -76,3 +76,19 @@ def test_blocks_reach_as_far_as_the_halo(spark):
         at.setdefault(r["__block"], set()).add(r["position"])
     for b in range(10):
         assert at[b] >= {p for p in range(100) if 10 * b - 25 <= p <= 10 * b + 9 + 25}
+
+
+def test_grouped_quantiles_read_their_input_twice(spark):
+    """Once for the sketches and once for the counts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    df = spark.range(3000).selectExpr("id % 3 AS g", "CAST(id * 7 % 1009 AS DOUBLE) AS x").mapInPandas(look, "g bigint, x double")
+    got = {r["g"]: r["x"] for r in Q.grouped_quantiles(df, ["x"], (0.25, 0.75), ["g"]).collect()}
+    for g in range(3):
+        assert got[g] == pytest.approx(np.quantile([i * 7 % 1009 for i in range(g, 3000, 3)], (0.25, 0.75)).tolist())
+    assert seen.value == 2 * 3000
