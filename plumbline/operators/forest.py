@@ -300,11 +300,22 @@ def _arrays(pdf: pd.DataFrame, bins: Sequence[str], targets: Sequence[str]) -> t
     return pdf[list(bins)].to_numpy(np.int64), pdf[list(targets)].to_numpy(float), drawn
 
 
+def _packed(x: np.ndarray, y: np.ndarray, drawn: np.ndarray, place: np.ndarray) -> pd.DataFrame:
+    """The drawn vectors of a batch, one row of packed arrays per node: each tree draws most vectors, so rows of single vectors
+    would be shuffled and sorted once per tree."""
+    on = np.flatnonzero(drawn)
+    nodes = np.unique(place[on])
+    own = [on[place[on] == top] for top in nodes]
+    return pd.DataFrame({"top": nodes.astype(np.int32), **{c: [v[i].tobytes() for i in own] for c, v in (("x", x), ("y", y), ("w", drawn))}})
+
+
 def fit_forest(vectors: DataFrame, bins: Sequence[str], targets: Sequence[str], trees: int, depth: int, n_bins: int, seed: int = 42,
                local: int = LOCAL) -> StoredForest:
     """vectors: distinct bin vectors with __w (their number of rows) and the targets' means."""
     bins, targets, spark = list(bins), list(targets), vectors.sparkSession
-    data = materialize(with_draws(vectors.select(*bins, "__w", *targets), bins, trees, seed))
+    # Vectors are few bytes but much work, so every core gets some.
+    dealt_out = vectors.select(*bins, "__w", *targets).repartition(4 * spark.sparkContext.defaultParallelism, *bins)
+    data = materialize(with_draws(dealt_out, bins, trees, seed))
     tops, m = _Tops(trees), len(targets)
     # Levels by aggregates, for nodes that no single task should grow.
     sizes = _sizes(data, bins, targets, tops)
@@ -319,28 +330,27 @@ def fit_forest(vectors: DataFrame, bins: Sequence[str], targets: Sequence[str],
             break
         sizes = grown
 
+    kind = np.min_scalar_type(max(n_bins, 1))
+
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             x, y, drawn = _arrays(p, bins, targets)
             for tree in range(trees):
-                on = drawn[:, tree] > 0
-                if on.any():
-                    out = pd.DataFrame(x[on], columns=[f"x{i}" for i in range(len(bins))])
-                    out[[f"y{i}" for i in range(m)]] = y[on]
-                    yield out.assign(tree=tree, top=tops.place(tree, x[on]), w=drawn[on, tree].astype(float))
+                if drawn[:, tree].any():
+                    yield _packed(x.astype(kind), y, drawn[:, tree], tops.place(tree, x)).assign(tree=np.int32(tree))
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
         tree, top = int(rows["tree"].iloc[0]), int(rows["top"].iloc[0])
-        rows = rows.sort_values([f"x{i}" for i in range(len(bins))])     # sums do not depend on the order rows arrive in
-        got = grow(rows[[f"x{i}" for i in range(len(bins))]].to_numpy(np.int64), rows["w"].to_numpy(float),
-                   rows[[f"y{i}" for i in range(m)]].to_numpy(float), depth - tops.depth[tree][top], n_bins)
+        x, y, w = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("x", kind), ("y", np.float64), ("w", np.int64)))
+        x, y = x.reshape(-1, len(bins)).astype(np.int64), y.reshape(-1, m)
+        order = np.lexsort(x.T[::-1])                # sums do not depend on the order vectors arrive in
+        got = grow(x[order], w[order].astype(float), y[order], depth - tops.depth[tree][top], n_bins)
         inner = got["feature"] >= 0
         one = {"feature": got["feature"], "cut": got["cut"], "low": np.where(inner, got["low"], np.cumsum(~inner) - 1), "leaf": got["value"][~inner].reshape(-1),
                "gains": np.bincount(got["feature"][inner], got["gain"][inner], len(bins))}
         return pd.DataFrame({"tree": [tree], "top": [top], **{k: [v] for k, v in one.items()}})
 
-    columns = [*[f"x{i} bigint" for i in range(len(bins))], *[f"y{i} double" for i in range(m)], "tree int", "top int", "w double"]
-    dealt = data.mapInPandas(deal, ", ".join(columns))
+    dealt = data.mapInPandas(deal, "top int, x binary, y binary, w binary, tree int")
     path = shared_dir(spark, "forest")
     dealt.groupBy("tree", "top").applyInPandas(finish, SUBTREES_SCHEMA).write.partitionBy("tree").parquet(path)
     stored = spark.read.schema(SUBTREES_SCHEMA).parquet(path)

@@ -125,3 +125,15 @@ def test_a_fitted_forest_stays_out_of_the_driver(spark, tmp_path, monkeypatch):
     for one in (forest, R.Forest.load(spark, str(tmp_path / "f"))):
         got = {(r["b0"], r["b1"], r["b2"]): (r["pred_u"], r["pred_v"]) for r in one.transform(df).collect()}
         assert got == want
+
+
+def test_vectors_travel_packed_per_node():
+    x, w, y = rows_of()
+    drawn, place = (np.arange(len(x)) % 3).astype(np.int64), np.arange(len(x)) % 4
+    got = R._packed(x.astype(np.uint8), y, drawn, place)
+    assert list(got["top"]) == [0, 1, 2, 3]
+    for r in got.itertuples():
+        here = (place == r.top) & (drawn > 0)
+        assert np.array_equal(np.frombuffer(r.x, np.uint8).reshape(-1, 3), x[here])
+        assert np.array_equal(np.frombuffer(r.y, float).reshape(-1, 2), y[here])
+        assert np.array_equal(np.frombuffer(r.w, np.int64), drawn[here])
