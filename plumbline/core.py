@@ -116,6 +116,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+COUNT = "__count"       # how many equal rows a row stands for
+
+
+def count_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct rows of the columns and how often they come, in COUNT; written once. Such a table is returned as it is.
+
+    Equal rows meet before the shuffle, so a table of many copies is read once and small from there on.
+    """
+    if COUNT in df.columns:
+        return df
+    kinds = dict(df.dtypes)
+    rows = clean(df.select(*[F.col(quoted(c)).cast("string").alias(c) if kinds.get(c) == "void" else F.col(quoted(c)) for c in columns]))
+    return materialize(rows.groupBy(*[F.col(quoted(c)) for c in rows.columns]).agg(F.count(F.lit(1)).alias(COUNT)))
+
+
 def settings(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table of parameters (weights, thresholds), one row per setting."""
     return spark.createDataFrame(rows, schema)

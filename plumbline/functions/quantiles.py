@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import attach, materialize, quoted, same_keys
+from ..core import COUNT, attach, materialize, quoted, same_keys
 
 PARTIALS = 512            # partial sketches per group, merged in a second step
 SLICES = 64               # ranking tasks per interval
+CELLS = 512               # cells of a column of counted rows
 
 
 def rank_error(k: int) -> float:
@@ -131,17 +133,77 @@ def _ranked(counts: DataFrame, group: Sequence[str], wanted: Sequence[float]) ->
         f"__before + sum(__n) OVER (PARTITION BY {by}, __part ORDER BY __v ROWS UNBOUNDED PRECEDING) - __n AS __below")
 
 
+@dataclass
+class CountedQuantiles:
+    """Of counted rows, per group and column number c: means (keys, c, n, mean), and values (keys, c, q, value)."""
+
+    means: DataFrame
+    values: DataFrame
+
+
+def counted_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] | Callable[[int], Sequence[float]],
+                      keys: Sequence[str] = ()) -> CountedQuantiles:
+    """Exact linear-interpolated quantiles of rows that stand for COUNT equal ones; only without keys may `probs` be a function.
+
+    Counts per cell of a column tell which cells hold the wanted positions; only the values of these are counted one by
+    one. Cells are cut by a sketch of the distinct rows: any cut gives the same result.
+    """
+    keys, columns = list(keys), list(columns)
+    by = "".join(f"{quoted(k)}, " for k in keys)
+    n = range(len(columns))
+    values = df.selectExpr(*map(quoted, keys), f"{COUNT} AS w", *[f"CAST({quoted(c)} AS DOUBLE) AS v{i}" for i, c in enumerate(columns)])
+    at = "array(" + ", ".join(f"{j / CELLS!r}D" for j in range(1, CELLS)) + ")"
+    cuts = sketched(values, [f"v{i}" for i in n], [], 4000).selectExpr(
+        *[f"kll_sketch_get_quantile_double(IF(n{i} > 0, k{i}, NULL), {at}) AS e{i}" for i in n]).first()
+    splits = [sorted({x for x in cuts[i] or [] if math.isfinite(x)}) for i in n]
+    celled = Bucketizer(splitsArray=[[-math.inf, *(s or [0.0]), math.inf] for s in splits], inputCols=[f"v{i}" for i in n],
+                        outputCols=[f"b{i}" for i in n], handleInvalid="keep").transform(values)
+    cells = ", ".join(f"struct({i} AS c, v{i} AS v, CAST(b{i} AS INT) AS b)" for i in n)
+    flat = celled.selectExpr(*map(quoted, keys), "w", f"inline(array({cells}))").filter("v IS NOT NULL")
+    hist = materialize(flat.groupBy(*keys, "c", "b").agg(F.sum("w").alias("n"), F.sum(F.expr("w * v")).alias("s")))
+    spark = df.sparkSession
+    if callable(probs):
+        sizes = {r["c"]: int(r["n"]) for r in hist.groupBy("c").agg(F.sum("n").alias("n")).collect()}
+        wanted = [sorted(probs(sizes[i])) if i in sizes else [] for i in n]
+    else:
+        wanted = [sorted(probs)] * len(columns)
+    grid = "array(" + ", ".join("CAST(array(" + ", ".join(f"{p!r}D" for p in w) + ") AS ARRAY<DOUBLE>)" for w in wanted) + ")[c]"
+    low = "CAST(floor(h) AS BIGINT)"
+    asks = (f"flatten(transform(transform({grid}, p -> (size - 1) * p), (h, q) -> array("
+            f"struct(q AS q, 0 AS side, {low} AS pos, h - floor(h) AS f), struct(q AS q, 1 AS side, least({low} + 1, size - 1) AS pos, h - floor(h) AS f))))")
+    placed = spark.sql(f"""
+        SELECT *, filter({asks}, a -> a.pos >= before AND a.pos < before + n) AS asked FROM (
+          SELECT {by}c, b, n, CAST(sum(n) OVER (PARTITION BY {by}c) AS BIGINT) AS size,
+            CAST(sum(n) OVER (PARTITION BY {by}c ORDER BY b ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS before FROM {{h}})""", h=hist)
+    # At most two cells per wanted quantile, written so that Spark knows how few they are.
+    hit = materialize(placed.filter("size(asked) > 0").select(*keys, "c", "b", "before", "asked"))
+    near = same_keys(flat, hit.select(*keys, "c", "b"), [*keys, "c", "b"]).groupBy(*keys, "c", "b", "v").agg(F.sum("w").alias("n"))
+    ranked = same_keys(near, hit, [*keys, "c", "b"]).selectExpr(
+        *map(quoted, keys), "c", "v", "n", "asked",
+        f"before + sum(n) OVER (PARTITION BY {by}c, b ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto")
+    found = ranked.selectExpr(*map(quoted, keys), "c", "v", "inline(filter(asked, a -> a.pos < upto AND a.pos >= upto - n))")
+    return CountedQuantiles(
+        spark.sql(f"SELECT {by}c, sum(n) AS n, sum(s) / sum(n) AS mean FROM {{h}} GROUP BY {by}c", h=hist),
+        spark.sql(f"""SELECT {by}c, q, a + f * (b - a) AS value FROM (SELECT {by}c, q, max(f) AS f, max(IF(side = 0, v, NULL)) AS a,
+                      max(IF(side = 1, v, NULL)) AS b FROM {{r}} GROUP BY {by}c, q)""", r=found))
+
+
 def fit_quantiles(df: DataFrame, columns: Sequence[str],
                   probs: Sequence[float] | Callable[[int], Sequence[float]],
                   k: int | None = None) -> dict[str, list[float]]:
     """Exact quantiles of whole columns as plain numbers; columns without values are left out.
 
     Any number of quantiles per column; `probs` may depend on the column's value count. The driver
-    receives interval edges and answers only: a few numbers per wanted quantile.
+    receives interval edges and answers only: a few numbers per wanted quantile. Counted rows (with COUNT) weigh as many.
     """
     columns = list(columns)
     if not columns:
         return {}
+    if COUNT in df.columns:
+        found: dict[str, dict[int, float]] = {}
+        for r in counted_quantiles(df, columns, probs).values.collect():
+            found.setdefault(columns[r["c"]], {})[r["q"]] = r["value"]
+        return {c: [found[c][q] for q in sorted(found[c])] for c in columns if c in found}
     k = k or (16000 if callable(probs) or len(probs) > 4 else 2000)
     delta = rank_error(k)
     wanted_of = probs if callable(probs) else (lambda n: list(probs))

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
-from ..core import attach, clean, materialize, numeric_columns, quoted, same_keys, spread
-from ..functions.quantiles import fit_quantiles, grouped_quantiles
+from ..core import COUNT, attach, clean, count_rows, materialize, numeric_columns, quoted, same_keys
+from ..functions.quantiles import counted_quantiles, fit_quantiles
 from .metrics import MIN_FOR_KURTOSIS, MIN_FOR_OUTLIERS, MIN_FOR_SKEW
 
 # The metrics that need no configuration, as kept for every bin.
@@ -22,10 +22,10 @@ BIN_METRICS = ("completeness", "outlier_rate", "duplicate_rate", "distribution_s
 def fit_boundaries(df: DataFrame, columns: Sequence[str] | None = None, n_bins: int = 100) -> dict[str, list[float]]:
     """Distinct quantile boundaries per column, n + 1 at most.
 
-    A constant column gives one closed bin [v, v]; a column without values is left out.
+    A constant column gives one closed bin [v, v]; a column without values is left out. Counted rows (with COUNT) weigh as many.
     """
-    cols = numeric_columns(df, columns)
-    found = fit_quantiles(clean(df.select(*cols)), cols,
+    cols = [c for c in numeric_columns(df, columns) if c != COUNT]
+    found = fit_quantiles(clean(df.select(*cols, *([COUNT] if COUNT in df.columns else []))), cols,
                           lambda n: [i / min(n_bins, n) for i in range(min(n_bins, n) + 1)])
     out = {}
     for c in cols:
@@ -75,45 +75,60 @@ def by_bin(binned: DataFrame, attributes: Sequence[str], columns: Sequence[str],
     return binned.selectExpr(f"inline(array({cells}))", *map(quoted, columns)).filter("bin_id IS NOT NULL")
 
 
-def row_groups(binned: DataFrame, attributes: Sequence[str], columns: Sequence[str], prefix: str = "bin_") -> DataFrame:
-    """(attr, bin_id, n, distinct_rows, filled): equal rows share their bins, so rows are compared once."""
+def row_groups(counted: DataFrame, attributes: Sequence[str], columns: Sequence[str], prefix: str = "bin_") -> DataFrame:
+    """(attr, bin_id, n, distinct_rows, filled) of counted rows with bins: equal rows share their bins, so rows are compared once."""
     bins = [prefix + a for a in attributes]
     filled = " + ".join(f"CAST({quoted(c)} IS NOT NULL AS INT)" for c in columns)
-    rows = binned.groupBy(*dict.fromkeys([*columns, *bins])).agg(F.count(F.lit(1)).alias("__n"))
-    rows = rows.withColumn("__filled", F.expr(f"({filled}) * __n"))
-    return by_bin(rows, attributes, ["__n", "__filled"], prefix).groupBy("attr", "bin_id").agg(
-        F.sum("__n").alias("n"), F.count(F.lit(1)).alias("distinct_rows"), F.sum("__filled").alias("filled"))
+    rows = counted
+    if set(attributes) - set(columns) or set(counted.columns) - {*columns, *bins, COUNT}:
+        rows = rows.groupBy(*[F.col(quoted(c)) for c in dict.fromkeys([*columns, *bins])]).agg(F.sum(COUNT).alias(COUNT))
+    rows = rows.withColumn("__filled", F.expr(f"({filled}) * {COUNT}"))
+    return by_bin(rows, attributes, [COUNT, "__filled"], prefix).groupBy("attr", "bin_id").agg(
+        F.sum(COUNT).alias("n"), F.count(F.lit(1)).alias("distinct_rows"), F.sum("__filled").alias("filled"))
 
 
 def bin_quality(df: DataFrame, boundaries: dict[str, Sequence[float]], columns: Sequence[str] | None = None,
-                configs: dict[str, dict] | None = None, catalog: Catalog | None = None) -> DataFrame:
+                configs: dict[str, dict] | None = None, catalog: Catalog | None = None, counted: DataFrame | None = None) -> DataFrame:
     """bins(attr, bin_id, lower, upper, n, quality MAP): exact metrics of every non-empty bin.
 
-    `configs` adds metrics of the catalog by name, with their configuration, over all columns of `df`.
+    Equal rows are counted first; `counted` or a `df` with COUNT brings them along. `configs` adds metrics of the catalog
+    by name, with their configuration, over all columns of `df`, whose rows must not be counted then.
     """
-    cols = list(columns or df.columns)
+    cols = list(columns or (c for c in df.columns if c != COUNT))
     numeric = numeric_columns(df, cols)
     attrs = list(boundaries)
-    binned = assign_bins(clean(df), boundaries, null_bin=None)
+    counted = counted or count_rows(df, list(dict.fromkeys([*cols, *[a for a in attrs if a in df.columns]])))
+    binned = assign_bins(counted, boundaries, null_bin=None)
     keys = ["attr", "bin_id"]
-    rows = by_bin(binned, attrs, numeric)
-    fences = grouped_quantiles(rows, numeric, (0.25, 0.75), keys).selectExpr(
-        *keys, *[f"struct({c}[0] - 1.5D * ({c}[1] - {c}[0]) AS lo, {c}[1] + 1.5D * ({c}[1] - {c}[0]) AS hi) AS {c}"
-                 for c in map(quoted, numeric)])
-    aggs = []
-    for i, c in enumerate(map(quoted, numeric)):
-        x = f"CAST({c} AS DOUBLE)"
-        aggs += [f"count({x}) AS n{i}", f"count_if({x} < __s.{c}.lo OR {x} > __s.{c}.hi) AS o{i}",
-                 f"IF(min({x}) < max({x}), abs(skewness({x})), NULL) AS s{i}", f"IF(min({x}) < max({x}), abs(kurtosis({x})), NULL) AS k{i}"]
-    # One row per bin, written so that Spark knows its size and sends it to the rows instead of shuffling them.
-    cells = attach(rows, materialize(fences), keys).groupBy(*keys).agg(*map(F.expr, aggs))
-    both = same_keys(row_groups(binned, attrs, cols), cells, keys)
+    rows = by_bin(binned, attrs, [*numeric, COUNT])
     m = range(len(numeric))
-    mean = lambda s, least: (f"coalesce(try_divide({' + '.join(f'IF(n{i} >= {least}, coalesce({s}{i}, 0D), 0D)' for i in m)}, "
-                             f"{' + '.join(f'CAST(n{i} >= {least} AND {s}{i} IS NOT NULL AS INT)' for i in m)}), 0D)")
+    both = row_groups(binned, attrs, cols)
+    if numeric:
+        got = counted_quantiles(rows, numeric, (0.25, 0.75), keys)
+        quarts = got.values.groupBy(*keys, "c").agg(*[F.expr(f"max(IF(q = {q}, value, NULL))").alias(f"q{q}") for q in (0, 1)])
+        per = same_keys(got.means, quarts, [*keys, "c"]).groupBy(*keys).agg(*[F.expr(
+            f"max(IF(c = {i}, struct(q0 - 1.5D * (q1 - q0) AS lo, q1 + 1.5D * (q1 - q0) AS hi, mean), NULL))").alias(f"f{i}") for i in m])
+        aggs = []
+        for i, c in enumerate(map(quoted, numeric)):
+            # Powers of the distance to the bin's own mean: no digits are lost in narrow bins.
+            x, d, f = f"CAST({c} AS DOUBLE)", f"d{i}", f"__s.f{i}"
+            aggs += [f"sum(IF({c} IS NOT NULL, {COUNT}, 0)) AS n{i}", f"coalesce(sum(IF({x} < {f}.lo OR {x} > {f}.hi, {COUNT}, 0)), 0) AS o{i}",
+                     f"min({x}) AS l{i}", f"max({x}) AS h{i}", f"sum({COUNT} * {d} * {d}) AS p{i}",
+                     f"sum({COUNT} * {d} * {d} * {d}) AS t{i}", f"sum({COUNT} * {d} * {d} * {d} * {d}) AS u{i}"]
+        # One row per bin, written so that Spark knows its size and sends it to the rows instead of shuffling them.
+        near = attach(rows, materialize(per), keys).selectExpr(
+            "*", *[f"CAST({quoted(c)} AS DOUBLE) - __s.f{i}.mean AS d{i}" for i, c in enumerate(numeric)])
+        cells = near.groupBy(*keys).agg(*map(F.expr, aggs)).selectExpr(
+            *keys, *[x for i in m for x in (f"n{i}", f"o{i}",
+                                            f"IF(l{i} < h{i}, abs(try_divide(t{i} / n{i}, pow(p{i} / n{i}, 1.5D))), NULL) AS s{i}",
+                                            f"IF(l{i} < h{i}, abs(try_divide(n{i} * u{i}, p{i} * p{i}) - 3D), NULL) AS k{i}")])
+        both = same_keys(both, cells, keys)
+    mean = lambda s, least: ("coalesce(try_divide(" + " + ".join(["0D", *[f"IF(n{i} >= {least}, coalesce({s}{i}, 0D), 0D)" for i in m]]) + ", "
+                             + " + ".join(["0", *[f"CAST(n{i} >= {least} AND {s}{i} IS NOT NULL AS INT)" for i in m]]) + "), 0D)")
+    outside = " + ".join(["0", *[f"IF(n{i} >= {MIN_FOR_OUTLIERS}, o{i}, 0)" for i in m]])
     scored = both.selectExpr(
         *keys, "n", f"CAST(filled AS DOUBLE) / (n * {len(cols)}) AS completeness",
-        f"CAST({' + '.join(f'IF(n{i} >= {MIN_FOR_OUTLIERS}, o{i}, 0)' for i in m)} AS DOUBLE) / (n * {len(numeric)}) AS outlier_rate",
+        f"CAST({outside} AS DOUBLE) / (n * {max(1, len(numeric))}) AS outlier_rate",
         "CAST(n - distinct_rows AS DOUBLE) / n AS duplicate_rate",
         f"{mean('s', MIN_FOR_SKEW)} AS distribution_skewness", f"{mean('k', MIN_FOR_KURTOSIS)} AS distribution_kurtosis")
     scored = scored.selectExpr("*", "0.5D * completeness + 0.5D * (1 - outlier_rate) AS overall_quality")
@@ -145,9 +160,10 @@ def fit_bins(df: DataFrame, columns: Sequence[str] | None = None, n_bins: int =
 
     It has at most n_bins rows per attribute, so later steps read it instead of measuring again.
     """
-    wanted = df.columns if configs else dict.fromkeys([*(metric_columns or df.columns), *(columns or [])])
-    data = spread(clean(df.select(*wanted)))
-    bins = bin_quality(data, fit_boundaries(data, columns, n_bins), metric_columns, configs, catalog)
+    wanted = list(dict.fromkeys([*(metric_columns or df.columns), *(columns or [])]))
+    counted = count_rows(df, wanted)
+    boundaries = fit_boundaries(counted, columns, n_bins)
+    bins = bin_quality(df if configs else counted, boundaries, metric_columns, configs, catalog, counted)
     return df.sparkSession.createDataFrame(bins.collect(), bins.schema)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
-from ..core import clean, materialize, numeric_columns, quoted, same_keys
+from ..core import COUNT, clean, count_rows, materialize, numeric_columns, quoted, same_keys
 from ..functions.quantiles import sketched
 from .binned import union_metrics
 from .bins import (BIN_METRICS, assign_bins, bin_quality, by_bin, fit_boundaries, row_groups,
@@ -28,7 +28,10 @@ from .rows import ROW_METRICS, RowMetricsModel, fit_row_metrics
 # Search range and limits of the threshold search.
 FIRST_THRESHOLD, LOWEST_THRESHOLD, HIGHEST_THRESHOLD = 0.01, 0.0001, 0.1
 MAX_HOMOGENEITY, MIN_SEPARATION = 0.01, 0.01
-CELLS, PER_CELL = 512, 200_000      # cells of a column of many values: this many, or one per so many rows if that is more
+FEW = 460                # up to so many values, every value is a cell of its own
+# Cells of a column of many values: this many, or one per so many rows if that is more. The values of a cell are read once per
+# union of bins that needs it, so cells are fine: their counts are cheaper than their values.
+CELLS, PER_CELL = 4096, 25_000
 
 
 # -- on tables of bins ---------------------------------------------------------------------------
@@ -107,7 +110,7 @@ class MergeHistory:
 
 def _sketch_frame(df: DataFrame, boundaries: dict[str, list[float]], numeric: Sequence[str],
                   cells: dict[str, list[float]], scale: dict[str, tuple[float, float]]) -> DataFrame:
-    """(attr, bin_id, col, cell, n, low, high, z1..z4): counts that add up over neighbouring bins.
+    """(attr, bin_id, col, cell, n, low, high, z1..z4) of counted rows: sums that add up over neighbouring bins.
 
     One shuffle of counts; its size depends on the number of bins and cells only.
     """
@@ -117,13 +120,13 @@ def _sketch_frame(df: DataFrame, boundaries: dict[str, list[float]], numeric: Se
     values = ", ".join(
         f"struct({i} AS col, {quoted('__cell_' + c)} AS cell, CAST({quoted(c)} AS DOUBLE) AS v)"
         for i, c in enumerate(numeric) if c in cells)
-    flat = celled.selectExpr(f"inline(array({values}))", f"array({bins}) AS __bins").filter("cell IS NOT NULL")
+    flat = celled.selectExpr(f"inline(array({values}))", f"array({bins}) AS __bins", COUNT).filter("cell IS NOT NULL")
     mid, dev = ("array(" + ", ".join(f"{scale[c][k]!r}D" for c in numeric) + ")[col]" for k in (0, 1))
-    flat = flat.selectExpr("col", "cell", "v", f"(v - {mid}) / {dev} AS z", "__bins")
-    flat = flat.selectExpr("col", "cell", "v", "z", "z * z AS zz", "inline(__bins)").filter("bin_id IS NOT NULL")
+    flat = flat.selectExpr("col", "cell", "v", f"(v - {mid}) / {dev} AS z", COUNT, "__bins")
+    flat = flat.selectExpr("col", "cell", "v", "z", f"{COUNT} * z * z AS zz", COUNT, "inline(__bins)").filter("bin_id IS NOT NULL")
     return flat.groupBy("attr", "bin_id", "col", "cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum("z").alias("z1"),
-        F.sum("zz").alias("z2"), F.expr("sum(zz * z)").alias("z3"), F.expr("sum(zz * zz)").alias("z4"))
+        F.sum(COUNT).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum(F.expr(f"{COUNT} * z")).alias("z1"),
+        F.sum("zz").alias("z2"), F.expr("sum(zz * z)").alias("z3"), F.expr("sum(zz * z * z)").alias("z4"))
 
 
 HISTORY_SCHEMA = ("attr string, step int, first_bin int, last_bin int, cost double, n bigint, metric string, "
@@ -136,22 +139,24 @@ def merge_history(df: DataFrame, boundaries: dict[str, list[float]], columns: Se
                   catalog: Catalog | None = None) -> DataFrame:
     """The whole merge history of every attribute as rows; step 0 holds the initial bins.
 
-    `configs` adds metrics of the catalog (those with a State), over all columns of `df`, to the quality of the bins.
+    Equal rows are counted first, or come counted (with COUNT). `configs` adds metrics of the catalog (those with a State),
+    over all columns of `df`, to the quality of the bins; its rows must not be counted then.
 
     `target='table'` measures a bin with the configuration-free metrics, `'row'` with the means of
     the row metrics. Every quartile is exact: columns with few values are counted value by value, for
     the others `range_outliers` looks up all unions of neighbouring bins beforehand.
     """
-    df = clean(df)
-    cols = list(columns or df.columns)
-    numeric = numeric_columns(df, cols)
-    model = row_model or fit_row_metrics(df.select(*cols))
+    rows = clean(df)
+    cols = list(columns or (c for c in df.columns if c != COUNT))
     attrs = list(boundaries)
-    scored = model.transform(df.select(*dict.fromkeys([*cols, *attrs])))
+    df = count_rows(df, list(dict.fromkeys([*cols, *attrs])))
+    numeric = numeric_columns(df, cols)
+    model = row_model or fit_row_metrics(df.select(*cols, COUNT))
+    scored = model.transform(df.select(*dict.fromkeys([*cols, *attrs]), COUNT))
     binned = assign_bins(scored, boundaries, null_bin=None)
-    spread = by_bin(binned, attrs, ROW_METRICS).groupBy("attr", "bin_id").agg(
-        F.count(F.lit(1)).alias("rows"), *[F.sum(m).alias(f"s_{m}") for m in ROW_METRICS],
-        *[F.expr(f"sum({m} * {m})").alias(f"q_{m}") for m in ROW_METRICS])
+    spread = by_bin(binned, attrs, [*ROW_METRICS, COUNT]).groupBy("attr", "bin_id").agg(
+        F.sum(COUNT).alias("rows"), *[F.expr(f"sum({COUNT} * {m})").alias(f"s_{m}") for m in ROW_METRICS],
+        *[F.expr(f"sum({COUNT} * {m} * {m})").alias(f"q_{m}") for m in ROW_METRICS])
     none = F.lit(None)
     head = spread.select("attr", "bin_id", F.lit(-1).alias("col"), F.lit(-1).alias("cell"), F.col("rows").alias("n"),
                          *[none.cast("double").alias(c) for c in ("low", "high", "z1", "z2", "z3", "z4")],
@@ -179,7 +184,7 @@ def merge_history(df: DataFrame, boundaries: dict[str, list[float]], columns: Se
                                       none.cast("array<double>").alias("rowq")))
     extra = list(configs or {})
     if extra:
-        found = union_metrics(df, boundaries, configs, catalog)
+        found = union_metrics(rows, boundaries, configs, catalog)
         places = "map(" + ", ".join(f"'{m}', {i}L" for i, m in enumerate(extra)) + ")[metric]"
         parts.append(found.select("attr", F.col("first").alias("bin_id"), F.lit(-4).alias("col"), F.col("last").alias("cell"), F.expr(places).alias("n"),
                                   F.col("value").alias("low"), *[none.cast("double").alias(c) for c in ("high", "z1", "z2", "z3", "z4")],
@@ -206,7 +211,7 @@ def cell_edges(df: DataFrame, numeric: Sequence[str], cells: int = CELLS) -> tup
     counts = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.approx_count_distinct(c).alias(c) for c in numeric]).first()
     fine = max(cells, -(-counts["__rows"] // PER_CELL))
     probs = [i / fine for i in range(fine + 1)]
-    few = [c for c in numeric if counts[c] <= 0.9 * cells]
+    few = [c for c in numeric if counts[c] <= FEW]
     out: dict[str, list[float]] = {}
     if few:
         got = df.select(*[F.collect_set(F.col(c).cast("double")).alias(c) for c in few]).first()
@@ -238,13 +243,14 @@ def range_outliers(df: DataFrame, boundaries: dict[str, list[float]], cells: dic
     values in a union there are no outliers and no row.
     """
     attrs, cols = list(boundaries), list(cells)
-    binned = assign_bins(df.select(*dict.fromkeys([*cols, *[a for a in attrs if a in df.columns]])), boundaries, null_bin=None)
+    df = count_rows(df, list(dict.fromkeys([*cols, *[a for a in attrs if a in df.columns]])))
+    binned = assign_bins(df.select(*dict.fromkeys([*cols, *[a for a in attrs if a in df.columns]]), COUNT), boundaries, null_bin=None)
     celled = assign_bins(binned, cells, null_bin=None, prefix="__cell_")
     bins = ", ".join(f"struct({i} AS a, {quoted('bin_' + a)} AS bin_id)" for i, a in enumerate(attrs))
     values = ", ".join(f"struct({i} AS col, {quoted('__cell_' + c)} AS cell, CAST({quoted(c)} AS DOUBLE) AS v)" for i, c in enumerate(cols))
-    flat = celled.selectExpr(f"inline(array({values}))", f"array({bins}) AS __bins").filter("cell IS NOT NULL")
-    flat = flat.selectExpr("col", "cell", "v", "inline(__bins)").filter("bin_id IS NOT NULL")
-    counts = materialize(flat.groupBy("a", "bin_id", "col", "cell", "v").agg(F.count(F.lit(1)).alias("n")))
+    flat = celled.selectExpr(f"inline(array({values}))", f"array({bins}) AS __bins", COUNT).filter("cell IS NOT NULL")
+    flat = flat.selectExpr("col", "cell", "v", COUNT, "inline(__bins)").filter("bin_id IS NOT NULL")
+    counts = materialize(flat.groupBy("a", "bin_id", "col", "cell", "v").agg(F.sum(COUNT).alias("n")))
     hist = materialize(counts.groupBy("a", "bin_id", "col", "cell").agg(F.sum("n").alias("n")))
     edges = [cells[c] for c in cols]
 

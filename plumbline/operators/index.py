@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..core import clean, materialize, numeric_columns, quoted, same_keys, spread
+from ..core import clean, count_rows, materialize, numeric_columns, quoted, same_keys, spread
 from .bins import assign_bins, bin_means, bin_quality, fit_boundaries
 from .categories import SUFFIX, encode, fit_categories, text_columns
 from .discretize import (Discretization, MergeHistory, assess, bins_frame, collect_history, discretize,
@@ -65,12 +65,14 @@ class Prepared:
 def prepare(df: DataFrame, features: Sequence[str] | None = None, params: IndexParams = IndexParams()) -> Prepared:
     """Text columns among the features take part with their values numbered by quality."""
     cols = list(features or numeric_columns(df))
-    data = spread(clean(df if params.configs else df.select(*cols)))
-    model = fit_row_metrics(data, cols, first_rows=None)
-    coded = {c: fit_categories(data, c, cols, params.category_weights) for c in text_columns(df, cols)}
+    texts = text_columns(df, cols)
+    data = spread(clean(df if params.configs else df.select(*cols))) if texts or params.configs else df
+    coded = {c: fit_categories(data, c, cols, params.category_weights) for c in texts}
     data = encode(data, coded)
-    bs = fit_boundaries(data, [c + SUFFIX if c in coded else c for c in cols], params.n_bins)
-    hist = merge_history(data, bs, cols, size_weight=params.size_weight, row_model=model, target=params.target, configs=params.configs)
+    counted = count_rows(data, [*cols, *[c + SUFFIX for c in coded]])
+    model = fit_row_metrics(counted, cols, first_rows=None)
+    bs = fit_boundaries(counted, [c + SUFFIX if c in coded else c for c in cols], params.n_bins)
+    hist = merge_history(data if params.configs else counted, bs, cols, size_weight=params.size_weight, row_model=model, target=params.target, configs=params.configs)
     return Prepared(cols, model, bs, collect_history(hist, bs), coded)
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from ..core import clean, numeric_columns, quoted
+from ..core import COUNT, clean, numeric_columns, quoted
 from ..functions.quantiles import fit_quantiles
 
 ROW_METRICS = ("row_completeness", "row_range_conformance", "row_consistency")
@@ -75,15 +75,16 @@ def fit_row_metrics(df: DataFrame, columns: Sequence[str] | None = None, first_r
                     key: Sequence[str] = ()) -> RowMetricsModel:
     """Learn quartile ranges and the median of sd/|mean| per row.
 
-    The latter uses all rows; with a key and `first_rows`, only so many rows in key order.
+    The latter uses all rows; with a key and `first_rows`, only so many rows in key order. Counted rows (with COUNT) weigh as many.
     """
-    cols = list(columns or df.columns)
+    cols = list(columns or (c for c in df.columns if c != COUNT))
     numeric = numeric_columns(df, cols)
+    weight = [COUNT] if COUNT in df.columns else []
     data = clean(df)
     ranges = {c: (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
               for c, (q1, q3) in fit_quantiles(data, numeric, (0.25, 0.75)).items()}
     head = data.orderBy(*key).limit(first_rows) if key and first_rows else data
-    cv = _with_spread(head.select(*numeric), numeric).filter("__n > 1 AND __mean <> 0").selectExpr(
-        "sqrt(__ss / __n) / abs(__mean) AS cv")
+    cv = _with_spread(head.select(*numeric, *weight), numeric).filter("__n > 1 AND __mean <> 0").selectExpr(
+        "sqrt(__ss / __n) / abs(__mean) AS cv", *weight)
     typical = fit_quantiles(cv, ["cv"], (0.5,)).get("cv", [1.0])[0]
     return RowMetricsModel(tuple(cols), tuple(numeric), ranges, float(typical))

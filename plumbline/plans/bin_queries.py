@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..core import clean, spread
+from ..core import clean, count_rows, spread
 from ..operators import bins as B
 from ..operators import discretize as Z
 from ..operators import rows as R
@@ -107,7 +107,7 @@ def flat(bins):
 
 
 def all_bins(spark, sf, attrs=FEATURES):
-    return B.fit_bins(measures(spark, sf), attrs, N_BINS, FEATURES)
+    return B.fit_bins(lines(spark, sf), attrs, N_BINS, FEATURES)
 
 
 @query("quantile_boundaries", f"{LI}, {grid_sql(FEATURES, 100)} SELECT attr, CAST(unnest(range(len(bs))) AS BIGINT) AS position, round(unnest(bs), 6) AS boundary FROM g")
@@ -206,7 +206,7 @@ def _(spark, sf):
 # -- merging (no SQL: greedy and iterative) ----------------------------------------------------------
 
 def histories(spark, sf, attrs=FEATURES, **options):
-    return Z.collect_history(*history_of(measures(spark, sf), attrs, **options))
+    return Z.collect_history(*history_of(count_rows(lines(spark, sf), FEATURES), attrs, **options))
 
 
 def history_of(df, attrs=FEATURES, **options):
@@ -227,7 +227,7 @@ def _(spark, sf):
 
 @query("merge_history")
 def _(spark, sf):
-    return rounded(history_of(measures(spark, sf))[0].filter("metric = 'overall_quality'"))
+    return rounded(history_of(count_rows(lines(spark, sf), FEATURES))[0].filter("metric = 'overall_quality'"))
 
 
 @query("discretize_adaptive")

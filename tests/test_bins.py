@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from plumbline.core import count_rows
 from plumbline.operators import bins as B
 from plumbline.operators import discretize as Z
 from plumbline.operators import rows as R
@@ -210,3 +211,34 @@ def test_selection_under_budget():
     none = L.select_features([(a, 1.0) for a in "abcd"], found, hs, budget=21, min_separation=1e9, max_homogeneity=1.0)
     assert not none.selected
     assert not L.select_features([("a", 1.0)], found, hs, budget=7, adjust=False).selected
+
+
+def _copies(spark):
+    rows = [(None if i % 11 == 0 else float(i % 23), float((i * 37) % 211) + (9000.0 if i % 50 == 0 else 0.0)) for i in range(400)] * 3
+    return spark.createDataFrame(rows, "x double, y double").repartition(3)
+
+
+def test_counted_rows_give_the_same_bins_and_history(spark):
+    df = _copies(spark)
+    counted = count_rows(df, ["x", "y"])
+    assert counted.count() == df.distinct().count() and counted.agg({"__count": "sum"}).first()[0] == 1200
+    bs = B.fit_boundaries(df, n_bins=6)
+    assert B.fit_boundaries(counted, n_bins=6) == bs
+    plain, short = ({(r["attr"], r["bin_id"]): (r["n"], r["quality"]) for r in B.bin_quality(t, bs).collect()} for t in (df, counted))
+    pdf = df.toPandas()
+    for (a, b), (n, q) in short.items():
+        assert plain[a, b][0] == n and plain[a, b][1] == pytest.approx(q)
+        lo, hi = bs[a][b], bs[a][b + 1]
+        part = pdf[(pdf[a] >= lo) & ((pdf[a] < hi) | (b == len(bs[a]) - 2))]
+        skews = [abs(float(((v - v.mean()) ** 3).mean() / ((v - v.mean()) ** 2).mean() ** 1.5)) for v in (part[c].dropna() for c in ("x", "y")) if v.nunique() > 1]
+        assert n == len(part) and q["distribution_skewness"] == pytest.approx(np.mean(skews))
+    one, two = (Z.collect_history(Z.merge_history(t, bs), bs) for t in (df, counted))
+    for a in one:
+        assert [c for c, _ in one[a].merges] == pytest.approx([c for c, _ in two[a].merges])
+        assert [m.n for _, m in one[a].merges] == [m.n for _, m in two[a].merges]
+
+
+def test_cells_of_many_values_are_fine(spark):
+    df = spark.range(20_000).selectExpr("CAST(id AS DOUBLE) AS x", "1L AS __count")
+    cells, wide = Z.cell_edges(df, ["x"])
+    assert wide == ["x"] and max(b - a for a, b in zip(cells["x"], cells["x"][1:])) < 30

@@ -92,3 +92,14 @@ def test_grouped_quantiles_read_their_input_twice(spark):
     for g in range(3):
         assert got[g] == pytest.approx(np.quantile([i * 7 % 1009 for i in range(g, 3000, 3)], (0.25, 0.75)).tolist())
     assert seen.value == 2 * 3000
+
+
+def test_counted_rows_weigh_as_many(spark):
+    rows = [(g, float((i * 7919) % 1009), i % 3 + (500 if i == 40 else 1)) for g in ("a", None) for i in range(600)] + [("a", None, 9)]
+    df = spark.createDataFrame(rows, "g string, x double, __count bigint").repartition(3)
+    got = {(r["g"], r["q"]): r["value"] for r in Q.counted_quantiles(df, ["x"], (0.25, 0.5, 0.9), ["g"]).values.collect()}
+    for g in ("a", None):
+        whole = np.repeat(*zip(*[(x, n) for k, x, n in rows if k == g and x is not None]))
+        assert [got[g, q] for q in range(3)] == pytest.approx(list(np.quantile(whole, (0.25, 0.5, 0.9))))
+    every = np.repeat(*zip(*[(x, n) for _, x, n in rows if x is not None]))
+    assert Q.fit_quantiles(df, ["x"], lambda n: [i / 7 for i in range(8)])["x"] == pytest.approx(list(np.quantile(every, [i / 7 for i in range(8)])))
