@@ -10,22 +10,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import materialize, numeric_columns, quoted, same_keys, spread
+from ..core import materialize, numeric_columns, quoted, same_keys, shared_dir, spread
 from ..functions.quantiles import running_counts
 
 RANGE = 1_000_000       # value pairs that one task puts in order
+# Ranks of more values are joined by sorting: their files look small to Spark, but the driver would hold them unpacked.
+SENT = 100_000
 
 
 def correlation(df: DataFrame, method: str = "pearson", columns: Sequence[str] | None = None) -> DataFrame:
     """(column_a, column_b, correlation) for every pair; NULL where a column is constant."""
     cols = numeric_columns(df, columns)
-    df = spread(df.select(*cols))
+    df = df.select(*cols)
     if method == "pearson":
-        return _named(_pearson(_pairs(df, cols)), cols)
+        return _named(_pearson(_pairs(spread(df), cols)), cols)
     if method == "spearman":
-        return _named(_spearman(_pair_counts(df, cols)), cols)
+        return _named(_spearman(df, cols), cols)
     if method == "kendall":
-        return _named(_kendall(_pair_counts(df, cols)), cols)
+        return _named(_kendall(_pair_counts(spread(df), cols)), cols)
     raise ValueError(f"unknown correlation {method!r}")
 
 
@@ -65,16 +67,50 @@ def _sides(pairs: DataFrame) -> DataFrame:
         "FROM {p}) GROUP BY pair, side, v", p=pairs)
 
 
-def _spearman(pairs: DataFrame) -> DataFrame:
-    # Equal values share the mean of their ranks; the mean over all ranks is (size + 1) / 2.
-    ranks = running_counts(_sides(pairs), ["pair", "side"], "v", "n").selectExpr(
-        "pair", "side", "v", "before + (n + 1) / 2D - (size + 1) / 2D AS d")
-    rx = ranks.filter("side = 0").selectExpr("pair", "v AS x", "d AS dx")
-    ry = ranks.filter("side = 1").selectExpr("pair", "v AS y", "d AS dy")
-    rows = same_keys(same_keys(pairs, rx, ["pair", "x"]), ry, ["pair", "y"])
-    return rows.sparkSession.sql(
-        "SELECT pair, try_divide(sum(n * dx * dy), sqrt(sum(n * dx * dx)) * sqrt(sum(n * dy * dy))) AS correlation "
-        "FROM {r} GROUP BY pair", r=rows)
+def _spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Values are ranked once per column, not once per pair, and rows meet the ranks of all their values.
+
+    A pair ranks the rows where both values are present. A partner without missing values takes no row away, so a value has
+    one rank among all rows of its column, and one more per other column that has missing values.
+    """
+    spark = df.sparkSession
+    rows = df.selectExpr(*[f"CAST({quoted(c)} AS DOUBLE) AS v{i}" for i, c in enumerate(cols)])
+    filled = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.count(f"v{i}").alias(f"v{i}") for i in range(len(cols))]).first()
+    live = [i for i in range(len(cols)) if filled[f"v{i}"]]
+    gaps = [i for i in live if filled[f"v{i}"] < filled["rows"]]
+    if not live:
+        return spark.createDataFrame([], "pair int, correlation double")
+    cells = ", ".join(f"struct({i} AS col, v{i} AS v)" for i in live)
+    values = rows.selectExpr(f"inline(array({cells}))", *[f"v{j} IS NOT NULL AS h{j}" for j in gaps]).filter("v IS NOT NULL")
+    counts = values.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f"h{j}").alias(f"n{j}") for j in gaps])
+    # Equal values share the mean of their ranks; d is twice its distance from the mean over all ranks, a whole number.
+    ranks = running_counts(counts, ["col"], "v", "n", [f"n{j}" for j in gaps]).selectExpr(
+        "col", "v", "n", "2 * before + n - size AS d",
+        *[x for j in gaps for x in (f"n{j}", f"2 * before_n{j} + n{j} - size_n{j} AS d{j}")])
+    # One folder per column, so that Spark knows the size of each and sends the small ones to the rows.
+    path = shared_dir(spark, "ranks")
+    ranks.write.partitionBy("col").parquet(path)
+    ranks = spark.read.schema(ranks.schema).parquet(path)
+    per = {r["col"]: r for r in ranks.groupBy("col").agg(
+        F.count(F.lit(1)).alias("values"), *[F.expr(x) for j in ["", *gaps] for x in (
+            f"sum(n{j}) AS n{j}", f"sum(n{j} * CAST(d{j} AS DOUBLE) * d{j}) AS dd{j}")]).collect()}
+    # Columns of many values first: rows are shuffled for these, and every column met makes them wider.
+    for i in sorted(live, key=lambda i: (-per[i]["values"], i)):
+        own = spark.read.schema(ranks.drop("col").schema).parquet(f"{path}/col={i}").selectExpr(
+            "v", f"d AS d{i}_", *[f"d{j} AS d{i}_{j}" for j in gaps if j != i])
+        own = own.hint("merge") if per[i]["values"] > SENT else own
+        rows = rows.join(own, rows[f"v{i}"] == own["v"], "left").drop("v", f"v{i}")
+    pairs = []
+    for p, (a, b) in enumerate(combinations(range(len(cols)), 2)):
+        if a in live and b in live:
+            x, y = (f"{j}" if j in gaps else "" for j in (b, a))
+            if per[a][f"n{x}"]:
+                pairs.append((p, f"CAST(d{a}_{x} AS DOUBLE) * d{b}_{y}", per[a][f"dd{x}"], per[b][f"dd{y}"]))
+    if not pairs:
+        return spark.createDataFrame([], "pair int, correlation double")
+    sums = rows.agg(*[F.expr(f"sum({xy})").alias(f"s{p}") for p, xy, _, _ in pairs])
+    return sums.selectExpr("inline(array(" + ", ".join(
+        f"struct({p} AS pair, try_divide(s{p}, sqrt({xx!r}D) * sqrt({yy!r}D)) AS correlation)" for p, _, xx, yy in pairs) + "))")
 
 
 def _kendall(pairs: DataFrame) -> DataFrame:

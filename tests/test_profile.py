@@ -146,3 +146,26 @@ def test_kendall_over_many_ranges_with_hot_values(spark, monkeypatch):
         u, w = pdf[[a, b]].dropna().to_numpy().T
         du, dw = np.sign(u[:, None] - u), np.sign(w[:, None] - w)
         assert v == pytest.approx((du * dw).sum() / np.sqrt((du ** 2).sum() * (dw ** 2).sum()), abs=1e-12)
+
+
+def test_spearman_ranks_columns_not_pairs(spark, mixed, monkeypatch):
+    """Ranks of a column are shared by its pairs; rows that a partner's missing values take away still count right."""
+    seen = []
+    whole = C.running_counts
+    monkeypatch.setattr(C, "running_counts", lambda counts, *rest: seen.append(counts.count()) or whole(counts, *rest))
+    df = mixed.selectExpr("id", "key", "x", "y", "z", "IF(x > 50, y, NULL) AS w", "CAST(NULL AS DOUBLE) AS none", "1 AS one", "IF(x IS NULL, z, NULL) AS other")
+    got = {(r["column_a"], r["column_b"]): r["correlation"] for r in C.correlation(df, "spearman").collect()}
+    pdf = df.toPandas()
+    names = [c for c in df.columns if c != "none"]
+    assert seen == [sum(pdf[c].dropna().nunique() for c in names)]
+    assert set(got) == {p for p in itertools.combinations(names, 2) if len(pdf[list(p)].dropna())}
+    for (a, b), value in got.items():
+        if "one" in (a, b):
+            assert value is None
+        else:
+            assert value == pytest.approx(pdf[[a, b]].dropna().rank().corr().iloc[0, 1])
+    assert ("x", "other") not in got
+    monkeypatch.setattr(C, "SENT", 0)           # all ranks joined by sorting
+    assert {(r["column_a"], r["column_b"]): r["correlation"] for r in C.correlation(df, "spearman").collect()} == pytest.approx(got)
+    assert C.correlation(df.select("none", "one"), "spearman").count() == 0
+    assert C.correlation(df.limit(0), "spearman").count() == 0
