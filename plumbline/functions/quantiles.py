@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
@@ -135,10 +135,14 @@ def _ranked(counts: DataFrame, group: Sequence[str], wanted: Sequence[float]) ->
 
 @dataclass
 class CountedQuantiles:
-    """Of counted rows, per group and column number c: means (keys, c, n, mean), and values (keys, c, q, value)."""
+    """Of counted rows, per group and column number c: means (keys, c, n, mean), and values (keys, c, q, value).
+
+    sizes: the number of values per column, where `probs` was a function of it.
+    """
 
     means: DataFrame
     values: DataFrame
+    sizes: dict[int, int] = field(default_factory=dict)
 
 
 def counted_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] | Callable[[int], Sequence[float]],
@@ -162,6 +166,7 @@ def counted_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
     flat = celled.selectExpr(*map(quoted, keys), "w", f"inline(array({cells}))").filter("v IS NOT NULL")
     hist = materialize(flat.groupBy(*keys, "c", "b").agg(F.sum("w").alias("n"), F.sum(F.expr("w * v")).alias("s")))
     spark = df.sparkSession
+    sizes: dict[int, int] = {}
     if callable(probs):
         sizes = {r["c"]: int(r["n"]) for r in hist.groupBy("c").agg(F.sum("n").alias("n")).collect()}
         wanted = [sorted(probs(sizes[i])) if i in sizes else [] for i in n]
@@ -185,7 +190,21 @@ def counted_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
     return CountedQuantiles(
         spark.sql(f"SELECT {by}c, sum(n) AS n, sum(s) / sum(n) AS mean FROM {{h}} GROUP BY {by}c", h=hist),
         spark.sql(f"""SELECT {by}c, q, a + f * (b - a) AS value FROM (SELECT {by}c, q, max(f) AS f, max(IF(side = 0, v, NULL)) AS a,
-                      max(IF(side = 1, v, NULL)) AS b FROM {{r}} GROUP BY {by}c, q)""", r=found))
+                      max(IF(side = 1, v, NULL)) AS b FROM {{r}} GROUP BY {by}c, q)""", r=found), sizes)
+
+
+def fit_counted(df: DataFrame, columns: Sequence[str], *wanted: Callable[[int], Sequence[float]]) -> list[dict[str, list[float]]]:
+    """Exact quantiles of whole columns of counted rows, once per function of a column's value count; all are looked up together."""
+    columns = list(columns)
+    if not columns:
+        return [{} for _ in wanted]
+    together = lambda n: sorted({p for w in wanted for p in w(n)})
+    got = counted_quantiles(df, columns, together)
+    found: dict[int, dict[int, float]] = {}
+    for r in got.values.collect():
+        found.setdefault(r["c"], {})[r["q"]] = r["value"]
+    at = {i: dict(zip(together(got.sizes[i]), (found[i][q] for q in sorted(found[i])))) for i in found}
+    return [{c: [at[i][p] for p in sorted(w(got.sizes[i]))] for i, c in enumerate(columns) if i in at} for w in wanted]
 
 
 def fit_quantiles(df: DataFrame, columns: Sequence[str],

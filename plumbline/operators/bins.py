@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
@@ -19,14 +19,21 @@ BIN_METRICS = ("completeness", "outlier_rate", "duplicate_rate", "distribution_s
                "distribution_kurtosis", "overall_quality")
 
 
-def fit_boundaries(df: DataFrame, columns: Sequence[str] | None = None, n_bins: int = 100) -> dict[str, list[float]]:
+def shares(n_bins: int) -> Callable[[int], list[float]]:
+    """The quantiles that bound the bins of a column, by its number of values."""
+    return lambda n: [i / min(n_bins, n) for i in range(min(n_bins, n) + 1)]
+
+
+def fit_boundaries(df: DataFrame, columns: Sequence[str] | None = None, n_bins: int = 100,
+                   found: dict[str, list[float]] | None = None) -> dict[str, list[float]]:
     """Distinct quantile boundaries per column, n + 1 at most.
 
     A constant column gives one closed bin [v, v]; a column without values is left out. Counted rows (with COUNT) weigh as many.
+    `found` brings the quantiles (`shares`) along.
     """
     cols = [c for c in numeric_columns(df, columns) if c != COUNT]
-    found = fit_quantiles(clean(df.select(*cols, *([COUNT] if COUNT in df.columns else []))), cols,
-                          lambda n: [i / min(n_bins, n) for i in range(min(n_bins, n) + 1)])
+    if found is None:
+        found = fit_quantiles(clean(df.select(*cols, *([COUNT] if COUNT in df.columns else []))), cols, shares(n_bins))
     out = {}
     for c in cols:
         if c in found:

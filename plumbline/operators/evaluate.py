@@ -31,16 +31,19 @@ def _row(name: str, index) -> tuple:
 
 def run_settings(df: DataFrame, runs: dict[str, IndexParams], features: Sequence[str] | None = None, key: Sequence[str] = (),
                  prepared: Prepared | None = None) -> DataFrame:
-    """One fit per named setting. Settings with the same initial bins and targets share one merge history."""
+    """One fit per named setting. Settings with the same initial bins and targets share one merge history, and what else is equal."""
     shared: dict[tuple, Prepared] = {}
-    rows = []
-    for name, params in runs.items():
+    fits: dict = {}
+    rows: dict[str, tuple] = {}
+    for params in runs.values():
         at = (params.n_bins, params.target, params.size_weight)
         if at not in shared:
             # What was prepared before belongs to the first setting's initial bins.
             shared[at] = prepared if prepared and not shared else prepare(df, features, params)
-        rows.append(_row(name, fit_index(df, features, params, key, shared[at])))
-    return df.sparkSession.createDataFrame(rows, RUN_SCHEMA)
+    # Most trees first: settings that grow fewer ones of the same kind take the first of them.
+    for name, params in sorted(runs.items(), key=lambda r: -r[1].trees):
+        rows[name] = _row(name, fit_index(df, features, params, key, shared[params.n_bins, params.target, params.size_weight], fits))
+    return df.sparkSession.createDataFrame([rows[name] for name in runs], RUN_SCHEMA)
 
 
 def budget_sweep(df: DataFrame, budgets: Sequence[int], params: IndexParams, features=None, key=(), prepared=None) -> DataFrame:

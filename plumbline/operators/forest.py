@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -186,6 +186,7 @@ class StoredForest:
     trees: list[int]
     tops: _Tops
     gains: list[list[float]]          # per tree, per feature
+    asked: int = 0                    # trees it was grown with; one that drew no row is left out
 
     def predict(self, rows: np.ndarray) -> np.ndarray:
         """Mean over the trees, per row and target. Equal rows are looked up once; one subtree is held at a time."""
@@ -225,8 +226,15 @@ class StoredForest:
             total += own / own.sum() if own.sum() > 0 else 0.0
         return (total / total.sum() if total.sum() > 0 else total).tolist()
 
+    def first(self, trees: int) -> StoredForest:
+        """The forest that as many trees would have grown into: a tree's draws and cuts do not depend on the trees after it."""
+        kept = [i for i, t in enumerate(self.trees) if t < trees]
+        if len(kept) == len(self.trees):
+            return self
+        return replace(self, trees=[self.trees[i] for i in kept], gains=[self.gains[i] for i in kept])
+
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.read.schema(SUBTREES_SCHEMA).parquet(self.path).write.mode("overwrite").partitionBy("tree").parquet(f"{path}/trees")
+        spark.read.schema(SUBTREES_SCHEMA).parquet(self.path).filter(F.col("tree").isin(self.trees)).write.mode("overwrite").partitionBy("tree").parquet(f"{path}/trees")
         head = {"bins": self.bins, "targets": self.targets, "trees": self.trees, "gains": self.gains, "upper": self.tops.to_lists()}
         spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/forest")
 
@@ -296,7 +304,7 @@ class _Tops:
 
 
 def _arrays(pdf: pd.DataFrame, bins: Sequence[str], targets: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    drawn = np.array(pdf["__draws"].tolist(), np.int64).reshape(len(pdf), -1)
+    drawn = np.concatenate(pdf["__draws"].to_numpy()).astype(np.int64).reshape(len(pdf), -1) if len(pdf) else np.zeros((0, 0), np.int64)
     return pdf[list(bins)].to_numpy(np.int64), pdf[list(targets)].to_numpy(float), drawn
 
 
@@ -317,18 +325,14 @@ def fit_forest(vectors: DataFrame, bins: Sequence[str], targets: Sequence[str],
     dealt_out = vectors.select(*bins, "__w", *targets).repartition(4 * spark.sparkContext.defaultParallelism, *bins)
     data = materialize(with_draws(dealt_out, bins, trees, seed))
     tops, m = _Tops(trees), len(targets)
-    # Levels by aggregates, for nodes that no single task should grow.
-    sizes = _sizes(data, bins, targets, tops)
-    while True:
-        wide = {k for k, (n, flat) in sizes.items() if n > local and not flat and tops.depth[k[0]][k[1]] < depth}
-        if not wide:
-            break
-        for tree, node, feature, cut, gain in _level(data, bins, targets, tops, wide, n_bins):
+    # Levels by aggregates, for nodes that no single task should grow. A level also tells the sizes of the next one's nodes.
+    wide = {(tree, 0) for tree, n in _sizes(data, bins, targets).items() if n > local and depth > 0}
+    while wide:
+        found, wide = _level(data, bins, targets, tops, wide, n_bins), set()
+        for tree, node, feature, cut, gain, low, high in found:
             tops.split(tree, node, feature, cut, gain)
-        grown = _sizes(data, bins, targets, tops)
-        if grown == sizes:
-            break
-        sizes = grown
+            child = tops.cuts[tree][node][2]
+            wide |= {(tree, child + k) for k, n in enumerate((low, high)) if n > local and tops.depth[tree][child] < depth}
 
     kind = np.min_scalar_type(max(n_bins, 1))
 
@@ -355,12 +359,12 @@ def fit_forest(vectors: DataFrame, bins: Sequence[str], targets: Sequence[str],
     dealt.groupBy("tree", "top").applyInPandas(finish, SUBTREES_SCHEMA).write.partitionBy("tree").parquet(path)
     stored = spark.read.schema(SUBTREES_SCHEMA).parquet(path)
     # One row per subtree, a few numbers each.
-    found = stored.select("tree", "top", "gains").orderBy("tree", "top").collect()
+    found = sorted(stored.select("tree", "top", "gains").collect(), key=lambda r: (r["tree"], r["top"]))
     if not found:
         means = vectors.agg(*[F.expr(f"coalesce(sum(__w * {quoted(t)}) / sum(__w), 0D)").alias(f"y{i}") for i, t in enumerate(targets)]).first()
         leaf = [(0, 0, [-1], [0], [0], [float(v) for v in means], [0.0] * len(bins))]
         spark.createDataFrame(leaf, SUBTREES_SCHEMA).write.mode("append").partitionBy("tree").parquet(path)
-        return StoredForest(bins, targets, path, [0], _Tops(trees), [[0.0] * len(bins)])
+        return StoredForest(bins, targets, path, [0], _Tops(trees), [[0.0] * len(bins)], trees)
     gains: dict[int, np.ndarray] = {}               # a tree that drew no row at all is left out
     for r in found:
         own = gains.setdefault(r["tree"], np.zeros(len(bins)))
@@ -368,32 +372,29 @@ def fit_forest(vectors: DataFrame, bins: Sequence[str], targets: Sequence[str],
     for tree, own in gains.items():
         for f, _, _, g in tops.cuts[tree].values():
             own[f] += g
-    return StoredForest(bins, targets, path, list(gains), tops, [own.tolist() for own in gains.values()])
+    return StoredForest(bins, targets, path, list(gains), tops, [own.tolist() for own in gains.values()], trees)
 
 
-def _sizes(data: DataFrame, bins: list[str], targets: list[str], tops: _Tops) -> dict[tuple[int, int], tuple[int, bool]]:
-    """Drawn vectors per lowest node of each tree, and whether their targets are all the same."""
-    m = len(targets)
+def _sizes(data: DataFrame, bins: list[str], targets: list[str]) -> dict[int, int]:
+    """Drawn vectors per tree."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            x, y, drawn = _arrays(p, bins, targets)
-            for tree in range(drawn.shape[1]):
-                on = drawn[:, tree] > 0
-                g = pd.DataFrame(y[on], columns=[f"y{i}" for i in range(m)]).groupby(tops.place(tree, x[on]))
-                out = pd.concat([g.min().add_suffix("l"), g.max().add_suffix("h")], axis=1)
-                yield out.assign(tree=tree, node=out.index, n=g.size())
+            drawn = _arrays(p, bins, targets)[2]
+            yield pd.DataFrame({"tree": np.arange(drawn.shape[1]), "n": (drawn > 0).sum(axis=0)})
 
-    parts = data.mapInPandas(count, ", ".join([*[f"y{i}l double" for i in range(m)], *[f"y{i}h double" for i in range(m)], "tree int", "node int", "n bigint"]))
-    flat = " AND ".join(f"max(y{i}h) - min(y{i}l) <= 1e-12 * greatest(1D, abs(max(y{i}h)))" for i in range(m))
-    rows = parts.groupBy("tree", "node").agg(F.sum("n").alias("n"), F.expr(flat).alias("flat")).collect()
-    return {(r["tree"], r["node"]): (r["n"], r["flat"]) for r in rows}
+    rows = data.mapInPandas(count, "tree int, n bigint").groupBy("tree").agg(F.sum("n").alias("n")).collect()
+    return {r["tree"]: r["n"] for r in rows}
 
 
 def _level(data: DataFrame, bins: list[str], targets: list[str], tops: _Tops, wide: set[tuple[int, int]], n_bins: int) -> list[tuple]:
-    """Best cuts of the wide nodes from one aggregate: (tree, node, feature, cut, gain)."""
+    """Best cuts of the wide nodes from one aggregate: (tree, node, feature, cut, gain, vectors below, vectors above).
+
+    A node whose targets are all the same is left out.
+    """
     m = len(targets)
-    names = ["w", *[f"s{i}" for i in range(m)]]
+    names = ["w", *[f"s{i}" for i in range(m)], "n"]
+    ends = [f"y{i}{e}" for i in range(m) for e in "lh"]
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -404,17 +405,26 @@ def _level(data: DataFrame, bins: list[str], targets: list[str], tops: _Tops, wi
                 for node in nodes:
                     on = (at == node) & (drawn[:, tree] > 0)
                     if on.any():
-                        cells = count_cells(x[on], drawn[on, tree].astype(float), y[on], np.zeros(on.sum(), np.int64), 1, n_bins)[0]
+                        own = x[on]
+                        cells = count_cells(own, drawn[on, tree].astype(float), y[on], np.zeros(len(own), np.int64), 1, n_bins)[0]
                         f, b = np.nonzero(cells[..., 0])
-                        yield pd.DataFrame(cells[f, b], columns=names).assign(tree=tree, node=node, f=f, b=b)
+                        vectors = np.stack([np.bincount(own[:, k], minlength=n_bins) for k in range(len(bins))])
+                        out = pd.DataFrame(cells[f, b], columns=names[:-1]).assign(tree=tree, node=node, f=f, b=b, n=vectors[f, b])
+                        yield out.assign(**{f"y{i}{e}": v for e, ys in (("l", y[on].min(axis=0)), ("h", y[on].max(axis=0))) for i, v in enumerate(ys)})
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        cells = np.zeros((1, len(bins), n_bins, 1 + m))
-        cells[0, rows["f"], rows["b"]] = rows[names].to_numpy(float)
-        feature, cut, gain = best_cuts(cells, np.ones(1, bool))
-        return pd.DataFrame({"tree": rows["tree"].iloc[:1], "node": rows["node"].iloc[:1], "feature": feature, "cut": cut, "gain": gain})
-
-    sent = data.mapInPandas(count, ", ".join([*[f"{n} double" for n in names], "tree int", "node int", "f int", "b int"]))
-    sums = sent.groupBy("tree", "node", "f", "b").agg(*[F.sum(n).alias(n) for n in names])
-    found = sums.groupBy("tree", "node").applyInPandas(choose, "tree int, node int, feature int, cut int, gain double").filter("feature >= 0")
-    return [tuple(r) for r in found.orderBy("tree", "node").collect()]
+        cells, vectors = np.zeros((1, len(bins), n_bins, 1 + m)), np.zeros((len(bins), n_bins), np.int64)
+        cells[0, rows["f"], rows["b"]] = rows[names[:-1]].to_numpy(float)
+        vectors[rows["f"], rows["b"]] = rows["n"]
+        lo, hi = (rows[[f"y{i}{e}" for i in range(m)]].to_numpy(float) for e in "lh")
+        lo, hi = lo.min(axis=0), hi.max(axis=0)
+        flat = bool((hi - lo <= 1e-12 * np.maximum(1.0, np.abs(hi))).all())
+        feature, cut, gain = best_cuts(cells, np.array([not flat]))
+        below = int(vectors[feature[0], :cut[0] + 1].sum())
+        return pd.DataFrame({"tree": rows["tree"].iloc[:1].to_numpy(), "node": rows["node"].iloc[:1].to_numpy(), "feature": feature, "cut": cut, "gain": gain,
+                             "below": below, "above": int(vectors[feature[0]].sum()) - below})
+
+    sent = data.mapInPandas(count, ", ".join([*[f"{n} double" for n in names[:-1]], "tree int, node int, f int, b int, n bigint", *[f"{e} double" for e in ends]]))
+    sums = sent.groupBy("tree", "node", "f", "b").agg(*[F.sum(n).alias(n) for n in names], *[(F.min if e[-1] == "l" else F.max)(e).alias(e) for e in ends])
+    found = sums.groupBy("tree", "node").applyInPandas(choose, "tree int, node int, feature int, cut int, gain double, below bigint, above bigint")
+    return sorted(tuple(r) for r in found.filter("feature >= 0").collect())

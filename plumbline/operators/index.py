@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..core import clean, count_rows, materialize, numeric_columns, quoted, same_keys, spread
-from .bins import assign_bins, bin_means, bin_quality, fit_boundaries
+from ..functions.quantiles import fit_counted
+from .bins import assign_bins, bin_means, bin_quality, fit_boundaries, shares
 from .categories import SUFFIX, encode, fit_categories, text_columns
 from .discretize import (Discretization, MergeHistory, assess, bins_frame, collect_history, discretize,
                          discretize_adaptive, edges_of, merge_history)
-from .forest import Forest, fit_forest
+from .forest import Forest, StoredForest, fit_forest
 from .rows import ROW_METRICS, RowMetricsModel, fit_row_metrics
 from .scoring import ALPHA, BETA, DEFAULT_THRESHOLDS, DEFAULT_WEIGHTS, feature_scores
 from .selection import Selection, select_features
@@ -70,8 +71,11 @@ def prepare(df: DataFrame, features: Sequence[str] | None = None, params: IndexP
     coded = {c: fit_categories(data, c, cols, params.category_weights) for c in texts}
     data = encode(data, coded)
     counted = count_rows(data, [*cols, *[c + SUFFIX for c in coded]])
-    model = fit_row_metrics(counted, cols, first_rows=None)
-    bs = fit_boundaries(counted, [c + SUFFIX if c in coded else c for c in cols], params.n_bins)
+    binned = [c + SUFFIX if c in coded else c for c in cols]
+    # Quartiles and boundaries are looked up together: every look-up is a dozen jobs.
+    quartiles, bounds = fit_counted(counted, numeric_columns(counted, [*cols, *binned]), lambda n: (0.25, 0.75), shares(params.n_bins))
+    model = fit_row_metrics(counted, cols, first_rows=None, quartiles=quartiles)
+    bs = fit_boundaries(counted, binned, params.n_bins, bounds)
     hist = merge_history(data if params.configs else counted, bs, cols, size_weight=params.size_weight, row_model=model, target=params.target, configs=params.configs)
     return Prepared(cols, model, bs, collect_history(hist, bs), coded)
 
@@ -91,7 +95,7 @@ def lookup_quality(binned: DataFrame, quality: dict[str, list[dict[str, float]]]
 def quality_of(bins: DataFrame) -> dict[str, list[dict[str, float]]]:
     """attr -> quality per bin, in bin order; a table of bins is small."""
     out: dict[str, list[dict[str, float]]] = {}
-    for r in bins.orderBy("attr", "bin_id").collect():
+    for r in sorted(bins.collect(), key=lambda r: (r["attr"], r["bin_id"])):
         out.setdefault(r["attr"], []).append(dict(r["quality"]))
     return out
 
@@ -263,19 +267,51 @@ def choose(df: DataFrame, prep: Prepared, params: IndexParams) -> tuple[dict[str
 
 
 def fit_index(df: DataFrame, features: Sequence[str] | None = None, params: IndexParams = IndexParams(),
-              key: Sequence[str] = (), prepared: Prepared | None = None) -> QualityIndex:
+              key: Sequence[str] = (), prepared: Prepared | None = None, shared: dict | None = None) -> QualityIndex:
     """Bins, merging, scores, selection, bin dictionary, training data and forests in one go.
 
-    The split into training and test rows follows a hash of `key` (of all columns without one).
+    The split into training and test rows follows a hash of `key` (of all columns without one). `shared` is kept over several
+    fits on one table: those that choose the same bins share their quality and the training table, and those whose trees grow
+    alike the forest; fewer trees are the first ones of it.
     """
     start = time.time()
     prep = prepared or prepare(df, features, params)
-    _, selection = choose(df, prep, params)
+    known = shared if shared is not None and not prep.categories else {}
+    choice = repr((prep.row_model, prep.boundaries, replace(params, trees=0, depth=0)))
+    if choice not in known:
+        known[choice] = choose(df, prep, params)[1]
+    selection = known[choice]
     picked = selection.selected
     if not picked:
         raise ValueError("no column fits the budget")
     names = [p.attr for p in picked]
     boundaries = {p.attr: edges_of(p.result) for p in picked}
+    same = repr((names, boundaries, list(key), prep.row_model, params.target, params.null_bin, params.test_size, params.seed, params.configs))
+    if same not in known:
+        known[same] = _training(df, prep, names, boundaries, key, params)
+    quality, metrics, table, weight, vectors = known[same]
+    bins = [f"bin_{a}" for a in names]
+    most = max(len(b) for b in boundaries.values())
+    grown: StoredForest | None = known.get((same, params.depth))
+    model = grown.first(params.trees) if grown is not None and grown.asked >= params.trees else None
+    if model is None or not model.trees:
+        model = known[same, params.depth] = fit_forest(vectors, bins, metrics, params.trees, params.depth, most, params.seed)
+    index = QualityIndex(names, boundaries, quality, metrics, model, prep.row_model, params,
+                         categories={c: m for c, m in prep.categories.items() if c + SUFFIX in names})
+    errors = (same, params.depth, tuple(model.trees))
+    if errors not in known:
+        # Scored once; the errors take two passes.
+        scored = materialize(model.transform(table).select("__split", *metrics, *[f"pred_{m}" for m in metrics], *([weight] if weight else [])))
+        known[errors] = error_rows(scored, metrics, "__split", weight)
+    index.fit_metrics = known[errors]
+    index.info = {"n_features_total": len(prep.columns), "budget_utilization": selection.utilization,
+                  "model_type": "RandomForest", "build_time": time.time() - start}
+    return index
+
+
+def _training(df: DataFrame, prep: Prepared, names: list[str], boundaries: dict[str, list[float]], key: Sequence[str],
+              params: IndexParams) -> tuple[dict, list[str], DataFrame, str | None, DataFrame]:
+    """The bins' quality, the targets' names, the table to score with its weight column, and the weighted training vectors."""
     data = spread(clean(df if params.configs else df.select(*dict.fromkeys([*key, *prep.columns]))))
     data = encode(data, {c: m for c, m in prep.categories.items() if c + SUFFIX in names})
     exact = (bin_means(prep.row_model.transform(data), boundaries, ROW_METRICS) if params.target == "row"
@@ -293,16 +329,7 @@ def fit_index(df: DataFrame, features: Sequence[str] | None = None, params: Inde
     else:
         table, weight = rows, None
         vectors = materialize(compress(rows.filter("__split = 'train'"), bins, metrics))
-    most = max(len(b) for b in boundaries.values())
-    model = fit_forest(vectors, bins, metrics, params.trees, params.depth, most, params.seed)
-    index = QualityIndex(names, boundaries, quality, metrics, model, prep.row_model, params,
-                         categories={c: m for c, m in prep.categories.items() if c + SUFFIX in names})
-    # Scored once; the errors take two passes.
-    scored = materialize(model.transform(table).select("__split", *metrics, *[f"pred_{m}" for m in metrics], *([weight] if weight else [])))
-    index.fit_metrics = error_rows(scored, metrics, "__split", weight)
-    index.info = {"n_features_total": len(prep.columns), "budget_utilization": selection.utilization,
-                  "model_type": "RandomForest", "build_time": time.time() - start}
-    return index
+    return quality, metrics, table, weight, vectors
 
 
 def evaluate(index: QualityIndex, df: DataFrame) -> DataFrame:

@@ -72,17 +72,18 @@ def _with_spread(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
 
 
 def fit_row_metrics(df: DataFrame, columns: Sequence[str] | None = None, first_rows: int | None = None,
-                    key: Sequence[str] = ()) -> RowMetricsModel:
+                    key: Sequence[str] = (), quartiles: dict[str, list[float]] | None = None) -> RowMetricsModel:
     """Learn quartile ranges and the median of sd/|mean| per row.
 
     The latter uses all rows; with a key and `first_rows`, only so many rows in key order. Counted rows (with COUNT) weigh as many.
+    `quartiles` brings the columns' first and third along.
     """
     cols = list(columns or (c for c in df.columns if c != COUNT))
     numeric = numeric_columns(df, cols)
     weight = [COUNT] if COUNT in df.columns else []
     data = clean(df)
-    ranges = {c: (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-              for c, (q1, q3) in fit_quantiles(data, numeric, (0.25, 0.75)).items()}
+    found = fit_quantiles(data, numeric, (0.25, 0.75)) if quartiles is None else {c: quartiles[c] for c in numeric if c in quartiles}
+    ranges = {c: (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) for c, (q1, q3) in found.items()}
     head = data.orderBy(*key).limit(first_rows) if key and first_rows else data
     cv = _with_spread(head.select(*numeric, *weight), numeric).filter("__n > 1 AND __mean <> 0").selectExpr(
         "sqrt(__ss / __n) / abs(__mean) AS cv", *weight)

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 
 from plumbline.core import count_rows
+from plumbline.functions import quantiles as Q
 from plumbline.operators import bins as B
 from plumbline.operators import discretize as Z
 from plumbline.operators import rows as R
@@ -238,6 +239,17 @@ def test_counted_rows_give_the_same_bins_and_history(spark):
         assert [m.n for _, m in one[a].merges] == [m.n for _, m in two[a].merges]
 
 
+def test_quartiles_and_boundaries_are_looked_up_together(spark, monkeypatch):
+    df = _copies(spark)
+    counted, cols, looked = count_rows(df, ["x", "y"]), ["x", "y"], []
+    one = Q.counted_quantiles
+    monkeypatch.setattr(Q, "counted_quantiles", lambda *a: looked.append(1) or one(*a))
+    quartiles, bounds = Q.fit_counted(counted, cols, lambda n: (0.25, 0.75), B.shares(6))
+    assert len(looked) == 1 and quartiles == Q.fit_quantiles(counted, cols, (0.25, 0.75))
+    assert B.fit_boundaries(counted, cols, 6, bounds) == B.fit_boundaries(df, cols, 6)
+    assert R.fit_row_metrics(counted, cols, quartiles=quartiles) == R.fit_row_metrics(counted, cols)
+
+
 def test_cells_of_many_values_are_fine(spark):
     df = spark.range(20_000).selectExpr("CAST(id AS DOUBLE) AS x", "1L AS __count")
     cells, wide = Z.cell_edges(df, ["x"])

@@ -137,3 +137,35 @@ def test_vectors_travel_packed_per_node():
         assert np.array_equal(np.frombuffer(r.x, np.uint8).reshape(-1, 3), x[here])
         assert np.array_equal(np.frombuffer(r.y, float).reshape(-1, 2), y[here])
         assert np.array_equal(np.frombuffer(r.w, np.int64), drawn[here])
+
+
+def test_fewer_trees_are_the_first_ones(spark, tmp_path):
+    x, w, y = rows_of()
+    df = frame(spark, x, w, y)
+    many, few = (R.fit_forest(df, BINS, TARGETS, k, 6, 6) for k in (8, 3))
+    assert (many.first(3).predict(x) == few.predict(x)).all() and many.first(3).importances() == few.importances()
+    assert many.first(8) is many and not (many.predict(x) == few.predict(x)).all()
+    many.first(3).save(spark, str(tmp_path / "f"))
+    assert (R.Forest.load(spark, str(tmp_path / "f")).predict(x) == few.predict(x)).all()
+
+
+def test_a_level_tells_the_sizes_of_the_next(spark, monkeypatch):
+    """Nodes are counted once, at the top: the driver starts one aggregate per level after that. Equal targets are not split."""
+    x, w, y = rows_of()
+    asked, sizes = [], []
+    level, count = R._level, R._sizes
+    monkeypatch.setattr(R, "_sizes", lambda *a: sizes.append(1) or count(*a))
+
+    def seen(data, bins, targets, tops, wide, n_bins):
+        got = level(data, bins, targets, tops, wide, n_bins)
+        asked.append((set(wide), got))
+        return got
+    monkeypatch.setattr(R, "_level", seen)
+    R.fit_forest(frame(spark, x, w, y), BINS, TARGETS, 2, 6, 6, local=10)
+    assert len(sizes) == 1 and len(asked) > 2
+    for (_, found), (wide, _) in zip(asked, asked[1:]):
+        assert len(wide) == sum(n > 10 for r in found for n in r[5:])
+    asked.clear()
+    y[:] = 2.0
+    same = R.fit_forest(frame(spark, x, w, y), BINS, TARGETS, 2, 6, 6, local=10)
+    assert [len(found) for _, found in asked] == [0] and np.allclose(same.predict(x), 2.0)
