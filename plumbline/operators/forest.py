@@ -208,6 +208,7 @@ class StoredForest:
         def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
             held, n = [], 0
             for cols in parts:
+                cols = cols if isinstance(cols, tuple) else (cols,)         # Spark gives a single column as it is
                 held.append(np.column_stack([c.to_numpy(np.int32) for c in cols]))
                 n += len(held[-1])
                 if n >= PASS:

@@ -169,3 +169,13 @@ def test_a_level_tells_the_sizes_of_the_next(spark, monkeypatch):
     y[:] = 2.0
     same = R.fit_forest(frame(spark, x, w, y), BINS, TARGETS, 2, 6, 6, local=10)
     assert [len(found) for _, found in asked] == [0] and np.allclose(same.predict(x), 2.0)
+
+
+def test_one_column_is_scored(spark):
+    """A budget may leave room for one column only."""
+    x, w, y = rows_of()
+    df = frame(spark, x, w, y).groupBy("b0").sum("__w", "u", "v").toDF("b0", "__w", "u", "v")
+    forest = R.fit_forest(df, ["b0"], TARGETS, 5, 6, 6)
+    got = {r["b0"]: (r["pred_u"], r["pred_v"]) for r in forest.transform(df).collect()}
+    want = forest.predict(np.arange(6).reshape(-1, 1))
+    assert got == {i: tuple(want[i]) for i in range(6)}
