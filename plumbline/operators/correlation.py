@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..core import materialize, numeric_columns, quoted, same_keys, shared_dir, spread
-from ..functions.quantiles import running_counts
+from ..core import numeric_columns, quoted, shared_dir, spread
+from ..functions.quantiles import running_counts, sketched
 
-RANGE = 1_000_000       # value pairs that one task puts in order
+RANGE = 1_000_000       # rows between two cuts that one task puts in order
+CELLS, SKETCH = 256, 8000       # pieces that a column is cut into at least, and the parameter of the sketch that cuts it
+BATCH = 500_000         # rows that are dealt out together
+ABSENT = np.iinfo(np.int64).min
+TAU_SUMS = ["pair", "size", "tx", "ty", "txy", "discordant"]
 # Ranks of more values are joined by sorting: their files look small to Spark, but the driver would hold them unpacked.
 SENT = 100_000
 
@@ -27,7 +34,7 @@ def correlation(df: DataFrame, method: str = "pearson", columns: Sequence[str] |
     if method == "spearman":
         return _named(_spearman(df, cols), cols)
     if method == "kendall":
-        return _named(_kendall(_pair_counts(spread(df), cols)), cols)
+        return _named(_kendall(df, cols), cols)
     raise ValueError(f"unknown correlation {method!r}")
 
 
@@ -45,14 +52,6 @@ def _pearson(pairs: DataFrame) -> DataFrame:
         "AS correlation FROM {p} GROUP BY pair", p=pairs)
 
 
-def _pair_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(pair, x, y, n): equal value pairs are combined before the shuffle.
-
-    Ranks need the counts several times, so they are written once.
-    """
-    return materialize(df.sparkSession.sql("SELECT pair, x, y, count(*) AS n FROM {p} GROUP BY pair, x, y", p=_pairs(df, cols)))
-
-
 def _named(result: DataFrame, cols: Sequence[str]) -> DataFrame:
     names = list(combinations(cols, 2))
     left = "array(" + ", ".join(f"'{a}'" for a, _ in names) + ")"
@@ -60,13 +59,6 @@ def _named(result: DataFrame, cols: Sequence[str]) -> DataFrame:
     return result.selectExpr(f"{left}[pair] AS column_a", f"{right}[pair] AS column_b", "correlation")
 
 
-def _sides(pairs: DataFrame) -> DataFrame:
-    """(pair, side, v, n) for x (side 0) and y (side 1)."""
-    return pairs.sparkSession.sql(
-        "SELECT pair, side, v, sum(n) AS n FROM (SELECT pair, n, inline(array(struct(0 AS side, x AS v), struct(1 AS side, y AS v))) "
-        "FROM {p}) GROUP BY pair, side, v", p=pairs)
-
-
 def _spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Values are ranked once per column, not once per pair, and rows meet the ranks of all their values.
 
@@ -113,61 +105,172 @@ def _spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         f"struct({p} AS pair, try_divide(s{p}, sqrt({xx!r}D) * sqrt({yy!r}D)) AS correlation)" for p, _, xx, yy in pairs) + "))")
 
 
-def _kendall(pairs: DataFrame) -> DataFrame:
-    """tau-b. Discordant pairs are counted, never listed: every value pair is dealt twice.
+def _kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """tau-b. Discordant pairs are counted, never listed, and rows are dealt once per column, not once per pair.
 
-    In the order of (x, y), a discordant pair is one whose y falls. Rows are dealt by ranges of that order and counted inside
-    them; what is left lies in two ranges i < j. Those are dealt by ranges k of (y, i): inside a range they are counted in the
-    order of (i, y), and a pair in two ranges is discordant if i rises and k falls, so the sizes of the cells (i, k) tell the
-    number. A value that many rows share is spread over ranges in both orders.
+    Cuts divide every column into cells: an interval between two cuts, or a cut itself, whose rows are all tied. Two rows in
+    different cells of both columns are ordered by the cells, so the sizes of the cells of a pair tell their number. Rows of one
+    interval meet in one task, which orders them against every other column: one column of a pair with its intervals' rows
+    compares all values of the other, the other one only its cells, since rows that share intervals of both were counted by the
+    first. A value that many rows share is a cut, and no task gathers its rows. Any cuts give the same result.
     """
-    spark = pairs.sparkSession
-    sides = _sides(pairs)
-    ranges = max(spark.sparkContext.defaultParallelism, pairs.count() // RANGE + 1)
-
-    def inside(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _whole(parts):
-            inner = np.zeros(len(rows), np.int64)
-            for a, b in _runs(rows["pair"].to_numpy()):
-                inner[a] = discordant(rows["y"].to_numpy()[a:b], rows["n"].to_numpy()[a:b])
-            yield rows.assign(inner=inner)
-
-    def across(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _whole(parts):
-            for a, b in _runs(rows["pair"].to_numpy()):
-                run = rows.iloc[a:b]
-                cells = run.groupby("i", as_index=False)["n"].sum().assign(pair=run["pair"].iloc[0], k=run["k"].iloc[0], inner=0)
-                cells.loc[0, "inner"] = discordant(run["y"].to_numpy(), run["n"].to_numpy())
-                yield cells
-
-    def over(cells: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values(["i", "k"])
-        return pd.DataFrame({"pair": cells["pair"].iloc[:1], "found": [discordant(cells["k"].to_numpy(), cells["n"].to_numpy()) + cells["inner"].sum()]})
-
-    by_x = pairs.repartitionByRange(ranges, "pair", "x", "y").sortWithinPartitions("pair", "x", "y").select(
-        "pair", F.spark_partition_id().alias("i"), "y", "n")
-    by_x = materialize(by_x.mapInPandas(inside, "pair int, i int, y double, n bigint, inner bigint"))
-    by_y = by_x.repartitionByRange(ranges, "pair", "y", "i").sortWithinPartitions("pair", "i", "y").select(
-        "pair", "i", F.spark_partition_id().alias("k"), "y", "n")
-    cells = by_y.mapInPandas(across, "pair int, i int, k int, n bigint, inner bigint")
-    apart = cells.groupBy("pair").applyInPandas(over, "pair int, found bigint")
-    crossed = spark.sql("SELECT pair, CAST(sum(found) AS DOUBLE) AS discordant FROM (SELECT pair, found FROM {a} UNION ALL SELECT pair, inner AS found FROM {b}) "
-                        "GROUP BY pair", a=apart, b=by_x)
-    ties = spark.sql(
-        "SELECT pair, sum(IF(side = 0, CAST(n AS DOUBLE) * (n - 1) / 2, 0D)) AS tx, sum(IF(side = 1, CAST(n AS DOUBLE) * (n - 1) / 2, 0D)) AS ty, "
-        "sum(IF(side = 0, CAST(n AS DOUBLE), 0D)) AS size FROM {s} GROUP BY pair", s=sides)
-    joint = spark.sql("SELECT pair, sum(CAST(n AS DOUBLE) * (n - 1) / 2) AS txy FROM {p} GROUP BY pair", p=pairs)
-    parts = same_keys(same_keys(crossed, ties, ["pair"]), joint, ["pair"])
+    names = list(combinations(range(len(cols)), 2))
+    number = {p: i for i, p in enumerate(names)}
+    rows = df.selectExpr(*[f"CAST({quoted(c)} AS DOUBLE) AS v{i}" for i, c in enumerate(cols)])
+    cuts, order = _cuts(rows, [df.schema[c].dataType for c in cols])
+    widths = [2 * len(c) + 2 for c in cuts]
+    place = {i: at for at, i in enumerate(order)}
+    least = BATCH
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _gathered(batches, least):
+            keys = [_keys(part.column(i)) for i in range(len(cols))]
+            cells = [_cells(k, c) for k, c in zip(keys, cuts)]
+            sizes = [_tally(cells[a].astype(np.int64) * widths[b] + cells[b]) for a, b in names]
+            yield _batch([-1 - p for p in range(len(names))], [0] * len(names), [pickle.dumps(x, 5) for x in sizes])
+            for i in range(len(cols)):
+                own = np.flatnonzero(cells[i] & 1)
+                own = own[np.argsort(cells[i][own], kind="stable")]
+                if len(own):
+                    sent = [keys[j][own] if place[j] >= place[i] else cells[j][own] for j in range(len(cols))]
+                    runs = list(_runs(cells[i][own]))
+                    yield _batch([i] * len(runs), [int(cells[i][own[a]]) for a, _ in runs], [
+                        pickle.dumps([_packed(x[a:b]) if place[j] >= place[i] else x[a:b] for j, x in enumerate(sent)], 5) for a, b in runs])
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        i, held = int(group["col"].iloc[0]), [pickle.loads(x) for x in group["data"]]
+        if i < 0:
+            a, b = names[-1 - i]
+            size = np.zeros(widths[a] * widths[b], np.int64)
+            for code, n in held:
+                size[code] += n
+            return pd.DataFrame([(-1 - i, *_between(size.reshape(widths[a], widths[b])[1:, 1:]))], columns=TAU_SUMS)
+        own, out = _ranks(np.concatenate([_unpacked(x[i]) for x in held])), []
+        for j in range(len(cols)):
+            if j != i:
+                whole = place[j] > place[i]
+                other = np.concatenate([_unpacked(x[j]) if whole else x[j] for x in held])
+                there = np.flatnonzero(other != (ABSENT if whole else 0))
+                if len(there):
+                    x, y = own[there], other[there]
+                    y = _ranks(y) if whole else y.astype(np.int64)
+                    # Rows of an interval of the other column may differ; only those of a single value are tied.
+                    both = x * (int(y.max()) + 1) + y
+                    out.append((number[min(i, j), max(i, j)], 0, *(_ties(x), 0)[::1 if i < j else -1],
+                                _ties(both if whole else both[y & 1 == 0]), discordant(x, y)))
+        return pd.DataFrame(out, columns=TAU_SUMS)
+
+    dealt = spread(rows).mapInArrow(deal, "col int, cell int, data binary")
+    sums = dealt.groupBy("col", "cell").applyInPandas(count, ", ".join(f"{c} bigint" for c in TAU_SUMS))
+    parts = sums.groupBy("pair").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in TAU_SUMS[1:]]).filter("size > 0")
     total = "(size * (size - 1) / 2)"
-    return parts.selectExpr(
-        "pair", f"try_divide({total} - tx - ty + txy - 2 * discordant, sqrt({total} - tx) * sqrt({total} - ty)) AS correlation")
+    return parts.selectExpr("CAST(pair AS INT) AS pair", f"try_divide({total} - tx - ty + txy - 2 * discordant, "
+                            f"sqrt({total} - tx) * sqrt({total} - ty)) AS correlation")
 
 
-def _whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A partition in one piece; nothing for an empty one."""
-    held = [p for p in parts if len(p)]
-    if held:
-        yield pd.concat(held, ignore_index=True)
+def _cuts(rows: DataFrame, kinds: Sequence[T.DataType]) -> tuple[list[np.ndarray], list[int]]:
+    """Cuts of every column as keys, and the order in which columns compare whole values.
+
+    Columns of few values come first, as their cells tell nearly all; then those whose values take most room.
+    """
+    n = range(len(kinds))
+    head = sketched(rows.selectExpr(*[f"nanvl(v{i}, NULL) AS v{i}" for i in n]), [f"v{i}" for i in n], [], SKETCH).persist()
+    try:
+        sizes = head.selectExpr(*[f"n{i}" for i in n]).first()
+        pieces = max(CELLS, max(n or 0 for n in sizes) // RANGE + 1)
+        at = "array(" + ", ".join(f"{j / pieces!r}D" for j in range(1, pieces)) + ")"
+        found = head.selectExpr(*[f"kll_sketch_get_quantile_double(IF(n{i} > 0, k{i}, NULL), {at}) AS e{i}" for i in n]).first()
+    finally:
+        head.unpersist()
+    cuts = [np.unique(_keys(pa.array(found[i] or [], pa.float64()))) for i in n]
+    return cuts, sorted(n, key=lambda i: (2 * len(cuts[i]) > pieces, isinstance(kinds[i], T.IntegralType), i))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at least so many rows; the last one may have fewer."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= least:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
+def _batch(cols: list[int], cells: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cols, pa.int32()), pa.array(cells, pa.int32()), pa.array(data, pa.binary())],
+                                      ["col", "cell", "data"])
+
+
+def _keys(column: pa.Array) -> np.ndarray:
+    """Whole numbers in the order of the values: NaN is the largest, 0 and -0 are one value; ABSENT for a missing one."""
+    x = column.to_numpy(zero_copy_only=False) + 0.0
+    x[np.isnan(x)] = np.nan
+    bits = x.view(np.int64)
+    keys = bits ^ ((bits >> 63) & np.iinfo(np.int64).max)
+    if column.null_count:
+        keys[column.is_null().to_numpy(zero_copy_only=False)] = ABSENT
+    return keys
+
+
+def _cells(keys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """0 for a missing value, odd between cuts, even on one."""
+    at = np.searchsorted(cuts, keys)
+    cell = 2 * at + 1 + (np.append(cuts, ABSENT)[at] == keys)
+    cell[keys == ABSENT] = 0
+    return cell.astype(np.min_scalar_type(2 * len(cuts) + 2))
+
+
+def _tally(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and how often they come."""
+    if int(codes.max()) < 4 * len(codes):
+        n = np.bincount(codes)
+        at = np.flatnonzero(n)
+        n = n[at]
+    else:
+        at, n = np.unique(codes, return_counts=True)
+    return at.astype(np.min_scalar_type(at[-1])), n.astype(np.min_scalar_type(n.max()))
+
+
+def _packed(keys: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """Keys in as few bytes as their distances need: the least one, the zero bits that all distances end with, and 1 + distance."""
+    there = keys != ABSENT
+    low = int(keys.min(where=there, initial=np.iinfo(np.int64).max))
+    far = np.where(there, keys - np.int64(low), 0).view(np.uint64)      # may wrap, which the type below undoes
+    every = int(np.bitwise_or.reduce(far))
+    zeros = (every & -every).bit_length() - 1 if every else 0
+    near = np.where(there, (far >> np.uint64(zeros)) + np.uint64(1), np.uint64(0))
+    return low, zeros, near.astype(np.min_scalar_type((every >> zeros) + 1))
+
+
+def _unpacked(packed: tuple[int, int, np.ndarray]) -> np.ndarray:
+    low, zeros, near = packed
+    keys = ((near.astype(np.uint64) - np.uint64(1)) << np.uint64(zeros)).view(np.int64) + np.int64(low)
+    keys[near == 0] = ABSENT
+    return keys
+
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    return np.unique(keys, return_inverse=True)[1].reshape(-1).astype(np.int64)
+
+
+def _ties(values: np.ndarray) -> int:
+    """Pairs of equal values."""
+    if not len(values):
+        return 0
+    values = np.sort(values)
+    n = np.diff(np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])))
+    return int((n * (n - 1) // 2).sum())
+
+
+def _between(size: np.ndarray) -> tuple[int, int, int, int, int]:
+    """Rows, ties per side and of both, and discordant pairs, as far as the sizes of cells tell. Every second cell is a single value."""
+    tied = lambda n: int((n * (n - 1) // 2).sum())
+    later = size.sum(axis=0) - np.cumsum(size, axis=0)                  # rows of the cells of higher x, per cell of y
+    below = np.cumsum(later, axis=1) - later
+    return int(size.sum()), tied(size.sum(axis=1)[1::2]), tied(size.sum(axis=0)[1::2]), tied(size[1::2, 1::2]), int((size * below).sum())
 
 
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -176,20 +279,26 @@ def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(cuts[:-1].tolist(), cuts[1:].tolist())
 
 
-def discordant(values: np.ndarray, n: np.ndarray) -> int:
-    """Sum of n * n over the pairs of rows whose value falls, bit by bit of the value's rank.
+def discordant(x: np.ndarray, y: np.ndarray) -> int:
+    """Pairs of rows whose x rises while y falls, bit by bit of y; both are ranks or other small whole numbers.
 
-    Two ranks first differ, from the top, in one bit. Rows that agree above it form a group, in their old order; in it, a row
-    whose bit is 0 falls behind the rows before it whose bit is 1.
+    Two values first differ, from the top, in one bit. Rows that agree above it form a group; in the order of x, a row whose
+    bit is 0 falls behind the rows before it whose bit is 1. At equal x those come after it.
     """
-    rank = np.unique(values, return_inverse=True)[1].reshape(-1)
-    n, found = np.asarray(n, np.int64), 0
-    for bit in reversed(range(int(rank.max()).bit_length())):
-        group, one = rank >> (bit + 1), (rank >> bit) & 1 == 1
-        ones = np.concatenate([[0], np.cumsum(np.where(one, n, 0))])
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        before = ones[:-1] - np.repeat(ones[first], np.diff([*first, len(group)]))
-        found += int((n * before)[~one].sum())
-        order = np.argsort(rank >> bit, kind="stable")
-        rank, n = rank[order], n[order]
+    high, wide, found = int(y.max()).bit_length(), int(x.max()).bit_length(), 0
+    sizes = np.bincount(y, minlength=1 << high)
+    for bit in range(high):
+        kind = np.int32 if high - bit + wide < 32 else np.int64         # short keys are sorted faster
+        key = (y >> bit + 1).astype(kind)
+        key <<= wide
+        key |= x.astype(kind)
+        key <<= 1
+        key |= ((y >> bit) & 1).astype(kind)
+        key.sort()
+        one = np.cumsum(key & 1, dtype=np.int64)
+        zeros, ones = sizes[::2], sizes[1::2]       # per group
+        sizes = zeros + ones
+        # Of the rows whose bit is 1 before those whose bit is 0, the ones of the groups before do not count.
+        m = int(one[-1])
+        found += int(one.sum()) - m * (m + 1) // 2 - int((zeros * (np.cumsum(ones) - ones)).sum())
     return found

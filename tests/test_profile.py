@@ -169,3 +169,40 @@ def test_spearman_ranks_columns_not_pairs(spark, mixed, monkeypatch):
     assert {(r["column_a"], r["column_b"]): r["correlation"] for r in C.correlation(df, "spearman").collect()} == pytest.approx(got)
     assert C.correlation(df.select("none", "one"), "spearman").count() == 0
     assert C.correlation(df.limit(0), "spearman").count() == 0
+
+
+@pytest.mark.parametrize("cells, batch", [(2, 50), (7, 10_000)])
+def test_kendall_deals_rows_per_column_not_per_pair(spark, monkeypatch, cells, batch):
+    """Intervals between cuts hold ties, hot values, infinities, both zeros and NaN, which is the largest value; rows are not multiplied by the pairs."""
+    rng = np.random.default_rng(6)
+    n = 400
+    a, b = rng.normal(0, 5, n), rng.integers(-20, 20, n).astype(float)
+    c, d, e = a + 3 * b, rng.choice([-np.inf, -0.0, 0.0, 1.5, np.inf, np.nan], n), rng.integers(0, 10 ** 12, n)
+    b[rng.random(n) < 0.3], c[:150] = 4.0, 2.0
+    holes = rng.random((n, 5)) < [0.1, 0, 0.2, 0.1, 0]
+    rows = [tuple(None if h else (int if i == 4 else float)(v) for i, (v, h) in enumerate(zip(r, hs))) for r, hs in zip(zip(a, b, c, d, e), holes)]
+    df = spark.createDataFrame([(*r, None, 7) for r in rows], "a double, b double, c double, d double, e bigint, none double, one int").repartition(3)
+    monkeypatch.setattr(C, "CELLS", cells)
+    monkeypatch.setattr(C, "RANGE", 200)
+    monkeypatch.setattr(C, "BATCH", batch)
+    found = C.correlation(df, "kendall")
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["column_a"], r["column_b"]): r["correlation"] for r in found.collect()}
+    names = "abcde"
+    assert set(got) == {*itertools.combinations(names, 2), *((x, "one") for x in names)}
+    for i, j in itertools.combinations(range(5), 2):
+        both = np.array([(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None])
+        x, y = (np.unique(v, return_inverse=True)[1].reshape(-1) for v in both.T)
+        assert got[names[i], names[j]] == pytest.approx(brute_tau(x, y), abs=1e-12), (names[i], names[j])
+    assert all(got[x, "one"] is None for x in names)
+    assert C.correlation(df.limit(0), "kendall").count() == 0
+
+
+def test_kendall_kernels():
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        n = int(rng.integers(1, 60))
+        x, y = (rng.integers(0, rng.integers(1, 40), n) for _ in range(2))
+        assert C.discordant(x, y) == ((x[:, None] < x) & (y[:, None] > y)).sum()
+        keys = rng.choice([C.ABSENT, *rng.integers(-2 ** 63 + 1, 2 ** 63 - 1, 5), *(rng.integers(0, 9, 4) << 40)], n).astype(np.int64)
+        assert (C._unpacked(C._packed(keys)) == keys).all()
