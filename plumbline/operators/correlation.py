@@ -19,6 +19,7 @@ from ..functions.quantiles import running_counts, sketched
 RANGE = 1_000_000       # rows between two cuts that one task puts in order
 CELLS, SKETCH = 256, 8000       # pieces that a column is cut into at least, and the parameter of the sketch that cuts it
 BATCH = 500_000         # rows that are dealt out together
+HELD = 8_000_000        # sizes of cells that a task holds before it sends them
 ABSENT = np.iinfo(np.int64).min
 TAU_SUMS = ["pair", "size", "tx", "ty", "txy", "discordant"]
 # Ranks of more values are joined by sorting: their files look small to Spark, but the driver would hold them unpacked.
@@ -120,14 +121,19 @@ def _kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cuts, order = _cuts(rows, [df.schema[c].dataType for c in cols])
     widths = [2 * len(c) + 2 for c in cuts]
     place = {i: at for at, i in enumerate(order)}
-    least = BATCH
+    least, most, pairs = BATCH, HELD, [-1 - p for p in range(len(names))]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, entries = [[] for _ in names], 0
         for part in _gathered(batches, least):
             keys = [_keys(part.column(i)) for i in range(len(cols))]
             cells = [_cells(k, c) for k, c in zip(keys, cuts)]
-            sizes = [_tally(cells[a].astype(np.int64) * widths[b] + cells[b]) for a, b in names]
-            yield _batch([-1 - p for p in range(len(names))], [0] * len(names), [pickle.dumps(x, 5) for x in sizes])
+            for own, (a, b) in zip(sizes, names):
+                own.append(_tally(cells[a].astype(np.int64) * widths[b] + cells[b]))
+                entries += len(own[-1][0])
+            if entries >= most:
+                yield _batch(pairs, [0] * len(pairs), [pickle.dumps(_merged(x), 5) for x in sizes])
+                sizes, entries = [[] for _ in names], 0
             for i in range(len(cols)):
                 own = np.flatnonzero(cells[i] & 1)
                 own = own[np.argsort(cells[i][own], kind="stable")]
@@ -136,15 +142,18 @@ def _kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                     runs = list(_runs(cells[i][own]))
                     yield _batch([i] * len(runs), [int(cells[i][own[a]]) for a, _ in runs], [
                         pickle.dumps([_packed(x[a:b]) if place[j] >= place[i] else x[a:b] for j, x in enumerate(sent)], 5) for a, b in runs])
+        if entries:
+            yield _batch(pairs, [0] * len(pairs), [pickle.dumps(_merged(x), 5) for x in sizes])
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        i, held = int(group["col"].iloc[0]), [pickle.loads(x) for x in group["data"]]
+        i, held = int(group["col"].iloc[0]), map(pickle.loads, group["data"])
         if i < 0:
             a, b = names[-1 - i]
             size = np.zeros(widths[a] * widths[b], np.int64)
             for code, n in held:
                 size[code] += n
             return pd.DataFrame([(-1 - i, *_between(size.reshape(widths[a], widths[b])[1:, 1:]))], columns=TAU_SUMS)
+        held = list(held)
         own, out = _ranks(np.concatenate([_unpacked(x[i]) for x in held])), []
         for j in range(len(cols)):
             if j != i:
@@ -234,6 +243,12 @@ def _tally(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.min_scalar_type(at[-1])), n.astype(np.min_scalar_type(n.max()))
 
 
+def _merged(tallies: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    at, place = np.unique(np.concatenate([t[0] for t in tallies]), return_inverse=True)
+    n = np.bincount(place.reshape(-1), np.concatenate([t[1] for t in tallies])).astype(np.int64)
+    return at, n.astype(np.min_scalar_type(n.max()))
+
+
 def _packed(keys: np.ndarray) -> tuple[int, int, np.ndarray]:
     """Keys in as few bytes as their distances need: the least one, the zero bits that all distances end with, and 1 + distance."""
     there = keys != ABSENT

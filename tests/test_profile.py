@@ -185,6 +185,7 @@ def test_kendall_deals_rows_per_column_not_per_pair(spark, monkeypatch, cells, b
     monkeypatch.setattr(C, "CELLS", cells)
     monkeypatch.setattr(C, "RANGE", 200)
     monkeypatch.setattr(C, "BATCH", batch)
+    monkeypatch.setattr(C, "HELD", 10 * batch)
     found = C.correlation(df, "kendall")
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
     got = {(r["column_a"], r["column_b"]): r["correlation"] for r in found.collect()}
